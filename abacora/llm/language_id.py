@@ -12,7 +12,7 @@ each language); every other count covers all rows.
 Edge cases: text null or without a letter gives 'und' and score 0. A text with letters none of
 whose grams is known gets the first language and score 0. Labels that are null are not learned.
 Ties go to the alphabetically first language. Rows repeat as given; an
-empty training set gives 'und' everywhere; other columns are not looked at.
+empty training set gives the empty language to texts with letters; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -144,27 +144,30 @@ def build(langs: np.ndarray, grams: np.ndarray, rates: np.ndarray) -> LanguageFi
     return LanguageFilters(names, masks, filled**HASHES, own)
 
 
+def decide(texts: pa.Array, f: LanguageFilters) -> tuple[list[str], list[float]]:
+    """Language and score of each text. Without any learned language a text with letters has the empty language."""
+    lower = _lowered(texts)
+    data, offsets = text_buffers(lower)
+    best: list[str] = []
+    score: list[float] = []
+    names = f.languages or [""]
+    for i, j, d, o in chunks(data, offsets):
+        shares = f.shares(*f.hits(d, o)) if f.languages else np.zeros((j - i, 1))
+        top, total = shares.argmax(1), shares.sum(1)
+        for r in range(j - i):
+            letters = _LETTER.search(lower[i + r].as_py()) is not None
+            best.append(names[top[r]] if letters else UNDETERMINED)
+            score.append(float(min(1.0, shares[r, top[r]] / total[r])) if letters and total[r] > 0 else 0.0)
+    return best, score
+
+
 def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the winner's part of all languages' shares) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 bytes a slot for every 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
         for batch in batches:
-            lower = _lowered(batch.column(1))
-            data, offsets = text_buffers(lower)
-            best, score = [], []
-            for i, j, d, o in chunks(data, offsets):
-                if not f.languages:
-                    best += [UNDETERMINED] * (j - i)
-                    score += [0.0] * (j - i)
-                    continue
-                shares = f.shares(*f.hits(d, o))
-                top, total = shares.argmax(1), shares.sum(1)
-                for r in range(j - i):
-                    letters = _LETTER.search(lower[i + r].as_py()) is not None
-                    best.append(f.languages[top[r]] if letters else UNDETERMINED)
-                    score.append(float(min(1.0, shares[r, top[r]] / total[r])) if letters and total[r] > 0 else 0.0)
+            best, score = decide(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, PREDICTED)
@@ -173,3 +176,16 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", t
 def identify(docs: DataFrame, usable: Column) -> DataFrame:
     """Trains on the usable labelled rows of docs and predicts every row."""
     return predict(docs, train(docs, usable))
+
+
+def keep_identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a language; a text is rejected if it is null or has no letter."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, _ = decide(batch.column(at), shared.value)
+            yield batch.filter(pa.array([x != UNDETERMINED for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_perspectives, decontaminate, language_id, license_scan, matroska, toxicity, warc_zip
+from . import bpe, chat_perspectives, decontaminate, jaccard_join, language_id, license_scan, matroska, substring_index, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_index.deduplicate(table(spark, sf_dir, "documents"))
+    return substring_index.with_digest(found)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
     return made.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -56,6 +61,10 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.decode(matroska.encode(table(spark, sf_dir, "documents")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_perspectives.rotate(table(spark, sf_dir, "conversations"))
 
@@ -65,10 +74,12 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
+    "op5_substring_index": op5_substring_index,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_matroska": op8_matroska,
     "op9_chat_perspectives": op9_chat_perspectives,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {
     "op1_warc_zip": """
