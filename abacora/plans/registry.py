@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus_queries, scoring_queries
+
+QUERIES = {**scoring_queries.QUERIES, **corpus_queries.QUERIES}
+ORACLES = {**scoring_queries.ORACLES, **corpus_queries.ORACLES}
