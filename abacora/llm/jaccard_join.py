@@ -12,7 +12,8 @@ shingles, enumerate all 2-subsets of their first n - ceil(t n) + 2 as keys; thos
 can link with are in the lists too. The boundary is the largest size up to which enumerating costs
 no more than scanning, by the sizes and counts found in the corpus.
 
-A list of at most LIST nodes gives all pairs of fitting size. Of a longer list each node is paired
+A list gives a pair only if what either set has left from that key on can still reach the threshold
+(the pair's first common key always passes). A list of at most LIST nodes gives all such pairs. Of a longer list each node is paired
 with a hub of fitting size; when these pairs are verified and their components known, the list's
 nodes that are still in different components are paired too. So no link between
 components is lost, and a large group of mutual near copies costs a pair per node. Pairs are made
@@ -45,7 +46,9 @@ THRESHOLD = (75, 100)
 LIST = 48
 LIGHT_MOST = 64
 #: Shingles ordered last by count; others are ordered by hash.
-COMMON_MOST = 200_000
+COMMON_MOST = 1_000_000
+#: Text bytes over which repeats of a shingle are counted at once.
+COUNT_BYTES = 32 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +117,8 @@ def choose_boundary(mean_list: float, threshold=THRESHOLD) -> int:
     return best
 
 
-def keys(h: np.ndarray, r: np.ndarray, per: np.ndarray, order: Order, boundary: int, threshold=THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys and their rows."""
+def keys(h: np.ndarray, r: np.ndarray, per: np.ndarray, order: Order, boundary: int, threshold=THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys, their rows, and how many shingles a set can at most share with one whose first common key this is."""
     counts = order.count(h)
     place = np.lexsort((h, counts, r))
     h, r = h[place], r[place]
@@ -123,7 +126,7 @@ def keys(h: np.ndarray, r: np.ndarray, per: np.ndarray, order: Order, boundary:
     pos, size = np.arange(len(h)) - first[r], per[r]
     t, of = threshold
     single = (pos <= _spare(size, threshold)) & ((size > boundary) | (of * size > t * boundary))
-    out, rows = [h[single]], [r[single]]
+    out, rows, left = [h[single]], [r[single]], [(size - pos)[single]]
     for n in range(2, boundary + 1):
         own = np.flatnonzero(per == n)
         p = min(n, _spare(n, threshold) + 2)
@@ -132,7 +135,8 @@ def keys(h: np.ndarray, r: np.ndarray, per: np.ndarray, order: Order, boundary:
             i, j = np.triu_indices(p, 1)
             out.append(mix(block[:, i] * np.uint64(0x9FB21C651E98DF25) + block[:, j]).ravel())
             rows.append(np.repeat(own, len(i)))
-    return np.concatenate(out), np.concatenate(rows)
+            left.append(np.tile(n - j + 1, len(own)))
+    return np.concatenate(out), np.concatenate(rows), np.concatenate(left)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -144,27 +148,40 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """kind 0: a row per document (a doc_id, b and c the set's name, n its size). kind 1: shingles that repeat within a chunk (a, n)."""
+    """kind 0: a row per document (a doc_id, b and c the set's name, n its size). kind 1: shingles that repeat within COUNT_BYTES of texts (a, n)."""
+
+    names = ["kind", "a", "b", "c", "n"]
+
+    def repeats(parts: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(parts), return_counts=True)
+        found, n = found[n > 1], n[n > 1]
+        none = pa.nulls(len(found), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int8)), _long(found), none, none, _long(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "c", "n"]
+        parts, held = [], 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j, d, o in chunks(data, offsets):
                 h, r, per = shingle_sets(d, o)
                 one, two = digests(h, r, j - i)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0)[i:j], _long(one), _long(two), _long(per)], names=names)
-                found, n = np.unique(h, return_counts=True)
-                found, n = found[n > 2], n[n > 2]
-                if len(found):
-                    none = pa.nulls(len(found), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int8)), _long(found), none, none, _long(n)], names=names)
+                _, single = np.unique(one, return_index=True)  # copies are one set
+                keep = np.zeros(j - i, bool)
+                keep[single] = True
+                parts.append(h[keep[r]])
+                held += len(d)
+                if held >= COUNT_BYTES:
+                    yield repeats(parts)
+                    parts, held = [], 0
+        if parts:
+            yield repeats(parts)
 
     return docs.mapInArrow(run, "kind byte, a long, b long, c long, n long")
 
 
 def postings(docs: DataFrame, order: Order, boundary: int) -> DataFrame:
-    """key, node, n: the keys of every set."""
+    """key, node, n: the keys of every set; n packs the set's size and what it can still share, size first."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # COMMON_MOST shingles at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,16 +193,21 @@ def postings(docs: DataFrame, order: Order, boundary: int) -> DataFrame:
                 _, single = np.unique(node, return_index=True)  # copies in a chunk have the same keys
                 keep = np.zeros(j - i, bool)
                 keep[single] = True
-                k, rows = keys(h, r, per, shared.value, boundary)
-                k, rows = k[keep[rows]], rows[keep[rows]]
-                yield pa.RecordBatch.from_arrays([_long(k), _long(node[rows]), _long(per[rows])], names=["key", "node", "n"])
+                k, rows, left = keys(h, r, per, shared.value, boundary)
+                k, rows, left = k[keep[rows]], rows[keep[rows]], left[keep[rows]]
+                yield pa.RecordBatch.from_arrays([_long(k), _long(node[rows]), _long(per[rows] << 32 | left)], names=["key", "node", "n"])
 
     return docs.filter("doc_id is not null").mapInArrow(run, "key long, node long, n long")
 
 
 def _fits(a, b, threshold=THRESHOLD):
+    """Whether sets of packed sizes a and b can link: by size, and by what is left of both from their first common key on.
+
+    A pair is met at its first common key too, where this holds if it links at all, so later keys may refuse it.
+    """
     t, of = threshold
-    return of * np.minimum(a, b) >= t * np.maximum(a, b)
+    n, m, low = a >> 32, b >> 32, 0xFFFFFFFF
+    return (of * np.minimum(n, m) >= t * np.maximum(n, m)) & ((of + t) * np.minimum(a & low, b & low) >= t * (n + m))
 
 
 class _Pairs:
@@ -217,15 +239,16 @@ def candidates(sorted_postings: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(n)], names=["kind", "a", "b", "n"])
 
         def star(rows: np.ndarray, hub):
-            """Pairs each row with the hub before it whose size fits; rows are sorted by size."""
+            """Pairs each row with the hub before it, a new one once sizes are too far from it; rows are sorted by size."""
             i = 0
             while i < len(rows):
-                if hub is None or not _fits(hub[2], rows[i, 2]):
+                if hub is None or THRESHOLD[1] * (hub[2] >> 32) < THRESHOLD[0] * (rows[i, 2] >> 32):
                     hub = (rows[i, 0], rows[i, 1], rows[i, 2])
                     i += 1
                     continue
-                j = i + int(_fits(hub[2], rows[i:, 2]).sum())
-                pairs.add(np.full(j - i, hub[1]), rows[i:j, 1])
+                j = int(np.searchsorted(rows[:, 2] >> 32, (hub[2] >> 32) * THRESHOLD[1] // THRESHOLD[0], "right"))
+                near = rows[i:j][_fits(hub[2], rows[i:j, 2])]
+                pairs.add(np.full(len(near), hub[1]), near[:, 1])
                 i = j
             return hub
 
@@ -289,9 +312,10 @@ def across(sorted_lists: DataFrame) -> DataFrame:
         def pair_up(rows: np.ndarray):
             pairs = _Pairs()
             n, node, comp = rows[:, 1], rows[:, 2], rows[:, 3]
-            ends = np.searchsorted(n, n * THRESHOLD[1] // THRESHOLD[0], "right")
+            size = n >> 32
+            ends = np.searchsorted(size, size * THRESHOLD[1] // THRESHOLD[0], "right")
             for i in range(len(rows)):
-                other = i + 1 + np.flatnonzero(comp[i + 1 : ends[i]] != comp[i])
+                other = i + 1 + np.flatnonzero((comp[i + 1 : ends[i]] != comp[i]) & _fits(n[i], n[i + 1 : ends[i]]))
                 pairs.add(np.full(len(other), node[i]), node[other])
                 if pairs.n > 1 << 20:
                     p = pairs.take()
