@@ -42,8 +42,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_index.deduplicate(table(spark, sf_dir, "documents"))
-    return substring_index.with_digest(found)
+    found = substring_index.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

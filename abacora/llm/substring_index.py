@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from ._shared import chunks, hash_words, id_array, materialize, mix, scan_words, scratch_path, text_buffers, window_hashes
 
 WINDOW = 20
-GRAM = 8
+GRAM = 5
 BATCHES = 2
 FANOUT = 4
 #: Text bytes for each bucket; a bucket's runs are held in memory one bucket at a time.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Windows of one row at most.
 SPAN = 64
 
@@ -302,14 +302,14 @@ def longest(claims: DataFrame) -> DataFrame:
         yield out(late)
 
     cols = ["id", "start", "n", "oid", "ostart"]
-    return claims.select(cols).distinct().repartition(parts, "id").sortWithinPartitions("id", "start").mapInArrow(run, "id long, start int, n int, oid long, ostart int")
+    return claims.select(cols).repartition(parts, "id").sortWithinPartitions("id", "start").mapInArrow(run, "id long, start int, n int, oid long, ostart int")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
     """id and compressed text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
@@ -318,64 +318,68 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, packed binary")
 
 
-def verified(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those claims whose words equal the owner's words, by digests of both spans."""
-    spans = claims.select("id", "start", "n").unionByName(claims.select(F.col("oid").alias("id"), F.col("ostart").alias("start"), "n")).distinct()
-    grouped = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # distinct spans of one document
-    once = packed_texts(docs.filter("id is not null"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part, rows = batch.slice(i, 128), []
-                for doc, packed, want in zip(*(c.to_pylist() for c in part.columns)):
-                    words = unpack(packed).split()
-                    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
-                    for s in want:
-                        a, b = s["start"], s["start"] + s["n"] + WINDOW - 1
-                        body = line[(ends[a - 1] if a else 0) : ends[b - 1] - 1] if b <= len(words) else b""
-                        rows.append((doc, a, s["n"], hashlib.blake2b(body, digest_size=16).digest()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["id", "start", "n", "digest"])
-
-    marks = once.join(grouped, "id").select("id", "packed", "spans").mapInArrow(run, "id long, start int, n int, digest binary")
-    marks = materialize(marks.dropDuplicates(["id", "start", "n"]), "digests")
-    there = marks.select(F.col("id").alias("oid"), F.col("start").alias("ostart"), "n", F.col("digest").alias("odigest"))
-    return claims.join(marks, ["id", "start", "n"]).join(there, ["oid", "ostart", "n"]).filter(F.col("digest") == F.col("odigest")).select("id", "start", "n", "oid", "ostart")
+_SETTLED = "kind byte, id long, start int, n int, digest binary, n_words long, n_removed long, kept binary"
 
 
-_KEPT = "id long, n_words long, n_removed long, kept binary"
+def settle(docs: DataFrame, claims: DataFrame, digest: bool = False) -> DataFrame:
+    """id, n_words, n_removed and kept of every row of docs (id, text).
 
-
-def remove(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """id, n_words, n_removed and kept (the kept words joined by one blank, compressed as UTF-8) of every row of docs."""
-    grouped = claims.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).withColumnRenamed("id", "_id")  # one document's spans
+    kept is the kept words joined by one blank, compressed, or with digest its SHA-256. One pass over the
+    texts takes out the claimed words and gives the digests of both spans of every claim; documents with
+    a claim whose digests differ are then done again without it.
+    """
+    own = claims.select("id", "start", "n", F.lit(True).alias("own"))
+    spans = own.unionByName(claims.select(F.col("oid").alias("id"), F.col("ostart").alias("start"), "n", F.lit(False).alias("own"))).groupBy("id", "start", "n").agg(F.max("own").alias("own"))
+    done = materialize(_cut(docs, spans, digest), "settled")
+    marks = done.filter("kind = 1").select("id", "start", "n", "digest").dropDuplicates(["id", "start", "n"])
+    there = marks.select(F.col("id").alias("oid"), F.col("start").alias("ostart"), "n", F.col("digest").alias("odigest"))
+    told = claims.join(marks, ["id", "start", "n"]).join(there, ["oid", "ostart", "n"])
+    wrong = materialize(told.filter(F.col("digest") != F.col("odigest")).select("id", "start", "n", "oid", "ostart"), "refused")
+    out = done.filter("kind = 0").select("id", "n_words", "n_removed", "kept")
+    if not wrong.take(1):
+        return out
+    ids = wrong.select("id").distinct()
+    right = claims.join(ids, "id", "left_semi").join(wrong, ["id", "start", "n", "oid", "ostart"], "left_anti")
+    again = _cut(docs.join(ids, "id", "left_semi"), right.select("id", "start", "n", F.lit(True).alias("own")), digest).filter("kind = 0")
+    return out.join(ids, "id", "left_anti").unionByName(again.select("id", "n_words", "n_removed", "kept"))
+
+
+def _cut(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
+    """kind 0: every document without the words of its own spans. kind 1: the digest of every span."""
+    grouped = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n", "own")).alias("spans")).withColumnRenamed("id", "_id")  # distinct spans of one document
     both = packed_texts(docs).join(grouped, F.col("id") == F.col("_id"), "left").select("id", "packed", "spans")
+    names = ["kind", "id", "start", "n", "digest", "n_words", "n_removed", "kept"]
+    types = (pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        finish = (lambda body: hashlib.sha256(body).digest()) if digest else pack
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part, total, gone, kept = batch.slice(i, 256), [], [], []
-                for packed, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                part, rows = batch.slice(i, 256), []
+                for doc, packed, want in zip(*(c.to_pylist() for c in part.columns)):
                     words = unpack(packed).split()
-                    n = len(words)
-                    if spans:
-                        out = np.zeros(n + 1, np.int64)
-                        np.add.at(out, [s["start"] for s in spans], 1)
-                        np.add.at(out, [min(n, s["start"] + s["n"] + WINDOW - 1) for s in spans], -1)
+                    n, line = len(words), b" ".join(words)
+                    kept = line
+                    if want:
+                        ends, out = np.cumsum([len(w) + 1 for w in words]).tolist(), np.zeros(n + 1, np.int64)
+                        for s in want:
+                            a, b = s["start"], s["start"] + s["n"] + WINDOW - 1
+                            body = line[(ends[a - 1] if a else 0) : ends[b - 1] - 1] if b <= n else b""
+                            rows.append((1, doc, a, s["n"], hashlib.blake2b(body, digest_size=16).digest(), None, None, None))
+                            if s["own"]:
+                                out[a] += 1
+                                out[min(n, b)] -= 1
                         words = [words[k] for k in np.flatnonzero(np.cumsum(out[:-1]) == 0).tolist()]
-                    total.append(n)
-                    gone.append(n - len(words))
-                    kept.append(pack(b" ".join(words)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["id", "n_words", "n_removed", "kept"])
+                        kept = b" ".join(words)
+                    rows.append((0, doc, None, None, None, n, n - len(words), finish(kept)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return both.mapInArrow(run, _KEPT)
+    return both.mapInArrow(run, _SETTLED)
 
 
 def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Verified claims (id, start, n, oid, ostart) of a whole table of (id, text)."""
+    """Claims (id, start, n, oid, ostart) of a whole table of (id, text), as the longest spans."""
     spark = docs.sparkSession
     cuts = [k / batches for k in range(1, batches)]
     facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("id", cuts or [1.0], 1000).alias("cuts")).first()
@@ -385,14 +389,13 @@ def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         part = docs if not bounds else docs.filter(((F.col("id") > bounds[k - 1]) if k else F.lit(True)) & ((F.col("id") <= bounds[k]) if k < len(bounds) else F.lit(True)))
         made = index.ingest(part, keep=k < len(bounds))
         claims = made if claims is None else claims.unionByName(made)
-    spans = materialize(longest(claims), "spans")
-    return materialize(verified(spans, docs), "repeats")
+    return materialize(longest(claims), "spans")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (compressed) of every row of docs."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (compressed, or with digest its SHA-256) of every row of docs."""
     lean = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return remove(lean, find_repeats(lean, batches)).withColumnRenamed("id", "doc_id")
+    return settle(lean, find_repeats(lean, batches), digest).withColumnRenamed("id", "doc_id")
 
 
 def unpacked(kept: DataFrame, column: str = "kept") -> DataFrame:
@@ -411,25 +414,11 @@ def unpacked(kept: DataFrame, column: str = "kept") -> DataFrame:
     return kept.select(*names, column).mapInArrow(run, f"{schema}, `{column}` string")
 
 
-def with_digest(found: DataFrame) -> DataFrame:
-    """deduplicate()'s rows with the SHA-256 of the kept text in place of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            marks = pa.array([hashlib.sha256(unpack(x)).hexdigest() for x in batch.column(3).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], marks], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return found.select("doc_id", "n_words", "n_removed", "kept").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with the repeated words taken out of its texts (and chars_col, if there is one, set to the new length)."""
     lean = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    claims = find_repeats(lean)
-    touched = lean.join(claims.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    changed = unpacked(remove(touched, claims).select(F.col("id").alias("_id"), "kept")).withColumnRenamed("kept", "_kept")
-    changed = materialize(changed, "changed")
+    done = settle(lean, find_repeats(lean)).filter("n_removed > 0").dropDuplicates(["id"])
+    changed = unpacked(done.select(F.col("id").alias("_id"), "kept")).withColumnRenamed("kept", "_kept")
     out = docs.join(changed, docs[id_col].cast("long") == F.col("_id"), "left")
     new = {text_col: F.coalesce("_kept", docs[text_col])}
     if chars_col in docs.columns:
