@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,10 +109,6 @@ def json_after(text: Column, marker: str) -> Column:
 
 
 def _first_object(text: Column) -> Column:
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         decoder = json.JSONDecoder()
