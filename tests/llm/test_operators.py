@@ -1,0 +1,275 @@
+"""Each operator against brute force on small tables with nulls, ties, repeats, very long texts and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from abacora.llm import bpe, chat_perspectives, components, decontaminate, jaccard_join, language_id, license_scan, matroska, queries, substring_index, toxicity, warc_zip
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    say = lambda k: " ".join(rng.choices(WORDS, k=k))
+    shared = [say(30) for _ in range(3)]
+    texts = []
+    for _ in range(n):
+        kind = rng.random()
+        if kind < 0.3 and texts:
+            t = (rng.choice(texts) or "").split()
+            for _ in range(rng.randint(0, 2)):
+                if t:
+                    t[rng.randrange(len(t))] = rng.choice(WORDS)
+            texts.append(rng.choice([" ", "\n"]).join(t))
+        elif kind < 0.5:
+            texts.append(say(rng.randint(0, 30)) + "\n" + rng.choice(shared) + "  " + say(rng.randint(0, 30)))
+        else:
+            texts.append(say(rng.randint(0, 80)))
+    return texts + [None, "", "  \n", "one", "one two", "One TWO", "a b c d", say(9000), shared[0], shared[0] + " " + shared[0], "x " * 200]
+
+
+def documents(spark, texts, partitions=3):
+    rows = [(3 * i + 1, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    random.Random(0).shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA).repartition(partitions), {r[0]: r[1] for r in rows}
+
+
+def brute_repeats(docs):
+    seen, out = set(), {}
+    for i in sorted(docs):
+        words = re.findall(r"[^\x20\x09-\x0D]+", docs[i] or "")
+        gone = [False] * len(words)
+        for s in range(len(words) - 19):
+            k = tuple(words[s : s + 20])
+            if k in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(k)
+        kept = " ".join(w for w, g in zip(words, gone) if not g)
+        out[i] = (len(words), sum(gone), kept)
+    return out
+
+
+def brute_components(docs):
+    sets = {}
+    for i, t in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("batches", "bucket"), [(1, 1 << 22), (3, 2000)])
+def test_substring_dedup(spark, monkeypatch, batches, bucket):
+    monkeypatch.setattr(substring_index, "BUCKET_BYTES", bucket)
+    df, docs = documents(spark, corpus())
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_index.unpacked(substring_index.deduplicate(df, batches=batches)).collect()}
+    assert got == brute_repeats(docs)
+
+
+def test_substring_dedup_rows_without_id_and_repeats(spark):
+    long = " ".join(WORDS[:40])
+    df = spark.createDataFrame([(2, long), (2, long), (5, long), (None, long)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_index.deduplicate(df).collect())
+    assert got == [(0, 0), (2, 0), (2, 0), (5, 40)]
+    assert substring_index.deduplicate(df.limit(0)).count() == 0
+
+
+def test_index_over_batches_and_compaction(spark):
+    a, b = " ".join(WORDS[:30]), " ".join(WORDS[30:70])
+    index = substring_index.FingerprintIndex(spark, 3)
+    put = lambda rows: index.ingest(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert put([(1, a)]) == [] and put([(2, b)]) == []
+    index.compact()
+    assert len(index.runs) == 1
+    found = put([(3, a + " " + b)])
+    assert {(r["oid"]) for r in found} == {1, 2} and sum(r["n"] for r in found) == 11 + 21
+
+
+def test_without_repeats_keeps_columns(spark):
+    df, docs = documents(spark, corpus(3, 30))
+    out = substring_index.without_repeats(df)
+    wanted = brute_repeats(docs)
+    assert out.columns == df.columns
+    for r in out.collect():
+        n, gone, kept = wanted[r["doc_id"]]
+        assert r["text"] == (kept if gone else docs[r["doc_id"]])
+        assert r["n_chars"] == len(r["text"] or "")
+
+
+@pytest.mark.parametrize("most", [48, 1])
+def test_jaccard_join(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "LIST", most)
+    df, docs = documents(spark, corpus(2, 80))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()}
+    assert got == brute_components(docs)
+
+
+def test_jaccard_join_edges(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (4, "A b c d e f"), (9, "a b c d e f"), (7, None), (8, "")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect())
+    assert got == [(-1, 2, 4), (4, 2, 4), (4, 2, 4), (7, 0, 7), (8, 0, 8), (9, 2, 4)]
+    assert jaccard_join.join(df.limit(0)).count() == 0
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
+
+
+ITEMS = [(1, "If Anna Smith has 5 kg of apples and buys 12 more, how many kg does Anna have now?"), (2, " ".join(WORDS[:25])), (3, "to see or read"), (4, None), (5, ""), (None, "x y z")]
+
+
+def test_leaks(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(10, "Well. If Bob Jones has 7 kg of apples and buys 31 more, how many kg does Bob have now? Yes."), (11, "x " + " ".join(WORDS[:25]).upper() + " y"), (12, " ".join(WORDS[40:90])), (13, "nothing to see or read today"), (14, None), (15, ""), (11, "x " + " ".join(WORDS[:25]).upper() + " y"), (None, " ".join(WORDS[:25])), (16, "If Bob Jones has 7 kg of apples and buys 31 more, how many kg does Carl have now?")],
+        "doc_id long, text string",
+    )
+    got = {(r["doc_id"], r["item_id"], r["verdict"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(10, 1, "reparameterised"), (11, 2, "verbatim"), (13, 3, "verbatim")}
+    kept = [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()]
+    assert sorted(k or 0 for k in kept) == [0, 12, 14, 15, 16]
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_leaks_by_shuffle_join(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = spark.createDataFrame([(11, "x " + " ".join(WORDS[:25]))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()] == [(11, 2)]
+
+
+def test_templates_align_with_words(spark):
+    texts = ["A 5kg, b 1,000.5 Ünal x", "", None, "½ ٣ ab 12"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(F.size(decontaminate.words(F.col("text"))).alias("a"), F.size(decontaminate.templates(F.col("text"))).alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+
+
+def test_license_scan(spark):
+    mit = license_scan.KNOWN[0][1]
+    texts = [mit, "Copyright (c) 2020 A\n// © B\n" + mit.upper().replace(", ", " ,\n"), mit + " more", "released under the mit LICENCE", None, "", "copyright x"]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(None, mit, "")], "doc_id long, text string, license_id string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(df).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: None, 3: "MIT", 4: None, 5: None, 6: None, None: "MIT"}
+    assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_language_id(spark):
+    rng = random.Random(3)
+    de, fr = "und der die das nicht schön über ein mit auf".split(), "et le la les pas être où une avec sur".split()
+    rows = [(i, " ".join(rng.choices((de, fr)[i % 2], k=30)), ("de", "fr")[i % 2]) for i in range(200)] + [(900, None, "de"), (901, "123 !?", "fr"), (902, "und", None), (903, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.train(df, F.col("doc_id") % 4 != 0)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(df, filters).collect()}
+    assert all(got[i][0] == ("de", "fr")[i % 2] for i in range(200)) and got[902][0] == "de"
+    assert all(got[i] == ("und", 0.0) for i in (900, 901, 903)) and all(0 <= s <= 1 for _, s in got.values())
+    assert {r["doc_id"] for r in language_id.keep_identified(df, filters).collect()} == set(got) - {900, 901, 903}
+    assert language_id.predict(df.limit(0), filters).count() == 0
+    none = language_id.train(df, F.lit(False))
+    assert none.languages == [] and language_id.keep_identified(df, none).count() == 201
+
+
+def test_many_languages_need_more_than_one_mask_word():
+    import numpy as np
+
+    names = np.array([f"l{i:03d}" for i in range(130)])
+    f = language_id.build(names, np.arange(130, dtype=np.uint64) * np.uint64(77), np.ones(130))
+    assert f.masks.shape[1] == 3
+    slots = language_id._slots(np.array([129 * 77], np.uint64))
+    assert all(f.masks[s[0], 2] >> np.uint64(1) & np.uint64(1) for s in slots)
+
+
+def test_toxicity(spark):
+    rng = random.Random(7)
+    bad = ["idiotx", "scumx", "trashx"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 1
+        words = rng.choices(WORDS, k=40) + (rng.choices(bad, k=3) if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    df = spark.createDataFrame(rows + [(1000, None), (1001, "")], "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(1, 1), (None, 1), (5000, None)], "doc_id long, toxic int")
+    model = toxicity.train(df, lab.filter(queries.fold("doc_id", 5) != 0))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    assert all((got[i] >= 0.5) == bool(t) for i, t in labels) and got[1000] == got[1001] < 0.5
+    assert toxicity.score(df, toxicity.train(df, lab.limit(0))).agg(F.max("score")).first()[0] < 1e-6
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_bpe_and_matroska_queries(spark):
+    df = spark.createDataFrame([(1, "Hello  wörld"), (2, None), (3, ""), (3, ""), (None, "x" * 5000)], "doc_id long, text string")
+    path = queries.tokenizer_path()
+    out = bpe.encode_decode(df, path).collect()
+    assert sorted((r["doc_id"] or 0, r["decoded"]) for r in out) == sorted([(1, "Hello  wörld"), (2, ""), (3, ""), (3, ""), (0, "x" * 5000)])
+    m = {(r["doc_id"] or 0): r for r in matroska.decode(matroska.encode(df)).collect()}
+    assert (m[2]["n_bytes"], m[2]["payload_bytes"], m[2]["payload_sha256"]) == (0, 576, hashlib.sha256(b"\xff" * 576).hexdigest())
+    assert m[2]["media_sha256"] == m[3]["media_sha256"] != m[1]["media_sha256"] and m[0]["payload_bytes"] == 5184
+    packets = matroska.packets(matroska.encode(df)).filter("doc_id = 1").collect()
+    assert [(p["packet"], p["track"], p["time_ns"], p["size"]) for p in packets] == [(0, 1, 0, 576)]
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a", "<p>x"), (2, None, "<p>x"), (3, "u\n", None), (9, "v", ""), (5, "w", "é"), (5, "w", "é"), (None, "n", "<p>x"), (None, "n", "alone")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc_zip.round_trip(df).collect()), key=str)
+    assert got == sorted([(1, 4, "revisit", 2), (2, 4, "response", None), (3, 0, "revisit", 9), (9, 0, "response", None), (5, 2, "response", None), (5, 2, "response", None), (0, 4, "revisit", 2), (0, 5, "response", None)], key=str)
+    small = {(r["page_id"], r["record_type"]) for r in warc_zip.round_trip(df, min_revisit_bytes=3).collect() if r["page_id"]}
+    assert (3, "response") in small and (1, "revisit") in small
+    assert warc_zip.round_trip(df.limit(0)).count() == 0
+
+
+def test_chat_perspectives(spark):
+    import duckdb
+
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "system", "s"), (1, 2, "system", "s"), (2, None, "bob", None), (2, 5, None, "x"), (2, 5, "amy", "y"), (None, 1, "z", "t"), (3, 0, "system", "only")] + [(4, i, "ab"[i % 2], "é" * (i % 7)) for i in range(600)]
+    cols = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame(rows, cols)
+    conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841  read by name
+    names = sorted(chat_perspectives.rotate(df).columns)
+    key = lambda r: tuple(str(x) for x in r)
+    got = sorted((tuple(r[c] for c in names) for r in chat_perspectives.rotate(df).collect()), key=key)
+    rel = duckdb.sql(chat_perspectives.ORACLE)
+    at = [rel.columns.index(c) for c in names]
+    assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=key)
+    assert chat_perspectives.rotate(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    df, docs = documents(spark, corpus(5, 40))
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(WORDS[:25]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, now = now, stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == before.columns, name
+        texts = {r["doc_id"]: r["text"] for r in before.collect()}
+        left = {r["doc_id"]: r["text"] for r in now.collect()}
+        if name == "language_id":
+            assert left == {i: t for i, t in texts.items() if re.search(r"[^\W\d_]", t or "")}
+        if name == "jaccard_join":
+            assert set(left) == {i for i, (_, c) in brute_components(texts).items() if c == i}
+        if name == "substring_dedup":
+            assert left == {i: (k if g else texts[i]) for i, (_, g, k) in brute_repeats(texts).items()}
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256"} and {r["doc_id"] for r in out.collect()} == set(left)
