@@ -46,7 +46,7 @@ THRESHOLD = (75, 100)
 LIST = 48
 LIGHT_MOST = 64
 #: Shingles ordered last by count; others are ordered by hash.
-COMMON_MOST = 1_000_000
+COMMON_MOST = 250_000
 #: Text bytes over which repeats of a shingle are counted at once.
 COUNT_BYTES = 32 << 20
 
