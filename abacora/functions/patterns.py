@@ -5,6 +5,10 @@ Patterns are given once in the syntax Java and Python share; UNI makes Java trea
 
 UNI = "(?iuU)"
 
+#: White space and words by Unicode, as classes: much faster than \s under Java's Unicode flag.
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = f"[^{SPACE}]+"
+
 ANSWER_ANCHOR = r"####\s*đáp\s*án\s*là\s*[:：]?\s*"
 NUMBER = r"-?[0-9]+(?:[.,][0-9]+)?"
 LATEX_ANSWER = r"-?[0-9]+\\sqrt\{[^{}]+\}|\\sqrt\{[^{}]+\}|-?[0-9]+\\frac\{[^{}]+\}\{[^{}]+\}|\\frac\{[^{}]+\}\{[^{}]+\}"

@@ -43,7 +43,7 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(text, rf"^[{P.SPACE}]+|[{P.SPACE}]+\z", "")
 
 
 def clean_model_output(text: Column) -> Column:
@@ -51,17 +51,22 @@ def clean_model_output(text: Column) -> Column:
     head = F.regexp_extract(text, f"(?s){P.UNI}^(.*?{P.ANSWER_ANCHOR})", 1)
     tail = F.substring(text, F.length(head) + 1, F.length(text))
     found = lambda p: F.nullif(F.regexp_extract(tail, p, 1), F.lit(""))
-    kept = F.coalesce(found(f"^({P.LATEX_ANSWER})"), found(f"^({P.NUMBER})"), found(r"(?U)^\s*(\S+)"), F.lit(""))
+    kept = F.coalesce(found(f"^({P.LATEX_ANSWER})"), found(f"^({P.NUMBER})"), found(rf"^[{P.SPACE}]*({P.WORD})"), F.lit(""))
     return F.when(text.isNull() | (head == ""), text).otherwise(F.concat(head, kept))
 
 
 def strip_asy_blocks(text: Column) -> Column:
-    return F.regexp_replace(text, P.ASY_BLOCK, " ")
+    return F.when(F.contains(F.lower(text), F.lit("[asy]")), F.regexp_replace(text, P.ASY_BLOCK, " ")).otherwise(text)
 
 
 def normalize_latex(text: Column, legacy_prefix_bug: bool = False) -> Column:
     r"""XF3. Without legacy_prefix_bug a literal such as \le is not replaced inside a longer command (\left)."""
-    out = F.replace(F.replace(strip_asy_blocks(text), F.lit("\\$"), F.lit("")), F.lit("\\%"), F.lit("%"))
+    # Most texts have no command at all and skip the chain.
+    return let(strip_asy_blocks(text), lambda t: F.when(F.contains(t, F.lit("\\")), _latex(t, legacy_prefix_bug)).otherwise(t))
+
+
+def _latex(text: Column, legacy_prefix_bug: bool) -> Column:
+    out = F.replace(F.replace(text, F.lit("\\$"), F.lit("")), F.lit("\\%"), F.lit("%"))
     for pattern, new in ((r"\\angle\s*([A-Z]{1,4})", "góc $1"), (r"\\triangle\s*([A-Z]{1,4})", "tam giác $1"), (P.FRACTION, "(($1)/($2))"), (r"\\sqrt\s*\{([^{}]+)\}", "sqrt($1)"), (r"\\sqrt\s*([0-9]+(?:[.,][0-9]+)?)", "sqrt($1)")):
         out = F.regexp_replace(out, pattern, new)
     for old, new in P.LATEX_LITERALS:
@@ -73,19 +78,29 @@ def normalize_latex(text: Column, legacy_prefix_bug: bool = False) -> Column:
 
 def join_numbers(text: Column) -> Column:
     """Thousands marks dropped, decimal commas made points."""
+    return let(text, lambda t: F.when(t.rlike("[0-9][.,][0-9]"), _joined(t)).otherwise(t))
+
+
+def _joined(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?<=[0-9]),(?=[0-9]{3}\b)", "")
     out = F.regexp_replace(out, r"(?<=[0-9])\.(?=[0-9]{3}\b)", "")
     return F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9])", ".")
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{P.SPACE}]+", " "))
 
 
 def clean_math_text(text: Column, legacy_prefix_bug: bool = False) -> Column:
     """XF4."""
-    out = normalize_latex(nfc(text), legacy_prefix_bug)
-    out = F.regexp_replace(F.regexp_replace(out, r"\$\$([^$]+)\$\$", "$1"), r"\$([^$]{1,100})\$", "$1")
+    return clean_composed(nfc(text), legacy_prefix_bug)
+
+
+def clean_composed(text: Column, legacy_prefix_bug: bool = False) -> Column:
+    """XF4 for texts in a composed normal form."""
+    out = normalize_latex(text, legacy_prefix_bug)
+    dollars = lambda t: F.regexp_replace(F.regexp_replace(t, r"\$\$([^$]+)\$\$", "$1"), r"\$([^$]{1,100})\$", "$1")
+    out = let(out, lambda t: F.when(F.contains(t, F.lit("$")), dollars(t)).otherwise(t))
     return collapse(join_numbers(out))
 
 
@@ -106,7 +121,7 @@ def normalize_space(text: Column) -> Column:
 def strip_trailing_artifacts(text: Column, artifacts: list[str]) -> Column:
     """XF8: listed strings and white space taken off the end as often as they stand there."""
     quoted = "|".join(F_quote(a) for a in artifacts)
-    return F.regexp_replace(text, rf"(?U)(?:{quoted}|\s)+\z", "")
+    return F.regexp_replace(text, rf"(?:{quoted}|[{P.SPACE}])+\z", "")
 
 
 def F_quote(literal: str) -> str:
@@ -143,12 +158,20 @@ def strip_diacritics(text: Column) -> Column:
 
 def canonicalize_query(text: Column) -> Column:
     """XF11: the key under which questions count as equal."""
-    out = nfkc(F.coalesce(text, F.lit("")))
-    for word, n in P.DIGIT_WORDS.items():
-        out = F.regexp_replace(out, rf"{P.UNI}(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])", str(n))
-    out = F.lower(strip_diacritics(clean_math_text(out)))
+    out = let(nfkc(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(_ANY_DIGIT_WORD), _digit_words(t)).otherwise(t))
+    out = F.lower(strip_diacritics(clean_composed(out)))
     out = F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9])", ".")
-    return collapse(F.regexp_replace(out, r"[^0-9a-z+\-*/=<>.% ]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^0-9a-z+\-*/=<>.% ]+", " "), " +", " "))
+
+
+#: A look for any digit word before the replacements of each.
+_ANY_DIGIT_WORD = f"(?iu)(?:{'|'.join(P.DIGIT_WORDS)})"
+
+
+def _digit_words(text: Column) -> Column:
+    for word, n in P.DIGIT_WORDS.items():
+        text = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])", str(n))
+    return text
 
 
 def query_tokens(canonical: Column) -> Column:
@@ -188,7 +211,7 @@ def first_text(*columns: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.split(strip(text), r"(?U)(?<=[.!?。])\s+"), lambda s: s != "")
+    return F.filter(F.split(strip(text), f"(?<=[.!?。])[{P.SPACE}]+"), lambda s: s != "")
 
 
 def dedup_key(text: Column) -> Column:

@@ -18,7 +18,7 @@ _STEP = r"[0-9.,]+\s*[+\-*/]\s*[0-9\s+\-*/().,]*\s*=\s*-?[0-9.,]+"
 
 def token_count(text: Column) -> Column:
     """Default token counter: white-space words times 1.3."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+")) * 1.3
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(P.WORD)) * 1.3
 
 
 def computation_chain(response: Column) -> Column:
@@ -36,15 +36,22 @@ def number_text(x: Column) -> Column:
 
 def build_target(response: Column) -> Column:
     """TGT2: chain and answer line; null if the answer isn't a number."""
-    n = numeric.parse_number(answers.extract_gold(response))
-    line = F.concat(F.lit("####đáp án là: "), number_text(n))
-    return F.when(n.isNotNull(), F.concat_ws("\n", computation_chain(response), line))
+    return _target(numeric.parse_number(answers.extract_gold(response)), response)
+
+
+def _target(number: Column, response: Column) -> Column:
+    given = F.struct(number.alias("n"), response.alias("r"))
+    line = lambda n: F.concat(F.lit("####đáp án là: "), number_text(n))
+    return X.let(given, lambda g: F.when(g["n"].isNotNull(), F.concat_ws("\n", computation_chain(g["r"]), line(g["n"]))))
 
 
 def attach_targets(records: DataFrame, response: str = "response_vi") -> DataFrame:
     """FLT1."""
-    out = records.withColumn("target", build_target(F.col(response)))
-    return out.filter(F.col("target").isNotNull() & (answers.count_anchors(F.col("target")) == 1))
+    out = records.withColumn("_gold", answers.extract_gold(F.col(response))).withColumn("_n", numeric.parse_number(F.col("_gold")))
+    out = out.withColumn("target", _target(F.col("_n"), F.col(response))).drop("_gold", "_n")
+    # The row number keeps Catalyst from copying the target's definition into the filter, where it would be worked out again.
+    out = out.withColumn("_row", F.monotonically_increasing_id())
+    return out.filter((F.col("_row") >= 0) & F.col("target").isNotNull() & (answers.count_anchors(F.col("target")) == 1)).drop("_row")
 
 
 def unit_hash(*key: Column) -> Column:
@@ -173,7 +180,7 @@ def malformed_tags(text: Column) -> Column:
 
 def repetitive(text: Column) -> Column:
     """FLT18: 40 words or more, with a trigram 4 times or a line 3 times."""
-    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
+    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(P.WORD))
     return (words >= 40) & ((S.max_trigram_count(text) >= 4) | (S.max_line_count(text) >= 3))
 
 

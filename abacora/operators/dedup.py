@@ -24,7 +24,7 @@ class DedupConfig:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?U)\S+"))
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(P.WORD))
 
 
 def keep_rank(type_: Column, target: Column, query: Column, row_idx: Column) -> Column:

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import similarity as S
+from ..functions.text import let
 from .score import type_or_unknown
 
 
 def words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(P.WORD))
 
 
 def failures(output: Column, extractable: Column, score: Column, pred: Column, gold: Column, trigrams: Column | None = None, extended: bool = False) -> Column:
     """TAX1: labels in their fixed order. extended adds truncation_failure and bilingual_leakage."""
-    zero, n = score == 0, words(output)
+    if trigrams is None:
+        trigrams = S.max_trigram_count(output)
+    given = F.struct(words(output).alias("n"), extractable.alias("ok"), score.alias("score"), pred.cast("double").alias("pred"), gold.cast("double").alias("gold"), trigrams.alias("tri"), output.alias("out"))
+    return let(given, lambda g: _labels(g["out"], g["n"], g["ok"], g["score"], g["pred"], g["gold"], g["tri"], extended))
+
+
+def _labels(output: Column, n: Column, extractable: Column, score: Column, pred: Column, gold: Column, trigrams: Column, extended: bool) -> Column:
+    zero = score == 0
     wrong = F.coalesce(extractable & zero, F.lit(False))
     both = pred.isNotNull() & gold.isNotNull()
     sign = both & (pred == -gold) & (gold != 0)
@@ -24,7 +33,7 @@ def failures(output: Column, extractable: Column, score: Column, pred: Column, g
     shifted = both & (gold != 0) & (pred != 0) & F.coalesce(F.abs(power - F.rint(power)) < 1e-4, F.lit(False))
     early = (n <= 4) & zero
     label = lambda c, name: F.when(c, F.lit(name))
-    loops = (n > 10) & ((trigrams if trigrams is not None else S.max_trigram_count(output)) > 4)
+    loops = (n > 10) & (trigrams > 4)
     found = [label(~F.coalesce(extractable, F.lit(False)), "extraction_failure"), label(early, "premature_eos")]
     if extended:
         found.append(label(~early & (n >= 195), "truncation_failure"))
