@@ -10,16 +10,16 @@ from ..functions import text as X
 from ..functions import vietnamese as V
 from ..operators import align, audit, curate, dedup, reports, select
 from ..sources import records
-from .scoring_queries import table
+from .scoring_queries import spread, table
 
 
 def normalize_space_docs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.md5(X.normalize_space(F.col("text"))).alias("space_md5"), F.md5(X.dedup_key(F.col("text"))).alias("key_md5"))
 
 
 def canonicalize_docs(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select("doc_id", X.canonicalize_query(F.col("text")).alias("c"))
+    c = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.canonicalize_query(F.col("text")).alias("c"))
     return c.select("doc_id", F.md5("c").alias("canonical_md5"), F.size(X.query_tokens(F.col("c"))).alias("tokens"), F.array_join(X.number_signature(F.col("c")), " ").alias("numbers"))
 
 
@@ -29,13 +29,13 @@ def feature_counts(spark, sf_dir):
 
 
 def exact_dedup_docs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rank = F.struct(F.length("text").alias("n"), F.col("doc_id").alias("i"))
     return dedup.first_by_key(d, X.dedup_key(F.col("text")), rank).select("doc_id")
 
 
 def _problems(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kind = F.element_at(F.array(*[F.lit(t) for t in ("GSM_AnsAug", "GSM_Rephrased", "MATH_SV", "other")]), (F.pmod(F.col("doc_id"), F.lit(4)) + 1).cast("int"))
     return d.select(F.col("doc_id").alias("row_idx"), kind.alias("type"), F.col("text").alias("query"), F.lit("").alias("target"))
 
@@ -66,7 +66,7 @@ def simhash_bands(spark, sf_dir):
 
 
 def repetition_docs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", S.max_trigram_count(F.col("text")).alias("trigrams"), (dedup.word_count(F.col("text")) >= 40).alias("long_enough"), curate.repetitive(F.col("text")).alias("repetitive"))
 
 
@@ -167,7 +167,7 @@ def validate_schema(spark, sf_dir):
 
 
 def targets(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
     text = F.concat(F.lit("Ta tính. Ta có "), q, F.lit(" + "), n, F.lit(" = 9 quả. Vậy xong. Đáp án là: "), q)
     return curate.attach_targets(t.select("l_orderkey", "l_linenumber", text.alias("response_vi"))).select("l_orderkey", "l_linenumber", F.col("target"))

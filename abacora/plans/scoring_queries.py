@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few input splits dealt over all cores before costly expressions; with enough splits (any large table) df as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 2 * df.rdd.getNumPartitions() <= n else df
+
+
 def _scored(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), F.col("l_extendedprice").alias("gold_num"), F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("pred_num"), (F.col("l_linenumber") != 6).alias("extractable"))
     return score.with_score(t)
@@ -62,7 +68,7 @@ def align_positional(spark, sf_dir):
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey"))
     q = F.col("l_quantity").cast("int").cast("string")
     kind = F.pmod(F.col("l_partkey"), F.lit(6))
     tail = F.element_at(F.array(F.lit(" ô tô"), F.lit("kg"), F.lit("huehue"), F.lit(""), F.lit(".5 mét"), F.lit(",25 lít")), (F.pmod(F.col("l_suppkey"), F.lit(6)) + 1).cast("int"))
@@ -98,7 +104,7 @@ def extract_pred_numbers(spark, sf_dir):
 
 
 def parse_expressions(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"))
     q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
     kind = F.pmod(F.col("l_partkey"), F.lit(7))
     s = (
@@ -141,7 +147,7 @@ v AS (SELECT n.record_id, coalesce(w.text, n.text) AS chosen, CASE WHEN w.text I
 
 
 def _framed(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_returnflag"))
     k = F.pmod(F.col("l_partkey"), F.lit(6))
     gold = F.col("l_quantity")
     rows = t.select(
