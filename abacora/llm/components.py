@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components: of each Arrow batch every node with its smallest one, so many links among the same nodes become few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := root.setdefault(x, x)) != x:
+                    root[x] = root[y]
+                    x = y
+                return x
+
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(u), find(v)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            kept = [(x, find(x)) for x in root if find(x) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (its smallest node) of every node of edges (u, v); both are longs.
 

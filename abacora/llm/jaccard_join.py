@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import chunks, hash_words, materialize, mix, scan_words, text_buffers, window_hashes
-from .components import connected_components
+from .components import connected_components, spanning
 
 SHINGLE = 5
 #: The threshold as a fraction of integers, so that the border is exact.
@@ -48,7 +48,7 @@ LIGHT_MOST = 64
 #: Shingles ordered last by count; others are ordered by hash.
 COMMON_MOST = 250_000
 #: Text bytes over which repeats of a shingle are counted at once.
-COUNT_BYTES = 32 << 20
+COUNT_BYTES = 16 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,11 +306,18 @@ def candidates(sorted_postings: DataFrame) -> DataFrame:
 
 
 def across(sorted_lists: DataFrame) -> DataFrame:
-    """a, b: fitting pairs of a long list whose components differ. Reads key, n, node, component sorted by key, n."""
+    """a, b: fitting pairs of a long list whose components differ. Reads key, n, node, component sorted by key, n.
+
+    A pair stands in many lists; lists of the same components come to one task, which gives it once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = _Pairs()
+
+        def out(p: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
         def pair_up(rows: np.ndarray):
-            pairs = _Pairs()
             n, node, comp = rows[:, 1], rows[:, 2], rows[:, 3]
             size = n >> 32
             ends = np.searchsorted(size, size * THRESHOLD[1] // THRESHOLD[0], "right")
@@ -319,9 +326,10 @@ def across(sorted_lists: DataFrame) -> DataFrame:
                 pairs.add(np.full(len(other), node[i]), node[other])
                 if pairs.n > 1 << 20:
                     p = pairs.take()
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-            p = pairs.take()
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+                    if len(p) > 1 << 19:
+                        yield out(p)
+                    else:
+                        pairs.add(p[:, 0], p[:, 1])
 
         late = np.zeros((0, 4), np.int64)
         for batch in batches:
@@ -334,6 +342,7 @@ def across(sorted_lists: DataFrame) -> DataFrame:
             late = rows[edge[-1] :] if len(edge) else rows
         if len(late):
             yield from pair_up(late)
+        yield out(pairs.take())
 
     return sorted_lists.mapInArrow(run, "a long, b long")
 
@@ -407,14 +416,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def components(edges: DataFrame) -> DataFrame:
         named = edges.join(ids.select(F.col("node").alias("a"), F.col("rep").alias("u")), "a").join(ids.select(F.col("node").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-        return connected_components(named)
+        return connected_components(spanning(named))
 
     comp = materialize(components(linked), "jaccard-components")
     if long_lists.take(1):
         labelled = long_lists.join(ids, "node").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "node", F.coalesce("component", "rep").alias("component"))
         labelled = materialize(labelled.distinct(), "jaccard-lists")
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        rest = labelled.join(open_keys, "key").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        rest = labelled.join(open_keys, "key").repartition(parts, "lo", "hi").select("key", "n", "node", "component").sortWithinPartitions("key", "n", "node")
         more = materialize(across(rest).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
         if more.take(1):
             comp = materialize(components(linked.unionByName(verify(more, texts))), "jaccard-components")
