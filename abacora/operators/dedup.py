@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +147,60 @@ def examples(decided: DataFrame, most: int = 12) -> DataFrame:
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
     """WIN9: the first `most` rows of each group; the limit is applied before the shuffle too."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
+#: The Jaccard threshold of near_pairs as a fraction of integers, so that the border is exact.
+PAIR_THRESHOLD = (90, 100)
+#: Tokens ordered last by count; others are ordered by hash.
+COMMON_MOST = 250_000
+
+
+def _postings(nodes: DataFrame, shingles: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """key, u, n, left: the first n - ceil(t n) + 1 tokens of every set, rare ones first, and how many tokens stand from the key on."""
+    shared, (t, of) = nodes.sparkSession.sparkContext.broadcast((shingles, counts)), PAIR_THRESHOLD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value
+        for batch in batches:
+            per = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            h, r = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(per)), per)
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            often = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            place = np.lexsort((h, often, r))
+            h, r = h[place], r[place]
+            pos = np.arange(len(h)) - np.concatenate([[0], np.cumsum(per)])[r]
+            own = pos <= per[r] - -(-t * per[r] // of)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(ids[r[own]]), pa.array(per[r[own]]), pa.array((per[r] - pos)[own])], names=["key", "u", "n", "left"])
+
+    return nodes.select("u", "t").mapInArrow(run, "key long, u long, n long, left long")
+
+
+def near_pairs(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """SET1 over JOIN6: (a, b, jaccard) of all ids a < b whose sets of tokens have a Jaccard of PAIR_THRESHOLD or more.
+
+    Exact, without a cap: two such sets share a token among the first n - ceil(t n) + 1 of each in one
+    global order, commonest last; a key is refused only if what is left from it on cannot reach the
+    threshold, which never holds for a pair's first common key. Equal sets are one node for this
+    and given as pairs again at the end. Tokens are told apart by 64-bit hashes; sets without tokens pair with nothing.
+    """
+    t, of = PAIR_THRESHOLD
+    sets = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))).alias("t"))
+    sets = _checkpoint(sets.filter(F.size("t") > 0).withColumn("node", F.md5(F.to_json("t"))), "sets")
+    members = sets.select("node", "id").distinct()
+    nodes = _checkpoint(sets.groupBy("node").agg(F.min("id").alias("u"), F.first("t").alias("t")), "nodes")
+    common = nodes.select(F.explode("t").alias("k")).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "k").limit(COMMON_MOST).toPandas()  # at most COMMON_MOST rows
+    known, counts = common["k"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
+    by = np.argsort(known)
+    listed = _checkpoint(_postings(nodes, known[by], counts[by]), "postings")
+    a, b = listed.alias("a"), listed.alias("b")
+    fits = (of * F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n")) & ((of + t) * F.least("a.left", "b.left") >= t * (F.col("a.n") + F.col("b.n")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") < F.col("b.u")) & fits).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
+    both = pairs.join(nodes.select("u", F.col("t").alias("ut")), "u").join(nodes.select(F.col("u").alias("v"), F.col("t").alias("vt")), "v")
+    both = both.withColumn("i", F.size(F.array_intersect("ut", "vt"))).withColumn("n", F.size("ut") + F.size("vt") - F.col("i"))
+    links = both.filter(of * F.col("i") >= t * F.col("n")).select("u", "v", (F.col("i") / F.col("n")).alias("jaccard"))
+    of_node = members.join(nodes.select("node", "u"), "node").select("u", "id")
+    x, y = of_node.select("u", F.col("id").alias("x")), of_node.select(F.col("u").alias("v"), F.col("id").alias("y"))
+    apart = links.join(x, "u").join(y, "v").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    same = x.join(y, (F.col("u") == F.col("v")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("jaccard"))
+    return apart.filter("a < b").unionByName(same)

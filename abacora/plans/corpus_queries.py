@@ -55,9 +55,10 @@ def type_priority_rank(spark, sf_dir):
 
 
 def near_dup_pairs_jaccard(spark, sf_dir):
-    """Benchmark items with documents that share tokens: exact token Jaccard over the query set of the items."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return select.retrieve(b, b.select(F.col("query_id").alias("record_id"), "text"), 4).filter("query_id <> record_id").select("query_id", "record_id", F.round("score", 6).alias("score"))
+    """All pairs of documents whose sets of words have a Jaccard of 0.9 or more, each once, smaller id first."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    p = dedup.near_pairs(d, "doc_id", select.retrieval_tokens(F.col("text")))
+    return p.select(F.col("a").alias("query_id"), F.col("b").alias("record_id"), F.round("jaccard", 6).alias("score"))
 
 
 def simhash_bands(spark, sf_dir):
