@@ -6,18 +6,20 @@ of WINDOW template words are hashed and hash-joined with the benchmark's windows
 window form one window of their own length. Windows with fewer than LITERALS ordinary words say
 nothing and are left out of the benchmark's index.
 
-A document leaks an item when at least SHARE of the item's windows are met in it. For items with
-slots the words at the slots are then compared along the best alignment: the leak is `verbatim` if
-all slot words are the item's, `reparameterised` if every item value goes to one value of the
-document, `inconsistent` otherwise (not counted as a leak).
+An alignment is an offset between document and item with the windows met at it. Its slots are
+compared where these windows cover them: it is consistent if every item value goes to one value of
+the document. A document leaks an item when the windows of its consistent alignments are at least SHARE
+of the item's; so a copy after a muddled variant, with words put in or left out, or a part is
+found, and alignments that are not consistent count for nothing. The leak is `verbatim` if all slot words
+of the alignment with most windows are the item's, else `reparameterised`.
 
 DataFrame functions only. The benchmark's windows are broadcast only if they number at most
 BROADCAST_ROWS (they are counted first); a larger benchmark is joined by shuffle.
 
 Edge cases: null or empty texts and items have no windows and are never met; repeated documents and
 items each give their rows once per (doc_id, item_id) pair; null ids are dropped, as a leak could
-not be named; empty tables give no rows; other columns are ignored. Equal alignments are told apart
-by the smallest offset.
+not be named; empty tables give no rows; other columns are ignored. Of equal alignments a verbatim
+one gives the verdict.
 """
 
 from __future__ import annotations
@@ -96,35 +98,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     met = with_windows(docs, id_col, text_col, lengths)
     side = F.broadcast(index) if small else index
     pairs = met.join(side, (met["hash"] == side["hash"]) & (met["length"] == side["len"])).select("id", "item_id", "windows", "place", "at")
-    by_offset = pairs.groupBy("id", "item_id", "windows", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("n"), F.collect_set("at").alias("ats"))
-    cand = by_offset.groupBy(F.col("id").alias("doc_id"), "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.max(F.struct("n", (-F.col("offset")).alias("o"))).alias("best"))
-    cand = cand.filter(F.col("hit") >= SHARE * F.col("windows")).select("doc_id", "item_id", "hit", "windows", (-F.col("best.o")).alias("offset"))
-    slots = item_slots(benchmark)
-    return _with_verdict(cand, slots, docs, id_col, text_col)
+    by_offset = pairs.groupBy("id", "item_id", "windows", (F.col("place") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
+    by_pair = by_offset.groupBy(F.col("id").alias("doc_id"), "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.collect_list(F.struct("offset", "ats")).alias("alignments"))
+    cand = by_pair.filter(F.col("hit") >= SHARE * F.col("windows")).select("doc_id", "item_id", "windows", F.explode("alignments").alias("x")).select("doc_id", "item_id", "windows", "x.offset", "x.ats")
+    return _with_verdict(cand, item_words(benchmark), docs, id_col, text_col)
 
 
-def item_slots(benchmark: DataFrame) -> DataFrame:
-    """item_id, slot, value: the places and words of every item's placeholders."""
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """item_id, own, iw, it, slots: every item's window length, words, template words and number of placeholders."""
     items = benchmark.filter(benchmark["item_id"].isNotNull()).groupBy(benchmark["item_id"].cast("long").alias("item_id")).agg(F.max(benchmark["text"].cast("string")).alias("text"))
-    each = items.select("item_id", F.posexplode(F.arrays_zip(words(F.col("text")).alias("w"), templates(F.col("text")).alias("t"))).alias("slot", "x"))
-    return each.filter(F.col("x.t").isin(NUMBER, NAME, UNIT)).select("item_id", "slot", F.col("x.w").alias("value"))
+    items = items.select("item_id", words(F.col("text")).alias("iw"), templates(F.col("text")).alias("it"))
+    return items.select("item_id", F.least(F.size("it"), F.lit(WINDOW)).alias("own"), "iw", "it", F.size(F.filter("it", _is_slot)).cast("long").alias("slots"))
 
 
-def _with_verdict(cand: DataFrame, slots: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Compares slots; only documents that meet an item with slots are read again."""
-    held = slots.groupBy("item_id").agg(F.count("*").alias("slots"))
-    cand = cand.join(held, "item_id", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
-    if not slots.take(1):
-        return cand.select("doc_id", "item_id", "hit", "windows", F.col("slots").cast("long"), F.lit("verbatim").alias("verdict"))
-    wanted = cand.filter("slots > 0").join(slots, "item_id")
+def _is_slot(t: Column) -> Column:
+    return t.isin(NUMBER, NAME, UNIT)
+
+
+def _with_verdict(cand: DataFrame, items: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Compares the slots that an alignment's met windows cover; only documents that meet an item with slots are read again."""
+    cand = cand.join(items, "item_id")
     texts = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    met = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", words(F.col("text")).alias("w"))
-    each = met.select("doc_id", F.posexplode("w").alias("place", "word"))
-    there = wanted.withColumn("place", F.col("slot") + F.col("offset")).join(each, ["doc_id", "place"], "left")
-    pair = there.groupBy("doc_id", "item_id", "value").agg(F.countDistinct("word").alias("kinds"), F.max((F.col("word").isNull() | (F.col("word") != F.col("value"))).cast("int")).alias("other"))
-    seen = pair.groupBy("doc_id", "item_id").agg(F.max("kinds").alias("kinds"), F.max("other").alias("other"))
-    out = cand.join(seen, ["doc_id", "item_id"], "left").withColumn("verdict", F.when(F.coalesce("other", F.lit(0)) == 0, "verbatim").when(F.col("kinds") <= 1, "reparameterised").otherwise("inconsistent"))
-    return out.filter("verdict <> 'inconsistent'").select("doc_id", "item_id", "hit", "windows", F.col("slots").cast("long"), "verdict")
+    met = texts.join(cand.filter("slots > 0").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", words(F.col("text")).alias("w"))
+    within = lambda a: F.sequence(a, a + F.col("own") - 1)
+    slots = F.filter(F.array_distinct(F.flatten(F.transform("ats", within))), lambda p: _is_slot(F.get("it", p)))
+    there = cand.join(met, "doc_id", "left").withColumn("at_slots", F.transform(slots, lambda p: F.struct(F.get("iw", p).alias("value"), F.coalesce(F.get("w", (p + F.col("offset")).cast("int")), F.lit("")).alias("word"))))
+    kinds = F.size(F.array_distinct(F.transform("at_slots", lambda s: F.concat_ws(" ", s["value"], s["word"]))))
+    consistent = kinds == F.size(F.array_distinct(F.transform("at_slots", lambda s: s["value"])))
+    judged = there.select("doc_id", "item_id", "windows", "slots", "offset", "ats", consistent.alias("consistent"), F.forall("at_slots", lambda s: s["value"] == s["word"]).alias("exact"))
+    good = judged.filter("consistent").groupBy("doc_id", "item_id", "windows", "slots").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.max(F.struct(F.size("ats"), "exact")).alias("best"))
+    out = good.filter(F.col("hit") >= SHARE * F.col("windows")).withColumn("verdict", F.when(F.col("best.exact"), "verbatim").otherwise("reparameterised"))
+    return out.select("doc_id", "item_id", "hit", "windows", "slots", "verdict")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
