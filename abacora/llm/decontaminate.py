@@ -4,7 +4,8 @@ Words are letter runs or numbers; a word gets a typed placeholder when it is a n
 after a number, or a name (capitalised after a word or comma); other words count in lower case. Windows
 of WINDOW template words are hashed and hash-joined with the benchmark's windows. Items shorter than a
 window form one window of their own length. Windows with fewer than LITERALS ordinary words say
-nothing and are left out of the benchmark's index.
+nothing as templates and are left out of the benchmark's index; items without any other window are
+matched by windows of their literal words in lower case instead, so a copy of them is found but no variant.
 
 An alignment is an offset between document and item with the windows met at it. Its slots are
 compared where these windows cover them: it is consistent if every item value goes to one value of
@@ -56,26 +57,26 @@ def templates(text: Column) -> Column:
     return F.array_remove(F.split(out, f"[^\\p{{L}}{NUMBER}{NAME}{UNIT}]+"), "")
 
 
-def with_windows(table: DataFrame, id_col: str, text_col: str, lengths: list[int]) -> DataFrame:
-    """id, length, place, hash: a row per template window."""
-    t = table.filter(table[id_col].isNotNull()).select(table[id_col].cast("long").alias("id"), templates(table[text_col]).alias("t"))
+def with_windows(table: DataFrame, id_col: str, text_col: str, lengths: list[int], literal: bool = False) -> DataFrame:
+    """id, length, place, hash: a row per template window, or per window of the words in lower case if literal."""
+    t = table.filter(table[id_col].isNotNull()).select(table[id_col].cast("long").alias("id"), (F.transform(words(table[text_col]), F.lower) if literal else templates(table[text_col])).alias("t"))
     coded = t.select("id", F.transform("t", lambda x: F.xxhash64(x)).alias("c"))
     out = None
     for n in lengths:
         starts = F.when(F.size("c") >= n, F.sequence(F.lit(1), F.size("c") - (n - 1)))
         # Outer, and no filter on the arrays: Catalyst would copy their definition into such filters, and into the lambda of every element.
-        each = F.posexplode_outer(F.transform(starts, _window(n))).alias("place", "hash")
+        each = F.posexplode_outer(F.transform(starts, _window(n, literal))).alias("place", "hash")
         part = coded.select("id", F.lit(n).alias("length"), each).filter("hash is not null")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _window(n: int):
-    return lambda i: F.xxhash64(F.slice("c", i, n))
+def _window(n: int, literal: bool):
+    return lambda i: F.xxhash64(F.slice("c", i, n), F.lit("literal")) if literal else F.xxhash64(F.slice("c", i, n))
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """item_id, length, place, hash and the item's number of windows, for windows with enough ordinary words; and the window lengths in use."""
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int], list[int]]:
+    """item_id, length, place, hash and the item's number of windows: template windows with enough ordinary words, or literal ones for items without any; and the lengths in use of either kind."""
     items = benchmark.filter(benchmark[id_col].isNotNull()).groupBy(benchmark[id_col].cast("long").alias("item_id")).agg(F.max(benchmark[text_col].cast("string")).alias("text"))
     items = items.select("item_id", "text", F.least(F.size(templates(F.col("text"))), F.lit(WINDOW)).alias("own")).filter("own > 0")
     lengths = sorted(r["own"] for r in items.select("own").distinct().collect())  # WINDOW numbers at most
@@ -84,18 +85,25 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     rich = plain.withColumn("plain", F.sum("plain").over(ahead)).filter(F.col("plain") >= F.least(F.col("own"), F.lit(LITERALS))).select("item_id", "own", F.col("at").alias("place"))
     windows = with_windows(items, "item_id", "text", lengths or [WINDOW]).withColumnRenamed("id", "item_id")
     out = windows.join(rich, ["item_id", "place"]).filter("length = own")
+    poor = items.join(out.select("item_id").distinct(), "item_id", "left_anti")
+    literal = sorted(r["own"] for r in poor.select("own").distinct().collect())  # WINDOW numbers at most
+    if literal:
+        own = with_windows(poor, "item_id", "text", literal, literal=True).withColumnRenamed("id", "item_id").join(poor.select("item_id", "own"), "item_id").filter("length = own")
+        out = out.select("item_id", "length", "place", "hash").unionByName(own.select("item_id", "length", "place", "hash"))
     sums = out.groupBy("item_id").agg(F.count("*").alias("windows"))
-    return out.select("item_id", "length", "place", "hash").join(sums, "item_id"), lengths
+    return out.select("item_id", "length", "place", "hash").join(sums, "item_id"), lengths, literal
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, hit, windows, slots, verdict: every pair of a document and an item that it leaks."""
-    index, lengths = benchmark_windows(benchmark)
+    index, lengths, literal = benchmark_windows(benchmark)
     index = index.withColumnRenamed("place", "at").withColumnRenamed("length", "len")
     if not lengths:
         lengths = [WINDOW]
     small = index.count() <= BROADCAST_ROWS
     met = with_windows(docs, id_col, text_col, lengths)
+    if literal:
+        met = met.unionByName(with_windows(docs, id_col, text_col, literal, literal=True))
     side = F.broadcast(index) if small else index
     pairs = met.join(side, (met["hash"] == side["hash"]) & (met["length"] == side["len"])).select("id", "item_id", "windows", "place", "at")
     by_offset = pairs.groupBy("id", "item_id", "windows", (F.col("place") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
@@ -122,7 +130,7 @@ def _with_verdict(cand: DataFrame, items: DataFrame, docs: DataFrame, id_col: st
     met = texts.join(cand.filter("slots > 0").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", words(F.col("text")).alias("w"))
     within = lambda a: F.sequence(a, a + F.col("own") - 1)
     slots = F.filter(F.array_distinct(F.flatten(F.transform("ats", within))), lambda p: _is_slot(F.get("it", p)))
-    there = cand.join(met, "doc_id", "left").withColumn("at_slots", F.transform(slots, lambda p: F.struct(F.get("iw", p).alias("value"), F.coalesce(F.get("w", (p + F.col("offset")).cast("int")), F.lit("")).alias("word"))))
+    there = cand.join(met, "doc_id", "left").withColumn("at_slots", F.transform(slots, lambda p: F.struct(F.lower(F.get("iw", p)).alias("value"), F.lower(F.coalesce(F.get("w", (p + F.col("offset")).cast("int")), F.lit(""))).alias("word"))))
     kinds = F.size(F.array_distinct(F.transform("at_slots", lambda s: F.concat_ws(" ", s["value"], s["word"]))))
     consistent = kinds == F.size(F.array_distinct(F.transform("at_slots", lambda s: s["value"])))
     judged = there.select("doc_id", "item_id", "windows", "slots", "offset", "ats", consistent.alias("consistent"), F.forall("at_slots", lambda s: s["value"] == s["word"]).alias("exact"))

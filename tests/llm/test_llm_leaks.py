@@ -28,3 +28,9 @@ def test_every_alignment_is_judged_where_it_matches(spark):
     assert {x for x in got if x[1] == 0} >= {(0, 0, "verbatim"), (3, 0, "verbatim")}
     assert {x for x in got if x[1] == 1} >= {(1, 1, "verbatim"), (2, 1, "verbatim")}
     assert not {x for x in got if x[0] in (4, 5)}
+
+
+def test_items_of_few_ordinary_words_are_met_literally(spark):
+    items = ["What is 12 times 7?", "Add 3 5 7 9 11 13 and 15", LONG]
+    texts = ["Tell me: what is 12 times 7? Thanks", "Please add 3 5 7 9 11 13 and 15 now", "What is 13 times 7?", "Add 4 6 7 9 12 13 and 15", LONG]
+    assert found(spark, items, texts) == {(0, 0, "verbatim"), (1, 1, "verbatim"), (4, 2, "verbatim")}
