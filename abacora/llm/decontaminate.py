@@ -4,15 +4,17 @@ Words are letter runs or numbers; a word gets a typed placeholder when it is a n
 after a number, or a name (capitalised after a word or comma); other words count in lower case. Windows
 of WINDOW template words are hashed and hash-joined with the benchmark's windows. Items shorter than a
 window form one window of their own length. Windows with fewer than LITERALS ordinary words say
-nothing as templates and are left out of the benchmark's index; items without any other window are
-matched by windows of their literal words in lower case instead, so a copy of them is found but no variant.
+nothing as templates and are matched by their literal words in lower case instead, so a copy of them is
+found but no variant. They count for the share only in items without any other window.
 
 An alignment is an offset between document and item with the windows met at it. Its slots are
 compared where these windows cover them: it is consistent if every item value goes to one value of
 the document. A document leaks an item when the windows of its consistent alignments are at least SHARE
-of the item's; so a copy after a muddled variant, with words put in or left out, or a part is
-found, and alignments that are not consistent count for nothing. The leak is `verbatim` if all slot words
-of the alignment with most windows are the item's, else `reparameterised`.
+of the item's, or when the windows of a consistent alignment cover RUN words in a row, whatever share of
+the item that is. So a copy after a muddled variant, with words put in or left out, or a part is found. Of
+an alignment that is not consistent only windows with the item's own words count, and only in a row. The
+leak is `verbatim` if all slot words of the alignment with most windows are the item's, else
+`reparameterised`.
 
 DataFrame functions only. The benchmark's windows are broadcast only if they number at most
 BROADCAST_ROWS (they are counted first); a larger benchmark is joined by shuffle.
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 WINDOW = 8
 LITERALS = 4
 SHARE = 0.5
+#: Words of an item in a row that are a leak, however long the item is.
+RUN = 13
 BROADCAST_ROWS = 500_000
 #: Units that become placeholders after a number.
 UNITS = (
@@ -76,7 +80,7 @@ def _window(n: int, literal: bool):
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int], list[int]]:
-    """item_id, length, place, hash and the item's number of windows: template windows with enough ordinary words, or literal ones for items without any; and the lengths in use of either kind."""
+    """item_id, length, place, hash and the item's number of windows: template windows with enough ordinary words and literal ones where there are too few; whether the window counts for the share (literal ones only if the item has no other); and the lengths in use of either kind."""
     items = benchmark.filter(benchmark[id_col].isNotNull()).groupBy(benchmark[id_col].cast("long").alias("item_id")).agg(F.max(benchmark[text_col].cast("string")).alias("text"))
     items = items.select("item_id", "text", F.least(F.size(templates(F.col("text"))), F.lit(WINDOW)).alias("own")).filter("own > 0")
     lengths = sorted(r["own"] for r in items.select("own").distinct().collect())  # WINDOW numbers at most
@@ -84,14 +88,19 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     ahead = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, WINDOW - 1)
     rich = plain.withColumn("plain", F.sum("plain").over(ahead)).filter(F.col("plain") >= F.least(F.col("own"), F.lit(LITERALS))).select("item_id", "own", F.col("at").alias("place"))
     windows = with_windows(items, "item_id", "text", lengths or [WINDOW]).withColumnRenamed("id", "item_id")
-    out = windows.join(rich, ["item_id", "place"]).filter("length = own")
-    poor = items.join(out.select("item_id").distinct(), "item_id", "left_anti")
-    literal = sorted(r["own"] for r in poor.select("own").distinct().collect())  # WINDOW numbers at most
+    cols = ["item_id", "length", "place", "hash"]
+    own = windows.join(items.select("item_id", "own"), "item_id").filter("length = own").select(*cols)
+    out = windows.join(rich, ["item_id", "place"]).filter("length = own").select(*cols)
+    poor = own.select("item_id", "length", "place").join(rich.select("item_id", "place"), ["item_id", "place"], "left_anti")
+    literal = sorted(r["length"] for r in poor.select("length").distinct().collect())  # WINDOW numbers at most
+    sums = out.groupBy("item_id").agg(F.count("*").alias("rich"))
+    out = out.withColumn("literal", F.lit(False))
     if literal:
-        own = with_windows(poor, "item_id", "text", literal, literal=True).withColumnRenamed("id", "item_id").join(poor.select("item_id", "own"), "item_id").filter("length = own")
-        out = out.select("item_id", "length", "place", "hash").unionByName(own.select("item_id", "length", "place", "hash"))
-    sums = out.groupBy("item_id").agg(F.count("*").alias("windows"))
-    return out.select("item_id", "length", "place", "hash").join(sums, "item_id"), lengths, literal
+        words_of = with_windows(items, "item_id", "text", literal, literal=True).withColumnRenamed("id", "item_id")
+        out = out.unionByName(words_of.join(poor, ["item_id", "length", "place"]).select(*cols).withColumn("literal", F.lit(True)))
+    total = out.groupBy("item_id").agg(F.count("*").alias("all"))
+    counted = out.join(total.join(sums, "item_id", "left"), "item_id")
+    return counted.select(*cols, F.coalesce("rich", "all").alias("windows"), (~F.col("literal") | F.col("rich").isNull()).alias("counts")), lengths, literal
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,13 +114,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     if literal:
         met = met.unionByName(with_windows(docs, id_col, text_col, literal, literal=True))
     side = F.broadcast(index) if small else index
-    pairs = met.join(side, (met["hash"] == side["hash"]) & (met["length"] == side["len"])).select("id", "item_id", "windows", "place", "at")
-    by_offset = pairs.groupBy("id", "item_id", "windows", (F.col("place") - F.col("at")).alias("offset")).agg(F.collect_set("at").alias("ats"))
-    by_pair = by_offset.groupBy(F.col("id").alias("doc_id"), "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.collect_list(F.struct("offset", "ats")).alias("alignments"))
-    cand = by_pair.filter(F.col("hit") >= SHARE * F.col("windows")).select("doc_id", "item_id", "windows", F.explode("alignments").alias("x")).select("doc_id", "item_id", "windows", "x.offset", "x.ats")
+    pairs = met.join(side, (met["hash"] == side["hash"]) & (met["length"] == side["len"])).select("id", "item_id", "windows", "counts", "len", "place", "at")
+    by_offset = pairs.groupBy("id", "item_id", "windows", (F.col("place") - F.col("at")).alias("offset")).agg(F.array_sort(F.collect_set("at")).alias("ats"), F.collect_set(F.when(F.col("counts"), F.col("at"))).alias("own_ats"), F.max("len").alias("len"))
+    by_offset = by_offset.withColumn("run", _run(F.col("ats"), F.col("len")))
+    by_pair = by_offset.groupBy(F.col("id").alias("doc_id"), "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("own_ats")))).alias("hit"), F.max("run").alias("run"), F.collect_list(F.struct("offset", "ats", "own_ats")).alias("alignments"))
+    cand = by_pair.filter((F.col("hit") >= SHARE * F.col("windows")) | (F.col("run") >= RUN)).select("doc_id", "item_id", "windows", F.explode("alignments").alias("x")).select("doc_id", "item_id", "windows", "x.offset", "x.ats", "x.own_ats")
     return _with_verdict(cand, item_words(benchmark), docs, id_col, text_col)
 
 
+def _run(ats: Column, own: Column) -> Column:
+    """The most words in a row that windows at these sorted places cover."""
+
+    def step(so_far: Column, at: Column) -> Column:
+        start = F.when(at <= so_far["end"], so_far["start"]).otherwise(at)
+        return F.struct(start.alias("start"), (at + own).alias("end"), F.greatest(so_far["most"], at + own - start).alias("most"))
+
+    return F.aggregate(ats, F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("most")), step, lambda x: x["most"])
+
+
 def item_words(benchmark: DataFrame) -> DataFrame:
     """item_id, own, iw, it, slots: every item's window length, words, template words and number of placeholders."""
     items = benchmark.filter(benchmark["item_id"].isNotNull()).groupBy(benchmark["item_id"].cast("long").alias("item_id")).agg(F.max(benchmark["text"].cast("string")).alias("text"))
@@ -133,9 +153,14 @@ def _with_verdict(cand: DataFrame, items: DataFrame, docs: DataFrame, id_col: st
     there = cand.join(met, "doc_id", "left").withColumn("at_slots", F.transform(slots, lambda p: F.struct(F.lower(F.get("iw", p)).alias("value"), F.lower(F.coalesce(F.get("w", (p + F.col("offset")).cast("int")), F.lit(""))).alias("word"))))
     kinds = F.size(F.array_distinct(F.transform("at_slots", lambda s: F.concat_ws(" ", s["value"], s["word"]))))
     consistent = kinds == F.size(F.array_distinct(F.transform("at_slots", lambda s: s["value"])))
-    judged = there.select("doc_id", "item_id", "windows", "slots", "offset", "ats", consistent.alias("consistent"), F.forall("at_slots", lambda s: s["value"] == s["word"]).alias("exact"))
-    good = judged.filter("consistent").groupBy("doc_id", "item_id", "windows", "slots").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.max(F.struct(F.size("ats"), "exact")).alias("best"))
-    out = good.filter(F.col("hit") >= SHARE * F.col("windows")).withColumn("verdict", F.when(F.col("best.exact"), "verbatim").otherwise("reparameterised"))
+    same = lambda p: ~_is_slot(F.get("it", p)) | (F.lower(F.get("iw", p)) == F.lower(F.coalesce(F.get("w", (p + F.col("offset")).cast("int")), F.lit(""))))
+    equal = F.filter("ats", lambda a: F.forall(within(a), same))
+    judged = there.select("doc_id", "item_id", "windows", "slots", "own", "ats", "own_ats", consistent.alias("consistent"), F.forall("at_slots", lambda s: s["value"] == s["word"]).alias("exact"), equal.alias("equal"))
+    # Without consistency only the windows whose words are the item's count, and only in a row.
+    judged = judged.withColumn("run", _run(F.when(F.col("consistent"), F.col("ats")).otherwise(F.col("equal")), F.col("own"))).withColumn("own_ats", F.when(F.col("consistent"), F.col("own_ats")).otherwise(F.array().cast("array<int>")))
+    best = F.struct("consistent", F.size("ats").alias("n"), (F.col("exact") | ~F.col("consistent")).alias("exact"))
+    good = judged.groupBy("doc_id", "item_id", "windows", "slots").agg(F.size(F.array_distinct(F.flatten(F.collect_list("own_ats")))).alias("hit"), F.max("run").alias("run"), F.max(best).alias("best"))
+    out = good.filter((F.col("hit") >= SHARE * F.col("windows")) | (F.col("run") >= RUN)).withColumn("verdict", F.when(F.col("best.exact"), "verbatim").otherwise("reparameterised"))
     return out.select("doc_id", "item_id", "hit", "windows", "slots", "verdict")
 
 

@@ -34,3 +34,17 @@ def test_items_of_few_ordinary_words_are_met_literally(spark):
     items = ["What is 12 times 7?", "Add 3 5 7 9 11 13 and 15", LONG]
     texts = ["Tell me: what is 12 times 7? Thanks", "Please add 3 5 7 9 11 13 and 15 now", "What is 13 times 7?", "Add 4 6 7 9 12 13 and 15", LONG]
     assert found(spark, items, texts) == {(0, 0, "verbatim"), (1, 1, "verbatim"), (4, 2, "verbatim")}
+
+
+def test_long_passages_of_longer_items_are_leaks(spark):
+    words = [a + b for a in ("ka", "mo", "ri", "tu", "se") for b in (x + y for x in "bdfglmnprst" for y in "aeiou")][:200]
+    item = " ".join(words)
+    texts = ["so " + " ".join(words[40:140]) + " it", " ".join(words[60:73]), " ".join(words[60:72]), " ".join(reversed(words))]
+    assert found(spark, [item], texts) == {(0, 0, "verbatim"), (1, 0, "verbatim")}
+
+
+def test_runs_of_numbers_and_of_muddled_copies(spark):
+    numbers = " ".join(str(i * i) for i in range(40))
+    item = ITEM + " " + numbers + " " + " ".join(f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(80))
+    muddled = "If Bob Jones has 7 kg of apples and buys 31 more, how many kg does Carl have now?"
+    assert found(spark, [item], ["see " + " ".join(numbers.split()[5:30]), muddled + " " + numbers, muddled]) == {(0, 0, "verbatim"), (1, 0, "verbatim")}
