@@ -1,6 +1,6 @@
 """License scans by canonical digest: whole texts against known licence texts.
 
-A text is brought to a canonical form: lower case; copyright lines dropped; equivalent spellings
+A text is brought to a canonical form: lower case; copyright notices dropped; equivalent spellings
 made one; every run of other than letters and digits one blank. Its SHA-256 is joined with the
 digests of the known texts, canonicalised by the same expression. The result has a row per
 document: its digest, the number of canonical characters, and the licence or null.
@@ -33,13 +33,16 @@ KNOWN = (
 )
 #: Equivalent spellings, (pattern, what stands for it), in this order.
 SPELLINGS = (("licen[cs]e", "license"), ("sub[ -]license", "sublicense"), ("acknowledgement", "acknowledgment"), ("non-?infringement", "noninfringement"), ("per cent", "percent"), ("owners?'?s? of the copyright|copyright owner", "copyright holder"), ("merchantibility", "merchantability"))
-#: Whole lines that begin with a copyright mark, possibly after comment signs.
+#: Copyright notices at the start of a line, possibly after comment signs: a mark or a year has to follow. They end with the line, or before a licence or a longer sentence on the same line.
+_OPENING = "|".join(x.replace(" ", r"\s+") for x in ("permission is", "permission to use", "redistribution and use", "this software is", "licensed under", "released under", "this work is", "everyone is permitted"))
+NOTICE = rf"(?im)^[^\p{{L}}\p{{N}}\n©]*(?:©|copyright\s*(?:\(c\)|©|&copy;)|(?:copyright\b|\(c\))[^\n]{{0,80}}?\b(?:19|20)[0-9]{{2}}\b)(?:[^\n]*?(?={_OPENING})|[^\n]*?\.(?= \p{{Lu}}[^\n]{{80}})|[^\n]*$)|^[^\p{{L}}\p{{N}}\n]*all rights reserved\b"
+#: The SQL's rule, which takes whole lines.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), COPYRIGHT_LINE, " ")
+    out = F.lower(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), NOTICE, " "))
     for pattern, one in SPELLINGS:
         out = F.regexp_replace(out, pattern, one)
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
