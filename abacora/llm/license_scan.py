@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS
+
 #: Known texts (whole short licences and notices), by SPDX identifier.
 KNOWN = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -31,6 +33,21 @@ KNOWN = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
+_BSD3 = KNOWN[4][1].replace(" THIS SOFTWARE IS", " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS", 1)
+_BARE = lambda body: body.replace(": 1. ", ": ").replace(" 2. ", " ").replace(" 3. ", " ")
+#: The standard titles of the short licences.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+}
+#: Whole short licences, with and without numbers before their clauses.
+BODIES = (*KNOWN[:5], ("BSD-2-Clause", _BARE(KNOWN[4][1])), ("BSD-3-Clause", _BSD3), ("BSD-3-Clause", _BARE(_BSD3)))
+#: What scan() knows by text: KNOWN, the other bodies, and all bodies under their titles.
+TEXTS = (*KNOWN, *BODIES[5:], *((i, f"{title}\n{body}") for i, body in BODIES for title in TITLES[i]))
 #: Equivalent spellings, (pattern, what stands for it), in this order.
 SPELLINGS = (("licen[cs]e", "license"), ("sub[ -]license", "sublicense"), ("acknowledgement", "acknowledgment"), ("non-?infringement", "noninfringement"), ("per cent", "percent"), ("owners?'?s? of the copyright|copyright owner", "copyright holder"), ("merchantibility", "merchantability"))
 #: Copyright notices at the start of a line, possibly after comment signs: a mark or a year has to follow. They end with the line, or before a licence or a longer sentence on the same line.
@@ -48,10 +65,13 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
 
 
-def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license_id, canonical_chars, canonical_sha256."""
     spark = docs.sparkSession
-    table = spark.createDataFrame(list(known), "license_id string, body string").select("license_id", F.sha2(canonical(F.col("body")), 256).alias("known_sha256")).groupBy("known_sha256").agg(F.min("license_id").alias("license_id"))
+    table = spark.createDataFrame(list(known), "license_id string, body string").select("license_id", F.sha2(canonical(F.col("body")), 256).alias("known_sha256"))
+    if known is TEXTS:
+        table = table.unionByName(spark.createDataFrame(list(DIGESTS), "license_id string, known_sha256 string"))
+    table = table.groupBy("known_sha256").agg(F.min("license_id").alias("license_id"))
     seen = docs.select(docs[id_col].cast("long").alias("doc_id"), canonical(docs[text_col]).alias("c")).select("doc_id", F.length("c").cast("long").alias("canonical_chars"), F.sha2("c", 256).alias("canonical_sha256"))
     return seen.join(F.broadcast(table), (F.col("canonical_sha256") == F.col("known_sha256")) & (F.col("canonical_chars") > 0), "left").select("doc_id", "license_id", "canonical_chars", "canonical_sha256")
 

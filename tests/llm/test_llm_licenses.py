@@ -1,6 +1,7 @@
 """Licences at other line widths, with titles, and the longer texts."""
 
 import textwrap
+from pathlib import Path
 
 from abacora.llm import license_scan
 
@@ -17,3 +18,9 @@ def test_line_width_does_not_matter(spark):
     texts += [("Copyright (c) 2020 A. Smith. " + b, i) for i, b in bodies] + [("Copyright 2019 A. All rights reserved.\n" + b, i) for i, b in bodies]
     texts += [(textwrap.fill("Copyright (c) 2020 A. " + b, 60), i) for i, b in bodies]
     assert ids(spark, [t for t, _ in texts]) == [i for _, i in texts]
+
+
+def test_titles_and_other_bodies(spark):
+    texts = [(f"{title}\n\nCopyright (c) 2020 A\n\n{body}", i) for i, body in license_scan.BODIES for title in license_scan.TITLES[i]] + [(b, i) for i, b in license_scan.BODIES]
+    texts += [(Path(f"/usr/share/common-licenses/{f}").read_text(), i) for f, i in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if Path(f"/usr/share/common-licenses/{f}").exists()]
+    assert ids(spark, [t for t, _ in texts] + ["MIT License", texts[0][0] + " more"]) == [i for _, i in texts] + [None, None]
