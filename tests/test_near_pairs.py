@@ -27,3 +27,11 @@ def test_near_dup_pairs_equal_brute_force(spark, tmp_path):
     assert len(got) == len(wanted) and {(r["query_id"], r["record_id"]) for r in got} == wanted
     assert all(abs(r["score"] - len(sets[r["query_id"]] & sets[r["record_id"]]) / len(sets[r["query_id"]] | sets[r["record_id"]])) < 1e-6 for r in got)
     assert len(texts) - 1 in {j for _, j in wanted}  # 9 of 10: the border is in
+
+
+def test_simhash_bands_read_documents(spark, tmp_path):
+    texts = ["two apples and 3 pears", "two apples and 3 pears", "something else 7", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["band"]): (r["sig"], r["value"]) for r in corpus_queries.simhash_bands(spark, str(tmp_path)).collect()}
+    assert len(got) == 4 * len(texts) and all(got[0, b] == got[1, b] for b in range(4)) and got[0, 0][0] != got[2, 0][0]
+    assert all(value == sig >> 16 * band & 0xFFFF for (_, band), (sig, value) in got.items())
