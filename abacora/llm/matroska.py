@@ -1,7 +1,9 @@
 """Media columns as Matroska: payloads stored as 8-bit samples, read back from packet tables.
 
 mux() lays a payload into one file: EBML header, segment info, one 8-bit PCM track, clusters of
-laced simple blocks and cues. parse() reads any such file by its variable-length elements: unknown
+laced simple blocks and cues. parse() reads files as mux() writes them, clusters of known size and frames
+of FRAME_MS (in a file with clusters of unknown size packets after the first one are missed, and
+DefaultDuration is not read), by their variable-length elements: unknown
 elements are skipped by their size, clusters and blocks (simple or grouped) are walked, Xiph, EBML
 and fixed-size lacing are resolved, and every frame becomes a packet with track, timestamp and byte
 range; cues become (time, track, cluster position). The payload is the packets' ranges in order.
