@@ -9,8 +9,12 @@ Training reads at most about SAMPLE_ROWS labelled rows (a documented bound: rows
 language by a hash of the id, at a rate that makes the expected number at most SAMPLE_ROWS for
 each language); every other count covers all rows.
 
+As a filter the operator keeps a text whose best language's corrected share is at least EVIDENCE of
+what that language's own training text reaches; a text in a language that nothing was learned of, or in
+none, is rejected.
+
 Edge cases: text null or without a letter gives 'und' and score 0. A text with letters none of
-whose grams is known gets the first language and score 0. Labels that are null are not learned.
+whose grams is known gets the first language and score 0. Very long texts are read block by block. Labels that are null are not learned.
 Ties go to the alphabetically first language. Rows repeat as given; an
 empty training set gives the empty language to texts with letters; other columns are not looked at.
 """
@@ -38,6 +42,12 @@ GRAMS_PER_LANGUAGE = 40_000
 SHARE = 0.4
 HASHES = 3
 SLOT_BITS = 20
+#: A text whose best share is below this part of its language's own is in no known language.
+EVIDENCE = 0.1
+#: Text bytes whose grams are looked up at once.
+BLOCK_BYTES = 1 << 18
+#: Text bytes that are lowered at once.
+TEXT_BYTES = 1 << 20
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -51,18 +61,25 @@ def _lowered(column: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(edge, text, edge, pa.scalar("", pa.large_string()))
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed GRAM-byte grams that lie within a row, and their rows. White space, digits and ASCII signs count as one blank."""
-    n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    bytes_ = _FOLD[data].astype(np.uint64)
-    packed = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        packed |= bytes_[i : i + n] << np.uint64(8 * i)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = rows[:n] == rows[GRAM - 1 :]
-    return packed[inside], rows[:n][inside]
+def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Packed GRAM-byte grams that lie within a row, and their rows, of every block. White space, digits and ASCII signs count as one blank."""
+    last = len(data) - GRAM + 1
+    for a in range(0, last, BLOCK_BYTES):
+        n = min(BLOCK_BYTES, last - a)
+        part = _FOLD[data[a : a + n + GRAM - 1]]
+        packed = np.zeros(n, np.uint64)
+        for i in range(GRAM):
+            packed |= part[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+        rows = np.searchsorted(offsets, np.arange(a, a + n + GRAM - 1), "right") - 1
+        inside = rows[:n] == rows[GRAM - 1 :]
+        yield packed[inside], rows[:n][inside]
+
+
+def _lowered_parts(column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, end row, lowered texts) of consecutive rows of about TEXT_BYTES."""
+    _, offsets = text_buffers(column)
+    for i, j, _, _ in chunks(np.zeros(0, np.uint8), offsets, TEXT_BYTES):
+        yield i, j, _lowered(column[i:j])
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -85,16 +102,17 @@ class LanguageFilters:
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Grams of each row, and by row and language how many of them that language's filter holds."""
         rows_n = len(offsets) - 1
-        grams, rows = _grams(data, offsets)
-        totals, out = np.bincount(rows, minlength=rows_n), np.zeros((rows_n, len(self.languages)))
-        slots = _slots(grams)
-        for word in range(self.masks.shape[1]):
-            mask = self.masks[slots[0], word]
-            for s in slots[1:]:
-                mask &= self.masks[s, word]
-            for bit in range(min(64, len(self.languages) - 64 * word)):
-                found = (mask >> np.uint64(bit)) & np.uint64(1) != 0
-                out[:, 64 * word + bit] = np.bincount(rows[found], minlength=rows_n)
+        totals, out = np.zeros(rows_n, np.int64), np.zeros((rows_n, len(self.languages)))
+        for grams, rows in _grams(data, offsets):
+            totals += np.bincount(rows, minlength=rows_n)
+            slots = _slots(grams)
+            for word in range(self.masks.shape[1]):
+                mask = self.masks[slots[0], word]
+                for s in slots[1:]:
+                    mask &= self.masks[s, word]
+                for bit in range(min(64, len(self.languages) - 64 * word)):
+                    found = (mask >> np.uint64(bit)) & np.uint64(1) != 0
+                    out[:, 64 * word + bit] += np.bincount(rows[found], minlength=rows_n)
         return totals, out
 
     def shares(self, totals: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -116,9 +134,10 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", id_col: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            data, offsets = text_buffers(_lowered(batch.column(1)))
-            for i, j, d, o in chunks(data, offsets):
-                grams, rows = _grams(d, o)
+            for i, j, lower in _lowered_parts(batch.column(1)):
+                data, offsets = text_buffers(lower)
+                parts = list(_grams(data, offsets))
+                grams, rows = (np.concatenate([p[k] for p in parts]) for k in range(2))
                 for lang in set(langs[i:j]):
                     found, n = np.unique(grams[(langs[i:j] == lang)[rows]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
@@ -144,21 +163,21 @@ def build(langs: np.ndarray, grams: np.ndarray, rates: np.ndarray) -> LanguageFi
     return LanguageFilters(names, masks, filled**HASHES, own)
 
 
-def decide(texts: pa.Array, f: LanguageFilters) -> tuple[list[str], list[float]]:
-    """Language and score of each text. Without any learned language a text with letters has the empty language."""
-    lower = _lowered(texts)
-    data, offsets = text_buffers(lower)
+def decide(texts: pa.Array, f: LanguageFilters) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and evidence (the best corrected share) of each text. Without any learned language a text with letters has the empty language."""
     best: list[str] = []
     score: list[float] = []
+    evidence: list[float] = []
     names = f.languages or [""]
-    for i, j, d, o in chunks(data, offsets):
-        shares = f.shares(*f.hits(d, o)) if f.languages else np.zeros((j - i, 1))
+    for i, j, lower in _lowered_parts(texts):
+        shares = f.shares(*f.hits(*text_buffers(lower))) if f.languages else np.zeros((j - i, 1))
         top, total = shares.argmax(1), shares.sum(1)
         for r in range(j - i):
-            letters = _LETTER.search(lower[i + r].as_py()) is not None
+            letters = _LETTER.search(lower[r].as_py()) is not None
             best.append(names[top[r]] if letters else UNDETERMINED)
             score.append(float(min(1.0, shares[r, top[r]] / total[r])) if letters and total[r] > 0 else 0.0)
-    return best, score
+            evidence.append(float(shares[r, top[r]]) if letters else 0.0)
+    return best, score, evidence
 
 
 def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +186,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = decide(batch.column(1), shared.value)
+            best, score, _ = decide(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, PREDICTED)
@@ -178,14 +197,22 @@ def identify(docs: DataFrame, usable: Column) -> DataFrame:
     return predict(docs, train(docs, usable))
 
 
-def keep_identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has a language; a text is rejected if it is null or has no letter."""
+def keep_identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a learned language.
+
+    A text is rejected if it is null, has no letter, or reaches less than `evidence` of its best language's
+    own share. Where nothing could be learned, only texts without a letter are rejected.
+    """
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
         for batch in batches:
-            found, _ = decide(batch.column(at), shared.value)
-            yield batch.filter(pa.array([x != UNDETERMINED for x in found], pa.bool_()))
+            texts = batch.column(at)
+            for i, j, _, _ in chunks(np.zeros(0, np.uint8), text_buffers(texts)[1], 4 * TEXT_BYTES):
+                found, _, share = decide(texts[i:j], f)
+                keep = [x != UNDETERMINED and (not f.languages or e >= evidence) for x, e in zip(found, share)]
+                yield batch.slice(i, j - i).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
