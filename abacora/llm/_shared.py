@@ -26,9 +26,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is configured (tests)."""
+    """The shared folder the cluster names; a temporary one only where none is configured and all runs on one machine (tests)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="abacora-")
@@ -57,7 +59,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with shuffle_cleanup(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what materialize() wrote; the tables must not be read any more."""
+    for df in tables:
+        if df is not None:
+            remove(df.sparkSession, df.scratch)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever storage it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

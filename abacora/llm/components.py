@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import discard, materialize
 
 
 def spanning(edges: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         near = large.join(low, F.col("u") == F.col("k"))
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        e = materialize(small, "cc")
+        old, e = e, materialize(small, "cc")
+        discard(old)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == seen or not now["n"]:
             break

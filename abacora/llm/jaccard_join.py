@@ -2,27 +2,30 @@
 
 A document's set holds its distinct shingles of SHINGLE lower-cased (A-Z) words. Equal sets are one
 node, named by a 128-bit digest, so copies cost no pairs. Shingles get one global order, those that
-repeat within parts of the corpus last (by their summed counts), else by hash; any order is exact, this one
-keeps common passages out of the keys.
+repeat within parts of the corpus last (by a sketch of their summed counts that has the same size for any
+corpus), else by hash; any order is exact, this one keeps common passages out of the keys.
 
 For a threshold t two linked sets of n shingles share at least ceil(t n). So among its first
 n - ceil(t n) + k shingles each of the two has k in common. Heavy sets put their first
 n - ceil(t n) + 1 shingles into inverted lists (k = 1). Light sets, of at most `boundary`
 shingles, enumerate all 2-subsets of their first n - ceil(t n) + 2 as keys; those that a heavy set
-can link with are in the lists too. The boundary is the largest size up to which enumerating costs
-no more than scanning, by the sizes and counts found in the corpus.
+can link with are in the lists too. The boundary is the one of least cost over the corpus' sizes.
 
 A list gives a pair only if what either set has left from that key on can still reach the threshold
-(the pair's first common key always passes). A list of at most LIST nodes gives all such pairs. Of a longer list each node is paired
-with a hub of fitting size; when these pairs are verified and their components known, the list's
-nodes that are still in different components are paired too. So no link between
-components is lost, and a large group of mutual near copies costs a pair per node. Pairs are made
-distinct and verified on the whole texts.
+(the pair's first common key always passes). A list of at most LIST nodes gives all such pairs. From longer
+lists, which may be spread over several tasks by a salt, every node is paired with one hub: that which most
+of its lists name. These pairs are verified and components built; lists whose nodes are by then in one
+component are done. A further round chooses other hubs for the rest; lists that stay open give all pairs
+of different components, in blocks of BLOCK nodes, but for those that the bitmaps of their sets rule out: a
+bucket that only one of the sets has holds a shingle that is not shared. So no link between components is
+lost, and a large group of mutual near copies costs about a pair per node. Pairs are verified on the whole
+texts.
 
 Edge cases: null text or none but separators: empty set, linked with nothing, its own component;
 fewer than SHINGLE words: the whole sequence is one shingle; rows without doc_id get the component
 of the equal sets (null if there are none) and link nothing else; repeated rows repeat in the
-result; doc_id is expected to name one text (rows that repeat it wholly are fine); other columns are ignored.
+result; doc_id is expected to name one text (rows that repeat it wholly are fine); other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,21 +37,36 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, hash_words, materialize, mix, scan_words, text_buffers, window_hashes
+from ._shared import chunks, discard, hash_words, materialize, mix, scan_words, text_buffers, window_hashes
 from .components import connected_components, spanning
 
 SHINGLE = 5
 #: The threshold as a fraction of integers, so that the border is exact.
 THRESHOLD = (75, 100)
-LIST = 48
+LIST = 16
 LIGHT_MOST = 64
-#: Shingles ordered last by count; others are ordered by hash.
-COMMON_MOST = 250_000
+#: The sketch of shingle counts has 2 ** SKETCH_BITS levels of a byte each, whatever the corpus.
+SKETCH_BITS = 22
+_SKETCH_BLOCK = 16
+#: A key that is met more often is spread over about count / HOT sublists; a hub over as many tasks.
+HOT = 1024
+#: Rounds in which the nodes of lists are paired with a hub, before all pairs of those still open are made.
+ROUNDS = 2
+#: Words of 64 buckets in a set's bitmap.
+BITMAP = 16
+#: Nodes of one block of an open list.
+BLOCK = 1024
+#: Tasks over which open lists of the same components are dealt.
+SPREAD = 32
+#: Hot classes of equal sets are broadcast up to this many.
+BROADCAST_ROWS = 100_000
+#: Text bytes worked on at once.
+PIECE = 1 << 20
 #: Text bytes over which repeats of a shingle are counted at once.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 8 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,18 +104,28 @@ def digests(h: np.ndarray, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return mix(out[0]), mix(out[1])
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 @dataclass
 class Order:
-    """Common shingles, sorted, and their counts."""
+    """Levels (twice the logarithm) of the counts of shingles, by bucket."""
+
+    levels: np.ndarray
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        return self.levels[_bucket(h)]
+
+
+def sublists(level: np.ndarray) -> np.ndarray:
+    """Into how many sublists keys of such counts are spread; 0: none."""
+    count = np.exp2(level.astype(np.float64) / 2)
+    return np.where(count > HOT, np.minimum(count // HOT + 1, 1 << 20), 0).astype(np.uint64)
 
-    shingles: np.ndarray
-    counts: np.ndarray
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.shingles, h), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == h, self.counts[at], 0)
+def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
 def _spare(n: np.ndarray | int, threshold=THRESHOLD):
@@ -106,37 +134,45 @@ def _spare(n: np.ndarray | int, threshold=THRESHOLD):
     return n - -(-t * n // of)
 
 
-def choose_boundary(mean_list: float, threshold=THRESHOLD) -> int:
-    """The largest size up to which 2-subsets cost no more than list entries and the pairs they make."""
-    best = 0
-    for n in range(2, LIGHT_MOST + 1):
-        p = _spare(n, threshold)
-        if p + 2 > n or comb(p + 2, 2) > (p + 1) * (1 + mean_list * (p + 1) / n):
-            break
-        best = n
-    return best
+def choose_boundary(sizes: dict[int, int], mean_list: float, threshold=THRESHOLD) -> int:
+    """The boundary of least cost for sets of these sizes: 2-subsets against list entries and the pairs that they make."""
+    t, of = threshold
+
+    def cost(boundary: int) -> float:
+        total = 0.0
+        for n, sets in sizes.items():
+            p = _spare(n, threshold)
+            if 2 <= n <= boundary:
+                total += sets * comb(min(n, p + 2), 2)
+            if n > boundary or of * n > t * boundary:
+                total += sets * (p + 1) * (1 + mean_list * (p + 1) / max(n, 1))
+        return total
+
+    return min([0, *range(2, LIGHT_MOST + 1)], key=cost)
 
 
-def keys(h: np.ndarray, r: np.ndarray, per: np.ndarray, order: Order, boundary: int, threshold=THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Join keys, their rows, and how many shingles a set can at most share with one whose first common key this is."""
-    counts = order.count(h)
-    place = np.lexsort((h, counts, r))
-    h, r = h[place], r[place]
+def keys(h: np.ndarray, r: np.ndarray, per: np.ndarray, order: Order, boundary: int, threshold=THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys, their rows, how many shingles a set can at most share with one whose first common key this is, and the key's level."""
+    level = order.level(h)
+    place = np.lexsort((h, level, r))
+    h, r, level = h[place], r[place], level[place]
     first = np.concatenate([[0], np.cumsum(per)])
     pos, size = np.arange(len(h)) - first[r], per[r]
     t, of = threshold
     single = (pos <= _spare(size, threshold)) & ((size > boundary) | (of * size > t * boundary))
-    out, rows, left = [h[single]], [r[single]], [(size - pos)[single]]
+    out, rows, left, levels = [h[single]], [r[single]], [(size - pos)[single]], [level[single]]
     for n in range(2, boundary + 1):
         own = np.flatnonzero(per == n)
         p = min(n, _spare(n, threshold) + 2)
         if len(own):
-            block = h[first[own][:, None] + np.arange(p)]
+            at = first[own][:, None] + np.arange(p)
+            block, known = h[at], level[at]
             i, j = np.triu_indices(p, 1)
             out.append(mix(block[:, i] * np.uint64(0x9FB21C651E98DF25) + block[:, j]).ravel())
             rows.append(np.repeat(own, len(i)))
             left.append(np.tile(n - j + 1, len(own)))
-    return np.concatenate(out), np.concatenate(rows), np.concatenate(left)
+            levels.append(np.minimum(known[:, i], known[:, j]).ravel())
+    return np.concatenate(out), np.concatenate(rows), np.concatenate(left), np.concatenate(levels)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -148,28 +184,26 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """kind 0: a row per document (a doc_id, b and c the set's name, n its size). kind 1: shingles that repeat within COUNT_BYTES of texts (a, n)."""
+    """kind 0: a row per document (a doc_id, b and c the set's name, n its size). kind 1: of shingles that repeat within COUNT_BYTES of texts, by bucket (a): sum n of their counts, b of the squares."""
 
     names = ["kind", "a", "b", "c", "n"]
 
     def repeats(parts: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(parts), return_counts=True)
         found, n = found[n > 1], n[n > 1]
-        none = pa.nulls(len(found), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int8)), _long(found), none, none, _long(n)], names=names)
+        at, which = np.unique(_bucket(found), return_inverse=True)
+        total, squares = (np.bincount(which, w, len(at)).astype(np.int64) for w in (n, n.astype(np.float64) ** 2))
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(squares), pa.nulls(len(at), pa.int64()), pa.array(total)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j, d, o in chunks(data, offsets):
+            for i, j, d, o in chunks(data, offsets, PIECE):
                 h, r, per = shingle_sets(d, o)
                 one, two = digests(h, r, j - i)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0)[i:j], _long(one), _long(two), _long(per)], names=names)
-                _, single = np.unique(one, return_index=True)  # copies are one set
-                keep = np.zeros(j - i, bool)
-                keep[single] = True
-                parts.append(h[keep[r]])
+                parts.append(h[_single(one)[r]])
                 held += len(d)
                 if held >= COUNT_BYTES:
                     yield repeats(parts)
@@ -180,24 +214,52 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind byte, a long, b long, c long, n long")
 
 
+def _single(names: np.ndarray) -> np.ndarray:
+    """True at the first row of every name: copies are one set."""
+    keep = np.zeros(len(names), bool)
+    keep[np.unique(names, return_index=True)[1]] = True
+    return keep
+
+
+def sketch(common: DataFrame) -> Order:
+    """The levels of kind 1 rows, put together block by block in tasks; 2 ** SKETCH_BITS bytes reach the driver."""
+    low = 1 << _SKETCH_BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, n = (c.to_numpy() for c in batch.columns)
+            for block in np.unique(at >> _SKETCH_BLOCK).tolist():
+                own = at >> _SKETCH_BLOCK == block
+                made.setdefault(block, np.zeros(low, np.uint8))[at[own] & (low - 1)] = np.minimum(255, np.rint(2 * np.log2(n[own])))
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["block", "levels"])
+
+    summed = common.groupBy("a").agg(F.sum("n").alias("n"))
+    blocks = summed.repartition(F.shiftright("a", _SKETCH_BLOCK)).mapInArrow(run, "block long, levels binary").collect()  # a byte a bucket
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for row in blocks:
+        levels[row["block"] * low : (row["block"] + 1) * low] = np.frombuffer(row["levels"], np.uint8)
+    return Order(levels)
+
+
 def postings(docs: DataFrame, order: Order, boundary: int) -> DataFrame:
-    """key, node, n: the keys of every set; n packs the set's size and what it can still share, size first."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # COMMON_MOST shingles at most
+    """key, salt, node, n: the keys of every set; n packs the set's size and what it can still share, size first; a salt above 0 is a sublist of a hot key."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # a byte a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j, d, o in chunks(data, offsets):
+            for i, j, d, o in chunks(data, offsets, PIECE):
                 h, r, per = shingle_sets(d, o)
                 node, _ = digests(h, r, j - i)
-                _, single = np.unique(node, return_index=True)  # copies in a chunk have the same keys
-                keep = np.zeros(j - i, bool)
-                keep[single] = True
-                k, rows, left = keys(h, r, per, shared.value, boundary)
-                k, rows, left = k[keep[rows]], rows[keep[rows]], left[keep[rows]]
-                yield pa.RecordBatch.from_arrays([_long(k), _long(node[rows]), _long(per[rows] << 32 | left)], names=["key", "node", "n"])
+                k, rows, left, level = keys(h, r, per, shared.value, boundary)
+                keep = _single(node)[rows]
+                k, rows, left, level = k[keep], rows[keep], left[keep], level[keep]
+                spread, own = sublists(level), node[rows]
+                salt = np.where(spread > 0, 1 + mix(own + np.uint64(5)) % np.maximum(spread, np.uint64(1)), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([_long(k), pa.array(salt), _long(own), _long(per[rows] << 32 | left)], names=["key", "salt", "node", "n"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "key long, node long, n long")
+    return docs.filter("doc_id is not null").mapInArrow(run, "key long, salt int, node long, n long")
 
 
 def _fits(a, b, threshold=THRESHOLD):
@@ -210,6 +272,13 @@ def _fits(a, b, threshold=THRESHOLD):
     return (of * np.minimum(n, m) >= t * np.maximum(n, m)) & ((of + t) * np.minimum(a & low, b & low) >= t * (n + m))
 
 
+def _fitting(a: Column, b: Column, threshold=THRESHOLD) -> Column:
+    """_fits() of columns."""
+    t, of = threshold
+    n, m, low = F.shiftright(a, 32), F.shiftright(b, 32), F.lit(0xFFFFFFFF)
+    return (of * F.least(n, m) >= t * F.greatest(n, m)) & ((of + t) * F.least(a.bitwiseAND(low), b.bitwiseAND(low)) >= t * (n + m))
+
+
 class _Pairs:
     """Pairs made distinct within a task, handed on when many."""
 
@@ -226,117 +295,134 @@ class _Pairs:
         self.parts, self.n = [], 0
         return out
 
+    def full(self) -> Iterator[np.ndarray]:
+        """The pairs, if so many are held that they have to go."""
+        if self.n > 1 << 19:
+            p = self.take()
+            if len(p) > 1 << 18:
+                yield p
+            else:
+                self.add(p[:, 0], p[:, 1])
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """node and its set's bitmap of 64 * BITMAP buckets, by (node, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            maps = []
+            for packed in batch.column(1):
+                raw = np.frombuffer(unpack(packed.as_py()), np.uint8)
+                h, _, _ = shingle_sets(raw, np.array([0, len(raw)]))
+                at = mix(h + np.uint64(9)) % np.uint64(64 * BITMAP)
+                bits = np.zeros(64 * BITMAP, np.uint8)
+                bits[at.astype(np.int64)] = 1
+                maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["node", "bits"])
+
+    return texts.select("node", "packed").mapInArrow(run, "node long, bits binary")
+
+
+def _may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, threshold=THRESHOLD) -> np.ndarray:
+    """Whether sets of sizes n and m with bitmaps x and y can share enough."""
+    t, of = threshold
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return (of + t) * most >= t * (n + m)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+
 
 def candidates(sorted_postings: DataFrame) -> DataFrame:
-    """kind 0: pairs (a, b) to verify. kind 1: a (key), b (node), n of lists longer than LIST. Reads partitions sorted by key, n, node."""
+    """kind 0: pairs (a, b) to verify. kind 1: a (key), b (node), n of lists that are longer than LIST or spread. Reads partitions sorted by key, salt, node."""
+
+    def out(rows: np.ndarray, kind: int) -> pa.RecordBatch:
+        n = rows[:, 2] if kind else np.zeros(len(rows), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(n)], names=["kind", "a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, late = _Pairs(), np.zeros((0, 3), np.int64)
-        hub = None  # key, node and n of the hub of a long list that goes on
-
-        def out(rows: np.ndarray, kind: int) -> pa.RecordBatch:
-            n = rows[:, 2] if kind else np.zeros(len(rows), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(n)], names=["kind", "a", "b", "n"])
-
-        def star(rows: np.ndarray, hub):
-            """Pairs each row with the hub before it, a new one once sizes are too far from it; rows are sorted by size."""
-            i = 0
-            while i < len(rows):
-                if hub is None or THRESHOLD[1] * (hub[2] >> 32) < THRESHOLD[0] * (rows[i, 2] >> 32):
-                    hub = (rows[i, 0], rows[i, 1], rows[i, 2])
-                    i += 1
-                    continue
-                j = int(np.searchsorted(rows[:, 2] >> 32, (hub[2] >> 32) * THRESHOLD[1] // THRESHOLD[0], "right"))
-                near = rows[i:j][_fits(hub[2], rows[i:j, 2])]
-                pairs.add(np.full(len(near), hub[1]), near[:, 1])
-                i = j
-            return hub
-
-        def groups(rows: np.ndarray, last: bool):
-            nonlocal hub, late
-            edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            first, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
-            size = ends - first
-            goes_on = hub is not None and rows[0, 0] == hub[0]
-            if not goes_on:
-                hub = None
-            longs = [g for g in range(len(first)) if size[g] > LIST or (g == 0 and goes_on)] if size.max() > LIST or goes_on else []
-            for g in longs:
-                part = rows[first[g] : ends[g]]
-                after = star(part, hub if g == 0 and goes_on else None)
-                hub = after if g == len(first) - 1 and not last else None
-                yield out(part, 1)
-            small = np.ones(len(first), bool)
-            small[longs] = False
-            keep = np.zeros((0, 3), np.int64)
-            if small[-1] and not last:  # the last list may go on
-                keep, small[-1] = rows[first[-1] :], False
+        pairs, late, going, before = _Pairs(), np.zeros((0, 4), np.int64), None, None
+
+        def lists(rows: np.ndarray, last: bool):
+            nonlocal late, going
+            first = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1])
+            size = np.diff(np.append(first, len(rows)))
+            long = (size > LIST) | (rows[first, 1] > 0)
+            long[0] |= going is not None and tuple(rows[0, :2]) == going
+            going = tuple(rows[-1, :2]) if long[-1] else None
+            if (which := np.repeat(long, size)).any():
+                yield out(rows[which][:, [0, 2, 3]], 1)
+            small = ~long
+            late = late[:0]
+            if small[-1] and not last:  # it may go on
+                late, small[-1] = rows[first[-1] :], False
             for s in np.unique(size[small]):
                 if s < 2:
                     continue
-                at = first[small & (size == s)]
-                block = at[:, None] + np.arange(s)
+                block = first[small & (size == s)][:, None] + np.arange(s)
                 i, j = np.triu_indices(s, 1)
                 a, b = rows[block[:, i].ravel()], rows[block[:, j].ravel()]
-                ok = _fits(a[:, 2], b[:, 2]) & (a[:, 1] != b[:, 1])
-                pairs.add(a[ok, 1], b[ok, 1])
-                if pairs.n > 1 << 20:
-                    yield out(pairs.take(), 0)
-            late = keep
+                ok = _fits(a[:, 3], b[:, 3]) & (a[:, 2] != b[:, 2])
+                pairs.add(a[ok, 2], b[ok, 2])
+                for p in pairs.full():
+                    yield out(p, 0)
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            rows = _matrix(batch)
             if not len(rows):
                 continue
-            same = np.ones(len(rows), bool)  # the same set from several tasks
-            same[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-            rows = rows[same]
-            if len(late):
-                if (late[-1, :2] == rows[0, :2]).all():
-                    rows = rows[1:]
-                rows = np.concatenate([late, rows])
-            late = np.zeros((0, 3), np.int64)
+            fresh = np.ones(len(rows), bool)  # the same set may come from several tasks
+            fresh[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+            fresh[0] = before is None or (rows[0, :3] != before).any()
+            before = rows[-1, :3]
+            rows = np.concatenate([late, rows[fresh]])
             if len(rows):
-                yield from groups(rows, last=False)
+                yield from lists(rows, last=False)
         if len(late):
-            yield from groups(late, last=True)
+            yield from lists(late, last=True)
         yield out(pairs.take(), 0)
 
     return sorted_postings.mapInArrow(run, "kind byte, a long, b long, n long")
 
 
-def across(sorted_lists: DataFrame) -> DataFrame:
-    """a, b: fitting pairs of a long list whose components differ. Reads key, n, node, component sorted by key, n.
+def across(blocks: DataFrame) -> DataFrame:
+    """a, b: pairs of open lists that can link and whose components differ.
 
-    A pair stands in many lists; lists of the same components come to one task, which gives it once.
+    Reads key, i, j, block, n, node, component, bits sorted by key, i, j: two blocks of a list, or one (i = j).
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
+    def out(p: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-        def out(p: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, late = _Pairs(), np.zeros((0, 7 + BITMAP), np.int64)
 
         def pair_up(rows: np.ndarray):
-            n, node, comp = rows[:, 1], rows[:, 2], rows[:, 3]
-            size = n >> 32
-            ends = np.searchsorted(size, size * THRESHOLD[1] // THRESHOLD[0], "right")
-            for i in range(len(rows)):
-                other = i + 1 + np.flatnonzero((comp[i + 1 : ends[i]] != comp[i]) & _fits(n[i], n[i + 1 : ends[i]]))
-                pairs.add(np.full(len(other), node[i]), node[other])
-                if pairs.n > 1 << 20:
-                    p = pairs.take()
-                    if len(p) > 1 << 19:
-                        yield out(p)
-                    else:
-                        pairs.add(p[:, 0], p[:, 1])
-
-        late = np.zeros((0, 4), np.int64)
+            label, which, many = np.unique(rows[:, 6], return_inverse=True, return_counts=True)
+            if len(label) < 2:
+                return
+            rows = rows[np.argsort(which == many.argmax(), kind="stable")]  # the largest component's nodes last: they meet only others
+            own, two = len(rows) - int(many.max()), rows[0, 1] != rows[0, 2]
+            n, maps = rows[:, 4] >> 32, rows[:, 7:].view(np.uint64)
+            for a in range(0, own, 64):
+                x, y = rows[a : min(own, a + 64), None], rows[None, a:]
+                ok = (x[:, :, 6] != y[:, :, 6]) & _fits(x[:, :, 4], y[:, :, 4]) & (np.arange(x.shape[0])[:, None] < np.arange(y.shape[1])[None, :])
+                if two:
+                    ok &= x[:, :, 3] != y[:, :, 3]
+                i, j = (a + k for k in np.nonzero(ok))
+                can = _may_link(n[i], maps[i], n[j], maps[j])
+                pairs.add(rows[i[can], 5], rows[j[can], 5])
+                for p in pairs.full():
+                    yield out(p)
+
         for batch in batches:
-            rows = np.concatenate([late, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
-            if not len(rows):
+            if not batch.num_rows:
                 continue
-            edge = np.flatnonzero(np.diff(rows[:, 0])) + 1
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.int64).reshape(-1, BITMAP)
+            rows = np.concatenate([late, np.concatenate([_matrix(batch.select(range(7))), bits], 1)])
+            edge = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
             for part in np.split(rows, edge)[:-1]:
                 yield from pair_up(part)
             late = rows[edge[-1] :] if len(edge) else rows
@@ -344,7 +430,7 @@ def across(sorted_lists: DataFrame) -> DataFrame:
             yield from pair_up(late)
         yield out(pairs.take())
 
-    return sorted_lists.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -361,30 +447,63 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole texts reach the threshold. texts: node, packed."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb")
+    """u, v: the rep of both sides of the pairs (a, b, s) whose whole texts reach the threshold. texts: node, rep, packed; s spreads the pairs of a hub b."""
+    hubs = pairs.groupBy("b").agg(F.max("s").alias("top")).join(texts.select(F.col("node").alias("b"), F.col("rep").alias("v"), F.col("packed").alias("pv")), "b")
+    hubs = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("s"), "v", "pv")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("rep").alias("u"), F.col("packed").alias("pu")), "a")
+    both = left.join(hubs, ["b", "s"]).select("u", "v", "pu", "pv")
+
+    def judge(u: list, v: list, sides: list[list[bytes]]) -> pa.RecordBatch:
+        (h1, r1, n1), (h2, r2, n2) = (shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])) for raw in sides)
+        h, r = np.concatenate([h1, h2]), np.concatenate([r1, r2])
+        order = np.lexsort((h, r))
+        h, r = h[order], r[order]
+        both_have = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
+        inter = np.bincount(r[1:][both_have], minlength=len(u))
+        linked = pa.array(THRESHOLD[1] * inter >= THRESHOLD[0] * (n1 + n2 - inter))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()).filter(linked) for x in (u, v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sides = []
-                for column in (2, 3):
-                    raw = [unpack(x) for x in part.column(column).to_pylist()]
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-                    sides.append(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offsets))
-                (h1, r1, n1), (h2, r2, n2) = sides
-                h, r = np.concatenate([h1, h2]), np.concatenate([r1, r2])
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                both_have = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-                inter = np.bincount(r[1:][both_have], minlength=part.num_rows)
-                linked = THRESHOLD[1] * inter >= THRESHOLD[0] * (n1 + n2 - inter)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            u, v, sides, held = [], [], ([], []), 0
+            for i in range(batch.num_rows):
+                u.append(batch.column(0)[i].as_py())
+                v.append(batch.column(1)[i].as_py())
+                for side, column in zip(sides, (2, 3)):
+                    side.append(unpack(batch.column(column)[i].as_py()))
+                    held += len(side[-1])
+                if held > PIECE:
+                    yield judge(u, v, sides)
+                    u, v, sides, held = [], [], ([], []), 0
+            if u:
+                yield judge(u, v, sides)
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """a, b, s: each node of the lists with the hub that most of its lists name. members: key, node, n, component.
+
+    A list's hub is the first of its nodes of about a size, in an order that all lists share and every turn
+    changes; nodes of the hub's component need none. Half of the turns shift the bounds of the sizes.
+    """
+    step = F.floor(F.log(F.shiftright("n", 32).cast("double")) / float(np.log(THRESHOLD[1] / THRESHOLD[0])) + 0.5 * (turn % 2))
+    rows = members.select("key", "node", "n", "component", step.alias("step"), F.pmod(F.xxhash64("node"), F.lit(8)).alias("part"))
+    first = F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("component").alias("of")), F.xxhash64("node", F.lit(turn)))
+    hubs = rows.groupBy("key", "step").agg(first.alias("h"), F.count("*").alias("size")).filter("size > 1")
+    hubs = hubs.select("key", "step", "h.*", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("part"))
+    met = rows.join(hubs, ["key", "step", "part"]).filter((F.col("component") != F.col("of")) & _fitting(F.col("n"), F.col("m")))
+    votes = met.groupBy("node", "hub").agg(F.count("*").alias("votes"), F.max("size").alias("size"))
+    best = votes.groupBy("node").agg(F.max(F.struct("votes", "hub", "size")).alias("x"))
+    return best.select(F.col("node").alias("a"), F.col("x.hub").alias("b"), F.pmod(F.xxhash64("node"), F.floor(F.col("x.size") / HOT) + 1).cast("int").alias("s"))
+
+
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """key, node, n, rep, component, and the lowest and highest component and size of the list, of the lists whose nodes are in several components."""
+    named = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "node", "n", "rep", F.coalesce("component", "rep").alias("component"))
+    keys_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    return named.join(keys_, "key")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,47 +512,88 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     described = materialize(describe(docs), "jaccard-sets")
     sets = described.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("name"), "n")
-    classes = materialize(sets.filter("n > 0").groupBy("node", "name").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
-    common = described.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
-    top = common.orderBy(F.desc("n"), "a").limit(COMMON_MOST).toPandas()  # at most COMMON_MOST rows
-    weight = common.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("w")).first()["w"]
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    shingles = top["a"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(shingles)
-    order = Order(shingles[by], top["n"].to_numpy(np.int64)[by])
-    boundary = choose_boundary(1 + float(weight) / max(1, total))
-
-    listed = postings(docs, order, boundary).repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+    classes = materialize(sets.filter("n > 0").groupBy("node", "name").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("members")), "jaccard-classes")
+    common = described.filter("kind = 1")
+    weight = common.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("w")).first()["w"]
+    sums = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sets")).first()
+    most = LIGHT_MOST * THRESHOLD[1] // THRESHOLD[0] + 1
+    sizes = {r["n"]: r["sets"] for r in classes.filter(F.col("n") <= most).groupBy("n").agg(F.count("*").alias("sets")).collect()}  # at most `most` rows
+    boundary = choose_boundary(sizes, 1 + float(weight) / max(1, sums["n"]))
+
+    listed = postings(docs, sketch(common), boundary).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node")
     found = materialize(candidates(listed), "jaccard-candidates")
-    first = materialize(found.filter("kind = 0 and a <> b").select("a", "b").distinct(), "jaccard-pairs")
-    long_lists = found.filter("kind = 1").select(F.col("a").alias("key"), "n", F.col("b").alias("node"))
-    needed = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(long_lists.select("node")).distinct()
-    owners = needed.join(classes.filter("rep is not null").select("node", "rep"), "node")
-    texts = materialize(_packed(docs).join(owners, F.col("doc_id") == F.col("rep")).select("node", "packed").dropDuplicates(["node"]), "jaccard-texts")
-    linked = materialize(verify(first, texts), "jaccard-links")
-
-    ids = classes.select("node", "rep").filter("rep is not null")
-
-    def components(edges: DataFrame) -> DataFrame:
-        named = edges.join(ids.select(F.col("node").alias("a"), F.col("rep").alias("u")), "a").join(ids.select(F.col("node").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-        return connected_components(spanning(named))
-
-    comp = materialize(components(linked), "jaccard-components")
-    if long_lists.take(1):
-        labelled = long_lists.join(ids, "node").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "node", F.coalesce("component", "rep").alias("component"))
-        labelled = materialize(labelled.distinct(), "jaccard-lists")
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        rest = labelled.join(open_keys, "key").repartition(parts, "lo", "hi").select("key", "n", "node", "component").sortWithinPartitions("key", "n", "node")
-        more = materialize(across(rest).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if more.take(1):
-            comp = materialize(components(linked.unionByName(verify(more, texts))), "jaccard-components")
-
-    named = sets.join(classes.select(F.col("node").alias("_node"), F.col("name").alias("_name"), "rep"), (F.col("node") == F.col("_node")) & (F.col("name") == F.col("_name")) & (F.col("n") > 0), "left")
-    placed = named.join(comp.select(F.col("node").alias("_rep"), "component"), F.col("rep") == F.col("_rep"), "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    ids = classes.filter("rep is not null").select("node", "rep")
+    short = found.filter("kind = 0 and a <> b").select("a", "b", F.lit(0).alias("s")).distinct()
+    members = materialize(found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n").join(ids, "node").distinct(), "jaccard-lists")
+    pairs = materialize(short.unionByName(hub_pairs(members.withColumn("component", F.col("rep")), 0)).filter("a <> b").dropDuplicates(["a", "b"]), "jaccard-pairs")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
+    texts = materialize(_packed(docs).join(needed.join(ids, "node"), F.col("doc_id") == F.col("rep")).select("node", "rep", "packed").dropDuplicates(["node"]), "jaccard-texts")
+
+    verified = lambda more: materialize(verify(more, texts), "jaccard-links")
+    comp, tried, turn, open_, used = _components(verified(pairs)), pairs.select("a", "b"), 0, members, [found, members, pairs, texts]
+    while True:
+        open_ = materialize(_open(open_.select("key", "node", "n", "rep"), comp), "jaccard-open")
+        used.append(open_)
+        work = open_.agg(F.sum("size").alias("pairs")).first()["pairs"]  # twice the pairs that all open lists hold
+        if not work:
+            break
+        turn += 1
+        last = turn == ROUNDS or work <= sums["sets"]
+        more = _blocks(open_, texts, parts) if last else hub_pairs(open_, turn)
+        more = materialize(more.join(_both_ways(tried), ["a", "b"], "left_anti"), "jaccard-pairs")
+        used.append(more)
+        if not last or more.take(1):
+            comp = _components(verified(more), comp)
+        if last:
+            break
+        tried = tried.unionByName(more.select("a", "b"))
+    out = _placed(sets, classes, comp)
+    discard(*used)
+    return out
+
+
+def _components(edges: DataFrame, so_far: DataFrame | None = None) -> DataFrame:
+    """node, component of edges (u, v) and of the components so far."""
+    if so_far is not None:
+        edges = edges.unionByName(so_far.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return connected_components(spanning(edges))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _blocks(open_: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """a, b, s: all pairs of different components of open lists that can link."""
+    maps = bitmaps(texts.join(open_.select("node").distinct(), "node", "left_semi"))
+    many = F.ceil(F.col("size") / BLOCK)
+    rows = open_.join(maps, "node").select("key", "n", "node", "component", "bits", "lo", "hi", many.alias("many"), F.pmod(F.xxhash64("node"), many).alias("block"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "node", "component", "bits", "lo", "hi")
+    # Lists of the same components mostly give the same pairs: they meet in one task, or in SPREAD if there are very many of them.
+    dealt = rows.repartition(parts, "lo", "hi", F.pmod(F.xxhash64("key", "i", "j"), F.lit(SPREAD)))
+    return across(dealt.select("key", "i", "j", "block", "n", "node", "component", "bits").sortWithinPartitions("key", "i", "j")).distinct().select("a", "b", F.lit(0).alias("s"))
+
+
+def _placed(sets: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Every document with its class's component; classes of very many copies are broadcast if they are few, so no task gets all copies of one."""
+    of = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "name", F.coalesce("component", "rep").alias("component"), "members")
+    of = materialize(of, "jaccard-placed")
+    hot = of.filter(F.col("members") > HOT).select(F.col("node").alias("hot_node"), F.col("name").alias("hot_name"), F.col("component").alias("hot"))
+    few = hot.count() <= BROADCAST_ROWS
+    rest = (of.filter(F.col("members") <= HOT) if few else of).select(F.col("node").alias("at_node"), F.col("name").alias("at_name"), F.col("component").alias("cold"))
+    rows = sets.filter("n > 0")
+    if few:
+        rows = rows.join(F.broadcast(hot), (F.col("node") == F.col("hot_node")) & (F.col("name") == F.col("hot_name")), "left")
+        rows = rows.withColumn("node", F.when(F.col("hot_node").isNull(), F.col("node")).otherwise(F.xxhash64("doc_id", "node")))
+    else:
+        rows = rows.withColumn("hot", F.lit(None).cast("long"))
+    placed = rows.join(rest, (F.col("node") == F.col("at_node")) & (F.col("name") == F.col("at_name")), "left").select("doc_id", "n", F.coalesce("hot", "cold").alias("component"))
+    out = placed.unionByName(sets.filter("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all columns; rows without doc_id stay."""
-    dropped = join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_near")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_near"), "left_anti")
+    dropped = join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("near")).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["near"], "left_anti")

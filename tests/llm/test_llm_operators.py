@@ -74,9 +74,11 @@ def brute_components(docs):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("batches", "bucket"), [(1, 1 << 22), (3, 2000)])
+@pytest.mark.parametrize(("batches", "bucket"), [(1, 1 << 22), (5, 2000)])
 def test_substring_dedup(spark, monkeypatch, batches, bucket):
     monkeypatch.setattr(substring_index, "BUCKET_BYTES", bucket)
+    if batches > 1:
+        monkeypatch.setattr(substring_index, "PROBE", 50)
     df, docs = documents(spark, corpus())
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_index.unpacked(substring_index.deduplicate(df, batches=batches)).collect()}
     assert got == brute_repeats(docs)
@@ -90,19 +92,40 @@ def test_substring_dedup_rows_without_id_and_repeats(spark):
     assert substring_index.deduplicate(df.limit(0)).count() == 0
 
 
-def test_index_over_batches_and_compaction(spark):
-    a, b = " ".join(WORDS[:30]), " ".join(WORDS[30:70])
-    index = substring_index.FingerprintIndex(spark, 3)
-    put = lambda rows: index.ingest(spark.createDataFrame(rows, "id long, text string")).collect()
-    assert put([(1, a)]) == [] and put([(2, b)]) == []
+def test_index_over_batches_and_compaction(spark, tmp_path):
+    """A folder is opened again with its runs and takes further batches; what it tells equals brute force before and after compaction."""
+    df, docs = documents(spark, corpus(4, 40))
+    lean, ids = df.select(F.col("doc_id").alias("id"), "text"), sorted(docs)
+    folder = tmp_path.as_uri() + "/index"
+    cuts, claims = [ids[k * len(ids) // 5] for k in range(1, 5)], []
+    for k, (low, high) in enumerate(zip([-1, *cuts], [*cuts, 1 << 40])):
+        index = substring_index.FingerprintIndex(spark, 7 if k == 0 else 1, folder)
+        assert index.buckets == 7 and sum(1 for _ in index.runs) == (k if k < 3 else k - 2)
+        claims.append(index.ingest(lean.filter((F.col("id") >= low) & (F.col("id") < high))))
+        assert index.compactions == (k == 2)
     index.compact()
-    assert len(index.runs) == 1
-    found = put([(3, a + " " + b)])
-    assert {(r["oid"]) for r in found} == {1, 2} and sum(r["n"] for r in found) == 11 + 21
+    assert [level for _, level in index.runs] == [2]
+    found = substring_index.longest(claims[0].unionByName(claims[1]).unionByName(claims[2]).unionByName(claims[3]).unionByName(claims[4]))
+    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_index.unpacked(substring_index.settle(lean, found)).collect()}
+    assert got == brute_repeats(docs)
+    again = substring_index.FingerprintIndex(spark, folder=folder).ingest(lean.select((F.col("id") + 10_000).alias("id"), "text"), keep=False)
+    covered = {r["id"]: r["n"] for r in again.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    assert covered == {i + 10_000: len(docs[i].split()) - 19 for i in ids if len((docs[i] or "").split()) >= 20}
+    index.close()
+
+
+def test_query_compacts_its_index(spark, monkeypatch):
+    made = []
+    close = substring_index.FingerprintIndex.close
+    monkeypatch.setattr(substring_index.FingerprintIndex, "close", lambda self: (made.append(self.compactions), close(self)))
+    df, docs = documents(spark, corpus(6, 40))
+    got = {r["doc_id"]: r["n_removed"] for r in substring_index.deduplicate(df, digest=True).collect()}
+    assert made == [1] and got == {i: gone for i, (_, gone, _) in brute_repeats(docs).items()}
 
 
 def test_without_repeats_keeps_columns(spark):
     df, docs = documents(spark, corpus(3, 30))
+    df = df.withColumn("_kept", F.lit("mine")).withColumn("id", F.lit(-1)).withColumn("kept", F.lit("too"))
     out = substring_index.without_repeats(df)
     wanted = brute_repeats(docs)
     assert out.columns == df.columns
@@ -112,14 +135,32 @@ def test_without_repeats_keeps_columns(spark):
         assert r["n_chars"] == len(r["text"] or "")
 
 
-@pytest.mark.parametrize("most", [48, 1])
-def test_jaccard_join(spark, monkeypatch, most):
-    monkeypatch.setattr(jaccard_join, "LIST", most)
+@pytest.mark.parametrize(("most", "rounds", "hot", "block"), [(16, 4, 1024, 1024), (1, 3, 2, 2)])
+def test_jaccard_join(spark, monkeypatch, most, rounds, hot, block):
+    for name, value in (("LIST", most), ("ROUNDS", rounds), ("HOT", hot), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard_join, name, value)
     df, docs = documents(spark, corpus(2, 80))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()}
     assert got == brute_components(docs)
 
 
+def test_jaccard_join_of_a_large_near_copy_group(spark, monkeypatch):
+    """Every round is needed: members link with some others only, and copies outnumber HOT."""
+    for name, value in (("LIST", 2), ("HOT", 8), ("BROADCAST_ROWS", -1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(11)
+    base = rng.choices(WORDS, k=120)
+    texts = [" ".join(base)] * 30
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.randint(1, 5)):
+            t[rng.randrange(len(t))] = rng.choice(WORDS)
+        texts.append(" ".join(t))
+    df, docs = documents(spark, texts + [" ".join(base[:60] + rng.choices(WORDS, k=n)) for n in range(0, 60, 4)])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()}
+    assert got == brute_components(docs)
+
+
 def test_jaccard_join_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (4, "A b c d e f"), (9, "a b c d e f"), (7, None), (8, "")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect())
@@ -184,6 +225,24 @@ def test_language_id(spark):
     assert language_id.predict(df.limit(0), filters).count() == 0
     none = language_id.train(df, F.lit(False))
     assert none.languages == [] and language_id.keep_identified(df, none).count() == 201
+    # The filters decide: a text in no learned language goes, and stays once its language is learned.
+    more = spark.createDataFrame([(2000, "привет как дела " * 9, None), (2001, "zzxq wvkj qqpt xxjz kqwv", None), (2002, "und der die nicht", None)], df.schema)
+    assert {r["doc_id"] for r in language_id.keep_identified(more, filters).collect()} == {2002}
+    learned = language_id.train(df.unionByName(more.withColumn("lang", F.when(F.col("doc_id") == 2000, "ru"))), F.lit(True))
+    assert {r["doc_id"] for r in language_id.keep_identified(more, learned).collect()} == {2000, 2002}
+
+
+def test_language_id_long_texts_and_ties(spark, monkeypatch):
+    """Blocks and pieces of any size give the same result; of equal shares the alphabetically first language wins."""
+    rows = [(i, " ".join(["alpha beta gamma delta"] * (1 + 700 * (i in (2, 3)))), ("zz", "aa")[i % 2]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.train(df, F.lit(True))
+    wanted = sorted(tuple(r) for r in language_id.predict(df, filters).collect())
+    assert {r[1] for r in wanted} == {"aa"}
+    for block, piece in ((7, 40), (1 << 18, 1)):
+        monkeypatch.setattr(language_id, "BLOCK_BYTES", block)
+        monkeypatch.setattr(language_id, "TEXT_BYTES", piece)
+        assert [language_id.decide(__import__("pyarrow").array([t for _, t, _ in rows]), filters)[0]] == [[r[1] for r in wanted]]
 
 
 def test_many_languages_need_more_than_one_mask_word():

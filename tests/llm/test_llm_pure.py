@@ -137,12 +137,14 @@ def test_prefix_keys_meet_every_linked_pair():
         if not len(b) or 100 * inter < 75 * union or (len(a) == 1 == len(b)) or set(a) == set(b):
             continue
         common = np.sort(rng.choice(a, min(n, 5), replace=False))
-        order = jaccard_join.Order(common, np.arange(1, len(common) + 1))
+        levels = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)
+        levels[jaccard_join._bucket(common)] = np.arange(1, len(common) + 1)
+        order = jaccard_join.Order(levels)
         for boundary in (0, 4, 12, 30):
             out = []
             for s in (a, b):
                 s = np.sort(s)
-                k, _, left = jaccard_join.keys(s, np.zeros(len(s), np.int64), np.array([len(s)]), order, boundary)
+                k, _, left, _ = jaccard_join.keys(s, np.zeros(len(s), np.int64), np.array([len(s)]), order, boundary)
                 out.append({int(x): len(s) << 32 | int(y) for x, y in zip(k, left)})
             shared = out[0].keys() & out[1].keys()
             assert any(jaccard_join._fits(np.int64(out[0][k]), np.int64(out[1][k])) for k in shared), (trial, boundary)
@@ -153,6 +155,15 @@ def test_runs_keep_the_earliest_place():
     two = tuple(np.array(x, t) for x, t in (([3, 7], np.uint64), ([2, 2], np.int64), ([4, 4], np.int64)))
     both = substring_index.merged([one, two])
     assert [x.tolist() for x in both] == [[3, 5, 7], [1, 1, 2], [0, 9, 4]]
+    blocks = lambda run, k: iter([tuple(x[i : i + k] for x in run) for i in range(0, len(run[0]), k)])
+    rng = np.random.default_rng(8)
+    runs = [(np.unique(rng.integers(0, 300, 90)).astype(np.uint64),) for _ in range(3)]
+    runs = [(h, np.full(len(h), k), np.arange(len(h))) for k, (h,) in enumerate(runs)]
+    for k in (1, 7, 1000):
+        parts = list(substring_index.merge_runs([blocks(r, k) for r in runs] + [iter([])]))
+        assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*parts), substring_index.merged(runs)))
+    q, at = substring_index.merge_join(runs[0][0], runs[1][0])
+    assert (runs[0][0][q] == runs[1][0][at]).all() and len(q) == len(np.intersect1d(runs[0][0], runs[1][0]))
     assert [x.tolist() for x in substring_index.unpack_run(substring_index.pack_run(*both))] == [x.tolist() for x in both]
 
 
