@@ -3,29 +3,40 @@
 A window is WINDOW consecutive words of one document. Its 64-bit hash goes to a bucket by the
 window's minimizer, so that neighbouring windows travel together as one row and equal windows always
 meet. Per bucket, sorted immutable runs hold the hashes of earlier documents with their first
-places. A new batch is read in order of (doc_id, start), probed against all runs by merge join and
-against what the batch itself added so far; what is new forms the next run. Runs are compacted once
-there are more than FANOUT of them. Matches become claims (a span of windows and the earlier place
-it equals); claims are merged to longest spans and verified: both spans' words must have the same
+places. A new batch is read in order of (doc_id, start); its sorted hashes are merge-joined with every run,
+block by block, and with what the batch itself added so far; what is new forms the next run. As soon as
+more than FANOUT runs of one level stand at the end, they are merged to a run of the next level, so runs
+grow in number with the logarithm of the batches. Matches become claims (a span of windows and the earlier
+place it equals); claims are merged to longest spans and verified: both spans' words must have the same
 128-bit digest. Verified spans decide which words go.
 
-A table is taken in BATCHES batches by doc_id (the bounds only set how much each batch holds, any
-give the same result), each probing the runs of all before it, as later calls with new documents do.
+The folder of an index holds a manifest (a number of buckets and the runs with their levels) and a folder
+per run with a file per bucket. It can be opened again, in a later session too, and takes further documents
+as new batches; what it holds counts as earlier than they. A manifest is written once all files of a run are
+there, files are written aside and renamed, and their content depends on the input alone, so tasks may be
+repeated and jobs may fail.
+
+A whole table is taken in batches by doc_id of about BATCH_BYTES, in LEAST_BATCHES at least, each probing the
+runs of all before it, as later calls with new documents do; any bounds give the same result.
 
 Repeats within a map chunk are settled there (only the first of equal spans of windows is sent), so
 a passage that a third of all documents share is sent once per chunk.
 
 Edge cases: null text has no words; texts of fewer than WINDOW words lose nothing; repeated rows of
-one doc_id and text stand for one document and each give the same result; a row without doc_id keeps
-all its words and makes none go; other columns are not looked at. If two different windows had
-equal 64-bit hashes, verification rejects the span, and its words stay.
+one doc_id and text stand for one document and each give the same result (rows of one doc_id with different
+texts are outside the contract: their windows count as the document's, and each row loses what the claims of
+the id cover in it, if all of them are verified); a row without doc_id keeps
+all its words and makes none go; other columns are not looked at, whatever their names; an empty table gives
+no rows. If two different windows had equal 64-bit hashes, verification rejects the span, and its words stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +45,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, hash_words, id_array, materialize, mix, scan_words, scratch_path, text_buffers, window_hashes
+from ._shared import chunks, discard, hash_words, id_array, materialize, mix, remove, scan_words, scratch_path, text_buffers, window_hashes
 
 WINDOW = 20
 GRAM = 5
-BATCHES = 2
-FANOUT = 4
-#: Text bytes for each bucket; a bucket's runs are held in memory one bucket at a time.
+BATCH_BYTES = 1 << 40
+LEAST_BATCHES = 4
+FANOUT = 2
+#: Text bytes of a batch for each bucket; a task works through many buckets, one at a time.
 BUCKET_BYTES = 4 << 20
+#: Windows of a bucket that are probed at once, and entries of a run that are read at once.
+PROBE = 1 << 20
+RUN_BLOCK = 1 << 16
+#: Text bytes among which repeats are settled before the shuffle.
+PIECE = 2 << 20
+#: Tasks over which the claims on one place are spread.
+SPREAD = 8
 #: Windows of one row at most.
 SPAN = 64
 
@@ -99,26 +118,12 @@ def _emit(s: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(hashes, pa.binary()), pa.array(ids[owner], mask=own), pa.array(start[owner].astype(np.int32), mask=own)], names=["bucket", "id", "start", "n", "hashes", "oid", "ostart"])
 
 
-class Runs:
-    """Sorted runs of (hash, first place); found ones are told with the place of the oldest run that has them."""
-
-    def __init__(self, runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.old, self.new = runs, []
-
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found, ids, starts = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        for hashes, i, s in self.old + self.new:
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                hit = (hashes[at] == h) & ~found
-                found |= hit
-                ids[hit], starts[hit] = i[at[hit]], s[at[hit]]
-        return found, ids, starts
-
-    def add(self, h: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> None:
-        self.new.append((h, ids, starts))
-        if len(self.new) > FANOUT:
-            self.new = [merged(self.new)]
+def merge_join(queries: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `queries` and in `h`, both sorted and each without repeats, of the values that are in both, by one merge."""
+    both = np.concatenate([h, queries])
+    order = np.argsort(both, kind="stable")  # a merge: the sort finds the two sorted parts
+    met = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+    return order[met + 1] - len(h), order[met]
 
 
 def merged(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,17 +150,39 @@ def unpack_run(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(h, dtype=np.uint64), ids.astype(np.int64), starts.astype(np.int64)
 
 
-_CLAIMS = ["kind", "id", "start", "n", "oid", "ostart", "path"]
-_CLAIMS_SQL = "kind byte, id long, start int, n int, oid long, ostart int, path string"
+_CLAIMS = ["id", "start", "n", "oid", "ostart"]
+_CLAIMS_SQL = "id long, start int, n int, oid long, ostart int"
+_Run = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class FingerprintIndex:
-    """Runs per bucket in a shared folder. `manifest` lists the run files of the tasks that succeeded, oldest run first."""
+    """Runs per bucket in a shared folder; a folder that has a manifest is opened with all its runs."""
 
-    def __init__(self, spark, buckets: int, folder: str | None = None):
+    def __init__(self, spark, buckets: int = 1, folder: str | None = None):
         self.spark, self.buckets = spark, max(1, buckets)
         self.folder = folder or scratch_path(spark, "fingerprints")
-        self.runs: list[dict[int, str]] = []
+        #: name and level of each run, oldest first
+        self.runs: list[tuple[str, int]] = []
+        self.number, self.compactions = 0, 0
+        store, base = fs.FileSystem.from_uri(self.folder)
+        store.create_dir(base, recursive=True)
+        found = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("manifest-") and f.extension == "json")
+        if found:
+            with store.open_input_stream(found[-1]) as f:
+                told = json.loads(f.read())
+            self.number, self.buckets, self.runs = told["number"], told["buckets"], [tuple(r) for r in told["runs"]]
+
+    def _commit(self, runs: list[tuple[str, int]]) -> None:
+        """Makes these the index's runs: the next manifest, then the files that no run needs any more go."""
+        store, base = fs.FileSystem.from_uri(self.folder)
+        gone = {name for name, _ in self.runs} - {name for name, _ in runs}
+        self.number, self.runs = self.number + 1, runs
+        path = f"{base}/manifest-{self.number:08d}.json"
+        with store.open_output_stream(path + ".part") as f:
+            f.write(json.dumps({"number": self.number, "buckets": self.buckets, "runs": runs}).encode())
+        store.move(path + ".part", path)
+        for name in gone:
+            store.delete_dir(f"{base}/{name}")
 
     def ingest(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Claims of docs (id, text) against the runs and earlier places of docs itself; keep adds a run of what is new."""
@@ -165,7 +192,7 @@ class FingerprintIndex:
             for batch in batches:
                 ids = id_array(batch.column(0))
                 data, offsets = text_buffers(batch.column(1))
-                for i, j, d, o in chunks(data, offsets):
+                for i, j, d, o in chunks(data, offsets, PIECE):
                     s = window_spans(d, o, ids[i:j])
                     if s is not None:
                         whole = _emit(s, buckets)
@@ -173,74 +200,131 @@ class FingerprintIndex:
                             yield whole.slice(k, 20_000)
 
         rows = docs.filter("id is not null").select("id", "text").mapInArrow(spans, _SPANS)
-        parts = max(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "id", "start")
-        out = materialize(ordered.mapInArrow(_resolver(self.folder, list(self.runs), keep), _CLAIMS_SQL), "claims")
-        if keep:
-            self.runs.append({r["id"]: r["path"] for r in out.filter("kind = 1").select("id", "path").collect()})  # a path per bucket
-            if len(self.runs) > FANOUT:
-                self.compact()
-        return out.filter("kind = 0").select("id", "start", "n", "oid", "ostart")
+        made = f"run-{uuid.uuid4().hex}" if keep else None
+        out = materialize(ordered.mapInArrow(_resolver(self.folder, [name for name, _ in self.runs], made), _CLAIMS_SQL), "claims")
+        if made:
+            self._commit([*self.runs, (made, 0)])
+            while len(self.runs) > FANOUT and len({level for _, level in self.runs[-FANOUT - 1 :]}) == 1:
+                self.compact(FANOUT + 1)
+        return out
 
-    def compact(self) -> None:
-        """Merges all runs of every bucket into one new run each; the old files are no longer read."""
-        runs, folder = list(self.runs), self.folder
+    def compact(self, last: int | None = None) -> None:
+        """Merges the last runs (all, if not told how many) to one of the next level, bucket by bucket."""
+        old, folder, made = self.runs[-(last or len(self.runs)) :], self.folder, f"run-{uuid.uuid4().hex}"
+        if not old:
+            return
+        names = [name for name, _ in old]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, base = fs.FileSystem.from_uri(folder)
             for batch in batches:
                 for b in batch.column(0).to_pylist():
-                    old = [_load(store, r[b]) for r in runs if b in r]
-                    path = _store(store, base, b, merged(old))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([path])], names=["bucket", "path"])
+                    _store(store, base, made, b, merge_runs([_load(store, base, name, b) for name in names]))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64())], names=["bucket"])
 
-        have = sorted({b for r in runs for b in r})
-        table = self.spark.createDataFrame([(b,) for b in have], "bucket long").repartition(min(len(have), 200), "bucket")
-        self.runs = [{r["bucket"]: r["path"] for r in materialize(table.mapInArrow(run, "bucket long, path string"), "compacted").collect()}]
+        tasks = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.spark.range(0, self.buckets, 1, tasks).mapInArrow(run, "bucket long").count()
+        self._commit([*self.runs[: -len(old)], (made, 1 + max(level for _, level in old))])
+        self.compactions += 1
 
+    def close(self) -> None:
+        """Deletes the index."""
+        remove(self.spark, self.folder)
+        self.runs = []
 
-def _load(store, path: str):
-    with store.open_input_stream(path) as f:
-        return unpack_run(f.read())
 
+def _path(base: str, name: str, bucket: int) -> str:
+    return f"{base}/{name}/bucket-{bucket:08d}.run"
 
-def _store(store, base: str, bucket: int, run) -> str:
-    store.create_dir(base, recursive=True)
-    path = f"{base}/bucket-{bucket:06d}-{uuid.uuid4().hex}.run"
-    with store.open_output_stream(path) as f:
-        f.write(pack_run(*run))
-    return path
 
-
-def _resolver(folder: str, history: list[dict[int, str]], keep: bool):
-    """Probes spans, read in order of bucket, id and start, and says which windows came before."""
+def _load(store, base: str, name: str, bucket: int) -> Iterator[_Run]:
+    """The blocks of a bucket's part of a run, in order; none if it has no file."""
+    path = _path(base, name, bucket)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return
+    with store.open_input_stream(path) as f:
+        while head := f.read(4):
+            yield unpack_run(f.read(int.from_bytes(head, "little")))
+
+
+def _store(store, base: str, name: str, bucket: int, blocks: Iterator[_Run]) -> None:
+    """Writes blocks aside and renames the file; nothing is written for an empty bucket."""
+    path, out = _path(base, name, bucket), None
+    part = f"{path}.{uuid.uuid4().hex}"
+    for h, ids, starts in blocks:
+        for k in range(0, len(h), RUN_BLOCK):
+            if out is None:
+                store.create_dir(f"{base}/{name}", recursive=True)
+                out = store.open_output_stream(part)
+            raw = pack_run(*(x[k : k + RUN_BLOCK] for x in (h, ids, starts)))
+            out.write(len(raw).to_bytes(4, "little") + raw)
+    if out is not None:
+        out.close()
+        store.move(part, path)
+
+
+def merge_runs(runs: list[Iterator[_Run]]) -> Iterator[_Run]:
+    """One sorted sequence of blocks without repeats; of equal hashes the place in the earliest run of the list stays. A block of each run is held at a time."""
+    heads: dict[int, _Run] = {}
+    for k, blocks in enumerate(runs):
+        if (block := next(blocks, None)) is not None:
+            heads[k] = block
+    while heads:
+        bound = min(h[-1] for h, _, _ in heads.values())
+        cut = {k: int(np.searchsorted(heads[k][0], bound, "right")) for k in sorted(heads)}
+        yield merged([tuple(x[:n] for x in heads[k]) for k, n in cut.items()])
+        for k, n in cut.items():
+            if n == len(heads[k][0]):
+                if (block := next(runs[k], None)) is None:
+                    del heads[k]
+                else:
+                    heads[k] = block
+            else:
+                heads[k] = tuple(x[n:] for x in heads[k])
+
+
+def _resolver(folder: str, history: list[str], made: str | None):
+    """Probes spans, read in order of bucket, id and start, says which windows came before, and writes the run `made` of those that did not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        bucket, runs = None, None
+        bucket, new, held, windows = None, [], [], 0
+
+        def probe() -> Iterator[pa.RecordBatch]:
+            nonlocal held, windows
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, windows = [], 0
+                yield from _resolve(rows, [_load(store, base, name, bucket) for name in history], new)
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if bucket is not None and keep and runs.new:
-                path = _store(store, base, bucket, merged(runs.new))
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([bucket], pa.int64()), *(pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int32())), pa.array([path])], names=_CLAIMS)
+            nonlocal new
+            yield from probe()
+            if made and new:
+                _store(store, base, made, bucket, iter([merged(new)]))
+            new = []
 
         for batch in batches:
             of = batch.column(0).to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-            for a, b in zip(edges[:-1], edges[1:]):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if a == b:
                     continue
                 if of[a] != bucket:
                     yield from finish()
                     bucket = int(of[a])
-                    runs = Runs([_load(store, r[bucket]) for r in history if bucket in r])
-                yield from _resolve(batch.slice(a, b - a), runs)
+                held.append(batch.slice(a, b - a))
+                windows += int(batch.column(3).slice(a, b - a).to_numpy().sum())
+                if windows >= PROBE:
+                    yield from probe()
         yield from finish()
 
     return run
 
 
-def _resolve(batch: pa.RecordBatch, runs: Runs) -> Iterator[pa.RecordBatch]:
+def _resolve(batch: pa.RecordBatch, history: list[Iterator[_Run]], new: list[_Run]) -> Iterator[pa.RecordBatch]:
     ids, start, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
     settled = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
     if settled.any():
@@ -249,31 +333,34 @@ def _resolve(batch: pa.RecordBatch, runs: Runs) -> Iterator[pa.RecordBatch]:
     full = np.flatnonzero(~settled)
     if not len(full):
         return
-    column = batch.column(4).take(pa.array(full))
-    h = np.frombuffer(b"".join(column.to_pylist()), "<u8").astype(np.uint64)
+    h = np.frombuffer(b"".join(batch.column(4).take(pa.array(full)).to_pylist()), "<u8").astype(np.uint64)
     size = n[full].astype(np.int64)
     row = np.repeat(full, size)
     wid, wstart = ids[row], start[row] + np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-    found, oid, ostart = runs.probe(h)
-    new = np.flatnonzero(~found)
-    if len(new):
-        order = new[np.argsort(h[new], kind="stable")]  # rows are in order of id and start, so the first is the owner
-        once = np.ones(len(order), bool)
-        once[1:] = h[order[1:]] != h[order[:-1]]
-        lead = np.repeat(order[once], np.diff(np.append(np.flatnonzero(once), len(order))))
-        found[order], oid[order], ostart[order] = True, wid[lead], wstart[lead]
-        runs.add(h[order[once]], wid[order[once]], wstart[order[once]])
-    hit = np.flatnonzero(found & ~((oid == wid) & (ostart == wstart)))
+    one, first, which = np.unique(h, return_index=True, return_inverse=True)  # rows are in order of id and start, so the first is the owner
+    oid, ostart, known = wid[first], wstart[first], np.zeros(len(one), bool)
+    for blocks in [*history, iter(new)]:
+        for bh, bi, bs in blocks:
+            a, b = np.searchsorted(one, bh[0]), np.searchsorted(one, bh[-1], "right")
+            q, at = merge_join(one[a:b], bh)
+            q, at = q[~known[a + q]] + a, at[~known[a + q]]  # the oldest run that has it tells the place
+            known[q], oid[q], ostart[q] = True, bi[at], bs[at]
+    if not known.all():
+        new.append((one[~known], oid[~known], ostart[~known]))
+        if len(new) > 4:
+            new[:] = [merged(new)]
+    oid, ostart = oid[which], ostart[which]
+    hit = np.flatnonzero((oid != wid) | (ostart != wstart))
     if len(hit):
         i, s, oi, os_ = wid[hit], wstart[hit], oid[hit], ostart[hit]
-        new = np.ones(len(hit), bool)
-        new[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1] + 1) | (oi[1:] != oi[:-1]) | (os_[1:] != os_[:-1] + 1)
-        first = np.flatnonzero(new)
-        yield _claims(i[first], s[first], np.diff(np.append(first, len(hit))), oi[first], os_[first])
+        fresh = np.ones(len(hit), bool)
+        fresh[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1] + 1) | (oi[1:] != oi[:-1]) | (os_[1:] != os_[:-1] + 1)
+        lead = np.flatnonzero(fresh)
+        yield _claims(i[lead], s[lead], np.diff(np.append(lead, len(hit))), oi[lead], os_[lead])
 
 
 def _claims(i, s, n, oi, os_) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), np.int8)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(oi.astype(np.int64)), pa.array(os_.astype(np.int32)), pa.nulls(len(i), pa.string())], names=_CLAIMS)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t)) for x, t in zip((i, s, n, oi, os_), (np.int64, np.int32, np.int32, np.int64, np.int32))], names=_CLAIMS)
 
 
 def longest(claims: DataFrame) -> DataFrame:
@@ -329,24 +416,27 @@ def settle(docs: DataFrame, claims: DataFrame, digest: bool = False) -> DataFram
     a claim whose digests differ are then done again without it.
     """
     own = claims.select("id", "start", "n", F.lit(True).alias("own"))
-    spans = own.unionByName(claims.select(F.col("oid").alias("id"), F.col("ostart").alias("start"), "n", F.lit(False).alias("own"))).groupBy("id", "start", "n").agg(F.max("own").alias("own"))
+    spans = own.unionByName(claims.select(F.col("oid").alias("id"), F.col("ostart").alias("start"), "n", F.lit(False).alias("own"))).groupBy("id", "start", "n").agg(F.max("own").alias("own"), F.min("own").alias("alone"))
     done = materialize(_cut(docs, spans, digest), "settled")
-    marks = done.filter("kind = 1").select("id", "start", "n", "digest").dropDuplicates(["id", "start", "n"])
-    there = marks.select(F.col("id").alias("oid"), F.col("start").alias("ostart"), "n", F.col("digest").alias("odigest"))
-    told = claims.join(marks, ["id", "start", "n"]).join(there, ["oid", "ostart", "n"])
-    wrong = materialize(told.filter(F.col("digest") != F.col("odigest")).select("id", "start", "n", "oid", "ostart"), "refused")
+    marks = done.filter("kind = 1").groupBy("id", "start", "n").agg(F.min("digest").alias("digest"), F.max("digest").alias("also"), F.min("n_removed").alias("alone"))
+    # Places that others equal may be claimed by very many: their digests meet the claims in SPREAD tasks.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    there = marks.filter("alone = 0").select(F.col("id").alias("oid"), F.col("start").alias("ostart"), "n", F.col("digest").alias("odigest"), F.col("also").alias("oalso"), parts.alias("part"))
+    told = claims.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(marks.select("id", "start", "n", "digest", "also"), ["id", "start", "n"]).join(there, ["oid", "ostart", "n", "part"])
+    same = (F.col("digest") == F.col("odigest")) & (F.col("digest") == F.col("also")) & (F.col("odigest") == F.col("oalso"))
+    wrong = materialize(told.filter(~same).select("id", "start", "n", "oid", "ostart"), "refused")
     out = done.filter("kind = 0").select("id", "n_words", "n_removed", "kept")
     if not wrong.take(1):
         return out
     ids = wrong.select("id").distinct()
     right = claims.join(ids, "id", "left_semi").join(wrong, ["id", "start", "n", "oid", "ostart"], "left_anti")
-    again = _cut(docs.join(ids, "id", "left_semi"), right.select("id", "start", "n", F.lit(True).alias("own")), digest).filter("kind = 0")
+    again = _cut(docs.join(ids, "id", "left_semi"), right.select("id", "start", "n", F.lit(True).alias("own"), F.lit(True).alias("alone")), digest).filter("kind = 0")
     return out.join(ids, "id", "left_anti").unionByName(again.select("id", "n_words", "n_removed", "kept"))
 
 
 def _cut(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
     """kind 0: every document without the words of its own spans. kind 1: the digest of every span."""
-    grouped = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n", "own")).alias("spans")).withColumnRenamed("id", "_id")  # distinct spans of one document
+    grouped = spans.groupBy("id").agg(F.collect_list(F.struct("start", "n", "own", "alone")).alias("spans")).withColumnRenamed("id", "_id")  # distinct spans of one document
     both = packed_texts(docs).join(grouped, F.col("id") == F.col("_id"), "left").select("id", "packed", "spans")
     names = ["kind", "id", "start", "n", "digest", "n_words", "n_removed", "kept"]
     types = (pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
@@ -366,7 +456,7 @@ def _cut(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
                         for s in want:
                             a, b = s["start"], s["start"] + s["n"] + WINDOW - 1
                             body = line[(ends[a - 1] if a else 0) : ends[b - 1] - 1] if b <= n else b""
-                            rows.append((1, doc, a, s["n"], hashlib.blake2b(body, digest_size=16).digest(), None, None, None))
+                            rows.append((1, doc, a, s["n"], hashlib.blake2b(body, digest_size=16).digest(), None, int(s["alone"]), None))
                             if s["own"]:
                                 out[a] += 1
                                 out[min(n, b)] -= 1
@@ -378,21 +468,25 @@ def _cut(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
     return both.mapInArrow(run, _SETTLED)
 
 
-def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def find_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
     """Claims (id, start, n, oid, ostart) of a whole table of (id, text), as the longest spans."""
     spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    batches = batches or max(LEAST_BATCHES, -(-size // BATCH_BYTES))
     cuts = [k / batches for k in range(1, batches)]
-    facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("id", cuts or [1.0], 1000).alias("cuts")).first()
-    index = FingerprintIndex(spark, -(-(facts["bytes"] or 0) // BUCKET_BYTES))
-    bounds, claims = sorted(set((facts["cuts"] or []) if cuts else [])), None
+    bounds = sorted(set(docs.agg(F.percentile_approx("id", cuts, 1000).alias("cuts")).first()["cuts"] or [])) if cuts else []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index, claims = FingerprintIndex(spark, max(2 * parts, -(-size // (batches * BUCKET_BYTES)))), []
     for k in range(len(bounds) + 1):
         part = docs if not bounds else docs.filter(((F.col("id") > bounds[k - 1]) if k else F.lit(True)) & ((F.col("id") <= bounds[k]) if k < len(bounds) else F.lit(True)))
-        made = index.ingest(part, keep=k < len(bounds))
-        claims = made if claims is None else claims.unionByName(made)
-    return materialize(longest(claims), "spans")
+        claims.append(index.ingest(part, keep=k < len(bounds)))
+    index.close()
+    out = materialize(longest(reduce(DataFrame.unionByName, claims)), "spans")
+    discard(*claims)
+    return out
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, digest: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (compressed, or with digest its SHA-256) of every row of docs."""
     lean = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     return settle(lean, find_repeats(lean, batches), digest).withColumnRenamed("id", "doc_id")
@@ -418,9 +512,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with the repeated words taken out of its texts (and chars_col, if there is one, set to the new length)."""
     lean = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     done = settle(lean, find_repeats(lean)).filter("n_removed > 0").dropDuplicates(["id"])
-    changed = unpacked(done.select(F.col("id").alias("_id"), "kept")).withColumnRenamed("kept", "_kept")
-    out = docs.join(changed, docs[id_col].cast("long") == F.col("_id"), "left")
-    new = {text_col: F.coalesce("_kept", docs[text_col])}
+    changed = unpacked(done.select("id", "kept"))
+    out = docs.join(changed, docs[id_col].cast("long") == changed["id"], "left")
+    new = {text_col: F.coalesce(changed["kept"], docs[text_col])}
     if chars_col in docs.columns:
-        new[chars_col] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema[chars_col].dataType)).otherwise(docs[chars_col])
+        new[chars_col] = F.when(changed["kept"].isNotNull(), F.length(changed["kept"]).cast(docs.schema[chars_col].dataType)).otherwise(docs[chars_col])
     return out.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
