@@ -16,7 +16,7 @@ from abacora.llm._shared import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is identified (no text, no letter) go; filters learn as op4's do."""
+    """Documents whose text is in no learned language (none, no letter, or too few known n-grams) go; filters learn as op4's do."""
     return language_id.keep_identified(docs, language_id.train(docs, queries.fold("doc_id", 4) != 2))
 
 
