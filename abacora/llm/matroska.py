@@ -1,12 +1,13 @@
 """Media columns as Matroska: payloads stored as 8-bit samples, read back from packet tables.
 
 mux() lays a payload into one file: EBML header, segment info, one 8-bit PCM track, clusters of
-laced simple blocks and cues. parse() reads files as mux() writes them, clusters of known size and frames
-of FRAME_MS (in a file with clusters of unknown size packets after the first one are missed, and
-DefaultDuration is not read), by their variable-length elements: unknown
-elements are skipped by their size, clusters and blocks (simple or grouped) are walked, Xiph, EBML
+laced simple blocks and cues. parse() reads files by their variable-length elements: unknown
+elements are skipped by their size; a segment or cluster of unknown size, as live recordings have, ends at the
+next element of a level above its children; clusters and blocks (simple or grouped) are walked, Xiph, EBML
 and fixed-size lacing are resolved, and every frame becomes a packet with track, timestamp and byte
-range; cues become (time, track, cluster position). The payload is the packets' ranges in order.
+range; frames of a lace follow each other by the track's default duration, else by what their bytes last as PCM,
+else they share the block's time. Cues become (time, track, cluster position); read_from() seeks by them and
+walks no cluster before. The payload is the packets' ranges in order.
 
 Edge cases: null text counts as empty; an empty payload is padded to one frame; equal texts give
 equal files, as nothing random or dated is stored; rows repeat as given; only id and text are read.
@@ -35,8 +36,12 @@ PAD = b"\xff"
 EBML, EBML_VERSION, EBML_READ, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING, CODEC, AUDIO, SAMPLING, CHANNELS, BITS = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION = 0x23E383
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+#: What ends an element of unknown size: elements that can't be its children.
+_ENDS = {SEGMENT: {EBML, SEGMENT}, CLUSTER: {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}}
 
 
 def vint(n: int, width: int = 0) -> bytes:
@@ -75,7 +80,7 @@ def block(track: int, relative: int, frames: list[bytes], lacing: int = 2) -> by
 
 HEADER = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_VERSION, 4) + uint(DOC_READ, 2))
 FRAME_MS = FRAME * 1000 // RATE
-_TRACKS = element(TRACKS, element(TRACK, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BITS, 8))))
+_TRACKS = element(TRACKS, element(TRACK, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(LACING, 1) + uint(DEFAULT_DURATION, FRAME_MS * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BITS, 8))))
 
 
 def padded(text: bytes) -> bytes:
@@ -102,6 +107,9 @@ def mux(payload: bytes) -> bytes:
 class Media:
     scale: int = 1_000_000
     tracks: dict[int, tuple[str, float]] = field(default_factory=dict)
+    #: ns of a frame by track, and bytes of a second of PCM by track
+    durations: dict[int, int] = field(default_factory=dict)
+    rates: dict[int, float] = field(default_factory=dict)
     #: track, timestamp in ns, first byte, size
     packets: list[tuple[int, int, int, int]] = field(default_factory=list)
     #: time in ns, track, cluster's first byte
@@ -123,17 +131,28 @@ def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, element's first byte, body's first byte, body's end); an unknown size reaches to the end of the parent."""
+    """(id, element's first byte, body's first byte, body's end)."""
     while at < end:
         kind, body, _ = read_vint(data, at, keep=True)
         size, body, _ = read_vint(data, body)
-        stop = end if size < 0 else body + size
+        stop = _open_end(data, body, end, kind) if size < 0 else body + size
         if stop > end:
             raise ValueError(f"element at byte {at} ends beyond its parent")
         yield kind, at, body, stop
         at = stop
 
 
+def _open_end(data: bytes, at: int, end: int, kind: int) -> int:
+    """Where an element of unknown size ends: before the first element that can't be in it, else with its parent."""
+    while at < end:
+        child, body, _ = read_vint(data, at, keep=True)
+        if child in _ENDS.get(kind, ()):
+            return at
+        size, body, _ = read_vint(data, body)
+        at = _open_end(data, body, end, child) if size < 0 else body + size
+    return end
+
+
 def _frames(data: bytes, at: int, end: int) -> tuple[int, int, list[tuple[int, int]]]:
     track, at, _ = read_vint(data, at)
     relative, flags = struct.unpack_from(">hB", data, at)
@@ -164,34 +183,72 @@ def _frames(data: bytes, at: int, end: int) -> tuple[int, int, list[tuple[int, i
     return track, relative, out
 
 
-def parse(data: bytes) -> Media:
+def parse(data: bytes, clusters: bool = True) -> Media:
+    """The file's tables; without clusters only what stands outside of them is read."""
     media = Media()
     for kind, _, body, stop in elements(data, 0, len(data)):
         if kind == SEGMENT:
-            _segment(data, body, stop, media)
+            _segment(data, body, stop, media, clusters)
+    return media
+
+
+def read_from(data: bytes, time_ns: int) -> Media:
+    """The tables with the packets from the last cue at or before a time on (all, if there is none)."""
+    media = parse(data, clusters=False)
+    places = [place for time, _, place in media.cues if time <= time_ns]
+    for kind, at, body, stop in elements(data, max(places) if places else media.clusters[0], len(data)) if media.clusters else ():
+        if kind == CLUSTER:
+            _cluster(data, body, stop, media)
     return media
 
 
-def _segment(data: bytes, start: int, end: int, media: Media) -> None:
-    number = lambda b, s: int.from_bytes(data[b:s], "big")
+def _number(data: bytes, start: int, end: int) -> int:
+    return int.from_bytes(data[start:end], "big")
+
+
+def _real(raw: bytes) -> float:
+    return struct.unpack({4: ">f", 8: ">d"}[len(raw)], raw)[0] if raw else 0.0
+
+
+def _track(data: bytes, start: int, end: int, media: Media) -> None:
+    inner = {k: (b, s) for k, _, b, s in elements(data, start, end)}
+    audio = {k: data[b:s] for k, _, b, s in elements(data, *inner[AUDIO])} if AUDIO in inner else {}
+    number, codec, rate = _number(data, *inner[TRACK_NUMBER]), data[slice(*inner[CODEC])].decode() if CODEC in inner else "", _real(audio.get(SAMPLING, b""))
+    media.tracks[number] = (codec, rate)
+    if DEFAULT_DURATION in inner:
+        media.durations[number] = _number(data, *inner[DEFAULT_DURATION])
+    elif codec.startswith("A_PCM"):
+        whole = lambda k, default: int.from_bytes(audio[k], "big") if k in audio else default
+        media.rates[number] = rate * whole(CHANNELS, 1) * whole(BITS, 8) / 8
+
+
+def _cluster(data: bytes, start: int, end: int, media: Media) -> None:
+    base = 0
+    for k, _, b, s in elements(data, start, end):
+        if k == TIMESTAMP:
+            base = _number(data, b, s)
+        for b2, s2 in [(b, s)] if k == SIMPLE_BLOCK else [(x[2], x[3]) for x in elements(data, b, s) if x[0] == BLOCK] if k == BLOCK_GROUP else []:
+            track, relative, frames = _frames(data, b2, s2)
+            time = (base + relative) * media.scale
+            for f, n in frames:
+                media.packets.append((track, time, f, n))
+                rate = media.rates.get(track, 0.0)
+                time += media.durations.get(track, int(n * 1_000_000_000 / rate) if rate else 0)
+
+
+def _segment(data: bytes, start: int, end: int, media: Media, clusters: bool) -> None:
+    number = lambda b, s: _number(data, b, s)
     for kind, at, body, stop in elements(data, start, end):
         if kind == INFO:
             media.scale = next((number(b, s) for k, _, b, s in elements(data, body, stop) if k == TIMESTAMP_SCALE), media.scale)
         elif kind == TRACKS:
             for k, _, b, s in elements(data, body, stop):
                 if k == TRACK:
-                    inner = {k2: (b2, s2) for k2, _, b2, s2 in elements(data, b, s)}
-                    audio = {k2: data[b2:s2] for k2, _, b2, s2 in elements(data, *inner[AUDIO])} if AUDIO in inner else {}
-                    media.tracks[number(*inner[TRACK_NUMBER])] = (data[slice(*inner[CODEC])].decode(), struct.unpack(">d", audio[SAMPLING])[0] if len(audio.get(SAMPLING, b"")) == 8 else 0.0)
+                    _track(data, b, s, media)
         elif kind == CLUSTER:
             media.clusters.append(at)
-            base = 0
-            for k, _, b, s in elements(data, body, stop):
-                if k == TIMESTAMP:
-                    base = number(b, s)
-                for b2, s2 in [(b, s)] if k == SIMPLE_BLOCK else [(x[2], x[3]) for x in elements(data, b, s) if x[0] == BLOCK] if k == BLOCK_GROUP else []:
-                    track, relative, frames = _frames(data, b2, s2)
-                    media.packets += [(track, (base + relative + i * FRAME_MS) * media.scale, f, n) for i, (f, n) in enumerate(frames)]
+            if clusters:
+                _cluster(data, body, stop, media)
         elif kind == CUES:
             for k, _, b, s in elements(data, body, stop):
                 if k == CUE_POINT:
@@ -239,6 +296,19 @@ def packets(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, packet long, track long, time_ns long, first_byte long, size long")
 
 
+def cues(media: DataFrame) -> DataFrame:
+    """The cue table of encode()'s files: doc_id, cue, time_ns, track, first_byte (of the cluster)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = parse(data, clusters=False).cues
+                cols = list(zip(*rows)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "cue", "time_ns", "track", "first_byte"])
+
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, cue long, time_ns long, track long, first_byte long")
+
+
 DECODED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()),
     T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
