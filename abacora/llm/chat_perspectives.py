@@ -6,6 +6,9 @@ perspective. The result has a row per turn and perspective: the rendered segment
 range within the whole rendering and the range that the loss mask covers (the assistant's words and
 end mark; null elsewhere). Segments in order of start, joined by nothing, are the rendering.
 
+Marks within texts and roles are escaped, so that no text can forge a turn: `<`, any number of backslashes and `|`
+get one backslash more before the `|`, which unescape() takes off again.
+
 Only DataFrame functions are used. Offsets are prefix sums in three levels (turn and a prefix of the
 text's digest; 256 turns; conversation), so no task gets all turns of a long conversation, and
 repeated rows are counted once and laid out by arithmetic. Texts cross one shuffle.
@@ -27,8 +30,17 @@ BLOCK = 256
 END = "<|end|>\n"
 
 
+def escape(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescape(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
 def _head(role: Column, perspective: Column, context: Column) -> Column:
-    return F.when(context, F.concat(F.lit("<|"), role, F.lit("|>\n"))).when(role == perspective, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+    name = escape(role)
+    return F.when(context, F.concat(F.lit("<|"), name, F.lit("|>\n"))).when(role == perspective, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,7 +56,7 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
     """conv_id, perspective, turn, role, copy, segment, seg_start, seg_end, mask_start, mask_end."""
     rows = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"), F.coalesce(conversations["role"].cast("string"), F.lit(UNKNOWN)).alias("role"), F.coalesce(conversations["text"].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.md5(F.concat_ws("\n", "role", "text")))
+    rows = rows.withColumn("digest", F.md5(F.concat_ws("\n", "role", "text"))).withColumn("text", escape(F.col("text")))
     lean = rows.groupBy("conv_id", "turn", "role", "digest").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars"))
     people = lean.filter(~F.col("role").isin(*context_roles)).groupBy("conv_id", F.col("role").alias("perspective")).agg(F.lit(1).alias("_one")).drop("_one")
     context = F.col("role").isin(*context_roles)
@@ -74,17 +86,18 @@ def rotate(conversations: DataFrame, context_roles: tuple[str, ...] = CONTEXT_RO
     )
 
 
+_SQL = lambda c: rf"regexp_replace({c}, '<(\\*)\|', '<\\\1|', 'g')"
 ORACLE = f"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS role, coalesce(text, '') AS text FROM conversations),
 d AS (SELECT *, md5(role || chr(10) || text) AS digest FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role, digest) - 1 AS copy FROM d),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
 s AS (SELECT k.*, p.perspective,
-        CASE WHEN k.role = 'system' THEN '<|' || k.role || '|>' || chr(10)
+        CASE WHEN k.role = 'system' THEN '<|' || {_SQL("k.role")} || '|>' || chr(10)
              WHEN k.role = p.perspective THEN '<|assistant|>' || chr(10)
-             ELSE '<|user name=' || k.role || '|>' || chr(10) END AS head
+             ELSE '<|user name=' || {_SQL("k.role")} || '|>' || chr(10) END AS head
       FROM k JOIN p ON k.conv_id IS NOT DISTINCT FROM p.conv_id),
-w AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM s),
+w AS (SELECT *, head || {_SQL("text")} || '<|end|>' || chr(10) AS segment FROM s),
 o AS (SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, digest, copy ROWS UNBOUNDED PRECEDING) AS seg_end FROM w)
 SELECT conv_id, perspective, turn, role, copy, segment, CAST(seg_end - length(segment) AS BIGINT) AS seg_start, CAST(seg_end AS BIGINT) AS seg_end,
        CASE WHEN role = perspective THEN CAST(seg_end - length(segment) + length(head) AS BIGINT) END AS mask_start,
