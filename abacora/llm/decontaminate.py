@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import materialize
+
 WINDOW = 8
 LITERALS = 4
 SHARE = 0.5
@@ -166,5 +168,5 @@ def _with_verdict(cand: DataFrame, items: DataFrame, docs: DataFrame, id_col: st
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns; a null doc_id stays."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == F.col("_leak"), "left_anti")
+    found = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("leak")).distinct(), "leaks")  # of its own lineage: docs may have a column of any name
+    return docs.join(found, docs["doc_id"].cast("long") == found["leak"], "left_anti")

@@ -1,5 +1,7 @@
 """Leaks that stand beside other variants, are edited, are short against their item, or have few ordinary words."""
 
+import random
+
 from abacora.llm import decontaminate
 
 ITEM = "If Anna Smith has 5 kg of apples and buys 12 more, how many kg does Anna have now?"
@@ -48,3 +50,21 @@ def test_runs_of_numbers_and_of_muddled_copies(spark):
     item = ITEM + " " + numbers + " " + " ".join(f"{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(80))
     muddled = "If Bob Jones has 7 kg of apples and buys 31 more, how many kg does Carl have now?"
     assert found(spark, [item], ["see " + " ".join(numbers.split()[5:30]), muddled + " " + numbers, muddled]) == {(0, 0, "verbatim"), (1, 0, "verbatim")}
+
+
+def test_recall_of_reparameterised_items(spark):
+    """Items with other numbers and names are found in nine of ten cases at least; with slots that contradict each other never."""
+    rng = random.Random(4)
+    things, verbs, names = "apples books coins stamps tickets".split(), "buys sells loses finds gives".split(), "Anna Bob Carla David Eva Frank Gina Hugo".split()
+    filler = [a + b for a in ("ka", "mo", "ri", "tu") for b in ("lan", "mer", "nos", "pit", "ruk")]
+    items, same, muddled = [], [], []
+    for _ in range(40):
+        middle, thing, verb = " ".join(rng.sample(filler, 2)), rng.choice(things), rng.choice(verbs)
+        say = lambda who, also, n, k, t, v, mid: f"On one day, {who} has {n} {t} and {v} {k} more of them {mid} before noon, so how many {t} does {also} hold at the end?"
+        a, b, c = rng.sample(names, 3)
+        items.append(say(a, a, rng.randint(2, 99), rng.randint(2, 99), thing, verb, middle))
+        same.append("Hello. " + say(b, b, rng.randint(100, 999), rng.randint(1000, 9999), thing, verb, middle) + " Thanks")
+        muddled.append(say(b, c, rng.randint(100, 999), rng.randint(1000, 9999), thing, verb, middle))
+    got = found(spark, items, same + muddled)
+    assert len({(d, i) for d, i, v in got if d == i and v == "reparameterised"}) >= 36
+    assert not {d for d, i, _ in got if d == i + 40}  # no 13 words in a row of its item, and a name that stands for two

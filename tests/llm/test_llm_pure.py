@@ -176,3 +176,20 @@ def test_label_model_finds_good_voters():
         votes[:, v] = np.where(rng.random(4000) < 0.3, 0, np.where(right == y, 1, -1))
     post, table, corr = toxicity.label_model(votes, 0.2)
     assert ((post > 0.5) == y).mean() > 0.95 and table[1, 0, 2] > table[1, 4, 2] and corr.shape == (6, 6)
+
+
+def test_matroska_of_unknown_sizes_and_durations():
+    """A live recording: segment and clusters of unknown size, laces without a default duration, a seek by cues."""
+    m = matroska
+    open_ = lambda kind, body: kind.to_bytes(4, "big") + b"\xff" + body
+    audio = m.element(m.AUDIO, m.element(m.SAMPLING, b"\x45\xfa\x00\x00") + m.uint(m.CHANNELS, 2) + m.uint(m.BITS, 16))  # 8000 Hz
+    tracks = m.element(m.TRACKS, m.element(m.TRACK, m.uint(m.TRACK_NUMBER, 1) + m.element(m.CODEC, b"A_PCM/INT/LIT") + audio) + m.element(m.TRACK, m.uint(m.TRACK_NUMBER, 2) + m.uint(m.DEFAULT_DURATION, 5_000_000)) + m.element(m.TRACK, m.uint(m.TRACK_NUMBER, 3)))
+    cluster = lambda t, *blocks: open_(m.CLUSTER, m.uint(m.TIMESTAMP, t) + b"".join(blocks))
+    simple = lambda track, frames: m.element(m.SIMPLE_BLOCK, m.block(track, 1, frames, 3))
+    body = tracks + cluster(10, simple(1, [b"a" * 320, b"b" * 320])) + cluster(40, simple(2, [b"c", b"dd"]), m.element(m.BLOCK_GROUP, m.element(m.BLOCK, m.block(3, 1, [b"e", b"ff"], 1)))) + m.element(m.TAGS, b"") + cluster(70, simple(2, [b"g"]))
+    media = m.parse(m.HEADER + open_(m.SEGMENT, body) + m.HEADER)
+    assert len(media.clusters) == 3
+    assert [(t, time // 1_000_000, n) for t, time, _, n in media.packets] == [(1, 11, 320), (1, 21, 320), (2, 41, 1), (2, 46, 2), (3, 41, 1), (3, 41, 2), (2, 71, 1)]
+    data = m.mux(bytes(range(256)) * 576)
+    whole, late = m.parse(data), m.read_from(data, 100 * 72_000_000)
+    assert late.packets == whole.packets[64:] and m.read_from(data, 0).packets == whole.packets and late.cues == whole.cues
