@@ -100,3 +100,9 @@ def tagged_answer(text: Column) -> Column:
 def numeric_values(text: Column) -> Column:
     """ANS10: all number strings of a text, fractions as a/b."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"-?[0-9]+(?:[.,][0-9]+)?(?:\s*/\s*[0-9]+(?:[.,][0-9]+)?)?"), F.lit(0))
+
+
+def final_answer_tail(text: Column) -> Column:
+    """ANS9: the last marker and all that follows it; null if there is none."""
+    any_marker = f"(?:{'|'.join(P.MARKERS)})"
+    return F.nullif(strip(F.regexp_extract(text, f"(?s){P.UNI}^.*({any_marker}.*)\\z", 1)), F.lit(""))

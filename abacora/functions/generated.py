@@ -10,101 +10,119 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import patterns as P
-from .numeric import evaluate, parse_expression
+from .numeric import parse_expression
 
 ANCHOR = "####đáp án là:"
 _MARKER = re.compile("|".join(f"(?:{m})" for m in P.MARKERS), re.I)
 _QUOTES = "\"'“”‘’`"
 _CANDIDATE = re.compile(r"(?<!\w)[-+]?\d+(?:[.,]\d+)?(?:\s*/\s*[-+]?\d+(?:[.,]\d+)?)?(?!\w)")
-#: Exact forms that stay as they are, then a scalar without its unit.
-_SYMBOLIC = re.compile(r"[+-]?\d*\\(?:d|t)?frac\{[^{}]+\}\{[^{}]+\}|[+-]?\d+(?:[.,]\d+)?\\sqrt(?:\{[^{}]+\}|\s*\d+)|\\sqrt\{[^{}]+\}")
-_SCALAR = re.compile(r"\s*([+-]?\d+(?:[.,]\d+)?(?:\s*/\s*[+-]?\d+(?:[.,]\d+)?)?)\b")
+#: Forms that an answer may begin with and that stay as they are, the exact ones first.
+_KEPT = (
+    re.compile(r"[+-]?\d*\\[dt]?frac\{[^{}]+\}\{[^{}]+\}"),
+    re.compile(r"(?:[+-]?\d+(?:[.,]\d+)?)?\\sqrt(?:\{[^{}]+\}|(?<=\d\\sqrt)\s*\d+)"),
+    re.compile(r"\s*[+-]?\d+(?:[.,]\d+)?(?:\s*/\s*[+-]?\d+(?:[.,]\d+)?)?\b"),
+)
+#: A stutter that generated answers end with.
+_STUTTER = re.compile(r"(?<=\d)(?:hue)+$", re.I)
+_TAG = re.compile(r"<answer>(.*?)</answer>", re.S)
+_BOX = re.compile(P.BOXED)
+
+
+#: Forms that an answer may begin with and that stay as they are, the exact ones first.
+_KEPT = (
+    re.compile(r"[+-]?\d*\\[dt]?frac\{[^{}]+\}\{[^{}]+\}"),
+    re.compile(r"(?:[+-]?\d+(?:[.,]\d+)?)?\\sqrt(?:\{[^{}]+\}|(?<=\d\\sqrt)\s*\d+)"),
+    re.compile(r"\s*[+-]?\d+(?:[.,]\d+)?(?:\s*/\s*[+-]?\d+(?:[.,]\d+)?)?\b"),
+)
+#: A stutter that generated answers end with.
+_STUTTER = re.compile(r"(?<=\d)(?:hue)+$", re.I)
+_TAG = re.compile(r"<answer>(.*?)</answer>", re.S)
+_BOX = re.compile(P.BOXED)
 
 
 def spaced(text: str | None) -> str:
-    out = re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text or ""))
-    return re.sub(r"\n{3,}", "\n\n", out).strip()
+    """Line ends as one sign, at most one blank and one empty line in a row."""
+    lines = [re.sub(r"[ \t]+", " ", x) for x in re.split(r"\r\n?|\n", text or "")]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 def answer_line(text: str | None) -> str:
     """The first line before any further marker, without signs and quotes around it."""
-    out = spaced(text)
-    cuts = [m.start() for m in _MARKER.finditer(out) if m.start() > 0]
-    out = out[: min(cuts)] if cuts else out
-    out = out.strip().split("\n")[0].strip(" \t:：").strip(_QUOTES).rstrip(" .。;；,，")
-    return out.strip(_QUOTES)
+    body = spaced(text)
+    further = _MARKER.search(body, 1)
+    line, _, _ = body[: further.start() if further else None].strip().partition("\n")
+    return line.strip(" \t:：").strip(_QUOTES).rstrip(" .。;；,，").strip(_QUOTES)
 
 
 def last_candidate(text: str | None) -> str | None:
     """The last number (or a/b) of a text that denotes one."""
-    return next((c for c in reversed(_CANDIDATE.findall(text or "")) if parse_expression(c) is not None), None)
+    numbers = [m[0] for m in _CANDIDATE.finditer(text or "") if parse_expression(m[0]) is not None]
+    return numbers[-1] if numbers else None
 
 
 def answer_value(text: str | None) -> str:
-    """XF27: an exact symbolic form, else a scalar without its unit, else what denotes a number, else the last number."""
-    ans = re.sub(r"(?<=\d)(?:hue)+$", "", answer_line(text), flags=re.I).strip()
-    if m := _SYMBOLIC.match(ans):
-        return m[0].strip()
-    m = _SCALAR.match(ans)
-    if m and parse_expression(m[1]) is not None:
-        return m[1].strip()
-    return ans if parse_expression(ans) is not None else last_candidate(ans) or ans
+    """XF27: a kept form at the answer's start, else what denotes a number as a whole, else the last number, else the text."""
+    answer = _STUTTER.sub("", answer_line(text)).strip()
+    for k, form in enumerate(_KEPT):
+        if (m := form.match(answer)) and (k < 2 or parse_expression(m[0]) is not None):
+            return m[0].strip()
+    return answer if parse_expression(answer) is not None else last_candidate(answer) or answer
 
 
 def final_answer(text: str | None) -> str | None:
     """What follows the last marker, else the last boxed part."""
-    marks = list(_MARKER.finditer(text or ""))
-    if marks:
-        return answer_line(text[max((m.start(), m.end()) for m in marks)[1] :])
-    boxes = re.findall(P.BOXED, text or "")
-    return answer_line(boxes[-1]) if boxes else None
+    ends = [m.end() for m in _MARKER.finditer(text or "")]
+    parts = [text[ends[-1] :]] if ends else [m[1] for m in _BOX.finditer(text or "")]
+    return answer_line(parts[-1]) if parts else None
 
 
 def generated_answer(text: str | None) -> str:
-    """XF27: the answer of a generated text as an anchored line."""
-    answer = final_answer(text)
-    if answer is None:
-        tagged = re.findall(r"<answer>(.*?)</answer>", text or "", re.S)
-        answer = tagged[0].strip() if len(tagged) == 1 else last_candidate(text)
-    return spaced(f"{ANCHOR} {answer_value(answer)}")
+    """XF27: the answer of a generated text as an anchored line: the final one, that of an only tag, else the last number."""
+    tagged = [m[1].strip() for m in _TAG.finditer(text or "")]
+    found = final_answer(text)
+    if found is None:
+        found = tagged[0] if len(tagged) == 1 else last_candidate(text)
+    return f"{ANCHOR} {answer_value(found)}".strip()
 
 
 def postprocess(text: str | None, prompt: str | None = None, append_number: bool = False) -> str:
-    """XF26: without an echoed prompt, cut after the first marker's line, one answer line; optionally the last number as answer."""
-    out = spaced(text)
-    if prompt and out.startswith(spaced(prompt)):
-        out = spaced(out[len(spaced(prompt)) :])
-    if m := _MARKER.search(out):
-        line = out[m.start() :].split("\n")[0]
-        out = out[: m.start()].rstrip() + "\n" + f"{ANCHOR} {answer_value(line[m.end() - m.start() :])}"
-    lines, answered = [], False
-    for line in filter(None, map(str.strip, out.split("\n"))):
-        if _MARKER.search(line):
-            if answered:
-                continue
-            answered = True
-        lines.append(line)
-    out = "\n".join(lines)
-    if not out:
-        return ANCHOR
-    if append_number and final_answer(out) is None and (found := last_candidate(out)) is not None:
-        return f"{out}\n{ANCHOR} {answer_value(found)}"
-    return out
-
-
-_STEP = re.compile(r"([\d\s+\-*/().,×]+?)\s*=\s*(-?\d+(?:[.,]\d+)?)")
+    """XF26: without an echoed prompt, ended by the first marker's line as an answer line; optionally the last number as answer."""
+    body = spaced(text)
+    body = spaced(body.removeprefix(spaced(prompt))) if prompt else body
+    mark = _MARKER.search(body)
+    steps = [x.strip() for x in body[: mark.start() if mark else None].split("\n") if x.strip()]
+    if mark:
+        value = answer_value(body[mark.end() :].split("\n")[0]) if body[mark.end() : mark.end() + 1] != "\n" else ""
+        steps.append(f"{ANCHOR} {value}".strip())
+    elif append_number and final_answer(body) is None and (number := last_candidate(body)) is not None:
+        steps.append(f"{ANCHOR} {answer_value(number)}")
+    return "\n".join(steps) or ANCHOR
+
+
+#: An equation: the longest run of arithmetic before an equals sign, and the number or a/b behind it.
+_STEP = re.compile(r"(-?\d(?:[\d\s.,()+\-*/×%^{}]|\\[dt]?frac|\\sqrt|sqrt)*?)\s*=\s*(-?\d+(?:[.,]\d+)?(?:\s*/\s*\d+(?:[.,]\d+)?)?)")
+_TAIL = re.compile(f"(?:{'|'.join(P.MARKERS)})", re.I)
+
+
+def without_tail(text: str | None, near: int = 700) -> str:
+    """ANS8 for one text: cut at the first marker of the last `near` characters, else at the last marker."""
+    body = text or ""
+    marks = [m.start() for m in _TAIL.finditer(body)]
+    late = [at for at in marks if at >= len(body) - near]
+    return body[: late[0] if late else marks[-1]].strip() if marks else body.strip()
 
 
 def equation_steps(text: str | None, gold: float | None, most: int = 4) -> list[str]:
-    """TGT5: equations of a solution that hold within 1e-6, those nearest to the gold value first, each once."""
-    found: dict[str, float] = {}
-    for left, right in _STEP.findall(text or ""):
-        expr = re.sub(r"\s+", "", left).replace("×", "*").replace(",", ".").strip(".")
-        value, wanted = evaluate(expr) if re.search(r"\d[+\-*/]", expr) else None, parse_expression(right)
-        if value is not None and wanted is not None and abs(value - wanted) <= 1e-6 * max(1.0, abs(wanted)):
-            found.setdefault(f"{expr} = {right}", wanted)
-    distance = lambda item: abs(item[1] - gold) if gold is not None and gold == gold else 0.0
-    return [step for step, _ in sorted(found.items(), key=distance)[:most]]
+    """TGT5: of the equations of a solution that hold within 1e-6 the `most` nearest to the gold value, later ones first among equals, in order of the text and each once."""
+    held = []
+    for place, m in enumerate(_STEP.finditer(without_tail(text))):
+        left = re.sub(r"\s+", "", m[1]).replace("×", "*")
+        value, stated = parse_expression(left), parse_expression(m[2])
+        if re.search(r"[+\-*/^]|frac|sqrt", left[1:]) and None not in (value, stated) and abs(value - stated) <= 1e-6 * max(1.0, abs(stated)):
+            held.append((place, stated, f"{left} = {m[2].strip()}"))
+    if gold is not None and gold == gold:
+        held.sort(key=lambda e: (abs(e[1] - gold), -e[0]))
+    return list(dict.fromkeys(step for _, _, step in sorted(held[:most])))
 
 
 @F.pandas_udf(T.StringType())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -61,12 +62,7 @@ def max_trigram_count(text: pd.Series) -> pd.Series:
 
     def one(t) -> int:
         words = (t or "").lower().split()
-        if len(words) < 3:
-            return 0
-        seen: dict = {}
-        for gram in zip(words, words[1:], words[2:]):
-            seen[gram] = seen.get(gram, 0) + 1
-        return max(seen.values())
+        return max(Counter(zip(words, words[1:], words[2:])).values(), default=0)
 
     return text.map(one).astype("int32")
 
@@ -77,6 +73,6 @@ def max_line_count(text: pd.Series) -> pd.Series:
 
     def one(t) -> int:
         lines = [x.strip() for x in (t or "").lower().splitlines() if x.strip()]
-        return int(pd.Series(lines).value_counts().max()) if lines else 0
+        return max(Counter(lines).values(), default=0)
 
     return text.map(one).astype("int32")

@@ -14,7 +14,7 @@ from . import patterns as P
 
 _TENS = ("mươi", "mười")
 #: Multipliers after a digit word, with whether a smaller number may follow.
-_SCALES = {"trăm": (100, True), "nghìn": (1_000, True), "ngàn": (1_000, True), "triệu": (1_000_000, True), "tỷ": (1_000_000_000, False), "tỉ": (1_000_000_000, False)}
+_SCALES = {word: (value, value < 1_000_000_000) for word, value in P.MAGNITUDES.items() if word not in _TENS}
 
 
 def _unit(word: str) -> int | None:
@@ -45,75 +45,138 @@ def read_number(words: list[str], at: int = 0) -> tuple[int | None, int]:
     return lead, 1
 
 
+def _bare(word: str) -> str:
+    return word.lower().strip(".,;:!?()")
+
+
+def _is_number_word(word: str) -> bool:
+    return word in P.DIGIT_WORDS or word in P.MAGNITUDES
+
+
+def _spell_out(low: list[str], at: int, so_far: list[str], words: list[str]) -> tuple[list[str], int]:
+    """What stands for the words from `at` on, and how many of them it takes."""
+    word, before, after = low[at], so_far[-1] if so_far else "", words[at + 1] if at + 1 < len(words) else ""
+    match word:
+        case _ if word in P.ORDINAL_WORDS:  # a digit word behind it is a name, not a number
+            return words[at : at + 2] if after.lower() in P.DIGIT_WORDS else [words[at]], 1 + (after.lower() in P.DIGIT_WORDS)
+        case "nửa" if re.search(r"\d", before) or re.search(r"[\d+\-*/]", after):
+            return ["0.5"], 1
+        case _ if not _is_number_word(word):
+            return [words[at]], 1
+        case _ if word in P.TIME_UNITS and before[-1:].isdigit():
+            return [words[at]], 1
+        case _ if word in P.PROTECTED_PAIRS.get(before.lower().strip(".,;:!?"), ()):
+            return [words[at]], 1
+    value, used = read_number(low, at)
+    return [str(value)], used
+
+
 def number_words_to_digits(text: str) -> str:
     """XF17: number words to digits, except after ordinal words, for time units and in protected pairs."""
     words = text.split()
-    low = [w.lower() for w in words]
-    out: list[str] = []
-    i = 0
-    while i < len(words):
-        w, before = low[i], out[-1] if out else ""
-        take = 1
-        new = words[i]
-        if w in P.ORDINAL_WORDS:
-            out.append(new)
-            i += 1
-            if i < len(words) and low[i] in P.DIGIT_WORDS:
-                out.append(words[i])
-                i += 1
-            continue
-        kept = (w in P.TIME_UNITS and before[-1:].isdigit()) or w in P.PROTECTED_PAIRS.get(before.lower().strip(".,;:!?"), ())
-        if w == "nửa":
-            after = words[i + 1] if i + 1 < len(words) else ""
-            if re.search(r"\d", before) or re.search(r"[\d+\-*/]", after):
-                new = "0.5"
-        elif not kept and (w in P.DIGIT_WORDS or w in P.MAGNITUDES):
-            value, take = read_number(low, i)
-            new = str(value)
-        out.append(new)
-        i += take
+    low, out, at = [w.lower() for w in words], [], 0
+    while at < len(words):
+        made, used = _spell_out(low, at, out, words)
+        out += made
+        at += used
     return " ".join(out)
 
 
-_WORDS = "|".join(sorted({*P.DIGIT_WORDS, *P.MAGNITUDES}, key=lambda w: (-len(w), w)))
-_N = rf"(?:\d+(?:[.,]\d+)?|{_WORDS})"
-_PERCENT = re.compile(rf"({_N})\s+phần\s+trăm", re.I)
-_OVER = re.compile(rf"({_N})\s+phần\s+({_N})", re.I)
-_PART = re.compile(r"\bphần\s+(\d+)\b")
-_TIMES = re.compile(rf"\bgấp\s+(\d+(?:[.,]\d+)?|{_WORDS})(?:\s+lần)?", re.I)
-_PHRASES = tuple((re.compile(rf"(?<=\d\s){a}\s+{b}(?=\s)", re.I), sign) for a, b, sign in (("nhân", "với", "*"), ("chia", "cho", "/"), ("cộng", "với", "+"), ("trừ", "đi", "-")))
-#: A single word's sign, and the words after which it is no operator.
-_SINGLE = {"cộng": ("+", None), "trừ": ("-", re.compile(r"^(?:phi|khi)$", re.I)), "nhân": ("*", re.compile(rf"^(?:{'|'.join(P.NOT_MULTIPLIED)})\b", re.I)), "chia": ("/", re.compile(rf"^(?:{'|'.join(P.NOT_DIVIDED)})\b", re.I))}
-
-
-def _number_near(words: list[str], at: int, reach: int = 2) -> bool:
-    near = words[max(0, at - reach) : at] + words[at + 1 : at + 1 + reach]
-    bare = (w.lower().strip(".,;:!?()") for w in near)
-    return any(re.search(r"\d", w) or w in P.DIGIT_WORDS or w in P.MAGNITUDES for w in bare)
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)?")
+#: Verbs of calculation: sign, the word that may follow, and words after which the verb is no operator.
+_VERBS = {
+    "cộng": ("+", "với", ()),
+    "trừ": ("-", "đi", ("phi", "khi")),
+    "nhân": ("*", "với", P.NOT_MULTIPLIED),
+    "chia": ("/", "cho", P.NOT_DIVIDED),
+}
+
+
+def _split(word: str) -> tuple[str, str, str]:
+    """A word's signs before it, its core and its signs after it."""
+    core = word.strip(".,;:!?()\"'")
+    at = word.find(core) if core else 0
+    return word[:at], core, word[at + len(core) :]
+
+
+def _numeral(core: str) -> bool:
+    return bool(_NUMBER.fullmatch(core)) or _is_number_word(core.lower())
+
+
+class _Operators:
+    """One pass from left to right over words; each step writes what it has read as signs."""
+
+    def __init__(self, words: list[str], percent: bool, times: bool):
+        self.words, self.percent, self.times = words, percent, times
+        self.parts = [_split(w) for w in words]
+        self.out: list[str] = []
+
+    def core(self, at: int) -> str:
+        return self.parts[at][1].lower() if 0 <= at < len(self.parts) else ""
+
+    def joins(self, at: int) -> bool:
+        """Whether nothing but blanks stands between this word and the next."""
+        return at + 1 < len(self.words) and not self.parts[at][2] and not self.parts[at + 1][0]
+
+    def run(self) -> str:
+        at = 0
+        while at < len(self.words):
+            at += self.part(at) or self.times_over(at) or self.verb(at) or self.plain(at)
+        return " ".join(self.out)
+
+    def plain(self, at: int) -> int:
+        self.out.append(self.words[at])
+        return 1
+
+    def part(self, at: int) -> int:
+        """N phần trăm, N phần M (and on: N/M phần K), phần M."""
+        if self.core(at) != "phần" or not self.joins(at):
+            return 0
+        after, last = self.parts[at + 1], self.out[-1] if self.out else ""
+        left = re.search(r"[\w.,/%]+$", last)
+        upper = left and (_NUMBER.search(left[0]) or left[0].lower() in P.DIGIT_WORDS)
+        if upper and self.percent and after[1].lower() == "trăm":
+            self.out[-1] = f"{last}%{after[2]}"
+        elif upper and _numeral(after[1]):
+            self.out[-1] = f"{last}/{after[1]}{after[2]}"
+        elif re.fullmatch(r"\d+", after[1]):
+            self.out.append(f"{self.parts[at][0]}1/{after[1]}{after[2]}")
+        else:
+            return 0
+        return 2
+
+    def times_over(self, at: int) -> int:
+        """gấp N (lần)."""
+        if not self.times or self.core(at) != "gấp" or not self.joins(at) or not _numeral(self.core(at + 1)):
+            return 0
+        folded = self.joins(at + 1) and self.core(at + 2) == "lần"
+        end = self.parts[at + 2 if folded else at + 1][2]
+        self.out.append(f"{self.parts[at][0]}* {number_words_to_digits(self.parts[at + 1][1])}{end}")
+        return 3 if folded else 2
+
+    def verb(self, at: int) -> int:
+        """A verb with its particle after a digit, or alone with a number near it."""
+        word = self.words[at].lower()
+        if word not in _VERBS:
+            return 0
+        sign, particle, unless = _VERBS[word]
+        after = self.words[at + 1].lower() if at + 1 < len(self.words) else ""
+        if after == particle and at + 2 < len(self.words) and self.out and self.out[-1][-1:].isdigit():
+            self.out.append(sign)
+            return 2
+        if _bare(after) in unless or not self.near(at):
+            return 0
+        self.out.append(sign)
+        return 1
+
+    def near(self, at: int, reach: int = 2) -> bool:
+        others = self.out[-reach:] + self.words[at + 1 : at + 1 + reach]
+        return any(re.search(r"\d", w) or _is_number_word(_bare(w)) for w in others)
 
 
 def operator_words_to_signs(text: str, convert_percent: bool = True, convert_times: bool = True) -> str:
     """XF18."""
-    text = number_words_to_digits(text)
-    if convert_percent:
-        text = _PERCENT.sub(r"\1%", text)
-    over = lambda m: f"{m[1]}/{m[2]}" if re.search(r"\d", m[1]) or m[1].lower() in P.DIGIT_WORDS else m[0]
-    while (new := _OVER.sub(over, text)) != text:
-        text = new
-    text = _PART.sub(r"1/\1", text)
-    for phrase, sign in _PHRASES:
-        text = phrase.sub(sign, text)
-    if convert_times:
-        text = _TIMES.sub(lambda m: "* " + number_words_to_digits(m[1]), text)
-    words = text.split(" ")
-    out = list(words)
-    for i, w in enumerate(words):
-        if w.lower() in _SINGLE:
-            sign, unless = _SINGLE[w.lower()]
-            after = words[i + 1] if i + 1 < len(words) else ""
-            if not (unless and unless.search(after)) and _number_near(words, i):
-                out[i] = sign
-    return " ".join(out)
+    return _Operators(number_words_to_digits(text).split(" "), convert_percent, convert_times).run()
 
 
 def normalize_math_words(text: str) -> str:

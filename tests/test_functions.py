@@ -93,6 +93,20 @@ def test_notebook_clean_keeps_notes():
     assert vietnamese.notebook_clean("a <<1,000*2=2>>  \\frac{1}{2} 1,000") == "a <<1,000*2=2>> (1/2) 1000"
 
 
+@pytest.mark.parametrize(("given", "wanted"), [
+    ("\\frac{\\sqrt{2}}{3}", None), ("\\sqrt{\\frac{1}{4}}", 0.5), ("\\boxed{\\frac{\\boxed{3}}{4}}", 0.75), ("2\\pi", 2 * 3.141592653589793), ("1/2(3)", 1.5), ("2^3^2", 512.0), ("-2^2", -4.0), ("1 000", 1000.0),
+    ("1,234,567", 1234567.0), ("1,5+1", 2.5), ("(1,2)", None), ("[3]", None), ("x = 7/2", 3.5), ("5-", None), ("2**9999", None), ("1+" * 3000 + "1", 3001.0), ("(" * 500 + "1" + ")" * 500, None), ("7//2", 3.0), ("\\sqrt 9", 3.0), ("12\\text{ cm}", 12.0), ("1/0", None), ("(-8)^(1/3)", None),
+])
+def test_grammar_of_answers(given, wanted):
+    got = numeric.parse_expression(given)
+    assert got == wanted or (wanted is not None and got == pytest.approx(wanted))
+
+
+@pytest.mark.parametrize(("given", "wanted"), [("hai phần ba phần năm", "2/3/5"), ("giảm 20 phần trăm, còn 80", "giảm 20%, còn 80"), ("lấy phần 4", "lấy 1/4"), ("gấp hai lần.", "* 2."), ("trừ khi 3", "trừ khi 3"), ("chia đều", "chia đều"), ("3 chia cho 4", "3 / 4"), ("", "")])
+def test_operator_words_in_one_pass(given, wanted):
+    assert vietnamese.operator_words_to_signs(given) == wanted
+
+
 def test_arithmetic_share():
     assert numeric.arithmetic_share("2 + 3 = 5; 2*2 = 5") == 0.5
     assert numeric.arithmetic_share("no numbers") == 1.0

@@ -18,7 +18,10 @@ def test_postprocess():
 
 
 def test_equation_steps():
-    assert G.equation_steps("2 + 3 = 5 và 5 * 2 = 10; 1 + 1 = 3; 2+3=5", 10.0) == ["5*2 = 10", "2+3 = 5"]
+    assert G.equation_steps("2 + 3 = 5 và 5 * 2 = 10; 1 + 1 = 3; 2+3=5", 10.0) == ["2+3 = 5", "5*2 = 10"]
+    assert G.equation_steps("3 + 4 = 7. Rồi 7 * 2 = 14. Đáp án là: 14", 14.0) == ["3+4 = 7", "7*2 = 14"]
+    assert G.equation_steps("1 + 1 = 2; 2 + 2 = 4; 3 + 3 = 6; 4 + 4 = 8; 5 + 5 = 10; 4 * 2 = 8", 8.0, 2) == ["4+4 = 8", "4*2 = 8"]
+    assert G.equation_steps("4 * \\frac{6}{8} = 3", None) == ["4*\\frac{6}{8} = 3"]
     assert G.equation_steps(None, None) == []
 
 
