@@ -240,6 +240,8 @@ ORACLES = {
     "stage_accounting": """WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1), d AS (SELECT d.*, coalesce(quality, 1) AS quality FROM documents d LEFT JOIN q USING (doc_id)),
         s AS (SELECT lang IN ('en', 'fr') AS a, n_chars <= 5000 AS b, NOT regexp_matches(text, '[0-9]') AS c, quality = 1 AS e FROM d)
         SELECT unnest([0, 1, 2, 3, 4]) AS stage_no, unnest(['input', 'language', 'length', 'digits', 'label']) AS stage, unnest([count(*), count(*) FILTER (a), count(*) FILTER (a AND b), count(*) FILTER (a AND b AND c), count(*) FILTER (a AND b AND c AND e)]) AS rows_left FROM s""",
+    "weighted_sample": """WITH t AS (SELECT CASE WHEN p_size <= 25 THEN 'GSM_A' ELSE 'MATH_B' END AS kind, md5('7|' || p_partkey) AS h FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h) AS rn FROM t),
+        k AS (SELECT kind FROM n ORDER BY rn > CASE WHEN kind = 'GSM_A' THEN 30 ELSE 0 END, h LIMIT 40) SELECT kind, count(*) AS n FROM k GROUP BY 1""",
     "balanced_sample": """WITH t AS (SELECT p_partkey, p_brand, md5('7|' || p_partkey) AS h FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY h) AS rn, (SELECT count(DISTINCT p_brand) FROM part) AS types FROM t),
         f AS (SELECT *, rn <= greatest(ceil(60.0 / types), 1) AS first FROM n) SELECT p_partkey, p_brand FROM f ORDER BY NOT first, CASE WHEN first THEN p_brand END, CASE WHEN first THEN rn END, h LIMIT 60""",
     "quality_diverse": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, md5('3|' || p_partkey)) AS round FROM part) SELECT p_partkey, p_brand, p_size FROM t ORDER BY round, md5('3|' || p_brand) LIMIT 50",
