@@ -10,8 +10,8 @@ class MissingPredictions(ValueError):
     """Gold records without a prediction."""
 
 
-def align_by_id(pred: DataFrame, gold: DataFrame, pred_cols: list[str], gold_cols: list[str], check: bool = False) -> DataFrame:
-    """JOIN1: every gold row with the last prediction (largest row_idx) of its id; with check, missing ids raise."""
+def align_by_id(pred: DataFrame, gold: DataFrame, pred_cols: list[str], gold_cols: list[str], check: bool = True) -> DataFrame:
+    """JOIN1: every gold row with the last prediction (largest row_idx) of its id; missing ids raise, or with check=False their rows are left out (the caller then knows that some are missing)."""
     one = pred.groupBy(F.col("id").cast("string").alias("_id")).agg(F.max_by(F.struct(*[F.col(c) for c in pred_cols]), "row_idx").alias("_p"))
     left = gold.select(F.col("id").cast("string").alias("id"), *gold_cols)
     if check:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,28 +83,55 @@ def similar_edges(nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
     return both.filter(F.col("jac") | near).select("u", "v")
 
 
-def greedy(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+#: So many open edges are settled in one task instead of in further rounds.
+SETTLE_EDGES = 200_000
+
+
+def greedy(edges: DataFrame) -> DataFrame:
     """(node, witness) of what a walk in rank order would drop, each compared with kept nodes only.
 
     Rounds settle it in parallel: a node without undecided smaller neighbours is kept, its larger
-    neighbours are dropped; the smallest kept neighbour is the witness.
+    neighbours are dropped; the smallest kept neighbour is the witness. Every round decides some nodes; once
+    SETTLE_EDGES edges or fewer are open, one task walks them in order, so long chains need no long rounds.
     """
     edges = _checkpoint(edges, "edges")
     open_, dropped = edges, None
-    for _ in range(most_rounds):
-        if not open_.take(1):
-            break
-        kept = _checkpoint(open_.select(F.col("u").alias("k")).distinct().join(open_.select(F.col("v").alias("k")).distinct(), "k", "left_anti"), "kept")
-        gone = _checkpoint(open_.join(kept, F.col("u") == F.col("k")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("witness")), "gone")
+    while left := open_.count():
+        if left <= SETTLE_EDGES:
+            gone, open_ = _walk(open_), open_.limit(0)
+        else:
+            kept = _checkpoint(open_.select(F.col("u").alias("k")).distinct().join(open_.select(F.col("v").alias("k")).distinct(), "k", "left_anti"), "kept")
+            gone = _checkpoint(open_.join(kept, F.col("u") == F.col("k")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("witness")), "gone")
+            lost = gone.select("node")
+            open_ = open_.join(lost, F.col("u") == F.col("node"), "left_anti").join(lost, F.col("v") == F.col("node"), "left_anti").join(kept, F.col("u") == F.col("k"), "left_anti")
+            open_ = _checkpoint(open_, "open")
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        lost = gone.select("node")
-        open_ = open_.join(lost, F.col("u") == F.col("node"), "left_anti").join(lost, F.col("v") == F.col("node"), "left_anti").join(kept, F.col("u") == F.col("k"), "left_anti")
-        open_ = _checkpoint(open_, "open")
-    else:
-        raise RuntimeError(f"greedy selection did not settle in {most_rounds} rounds")
     return dropped if dropped is not None else edges.select(F.col("v").alias("node"), F.col("u").alias("witness")).limit(0)
 
 
+def _walk(open_: DataFrame) -> DataFrame:
+    """node, witness of at most SETTLE_EDGES edges, in one task that reads them by larger and then smaller end. Ranks may be of any type that has an order."""
+
+    def run(frames):
+        gone, at, found = set(), None, None
+        for frame in frames:
+            rows = []
+            for u, v in zip(frame["u"].tolist(), frame["v"].tolist()):
+                if v != at:
+                    at, found = v, None
+                if found is None and u not in gone:
+                    found = u
+                    gone.add(v)
+                    rows.append((v, u))
+            yield pd.DataFrame(rows, columns=["node", "witness"])
+
+    kind = open_.schema["u"].dataType.simpleString()
+    named = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).alias(c)
+    back = lambda c: F.from_json(c, f"x {kind}")["x"].alias(c)
+    in_order = open_.repartition(1).sortWithinPartitions("v", "u").select(named("u"), named("v"))
+    return in_order.mapInPandas(run, "node string, witness string").select(back("node"), back("witness"))
+
+
 def decide(records: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     """DED1: records (row_idx, type, query, target) with decision (kept, exact, similar) and the row_idx of the kept witness.
 

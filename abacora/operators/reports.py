@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +106,7 @@ def type_table(logs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def json_after(text: Column, marker: str) -> Column:
-    """PRS4 and ANS14: the first JSON object after a marker, as a string; null if there is none."""
+    """PRS4: the first JSON object after a marker, as a string; null if there is none."""
     rest = F.split_part(text, F.lit(marker), F.lit(2))
     return F.when(F.contains(text, F.lit(marker)), _first_object(rest))
 
@@ -126,3 +129,50 @@ def _first_object(text: Column) -> Column:
         return s.map(one)
 
     return run(text)
+
+
+_FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
+
+
+def _balanced(text: str) -> Iterator[str]:
+    """Every part between a brace and the one that closes it, outer ones first; braces in quoted strings don't count."""
+    opened: list[int] = []
+    found, quoted, skip = [], False, False
+    for at, sign in enumerate(text):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = sign == "\\", sign != '"'
+        elif sign == '"':
+            quoted = bool(opened)
+        elif sign == "{":
+            opened.append(at)
+        elif sign == "}" and opened:
+            found.append((opened.pop(), at + 1))
+    return (text[a:b] for a, b in sorted(found))
+
+
+def parse_object(text: str | None) -> dict | None:
+    """ANS14: the object of a reply: that of a fenced block, of the whole text, or of the first balanced braces that hold one, as JSON or as a Python literal."""
+    body = (text or "").strip()
+    for part in [*(m[1].strip() for m in _FENCE.finditer(body)), body, *_balanced(body)]:
+        if not part.startswith("{"):
+            continue
+        for read in (json.loads, ast.literal_eval):
+            try:
+                found = read(part)
+            except (ValueError, SyntaxError, RecursionError, MemoryError):
+                continue
+            if isinstance(found, dict):
+                return found
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _object(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if (found := parse_object(t)) is None else json.dumps(found, ensure_ascii=False, default=str))
+
+
+def json_object(text: Column) -> Column:
+    """ANS14 as a JSON string; null if a text has no object."""
+    return _object(text)

@@ -55,7 +55,7 @@ def sample_by_type(rows: DataFrame, most: int, type_: str, key: str, seed: int =
     t = rows.withColumn("_h", h).withColumn("_t", F.coalesce(F.nullif(F.col(type_).cast("string"), F.lit("")), F.lit("unknown")))
     if weights is None:
         types = F.broadcast(t.agg(F.countDistinct("_t").alias("_types")))
-        t = t.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy("_h"))).crossJoin(types)
+        t = t.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy("_h"))).filter(F.col("_n") <= most).crossJoin(types)
         first = F.col("_n") <= F.greatest(F.ceil(F.lit(most) / F.greatest("_types", F.lit(1))), F.lit(1))
         ranked = t.withColumn("_late", (~first).cast("int"))
         order = ["_late", F.when(first, F.col("_t")), F.when(first, F.col("_n")), "_h"]
@@ -63,7 +63,7 @@ def sample_by_type(rows: DataFrame, most: int, type_: str, key: str, seed: int =
     pick = F.lit(None).cast("string")
     for name in reversed(list(weights)):
         pick = F.when(family(F.col("_t"), name), name).otherwise(pick)
-    t = t.withColumn("_f", pick).withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("_h")))
+    t = t.withColumn("_f", pick).withColumn("_n", F.row_number().over(Window.partitionBy("_f").orderBy("_h"))).filter(F.col("_n") <= most)  # more of a family are never taken, so the window is limited before its shuffle
     want = F.lit(0)
     for name, w in weights.items():
         want = F.when(F.col("_f") == name, round(most * w)).otherwise(want)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,3 +127,21 @@ def merge_report(old: dict, new: dict) -> dict:
     for k, v in new.items():
         out[k] = {**v, **out.get(k, {})} if k in ("config", "paths") and isinstance(v, dict) else v
     return out
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    """SNK1: the rows as one JSON array, in order of row_idx if there is one. The array is a single file by its format, so it is for reports and predictions, written by one task; the rows are not collected."""
+    rows = df.orderBy("row_idx") if "row_idx" in df.columns else df
+    one = rows.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
+
+    def framed(frames):
+        first = True
+        for frame in frames:
+            if len(frame):
+                lines = frame["value"].tolist()
+                yield pd.DataFrame({"value": [("[" if first and k == 0 else ",") + x for k, x in enumerate(lines)]})
+                first = False
+        yield pd.DataFrame({"value": ["]"]})
+
+    made = df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1) if df.isEmpty() else one.mapInPandas(framed, "value string")
+    made.write.mode("overwrite").text(path)

@@ -126,6 +126,13 @@ def test_greedy_is_not_components(spark):
     assert dedup.greedy(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("most", "n"), [(200_000, 400), (3, 9)])
+def test_greedy_settles_long_chains(spark, monkeypatch, most, n):
+    monkeypatch.setattr(dedup, "SETTLE_EDGES", most)
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long")
+    assert sorted((r["node"], r["witness"]) for r in dedup.greedy(e).collect()) == [(i, i - 1) for i in range(1, n + 1, 2)]
+
+
 def test_targets(spark):
     given = ["Lan có 2 + 3 = 5 quả. Đáp án là: 5", "Đáp án là: 2.5", "không có gì", None]
     df = spark.createDataFrame([(t,) for t in given], "response_vi string")
@@ -183,3 +190,35 @@ def test_samples(spark):
     df = spark.createDataFrame([(i, "GSM_A" if i < 90 else "MATH_B") for i in range(100)], "k int, t string")
     assert {r["t"]: r["count"] for r in select.sample_by_type(df, 20, "t", "k").groupBy("t").count().collect()} == {"GSM_A": 10, "MATH_B": 10}
     assert select.sample_by_type(df, 20, "t", "k", weights={"MATH": 0.5}).filter("t = 'MATH_B'").count() >= 10
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [('x ```json\n{"a": 1}\n``` y {"b": 2}', {"a": 1}), ('{"a": {"b": "}"}}', {"a": {"b": "}"}}), ("Say {no} then {'k': (1, 2)} end", {"k": (1, 2)}), ('bad {"a": } good {"c": [1]}', {"c": [1]}), ('{x {"d": 4}}', {"d": 4}), ("[1, 2]", None), (None, None), ("{" * 50, None)],
+)
+def test_objects_of_replies(given, wanted):
+    assert reports.parse_object(given) == wanted
+
+
+def test_json_arrays_and_tails(spark, tmp_path):
+    import json
+
+    from abacora.functions import answers
+    from abacora.sources import records
+
+    df = spark.createDataFrame([(2, "b\n", None), (1, 'a"', 1.5)], "row_idx int, t string, x double")
+    records.save_json(df, str(tmp_path / "out"))
+    read = lambda p: json.loads("".join(f.read_text() for f in sorted(p.glob("part-*"))))
+    assert read(tmp_path / "out") == [{"row_idx": 1, "t": 'a"', "x": 1.5}, {"row_idx": 2, "t": "b\n", "x": None}]
+    records.save_json(df.limit(0), str(tmp_path / "none"))
+    assert read(tmp_path / "none") == []
+    tails = [r[0] for r in spark.createDataFrame([("a. Đáp án là: 3. Đáp án là: 4 kg",), ("x",), (None,)], "t string").select(answers.final_answer_tail(F.col("t"))).collect()]
+    assert tails == ["Đáp án là: 4 kg", None, None]
+    assert [r[0] for r in df.select(reports.json_object(F.lit("so {'a': 1}"))).collect()] == ['{"a": 1}'] * 2
+
+
+def test_missing_predictions_raise(spark):
+    pred, gold = spark.createDataFrame([(1, 0, 2.0)], "id int, row_idx int, pred double"), spark.createDataFrame([(1, 1.0), (2, 1.0)], "id int, gold double")
+    with pytest.raises(align.MissingPredictions, match="1 ids"):
+        align.align_by_id(pred, gold, ["pred"], ["gold"])
+    assert align.align_by_id(pred, gold, ["pred"], ["gold"], check=False).count() == 1
