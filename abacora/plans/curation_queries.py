@@ -10,7 +10,12 @@ from ..operators import audit, curate, reports, select, taxonomy, vote
 from .corpus_queries import _KEY, _STRIP, _WORDS
 from .scoring_queries import _SCORED, _round, _scored, spread, table
 
-_text = F.col("text")
+def _text():
+    return F.col("text")
+
+
+def _whole():
+    return F.col("q").cast("int").cast("string")
 
 
 def _docs(spark, sf_dir):
@@ -23,25 +28,24 @@ def _lines(spark, sf_dir):
 
 
 _LINES = "l AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, max(l_discount) AS d FROM lineitem GROUP BY 1, 2)"
-_WHOLE = F.col("q").cast("int").cast("string")
 
 
 def signal_flags(spark, sf_dir):
     """FLT12, FLT16: signals and tags of every document."""
-    flags = {"operator": curate.has_operator(_text), "equation": curate.has_equation_signal(_text), "arithmetic": curate.has_arithmetic_signal(_text), "variable": curate.has_variable_x(_text), "repeated": curate.repeated_tags(_text), "malformed": curate.malformed_tags(_text)}
+    flags = {"operator": curate.has_operator(_text()), "equation": curate.has_equation_signal(_text()), "arithmetic": curate.has_arithmetic_signal(_text()), "variable": curate.has_variable_x(_text()), "repeated": curate.repeated_tags(_text()), "malformed": curate.malformed_tags(_text())}
     return _docs(spark, sf_dir).select("doc_id", *[f.alias(k) for k, f in flags.items()])
 
 
 def length_gates(spark, sf_dir):
     """FLT2, FLT4, FLT5, FLT8, FLT9 with the default token count."""
     kind = F.when(F.col("lang") == "en", "GSM_Rephrased").when(F.col("lang") == "de", "MATH_SV").otherwise("other")
-    gates = {"type_gate": curate.type_gate(kind, curate.token_count(_text), F.lit(1.0), 300), "short_chain": curate.short_chain(_text), "concise": curate.concise(_text, 400), "fits": curate.fits(F.lit("a b"), _text, 400), "gsm": curate.family(kind, "gsm")}
+    gates = {"type_gate": curate.type_gate(kind, curate.token_count(_text()), F.lit(1.0), 300), "short_chain": curate.short_chain(_text()), "concise": curate.concise(_text(), 400), "fits": curate.fits(F.lit("a b"), _text(), 400), "gsm": curate.family(kind, "gsm")}
     return _docs(spark, sf_dir).select("doc_id", *[g.alias(k) for k, g in gates.items()])
 
 
 def reject_reasons(spark, sf_dir):
     """FLT10 over answers made of line numbers and quantities."""
-    response = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "không có gì").when(F.col("l_linenumber") == 3, "Đáp án là: nhiều").otherwise(F.concat(F.lit("Ta có. Đáp án là: "), _WHOLE))
+    response = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "không có gì").when(F.col("l_linenumber") == 3, "Đáp án là: nhiều").otherwise(F.concat(F.lit("Ta có. Đáp án là: "), _whole()))
     kind = F.when(F.col("l_linenumber") == 7, "MATH_SV").otherwise("GSM_SV")
     reason = curate.reject_reason(F.lit("q"), response, F.col("l_orderkey"), 50, kind, "GSM")
     return _lines(spark, sf_dir).groupBy(F.coalesce(reason, F.lit("prepared")).alias("reason")).agg(F.count("*").alias("n"))
@@ -96,9 +100,9 @@ def rewritten_fields(spark, sf_dir):
 
 def quality_scores(spark, sf_dir):
     """QLT1, with TGT8's targets."""
-    lines = F.when(F.col("l_linenumber") == 1, F.array().cast("array<string>")).when(F.col("l_linenumber") == 2, F.array(F.lit("không có"))).otherwise(F.array(F.concat(_WHOLE, F.lit(" + 1"))))
-    target = curate.solution_target(lines, _WHOLE)
-    score = select.quality_score(target, lines, F.col("l_linenumber") == 3, F.when(F.col("l_linenumber") == 4, "x").otherwise(_WHOLE))
+    lines = F.when(F.col("l_linenumber") == 1, F.array().cast("array<string>")).when(F.col("l_linenumber") == 2, F.array(F.lit("không có"))).otherwise(F.array(F.concat(_whole(), F.lit(" + 1"))))
+    target = curate.solution_target(lines, _whole())
+    score = select.quality_score(target, lines, F.col("l_linenumber") == 3, F.when(F.col("l_linenumber") == 4, "x").otherwise(_whole()))
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.md5(target).alias("target_md5"), score.cast("long").alias("quality"))
 
 
@@ -117,15 +121,15 @@ def promoted_run(spark, sf_dir):
 
 def self_distilled(spark, sf_dir):
     """TGT9."""
-    text = F.concat(F.repeat(F.lit("lời giải "), F.col("q").cast("int")), _WHOLE, F.lit("-"), F.col("l_linenumber").cast("string"))
-    c = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("record_id"), F.col("d").alias("rel_error"), text.alias("text"), _WHOLE.alias("answer"))
+    text = F.concat(F.repeat(F.lit("lời giải "), F.col("q").cast("int")), _whole(), F.lit("-"), F.col("l_linenumber").cast("string"))
+    c = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("record_id"), F.col("d").alias("rel_error"), text.alias("text"), _whole().alias("answer"))
     return vote.self_distilled(c, 0.05, 200)
 
 
 def prompts(spark, sf_dir):
     """XF20, XF21, XF22: a digest of every document's prompts."""
     kind = F.when(F.col("lang") == "en", "GSM_SV")
-    query = X.first_text(F.lit(""), F.lit(None).cast("string"), _text)
+    query = X.first_text(F.lit(""), F.lit(None).cast("string"), _text())
     made = [X.build_prompt(query, s, kind).alias(s) for s in ("plain", "instruction", "typed_instruction", "answer_marker", "typed_answer_marker")]
     return _docs(spark, sf_dir).select("doc_id", *made).select("doc_id", *[F.md5(s).alias(s) for s in ("plain", "instruction", "typed_instruction", "answer_marker", "typed_answer_marker")])
 
@@ -139,35 +143,35 @@ def tagged_turns(spark, sf_dir):
 
 def number_counts(spark, sf_dir):
     """ANS10: how many numbers a document holds, and its last."""
-    n = answers.numeric_values(_text)
+    n = answers.numeric_values(_text())
     return _docs(spark, sf_dir).select("doc_id", F.size(n).alias("numbers"), F.try_element_at(n, F.lit(-1)).alias("last"))
 
 
 def unit_answers(spark, sf_dir):
     """ANS11, XF8, XF25."""
-    q = F.concat(_WHOLE, F.element_at(F.array(*[F.lit(x) for x in (" kg táo", " %", "/2 m", "", "x")]), (F.col("l_linenumber") % 5 + 1).cast("int")))
-    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", answers.strip_units(q).alias("bare"), X.strip_trailing_artifacts(F.concat(_WHOLE, F.lit(" hue.hue ")), ["hue", "."]).alias("clean"), X.strip_math_delimiters(F.concat(F.lit(r"$\boxed{"), _WHOLE, F.lit(r"} \times 2$"))).alias("math"))
+    q = F.concat(_whole(), F.element_at(F.array(*[F.lit(x) for x in (" kg táo", " %", "/2 m", "", "x")]), (F.col("l_linenumber") % 5 + 1).cast("int")))
+    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", answers.strip_units(q).alias("bare"), X.strip_trailing_artifacts(F.concat(_whole(), F.lit(" hue.hue ")), ["hue", "."]).alias("clean"), X.strip_math_delimiters(F.concat(F.lit(r"$\boxed{"), _whole(), F.lit(r"} \times 2$"))).alias("math"))
 
 
 def assignments(spark, sf_dir):
     """FLT13, FLT14."""
-    line = F.concat(F.lit("x = "), _WHOLE)
+    line = F.concat(F.lit("x = "), _whole())
     ok = curate.direct_assignment(line, F.col("q") + F.col("l_linenumber") / 10)
-    clean = curate.clean_target_line(F.concat(F.when(F.col("l_linenumber") % 2 == 0, F.lit("y + ")).otherwise(F.lit("y ")), _WHOLE))
+    clean = curate.clean_target_line(F.concat(F.when(F.col("l_linenumber") % 2 == 0, F.lit("y + ")).otherwise(F.lit("y ")), _whole()))
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", ok.alias("assigned"), clean.alias("clean"))
 
 
 def validation_errors(spark, sf_dir):
     """FLT15: the first rejection code by line number."""
-    k, one = F.col("l_linenumber"), F.array(F.concat(_WHOLE, F.lit(" + 0 = "), _WHOLE))
+    k, one = F.col("l_linenumber"), F.array(F.concat(_whole(), F.lit(" + 0 = "), _whole()))
     lines = F.when(k == 2, F.array().cast("array<string>")).when(k == 3, F.array_repeat(F.lit("1 + 1"), 5)).when(k == 4, F.array(F.lit("Đáp án là: 3"))).when(k == 5, F.array(F.lit("<b>1</b>"))).otherwise(one)
-    code = curate.validation_error(F.when(k == 1, "").otherwise(_WHOLE), F.when(k == 6, "-1").otherwise(_WHOLE), lines)
+    code = curate.validation_error(F.when(k == 1, "").otherwise(_whole()), F.when(k == 6, "-1").otherwise(_whole()), lines)
     return _lines(spark, sf_dir).groupBy(F.coalesce(code, F.lit("valid")).alias("code")).agg(F.count("*").alias("n"))
 
 
 def sentence_counts(spark, sf_dir):
     """XF23, TGT6: sentences and clauses of every document."""
-    return _docs(spark, sf_dir).select("doc_id", F.size(X.split_sentences(_text)).alias("sentences"), F.size(curate.split_clauses(_text)).alias("clauses"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(X.split_sentences(_text())).alias("sentences"), F.size(curate.split_clauses(_text())).alias("clauses"))
 
 
 def _queries(*made) -> dict:
