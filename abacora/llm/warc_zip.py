@@ -1,10 +1,18 @@
 """Web archives packaged in ZIP files: stored members, an index, and range reads of single records.
 
-An archive holds two stored (uncompressed) members: archive/data.warc.gz, WARC records each its own
-gzip member, and indexes/index.cdx, a line per record with its byte range within the first. The
-reader never extracts: it fetches the file's tail, follows the end record (or the ZIP64 locator and
-end record) to the central directory, takes offsets and sizes from it and from ZIP64 extra fields,
-skips the local header and reads the index and then the records by byte range, near ranges together.
+An archive holds stored (uncompressed) members archive/*.warc.gz, WARC records each its own gzip
+member, and an index, a line per record with the member's name and the byte range within it. The
+writer makes data members of about MEMBER_BYTES and one sorted indexes/index.cdxj. The reader takes any
+number of data members and of indexes (.cdxj, .cdx with its line of field letters, either also
+packed as .gz; lines that begin with ! are skipped). It never extracts: it fetches the file's tail,
+follows the end record (or the ZIP64 locator and end record) to the central directory, takes offsets
+and sizes from it and from ZIP64 extra fields and skips the local header. One pass over the archives
+reads the indexes and gives byte ranges of about READ_BYTES; these are dealt over all tasks and read.
+
+Of records by other writers the page_id is null; payload_bytes of a revisit without a length in its
+heads is null; a payload sent in chunks or packed is given as it was stored and its digest not
+checked; a block that is no HTTP message is the payload. An index entry whose member is missing or
+isn't stored raises, as does an archive without an index.
 
 Records of equal payload are stored once. Of the rows whose payloads are equal and have at least
 min_revisit_bytes bytes, the one with the largest page_id is a response and the others are revisit
@@ -23,12 +31,14 @@ manifest names those of tasks that succeeded, so repeated tasks leave unread fil
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -38,8 +48,10 @@ from pyspark.sql import types as T
 
 from ._shared import materialize, scratch_path
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+DATA, INDEX = "archive/data-{:05d}.warc.gz", "indexes/index.cdxj"
+INDEXES = (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
 ARCHIVE_BYTES = 64 << 20
+MEMBER_BYTES = 16 << 20
 READ_BYTES = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,6 +164,17 @@ class ZipReader:
         return start + 30 + names + extras, size
 
 
+    def whole(self, name: str) -> bytes:
+        """A member's data, unpacked if the archive packs it."""
+        start, packed, _, method = self.members[name]
+        if not method:
+            return self.read(*self.stored(name))
+        if method != 8:
+            raise ValueError(f"{name} is packed by method {method}")
+        names, extras = struct.unpack_from("<HH", self.read(start, 30), 26)
+        return zlib.decompress(self.read(start + 30 + names + extras, packed), -15)
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -162,14 +185,66 @@ def _record_id(page_id) -> str:
 
 def _page_id(record_id: str):
     x = record_id.removeprefix("<urn:page:").removesuffix(">")
-    return None if x == UNKNOWN_ID else int(x)
+    return int(x) if x.removeprefix("-").isdecimal() else None
+
+
+def _target(page_id, url: str | None) -> str:
+    return f"urn:page:{page_id}" if not url else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
+
+
+def sort_key(url: str) -> str:
+    """A URL with its host's names in reverse order, as indexes sort them; others as they are."""
+    try:
+        host = urlsplit(url).hostname
+    except ValueError:
+        host = None
+    return f"{','.join(reversed(host.split('.')))}){urlsplit(url).path or '/'}".replace(" ", "%20") if host else url
+
+
+def index_line(url: str, digest: str, revisit: bool, filename: str, offset: int, length: int) -> str:
+    about = {"url": url, "mime": "warc/revisit" if revisit else "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(length), "offset": str(offset), "filename": filename}
+    return f"{sort_key(url)} {''.join(c for c in DATE if c.isdecimal())} {json.dumps(about)}\n"
+
+
+def parse_index(text: str) -> Iterator[tuple[str, int, int]]:
+    """File name, offset and length of every line of a CDXJ or CDX index."""
+    letters = None
+    for line in text.split("\n"):
+        if not line.strip() or line.startswith("!"):
+            continue
+        words = line.split()
+        if words[0] == "CDX":
+            letters = words[1:]
+        elif letters:
+            about = dict(zip(letters, words))
+            yield about["g"], int(about["V"]), int(about["S"])
+        else:
+            about = json.loads(line[line.index("{") :])
+            yield about["filename"], int(about["offset"]), int(about["length"])
+
+
+def locate(archive: ZipReader) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Position in the archive of each data member that the indexes name, and its records' ranges in order, each once."""
+    indexes = [n for n in sorted(archive.members) if n.startswith("indexes/") and n.endswith(INDEXES)]
+    if not indexes:
+        raise ValueError("the archive holds no index of its records")
+    found: dict[str, set[tuple[int, int]]] = {}
+    for name in indexes:
+        raw = archive.whole(name)
+        for filename, offset, length in parse_index((gzip.decompress(raw) if name.endswith(".gz") else raw).decode("utf-8", "replace")):
+            found.setdefault(filename, set()).add((offset, length))
+    for filename, ranges in sorted(found.items()):
+        member = next((n for n in (f"archive/{filename}", filename) if n in archive.members), None)
+        if member is None:
+            raise ValueError(f"the index names {filename}, which isn't in the archive")
+        yield archive.stored(member)[0], sorted(ranges)
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
     """A WARC record; of a revisit the payload is left out but its length and digest stand in the heads."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    target = f"urn:page:{page_id}" if not url else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
+    target = _target(page_id, url)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}"]
     if revisit:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}"]
@@ -183,17 +258,26 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     fields = lambda lines: {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     warc = fields(head.decode().split("\r\n")[1:])
     block = rest[: int(warc["content-length"])]
+    if not warc.get("content-type", "application/http").startswith("application/http"):
+        return warc, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
     return warc, fields(http.decode("latin-1").split("\r\n")[1:]), payload
 
 
 def with_winners(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, revisit and refers_to of every row. A payload's group is reduced to its largest id before the join."""
+    """page_id, url, payload, digest, revisit and refers_to of every row.
+
+    A payload's group is reduced to its largest id over ids and digests alone; payloads then meet their answer on
+    digest and id together, so rows of a very frequent payload don't gather in one task (and don't move if the answers fit a broadcast).
+    """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.withColumn("digest", F.sha1("payload"))
-    winners = keyed.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("winner"))
+    keyed = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    ids = keyed.select("digest", "page_id").distinct()
+    winners = ids.groupBy("digest").agg(F.max("page_id").alias("winner"))
+    marks = ids.join(winners, "digest").select(F.col("digest").alias("d"), F.col("page_id").alias("i"), "winner")
     again = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")) & (F.length("payload") >= min_revisit_bytes)
-    return keyed.join(winners, F.col("digest") == F.col("d")).select("page_id", "url", "payload", again.alias("revisit"), F.when(again, F.col("winner")).alias("refers_to"))
+    met = keyed.join(marks, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("i")))
+    return met.select("page_id", "url", "payload", "digest", again.alias("revisit"), F.when(again, F.col("winner")).alias("refers_to"))
 
 
 _MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("records", T.LongType())])
@@ -205,27 +289,33 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        zipped, lines, done = None, [], []
+        zipped, lines, done, member = None, [], [], 0
 
         def close():
             zipped.end()
             zipped.begin(INDEX)
-            zipped.write("".join(lines).encode())
+            zipped.write("".join(sorted(lines)).encode())
             zipped.end()
             size = zipped.close()
             zipped.out.close()
             done.append((path, size, len(lines)))
 
         for batch in batches:
-            for page_id, url, payload, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, digest, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if zipped is None:
                     path = f"{base}/{uuid.uuid4().hex}.wacz"
                     zipped, lines = ZipWriter(store.open_output_stream(path)), []
-                    zipped.begin(DATA)
+                    member = 0
+                elif zipped.at - first >= MEMBER_BYTES:
+                    zipped.end()
+                    member += 1
+                if not lines or name != DATA.format(member):
+                    name = DATA.format(member)
+                    zipped.begin(name)
                     first = zipped.at
                 gz = zlib.compressobj(3, zlib.DEFLATED, 31)
                 raw = gz.compress(record(page_id, url, payload, refers_to, revisit)) + gz.flush()
-                lines.append(f"{zipped.at - first} {len(raw)}\n")
+                lines.append(index_line(_target(page_id, url), base64.b32encode(digest).decode(), revisit, name.removeprefix("archive/"), zipped.at - first, len(raw)))
                 zipped.write(raw)
                 if zipped.at >= ARCHIVE_BYTES:
                     close()
@@ -243,24 +333,35 @@ READ = T.StructType([
 ])
 
 
+_RANGES = T.StructType([T.StructField("path", T.StringType()), T.StructField("first", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType()))])
+
+
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """Every record of the manifest's archives by range reads; a response's digest is taken from its payload and must be the one in its head."""
+    """Every record that the indexes of the manifest's archives name, by range reads; a response's digest is taken from its payload and must be the one in its head."""
+    tasks = manifest.sparkSession.sparkContext.defaultParallelism
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with store.open_input_file(path) as file:
-                    archive = ZipReader(file, file.size())
-                    first, _ = archive.stored(DATA)
-                    ranges = [tuple(map(int, x.split())) for x in archive.read(*archive.stored(INDEX)).splitlines()]
-                    for group in _near(ranges):
-                        base = group[0][0]
-                        raw = archive.read(first + base, group[-1][0] + group[-1][1] - base)
-                        rows = [_row(raw[a - base : a - base + n], with_payload) for a, n in group]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(t)) for c, t in zip(zip(*rows), ("int64", "int64", "string", "string", "int64", "string", "binary"))], names=READ.names)
+                    for first, ranges in locate(ZipReader(file, file.size())):
+                        groups = list(_near(ranges))
+                        lists = [pa.array([[r[k] for r in g] for g in groups], pa.list_(pa.int64())) for k in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(groups)), pa.array([first] * len(groups), pa.int64()), *lists], names=_RANGES.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for part in batch.to_pylist():
+                base = part["starts"][0]
+                with store.open_input_file(part["path"]) as file:
+                    file.seek(part["first"] + base)
+                    raw = file.read(part["starts"][-1] + part["lengths"][-1] - base)
+                rows = [_row(raw[a - base : a - base + n], with_payload) for a, n in zip(part["starts"], part["lengths"])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(t)) for c, t in zip(zip(*rows), ("int64", "int64", "string", "string", "int64", "string", "binary"))], names=READ.names)
 
-    return manifest.select("path").repartition(manifest.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, READ)
+    return manifest.select("path").repartition(tasks).mapInArrow(find, _RANGES).repartition(tasks).mapInArrow(run, READ)
 
 
 def _near(ranges: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -276,11 +377,15 @@ def _near(ranges: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
 
 def _row(raw: bytes, with_payload: bool) -> tuple:
     warc, http, payload = parse_record(zlib.decompress(raw, 31))
-    digest, kind = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
-    if kind == "response" and base32_sha1(payload) != digest:
-        raise ValueError(f"the payload of {warc['warc-record-id']} doesn't have its digest")
-    refers = _page_id(warc["warc-refers-to"]) if kind == "revisit" else None
-    return _page_id(warc["warc-record-id"]), int(http["content-length"]), digest, kind, refers, warc["warc-target-uri"], payload if with_payload else None
+    kind, said = warc["warc-type"], warc.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if kind == "revisit":
+        size, digest = int(http["content-length"]) if http.get("content-length", "").isdecimal() else None, said
+    else:
+        size, digest = len(payload), base32_sha1(payload)
+        if said not in (None, digest) and ":" not in said and not {"transfer-encoding", "content-encoding"} & http.keys():
+            raise ValueError(f"the payload of {warc['warc-record-id']} doesn't have its digest")
+    refers = _page_id(warc.get("warc-refers-to", UNKNOWN_ID)) if kind == "revisit" else None
+    return _page_id(warc["warc-record-id"]), size, digest, kind, refers, warc.get("warc-target-uri"), payload if with_payload else None
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:

@@ -307,6 +307,19 @@ def test_warc_round_trip(spark):
     assert warc_zip.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_members_and_clashes(spark, monkeypatch, tmp_path):
+    """Many data members in an archive, a payload of a third of all rows, columns with clashing names."""
+    monkeypatch.setattr(warc_zip, "MEMBER_BYTES", 200)
+    rows = [(i, f"http://h.x/{i}", "hot" if i % 3 == 0 else f"{i} " * 50, 1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int, winner int")
+    folder = tmp_path.as_uri()
+    got = warc_zip.read_archives(warc_zip.write_archives(df.coalesce(1), folder), folder).collect()
+    assert sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in got) == [(i, u, *(("revisit", 57, b"") if h == "hot" and i != 57 else ("response", None, h.encode()))) for i, u, h, *_ in rows]
+    one = next(tmp_path.glob("*.wacz"))
+    with one.open("rb") as file:
+        assert sum(n.startswith("archive/") for n in warc_zip.ZipReader(file, one.stat().st_size).members) > 3
+
+
 def test_chat_perspectives(spark):
     import duckdb
 

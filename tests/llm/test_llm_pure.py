@@ -1,7 +1,9 @@
 """Parts of the llm operators that need no Spark."""
 
+import gzip
 import io
 import random
+import zipfile
 
 import numpy as np
 import pytest
@@ -92,24 +94,23 @@ def test_damaged_matroska_is_refused():
 
 @pytest.mark.parametrize("force_old", [False, True])
 def test_zip_reader(force_old):
-    import zipfile
 
     out = io.BytesIO()
     if force_old:  # another writer's archive, with a comment and a packed member
         with zipfile.ZipFile(out, "w") as z:
-            z.writestr(warc_zip.DATA, b"0123456789")
+            z.writestr("archive/data.warc.gz", b"0123456789")
             z.writestr("é.txt", b"x" * 99, zipfile.ZIP_DEFLATED)
             z.comment = b"PK\x05\x06 in a comment"
     else:
         w = warc_zip.ZipWriter(out)
-        for name, body in ((warc_zip.DATA, b"0123456789"), ("é.txt", b"")):
+        for name, body in (("archive/data.warc.gz", b"0123456789"), ("é.txt", b"")):
             w.begin(name)
             w.write(body)
             w.end()
         assert w.close() == len(out.getvalue())
-        assert zipfile.ZipFile(io.BytesIO(out.getvalue())).read(warc_zip.DATA) == b"0123456789"
+        assert zipfile.ZipFile(io.BytesIO(out.getvalue())).read("archive/data.warc.gz") == b"0123456789"
     z = warc_zip.ZipReader(io.BytesIO(out.getvalue()), len(out.getvalue()))
-    at, n = z.stored(warc_zip.DATA)
+    at, n = z.stored("archive/data.warc.gz")
     assert z.read(at + 2, 3) == b"234" and n == 10 and "é.txt" in z.members
     if force_old:
         with pytest.raises(ValueError, match="stored"):
@@ -118,6 +119,38 @@ def test_zip_reader(force_old):
         warc_zip.ZipReader(io.BytesIO(b"no zip"), 6)
 
 
+def test_archives_of_other_writers():
+    """Several data members, a CDXJ index packed as gzip, a classic index packed by the archive, a record without an id of ours."""
+    one = [gzip.compress(warc_zip.record(i, f"http://b.a/{i}", b"x" * i)) for i in range(3)]
+    strange = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: text/plain\r\nContent-Length: 7\r\n\r\na\r\n\r\nbc\r\n\r\n"
+    two = gzip.compress(strange)
+    out = io.BytesIO()
+    starts = [0, len(one[0]), len(one[0]) + len(one[1])]
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/one.warc.gz", b"".join(one))
+        z.writestr("archive/two.warc.gz", b"skip" + two)
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        lines = ['!meta 0 {"format": "x"}\n'] + [warc_zip.index_line(f"http://b.a/{i}", "D", False, "one.warc.gz", starts[i], len(one[i])) for i in (2, 0, 1, 0)]
+        z.writestr("indexes/index.cdx.gz", gzip.compress("".join(lines[:2]).encode()) + gzip.compress("".join(lines[2:]).encode()))
+        z.writestr("indexes/two.cdx", f" CDX N b a m s k r M S V g\nk 1 u text/plain 200 D - - {len(two)} 4 two.warc.gz\n", zipfile.ZIP_DEFLATED)
+    archive = warc_zip.ZipReader(io.BytesIO(out.getvalue()), len(out.getvalue()))
+    found = list(warc_zip.locate(archive))
+    assert [r for _, r in found] == [list(zip(starts, map(len, one))), [(4, len(two))]]
+    rows = [warc_zip._row(archive.read(first + a, n), True) for first, ranges in found for a, n in ranges]
+    assert [(r[0], r[1], r[3], r[6]) for r in rows] == [(0, 0, "response", b""), (1, 1, "response", b"x"), (2, 2, "response", b"xx"), (None, 7, "resource", b"a\r\n\r\nbc")]
+    assert warc_zip.sort_key("http://b.a/2?q") == "a,b)/2" and warc_zip.sort_key("urn:page:1") == "urn:page:1"
+
+
+def test_archives_with_faults():
+    for members, said in (({"archive/a.warc.gz": b""}, "no index"), ({"indexes/i.cdxj": b'k 1 {"filename": "b", "offset": 0, "length": 1}'}, "names b")):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in members.items():
+                z.writestr(name, body)
+        with pytest.raises(ValueError, match=said):
+            list(warc_zip.locate(warc_zip.ZipReader(io.BytesIO(out.getvalue()), len(out.getvalue()))))
+
+
 def test_warc_records():
     raw = warc_zip.record(5, "http://x/a b\r\nWARC-Type: evil", b"\r\n\r\nbody\r\n")
     warc, http, payload = warc_zip.parse_record(raw)
