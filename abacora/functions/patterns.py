@@ -58,3 +58,7 @@ NOT_DIVIDED = ("sẻ", "tay", "rẽ", "cắt", "lửa", "buồn", "vui", "ngọt
 
 PROMPT = "Câu hỏi: {q}\nGiải:\n"
 REQUIRED_FIELDS = ("id", "query_vi", "type", "model_output")
+
+#: How built targets begin.
+TARGET_ANCHOR = "####đáp án là:"
+PROGRAM_STEP = r"(?m)^(?:s|step_)\d+\s*="

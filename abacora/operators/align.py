@@ -50,3 +50,19 @@ def with_row_idx(df: DataFrame, *order: str) -> DataFrame:
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     return spread.join(F.broadcast(before), "_part").withColumn("row_idx", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
+def lookup_by_position(rows: DataFrame, pred: DataFrame, id_: str = "id") -> DataFrame:
+    """JOIN8: every row with the prediction at the position that its id names; null columns where there is none."""
+    at = pred.withColumnRenamed("row_idx", "position")
+    return rows.join(at, F.expr(f"try_cast(`{id_}` AS bigint)") == F.col("position"), "left").drop("position")
+
+
+def with_examples(failures: DataFrame, pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """JOIN9: failed rows with their prediction and gold record, by row_idx; the failures are the small side and decide what is read on."""
+    return failures.join(pred, "row_idx").join(gold, "row_idx")
+
+
+def in_original_order(rows: DataFrame) -> DataFrame:
+    """SRT7."""
+    return rows.orderBy("row_idx")

@@ -217,3 +217,42 @@ def split_clauses(text: Column) -> Column:
 def equation_lines(text: Column, allow_x: bool = False) -> Column:
     """TGT6: clauses that are clean equation lines."""
     return F.filter(split_clauses(text), lambda s: s.rlike("=") & s.rlike("[0-9]") & clean_target_line(s, allow_x))
+
+
+def gold_parses(response: Column) -> Column:
+    """FLT6: the gold answer can be read as a number."""
+    return F.coalesce(numeric.parse_number(answers.extract_answer(response)).isNotNull(), F.lit(False))
+
+
+def train_candidates(rows: DataFrame, most: int | None = None, query: str = "query_vi", response: str = "response_vi") -> DataFrame:
+    """FLT17: rows with both texts and a numeric gold answer; of these the first by row_idx, all with None."""
+    said = lambda c: X.strip(F.coalesce(F.col(c), F.lit(""))) != ""
+    kept = rows.filter(said(query) & said(response)).filter(gold_parses(F.col(response)))
+    return kept if most is None else kept.orderBy("row_idx").limit(most)
+
+
+def target_decisions(records: DataFrame, target: str = "target", kind: Column | None = None, response: str = "response_vi", numeric_only: bool = True) -> DataFrame:
+    """What becomes of each built target: decision (kept, skipped, anchor_error) and, of kept ones, target_kind.
+
+    A target must stand for a gold answer (a number with numeric_only) and hold one answer anchor.
+    """
+    text = F.coalesce(F.col(target), F.lit(""))
+    has_gold = gold_parses(F.col(response)) if numeric_only else answers.extract_answer(F.col(response)).isNotNull()
+    decision = F.when(~has_gold | (text == ""), "skipped").when(answers.count_anchors(text) != 1, "anchor_error").otherwise("kept")
+    named = F.nullif(kind, F.lit("")) if kind is not None else F.lit(None).cast("string")
+    shape = F.when(text.startswith(P.TARGET_ANCHOR), F.coalesce(named, F.lit("answer_only"))).when(text.rlike(P.PROGRAM_STEP), F.lit("fdd_lite_pot")).otherwise(F.coalesce(named, F.lit("equation_short")))
+    return records.select("*", decision.alias("decision"), F.when(decision == "kept", shape).alias("target_kind"))
+
+
+def target_report(decided: DataFrame, target: str = "target") -> DataFrame:
+    """AGG12: counts of decisions and length percentiles of kept targets; anchor errors count as skipped too."""
+    kept = F.col("decision") == "kept"
+    return decided.agg(
+        F.count("*").alias("input_records"), F.count_if(kept).alias("kept_records"), F.count_if(~kept).alias("skipped_records"), F.count_if(F.col("decision") == "anchor_error").alias("anchor_errors"),
+        *[F.percentile(F.when(kept, F.length(target)), F.lit(q / 100)).alias(f"chars_p{q}") for q in (50, 90, 95, 99)],
+    )
+
+
+def target_kinds(decided: DataFrame) -> DataFrame:
+    """AGG12: how many targets of each kind are kept."""
+    return decided.filter("decision = 'kept'").groupBy("target_kind").agg(F.count("*").alias("n"))

@@ -222,3 +222,21 @@ def test_missing_predictions_raise(spark):
     with pytest.raises(align.MissingPredictions, match="1 ids"):
         align.align_by_id(pred, gold, ["pred"], ["gold"])
     assert align.align_by_id(pred, gold, ["pred"], ["gold"], check=False).count() == 1
+
+
+def test_lookups_by_position(spark):
+    rows = spark.createDataFrame([("1",), ("7",), ("x",), (None,)], "id string")
+    pred = spark.createDataFrame([(0, "a"), (1, "b")], "row_idx long, pred string")
+    assert {r["id"]: r["pred"] for r in align.lookup_by_position(rows, pred).collect()} == {"1": "b", "7": None, "x": None, None: None}
+    gold = spark.createDataFrame([(1, "g"), (0, "h")], "row_idx long, gold string")
+    assert [tuple(r) for r in align.in_original_order(align.with_examples(gold.select("row_idx"), pred, gold)).collect()] == [(0, "a", "h"), (1, "b", "g")]
+
+
+def test_target_decisions(spark):
+    rows = [("####đáp án là: 3", "####đáp án là: 3", "k"), ("####đáp án là: 3", "s1 = 3\n####đáp án là: 3", "k"), ("####đáp án là: 3", "a", "k"), ("####đáp án là: 3", "b\n####đáp án là: 3", "k"), ("####đáp án là: x y", "####đáp án là: 3", None), (None, None, None), ("####đáp án là: 3", "", "k")]
+    df = spark.createDataFrame(rows, "response_vi string, target string, kind string")
+    got = curate.target_decisions(df, kind=F.col("kind"))
+    assert [(r["decision"], r["target_kind"]) for r in got.collect()] == [("kept", "k"), ("kept", "fdd_lite_pot"), ("anchor_error", None), ("kept", "k"), ("skipped", None), ("skipped", None), ("skipped", None)]
+    r = curate.target_report(got).first()
+    assert (r["input_records"], r["kept_records"], r["skipped_records"], r["anchor_errors"]) == (7, 3, 4, 1)
+    assert curate.target_report(got.limit(0)).first()["input_records"] == 0
