@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_perspectives, decontaminate, jaccard_join, language_id, license_scan, matroska, substring_index, toxicity, warc_zip
+from . import bpe, centroid_clustering, chat_perspectives, decontaminate, hidden_markov, jaccard_join, language_id, license_scan, matroska, periodic_runs, substring_index, toxicity, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,21 @@ def op9_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = hidden_markov.train_and_score(docs, fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.runs(table(spark, sf_dir, "documents"), number=F.crc32(F.col("doc_id").cast("string").cast("binary")), text_out=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_decontaminate": op2_decontaminate,
@@ -80,6 +95,9 @@ QUERIES = {
     "op8_matroska": op8_matroska,
     "op9_chat_perspectives": op9_chat_perspectives,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_hidden_markov": op12_hidden_markov,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op1_warc_zip": """
