@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import similarity as S
 from ..functions import text as X
+from .scratch import stored
 
 
 @dataclass(frozen=True)
@@ -43,17 +43,6 @@ def _priority(type_: Column) -> Column:
     return out.otherwise(99)
 
 
-def _checkpoint(df: DataFrame, tag: str) -> DataFrame:
-    """Lineage cut through the folder the cluster names; without one (tests) the plan stays as it is, cached."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return df.cache()
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def first_by_key(rows: DataFrame, key: Column, rank: Column, keep_empty: bool = False) -> DataFrame:
     """WIN2 (keep_empty) and WIN3: of each key the row of the smallest rank; rows of the empty key all stay or all go.
 
@@ -94,17 +83,17 @@ def greedy(edges: DataFrame) -> DataFrame:
     neighbours are dropped; the smallest kept neighbour is the witness. Every round decides some nodes; once
     SETTLE_EDGES edges or fewer are open, one task walks them in order, so long chains need no long rounds.
     """
-    edges = _checkpoint(edges, "edges")
+    edges = stored(edges, "edges")
     open_, dropped = edges, None
     while left := open_.count():
         if left <= SETTLE_EDGES:
             gone, open_ = _walk(open_), open_.limit(0)
         else:
-            kept = _checkpoint(open_.select(F.col("u").alias("k")).distinct().join(open_.select(F.col("v").alias("k")).distinct(), "k", "left_anti"), "kept")
-            gone = _checkpoint(open_.join(kept, F.col("u") == F.col("k")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("witness")), "gone")
+            kept = stored(open_.select(F.col("u").alias("k")).distinct().join(open_.select(F.col("v").alias("k")).distinct(), "k", "left_anti"), "kept")
+            gone = stored(open_.join(kept, F.col("u") == F.col("k")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("witness")), "gone")
             lost = gone.select("node")
             open_ = open_.join(lost, F.col("u") == F.col("node"), "left_anti").join(lost, F.col("v") == F.col("node"), "left_anti").join(kept, F.col("u") == F.col("k"), "left_anti")
-            open_ = _checkpoint(open_, "open")
+            open_ = stored(open_, "open")
         dropped = gone if dropped is None else dropped.unionByName(gone)
     return dropped if dropped is not None else edges.select(F.col("v").alias("node"), F.col("u").alias("witness")).limit(0)
 
@@ -139,7 +128,7 @@ def decide(records: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     """
     cfg = cfg or DedupConfig()
     r = records.withColumn("canonical", X.canonicalize_query(F.col("query"))).withColumn("rank", keep_rank(F.col("type"), F.col("target"), F.col("query"), F.col("row_idx")))
-    r = _checkpoint(r.select("row_idx", "type", "canonical", "rank"), "canonical")
+    r = stored(r.select("row_idx", "type", "canonical", "rank"), "canonical")
     reps = r.filter("canonical <> ''").groupBy("canonical").agg(F.min("rank").alias("rep"))
     out = r.join(reps, "canonical", "left")
     if not cfg.similar:
@@ -147,7 +136,7 @@ def decide(records: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     tokens = X.query_tokens(F.col("canonical"))
     nodes = reps.select(F.col("rep").alias("rank"), "canonical", X.number_signature(F.col("canonical")).alias("numbers"), F.size(tokens).alias("n_tokens"), X.feature_set(tokens).alias("features"))
     nodes = nodes.withColumn("sig", S.simhash64(F.col("features")))
-    gone = greedy(similar_edges(_checkpoint(nodes, "nodes"), cfg))
+    gone = greedy(similar_edges(stored(nodes, "nodes"), cfg))
     return _decided(out.join(gone, F.col("rep") == F.col("node"), "left"))
 
 
@@ -214,13 +203,13 @@ def near_pairs(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """
     t, of = PAIR_THRESHOLD
     sets = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))).alias("t"))
-    sets = _checkpoint(sets.filter(F.size("t") > 0).withColumn("node", F.md5(F.to_json("t"))), "sets")
+    sets = stored(sets.filter(F.size("t") > 0).withColumn("node", F.md5(F.to_json("t"))), "sets")
     members = sets.select("node", "id").distinct()
-    nodes = _checkpoint(sets.groupBy("node").agg(F.min("id").alias("u"), F.first("t").alias("t")), "nodes")
+    nodes = stored(sets.groupBy("node").agg(F.min("id").alias("u"), F.first("t").alias("t")), "nodes")
     common = nodes.select(F.explode("t").alias("k")).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "k").limit(COMMON_MOST).toPandas()  # at most COMMON_MOST rows
     known, counts = common["k"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
     by = np.argsort(known)
-    listed = _checkpoint(_postings(nodes, known[by], counts[by]), "postings")
+    listed = stored(_postings(nodes, known[by], counts[by]), "postings")
     a, b = listed.alias("a"), listed.alias("b")
     fits = (of * F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n")) & ((of + t) * F.least("a.left", "b.left") >= t * (F.col("a.n") + F.col("b.n")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") < F.col("b.u")) & fits).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()

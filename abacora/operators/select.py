@@ -9,6 +9,7 @@ from ..functions import numeric
 from ..functions import text as X
 from .curate import family, has_operator
 from .dedup import first_by_key
+from .scratch import stored
 
 
 def quality_score(target: Column, lines: Column, fallback: Column, gold: Column) -> Column:
@@ -98,15 +99,69 @@ def retrieval_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(X.normalize_space(text)), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
+#: Postings of a token looked at for a first threshold: of rare tokens, and of every token; and how many of the rows met are then scored.
+SEED_LIST, SEED_EACH, SEED_SCORED = 64, 4, 16
+
+
+def _points(common: Column) -> Column:
+    """Three for a token with a digit, else one."""
+    return F.size(common) + 2 * F.size(F.filter(common, lambda t: t.rlike("[0-9]")))
+
+
+def _scored_pairs(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
+    both = pairs.select("query_id", "record_id").join(q.select("query_id", F.col("t").alias("qt")), "query_id").join(r.select("record_id", F.col("t").alias("rt")), "record_id")
+    score = _points(F.array_intersect("qt", "rt")) / F.sqrt(F.size("qt").cast("double") * F.size("rt"))
+    return both.select("query_id", "record_id", score.alias("score"))
+
+
+def _best(scored: DataFrame, by: str, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc(by), "record_id")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def retrieval_candidates(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
+    """query_id, record_id: every pair that can be among the k best of its query. q: query_id, t; r: record_id, t (distinct tokens).
+
+    Tokens of a query are taken from rare to common. A record first met at a token holds no rarer token of the query, so
+    its score is at most what the weights from there on allow at its size: min(rest, heaviest * n) / sqrt(qn * n). Postings lie in
+    blocks by the size of their records, each with its own bound; a block is looked up only if its bound reaches the k-th best score
+    already known, and a posting is taken only if its own does. The first threshold comes from exact scores of a few rows: of those met by
+    the rarest tokens and by each token's shortest records.
+    """
+    postings = r.select("record_id", F.size("t").alias("rn"), F.explode("t").alias("token"))
+    tokens = q.select("query_id", F.size("t").alias("qn"), F.explode("t").alias("token"))
+    met = tokens.select("token").distinct().join(postings, "token")
+    often = met.groupBy("token").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("query_id").orderBy("df", "token")
+    weight = F.when(F.col("token").rlike("[0-9]"), 3.0).otherwise(1.0)
+    rest = w.rowsBetween(0, Window.unboundedFollowing)
+    ordered = tokens.join(often, "token").withColumn("weight", weight).select(
+        "query_id", "qn", "token", "df", "weight", F.sum("weight").over(rest).alias("rest"), F.max("weight").over(rest).alias("heaviest"), F.coalesce(F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
+    shortest = met.withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy("rn", "record_id"))).filter(F.col("at") <= SEED_LIST)
+    first = ordered.join(shortest, "token").filter(F.col("at") <= F.when(F.col("before") < SEED_LIST, SEED_LIST).otherwise(SEED_EACH))
+    partial = first.groupBy("query_id", "record_id").agg((F.sum("weight") / F.sqrt(F.max("rn").cast("double"))).alias("partial"))
+    known = _best(_scored_pairs(_best(partial, "partial", SEED_SCORED), q, r), "score", k)
+    threshold = known.groupBy("query_id").agg((F.min(F.when(F.col("place") == k, F.col("score"))) * (1 - 1e-9)).alias("least"))
+    ordered = ordered.join(threshold, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+
+    def bound(n: Column) -> Column:
+        return F.least("rest", F.col("heaviest") * n) / F.sqrt(F.col("qn").cast("double") * n)
+
+    # Within a block the bound is largest at the size that the rest of the query just fills.
+    low = F.pow(F.lit(2.0), F.col("block"))
+    top = F.least(F.greatest(F.col("rest") / F.col("heaviest"), low), 2 * low)
+    looked_up = ordered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(30)))).filter(bound(top) >= F.col("least"))
+    blocks = met.withColumn("block", F.floor(F.log2("rn")).cast("int"))
+    return looked_up.join(blocks, ["token", "block"]).filter(bound(F.col("rn")) >= F.col("least")).select("query_id", "record_id").distinct()
+
+
 def retrieve(queries: DataFrame, records: DataFrame, k: int, query_id: str = "query_id", record_id: str = "record_id", text: str = "text", tokens=retrieval_tokens) -> DataFrame:
-    """JOIN7: the k best records of each query by token overlap (numbers count three times) over the root of both sizes.
+    """JOIN7: the k best records of each query by token overlap (numbers count three times) over the root of both sizes. Ties by record id.
 
-    An inverted index: both sides give a row per token, partial counts are combined before the shuffle
-    by pair. A score over 0 needs a common token, so no pair of other rows is ever made. Ties by record id.
+    An inverted index with bounds: only pairs that can be among the k best are made and scored (retrieval_candidates). A score over 0
+    needs a common token, so rows without one are nobody's. The token arrays are written once where a shared folder is named.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), tokens(F.col(text)).alias("t")).select("query_id", F.size("t").alias("qn"), F.explode("t").alias("token"))
-    r = records.select(F.col(record_id).alias("record_id"), tokens(F.col(text)).alias("t")).select("record_id", F.size("t").alias("rn"), F.explode("t").alias("token"))
-    pairs = r.join(q, "token").groupBy("query_id", "record_id", "qn", "rn").agg(F.sum(F.when(F.col("token").rlike("[0-9]"), 3.0).otherwise(1.0)).alias("points"))
-    scored = pairs.withColumn("score", F.col("points") / F.sqrt(F.col("qn").cast("double") * F.col("rn")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "record_id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query_id", "place", "record_id", "score")
+    q = stored(queries.select(F.col(query_id).alias("query_id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0), "retrieval-queries")
+    r = stored(records.select(F.col(record_id).alias("record_id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0), "retrieval-records")
+    return _best(_scored_pairs(retrieval_candidates(q, r, k), q, r), "score", k).select("query_id", "place", "record_id", "score")
