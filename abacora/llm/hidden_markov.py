@@ -11,10 +11,11 @@ the V words and one unknown token it sums to 1, and an unknown token gets 1 / (N
 seen less than OWN times share their expected counts with all words seen as often.
 
 How it runs: texts are gathered to chunks of about CHUNK bytes with a dictionary each, so of a word that is
-everywhere a chunk sends one row. Chunks are written once, bucketed by chunk. In every round the current counts of a
-chunk's words come to it (join by word, shuffle by chunk; the coded texts stay where they are), the chunk runs forward and
-backward over its training texts, and its expected counts are summed by word. Expected counts are integers in
-units of 1 / UNIT, so sums do not depend on the order of tasks. The driver sees start, transitions and totals only.
+everywhere a chunk sends one row. Words are counted over all chunks once; each chunk keeps the counts of its words. Chunks
+are written bucketed by chunk. In every round the current expected counts of a chunk's words come to it (join by word, shuffle
+by chunk; the coded texts stay where they are), the chunk runs forward and backward over its training texts, and its expected
+counts are summed by word. They are integers in units of 1 / UNIT, so sums do not depend on the order of tasks. The
+driver sees start, transitions and totals only.
 
 Long texts are cut into segments of SEGMENT tokens: a segment's transfer matrix is computed for all start states at
 once, the matrices are chained, and with its true start (and end) vector each segment is worked on by itself. This is
@@ -30,31 +31,34 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import discard, materialize, remove, scratch_path, shuffle_cleanup
 
 STATES = 8
-ROUNDS = 5
+ROUNDS = 4
 #: Words seen at least so often have expected counts of their own.
-OWN = 4
+OWN = 8
 MIX = 0.02
-STAY = 0.9
+STAY = 0.98
 #: Least count of a transition or start, so that none is impossible.
 FLOOR = 1.0
 UNIT = 1 << 16
 #: Text bytes a chunk (a longer text is a chunk of its own), tokens a segment, tokens worked on at once.
-CHUNK = 8 << 20
-SEGMENT = 1024
-GROUP = 1 << 17
+CHUNK = 16 << 20
+SEGMENT = 8192
+GROUP = 1 << 18
 END = b" "
-CODED = "chunk long, ids array<long>, train array<boolean>, sizes array<long>, codes binary, words array<binary>, counts array<long>"
+CODED = "chunk long, ids array<long>, train binary, sizes binary, codes binary, words array<binary>, counts array<long>"
+CHUNKS = "chunk long, ids array<long>, train binary, sizes binary, codes binary, counts binary, own binary, numbers array<long>"
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -70,57 +74,58 @@ class Model:
     shared: np.ndarray = field(default_factory=lambda: np.zeros((OWN, STATES)))
 
     def emissions(self, count: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        """P(w | s) by row from a word's count and its expected counts by state."""
+        """P(w | s), states by words, from the words' counts and expected counts (states by words)."""
         rare = count < OWN
-        expected = np.where(rare[:, None], self.shared[np.where(rare, count, 0)], expected)
-        scale = self.tokens / np.maximum(self.by_state, 1e-300)
-        return ((1 - MIX) * expected * scale + MIX * count[:, None] + 1) / (self.tokens + self.words + 1)
+        expected = np.where(rare, self.shared[np.where(rare, count, 0)].T, expected)
+        used = self.by_state > 1 / UNIT  # a state without tokens emits as the counts say
+        own = np.where(used[:, None], expected * (self.tokens / np.where(used, self.by_state, 1))[:, None], count)
+        return ((1 - MIX) * own + MIX * count + 1) / (self.tokens + self.words + 1)
 
 
-def _layout(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences (longest first) step by step: token positions, first row of each step, the step and the sequence of each row."""
+def _layout(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences (longest first) step by step: token positions, first place of each step, and the place of the token before for all places after the first step."""
     active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
     first = np.concatenate([[0], np.cumsum(active)])
     step = np.repeat(np.arange(len(active)), active)
     seq = np.arange(first[-1]) - first[step]
-    return starts[seq] + step, first, step, seq
+    return starts[seq] + step, first, np.arange(first[1], first[-1]) - active[step[first[1] :] - 1]
 
 
 def _transfers(e: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """For every sequence the matrix from its first predicted states to its last states, up to a factor."""
-    k = len(moves)
-    x = np.broadcast_to(np.eye(k), (first[1], k, k)).copy()
+    """For every sequence the matrix from its first predicted states to its last states, up to a factor. e: states by places."""
+    k, onward = len(moves), np.ascontiguousarray(moves.T)
+    x = np.repeat(np.eye(k)[:, :, None], first[1], 2)
     for t in range(len(first) - 1):
         a, b = first[t], first[t + 1]
-        now = x[: b - a] @ moves if t else x[: b - a]
-        now = now * e[a:b, None, :]
-        x[: b - a] = now / now.sum((1, 2))[:, None, None]
-    return x
+        now = (onward @ x[:, :, : b - a] if t else x[:, :, : b - a]) * e[:, a:b]
+        x[:, :, : b - a] = now / now.sum((0, 1))
+    return x.transpose(2, 0, 1)
 
 
 def _forward(e: np.ndarray, first: np.ndarray, begin: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    alpha, scale, p = np.empty_like(e), np.empty(len(e)), begin
+    """States of each token given all up to it, and the factors taken out; states by places."""
+    alpha, scale, p, onward = np.empty_like(e), np.empty(e.shape[1]), begin, np.ascontiguousarray(moves.T)
     for t in range(len(first) - 1):
         a, b = first[t], first[t + 1]
-        x = alpha[a:b]
-        np.multiply(p[: b - a], e[a:b], out=x)
-        s = x.sum(1)
-        x /= s[:, None]
+        x = p[:, : b - a] * e[:, a:b]
+        s = x.sum(0)
+        x /= s
+        alpha[:, a:b] = x
         scale[a:b] = s
-        p = x @ moves
+        p = onward @ x
     return alpha, scale
 
 
 def _backward(e: np.ndarray, first: np.ndarray, end: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """What follows each token, by state, up to a factor a token."""
-    beta, back = np.empty_like(e), np.ascontiguousarray(moves.T)
-    beta[first[-2] :] = end[: first[-1] - first[-2]]
+    beta = np.empty_like(e)
+    beta[:, first[-2] :] = end[:, : first[-1] - first[-2]]
     for t in range(len(first) - 3, -1, -1):
         a, b, c = first[t], first[t + 1], first[t + 2]
-        y = (e[b:c] * beta[b:c]) @ back
-        y /= y.sum(1)[:, None]
-        beta[a : a + c - b] = y
-        beta[a + c - b : b] = end[c - b : b - a]
+        y = moves @ (e[:, b:c] * beta[:, b:c])
+        y /= y.sum(0)
+        beta[:, a : a + c - b] = y
+        beta[:, a + c - b : b] = end[:, c - b : b - a]
     return beta
 
 
@@ -148,8 +153,8 @@ def _cut(codes: np.ndarray, sizes: np.ndarray, emit: np.ndarray, m: Model, segme
     matrices = np.empty((len(text) if len(long) else 0, k, k)) if len(long) else None
     for part in _groups(size[long], GROUP // k):
         rows = long[part]
-        at, first, _, _ = _layout(start[rows], size[rows])
-        matrices[rows] = _transfers(emit[codes[at]], first, m.moves)
+        at, first, _ = _layout(start[rows], size[rows])
+        matrices[rows] = _transfers(emit[:, codes[at]], first, m.moves)
     for i in long:
         if place[i]:
             last = s.begin[i - 1] @ matrices[i - 1]
@@ -174,79 +179,104 @@ def _groups(size: np.ndarray, most: int) -> Iterator[np.ndarray]:
 
 
 def likelihood(codes: np.ndarray, sizes: np.ndarray, emit: np.ndarray, m: Model, segment: int = SEGMENT) -> np.ndarray:
-    """log10 probability of every text; texts lie one after another in codes, and none is empty."""
+    """log10 probability of every text; texts lie one after another in codes, and none is empty. emit: states by words."""
     logs, s = np.zeros(len(codes)), _cut(codes, sizes, emit, m, segment)
     for rows in _groups(s.size, GROUP):
-        at, first, _, _ = _layout(s.start[rows], s.size[rows])
-        logs[at] = np.log10(_forward(emit[codes[at]], first, s.begin[rows], m.moves)[1])
+        at, first, _ = _layout(s.start[rows], s.size[rows])
+        logs[at] = np.log10(_forward(np.take(emit, codes[at], 1), first, s.begin[rows].T, m.moves)[1])
     return np.add.reduceat(logs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
 
 
 def expect(codes: np.ndarray, sizes: np.ndarray, emit: np.ndarray, m: Model, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and (word, state) over the texts."""
-    k = len(m.start)
-    starts, moves, words = np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k))
+    """Expected counts of starts, moves and (state, word) over the texts."""
+    k, n_words = emit.shape
+    starts, moves, words = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_words))
     s = _cut(codes, sizes, emit, m, segment)
     for rows in _groups(s.size, GROUP):
-        at, first, step, seq = _layout(s.start[rows], s.size[rows])
+        at, first, before = _layout(s.start[rows], s.size[rows])
         word = codes[at]
-        e = emit[word]
-        alpha, _ = _forward(e, first, s.begin[rows], m.moves)
-        gamma = alpha * _backward(e, first, s.after[rows], m.moves)
-        gamma /= gamma.sum(1)[:, None]
+        e = np.take(emit, word, 1)
+        alpha, _ = _forward(e, first, s.begin[rows].T, m.moves)
+        gamma = alpha * _backward(e, first, s.after[rows].T, m.moves)
+        gamma /= gamma.sum(0)
         n = first[1]
-        previous = alpha[first[step[n:] - 1] + seq[n:]]
-        moves += previous.T @ (gamma[n:] / (previous @ m.moves))
+        previous = np.take(alpha, before, 1)
+        moves += previous @ (gamma[:, n:] / (m.moves.T @ previous)).T
         inner = s.before[rows].any(1)
-        moves += s.before[rows][inner].T @ (gamma[:n][inner] / s.begin[rows][inner])
-        starts += gamma[:n][~inner].sum(0)
+        moves += s.before[rows][inner].T @ (gamma[:, :n].T[inner] / s.begin[rows][inner])
+        starts += gamma[:, :n].T[~inner].sum(0)
         for i in range(k):
-            words[:, i] += np.bincount(word, gamma[:, i], len(emit))
+            words[i] += np.bincount(word, gamma[i], n_words)
     return starts, moves * m.moves, words
 
 
+class _Numbers(dict):
+    """Words numbered in the order in which they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _coded(docs: DataFrame) -> DataFrame:
     """CODED of docs (id, text, train): chunks of texts as numbers of words of the chunk's dictionary."""
 
-    def row(chunk: int, ids: list, train: list, words: list[list[bytes]]) -> pa.RecordBatch:
-        flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
-        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        sizes = np.array([len(ws) for ws in words], np.int64)
-        counts = np.bincount(codes[np.repeat(np.array(train, bool), sizes)], minlength=len(flat.dictionary))
-        values = [[chunk], [ids], [train], [sizes.tolist()], [codes.tobytes()], pa.ListArray.from_arrays([0, len(flat.dictionary)], flat.dictionary), [counts.tolist()]]
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), None, pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([v if t is None else pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in CODED.split(", ")])
+    def row(chunk: int, ids: list, train: list, sizes: list, codes: array, words: _Numbers) -> pa.RecordBatch:
+        size, own = np.array(sizes, np.int64), np.array(train, bool)
+        counts = np.bincount(np.frombuffer(codes, np.int32)[np.repeat(own, size)], minlength=len(words))
+        values = [pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([own.tobytes()]), pa.array([size.tobytes()]), pa.array([codes.tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.binary())), pa.ListArray.from_arrays([0, len(words)], counts)]
+        return pa.RecordBatch.from_arrays(values, names=_names(CODED))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        chunk, ids, train, words, size = TaskContext.get().partitionId() << 24, [], [], [], 0
+        chunk, size = TaskContext.get().partitionId() << 24, 0
+        ids, train, sizes, codes, words = [], [], [], array("i"), _Numbers()
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or b""
                 if size and size + len(text) > CHUNK:
-                    yield row(chunk, ids, train, words)
-                    chunk, ids, train, words, size = chunk + 1, [], [], [], 0
+                    yield row(chunk, ids, train, sizes, codes, words)
+                    chunk, size = chunk + 1, 0
+                    ids, train, sizes, codes, words = [], [], [], array("i"), _Numbers()
+                before = len(codes)
+                codes.extend(map(words.__getitem__, text.lower().split()))
+                codes.append(words[END])
                 ids.append(batch.column(0)[i].as_py())
                 train.append(bool(batch.column(2)[i].as_py()))
-                words.append([*text.lower().split(), END])
+                sizes.append(len(codes) - before)
                 size += len(text) + 1
-        if words:
-            yield row(chunk, ids, train, words)
+        if ids:
+            yield row(chunk, ids, train, sizes, codes, words)
 
     return docs.mapInArrow(work, CODED)
 
 
-def _unpack(row: pa.Table, of: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and sizes of the texts, counts and expected counts (0 if never seen) of the words of one chunk."""
-    codes = np.frombuffer(row["codes"][0].as_py(), np.int32)
-    n = len(row["words"][0])
-    at = of["local"].to_numpy()
-    count, expected = np.zeros(n, np.int64), np.zeros((n, STATES))
-    count[at] = of["c"].to_numpy()
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _with_counts(chunk: pa.Table, of: pa.Table) -> pa.Table:
+    """CHUNKS: in place of a chunk's words their counts over all training texts, and the numbers of those with expected counts of their own."""
+    counts = np.zeros(len(chunk["counts"][0]), np.int64)
+    at, c, number = (of[name].to_numpy() for name in ("local", "c", "id"))
+    counts[at] = c
+    own = np.flatnonzero(c >= OWN)
+    own = own[np.argsort(at[own])]
+    kept = [chunk[n] for n in ("chunk", "ids", "train", "sizes", "codes")]
+    return pa.table([*kept, pa.array([counts.tobytes()]), pa.array([at[own].astype(np.int32).tobytes()]), pa.array([number[own].tolist()], pa.list_(pa.int64()))], names=_names(CHUNKS))
+
+
+def _unpack(row: pa.Table, of: pa.Table, round_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and sizes of the texts (in a training round, of training texts), counts and expected counts of the words of one chunk, and which words have their own."""
+    binary = lambda name, kind: np.frombuffer(row[name][0].as_py(), kind)
+    codes, sizes, count, own = binary("codes", np.int32), binary("sizes", np.int64), binary("counts", np.int64), binary("own", np.int32)
+    expected = np.zeros((STATES, len(count)))
+    at = own[of["place"].to_numpy()]
     for s in range(STATES):
-        expected[at, s] = of[f"n{s}"].to_numpy() / UNIT
-    return codes, np.array(row["sizes"][0].as_py(), np.int64), count, expected
+        expected[s, at] = of[f"n{s}"].to_numpy()
+    if round_:
+        train = binary("train", bool)
+        codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
+    return codes, sizes, count, expected, own
 
 
 def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -254,61 +284,67 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     spark = docs.sparkSession
     given = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"), train.alias("train"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), given.rdd.getNumPartitions())
-    made: list[tuple[str, str]] = []
+    tables: list[tuple[str, str]] = []
 
-    def bucketed(df: DataFrame, name: str) -> DataFrame:
-        made.append((f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name)))
+    def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+        tables.append((f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name)))
         with shuffle_cleanup(spark):
-            df.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", made[-1][1]).saveAsTable(made[-1][0])
-        return spark.table(made[-1][0])
+            df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", tables[-1][1]).saveAsTable(tables[-1][0])
+        return spark.table(tables[-1][0])
 
-    vocabulary = counts = None
+    coded = vocabulary = counts = None
     try:
-        texts = bucketed(_coded(given), "hmm_texts")
-        local = texts.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "local", "w.words", "w.counts")
+        coded = materialize(_coded(given), "hmm-coded")
+        local = coded.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "local", "w.words", "w.counts")
         # The place of a word's first row is its number: exact, and shorter than the word.
         number = F.shiftleft("chunk", 24).bitwiseOR(F.col("local").cast("long"))
         vocabulary = materialize(local.filter("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.min(number).alias("id")), "hmm-words")
         size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         rare = {r["c"]: r["n"] for r in vocabulary.filter(F.col("c") < OWN).groupBy("c").agg(F.count("*").alias("n")).collect()}  # OWN - 1 rows
-        known = bucketed(local.select("chunk", "local", "words").join(vocabulary, "words").select("chunk", "local", "c", "id"), "hmm_known")
+        known = local.select("chunk", "local", "words").join(vocabulary, "words").select(F.col("chunk").alias("of"), "local", "c", "id")
+        texts = bucketed(coded.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_with_counts, CHUNKS), "hmm_texts", "chunk")
+        discard(coded)
+        coded = None
+        own = bucketed(texts.select("chunk", F.posexplode("numbers").alias("place", "id")), "hmm_own", "id")
         m = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), (1 - STAY) / max(1, STATES - 1)), size["n"], size["v"], np.full(STATES, max(1, size["n"]) / STATES))
         np.fill_diagonal(m.moves, STAY)
-        for c, words in rare.items():
+        for c in rare:
             m.shared[c] = c / STATES
-        for _ in range(rounds if size["n"] else 0):
-            summed = _round(texts, _parameters(known, counts), m)
-            old, counts = counts, materialize(summed, "hmm-counts")
-            discard(old)
-            m = _next_model(m, counts, rare)
+        counts = _leaning(vocabulary)
+        for i in range(rounds if size["n"] else 0):
+            now = materialize(_round(texts, _parameters(own, counts), m), "hmm-counts")
+            if i:
+                discard(counts)
+            counts, m = now, _next_model(m, now, rare)
         model = m
 
         def score(chunk: pa.Table, of: pa.Table) -> pa.Table:
-            codes, sizes, count, expected = _unpack(chunk, of)
+            codes, sizes, count, expected, _ = _unpack(chunk, of, False)
             first = np.cumsum(sizes) - sizes
             base = np.log10((count + 1) / (model.tokens + model.words + 1))[codes]
             sums = [np.add.reduceat(x, first) for x in ((count > 0)[codes].astype(np.int64), base)]
             found = likelihood(codes, sizes, model.emissions(count, expected), model)
-            return pa.table([chunk["ids"][0].values.cast(pa.int64()), sizes, *sums, found], names=[c.split()[0] for c in SCORED.split(", ")])
+            return pa.table([chunk["ids"].combine_chunks().flatten(), sizes, *sums, found], names=_names(SCORED))
 
-        done = texts.groupBy("chunk").cogroup(_parameters(known, counts).groupBy("chunk")).applyInArrow(score, SCORED)
+        done = texts.drop("numbers").groupBy("chunk").cogroup(_parameters(own, counts).groupBy("chunk")).applyInArrow(score, SCORED)
         return materialize(done.withColumn("train_tokens", F.lit(size["n"]).cast("long")), "hmm-scores")
     finally:
-        discard(vocabulary, counts)
-        for name, path in made:
+        discard(coded, vocabulary, counts if hasattr(counts, "scratch") else None)
+        for name, path in tables:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(spark, path)
 
 
-def _parameters(known: DataFrame, counts: DataFrame | None) -> DataFrame:
-    """chunk, local, id, c and expected counts of every word of the chunks that training texts hold."""
-    if counts is None:
-        lean = [F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1 << 20)) / (1 << 20) for s in range(STATES)]
-        lean = [x * x + 0.05 for x in lean]
-        total = sum(lean[1:], lean[0])
-        return known.select("chunk", "local", "id", "c", *((F.col("c") * x / total * UNIT).cast("long").alias(f"n{s}") for s, x in enumerate(lean)))
-    frequent = known.filter(F.col("c") >= OWN).join(counts, "id").select("chunk", "local", "id", "c", *(f"n{s}" for s in range(STATES)))
-    return frequent.unionByName(known.filter(F.col("c") < OWN).select("chunk", "local", "id", "c", *(F.lit(0).cast("long").alias(f"n{s}") for s in range(STATES))))
+def _leaning(vocabulary: DataFrame) -> DataFrame:
+    """The counts that training starts from: every word leans to some states by a hash of its number."""
+    lean = [F.pow(F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1 << 20)) / (1 << 20), F.lit(6)) + 0.05 for s in range(STATES)]
+    total = sum(lean[1:], lean[0])
+    return vocabulary.filter(F.col("c") >= OWN).select("id", *((F.col("c") * x / total * UNIT).cast("long").alias(f"n{s}") for s, x in enumerate(lean)))
+
+
+def _parameters(own: DataFrame, counts: DataFrame) -> DataFrame:
+    """chunk, place and expected counts of every word of the chunks that has its own."""
+    return own.join(counts, "id").select("chunk", "place", *((F.col(f"n{s}") / UNIT).cast("double").alias(f"n{s}") for s in range(STATES)))
 
 
 def _round(texts: DataFrame, parameters: DataFrame, m: Model) -> DataFrame:
@@ -316,20 +352,14 @@ def _round(texts: DataFrame, parameters: DataFrame, m: Model) -> DataFrame:
     names = [f"n{s}" for s in range(STATES)]
 
     def expectation(chunk: pa.Table, of: pa.Table) -> pa.Table:
-        codes, sizes, count, expected = _unpack(chunk, of)
-        own = np.array(chunk["train"][0].as_py(), bool)
-        codes, sizes = codes[np.repeat(own, sizes)], sizes[own]
+        codes, sizes, count, expected, own = _unpack(chunk, of, True)
         starts, moves, words = expect(codes, sizes, m.emissions(count, expected), m)
-        rare = [words[count == c].sum(0) for c in range(OWN)]
-        at, at_id = of["local"].to_numpy(), of["id"].to_numpy()
-        frequent = of["c"].to_numpy() >= OWN
-        rows = np.concatenate([[starts], moves, [words.sum(0)], rare, words[at[frequent]]])
-        ids = np.concatenate([-1 - np.arange(2 + STATES + OWN), at_id[frequent]])
-        rows = np.rint(rows * UNIT).astype(np.int64)
-        met = rows.any(1)
-        return pa.table([ids[met], *rows[met].T], names=["id", *names])
-
-    found = texts.groupBy("chunk").cogroup(parameters.groupBy("chunk")).applyInArrow(expectation, "id long, " + ", ".join(f"{n} long" for n in names))
+        rare = [words[:, count == c].sum(1) for c in range(OWN)]
+        columns = np.concatenate([np.array([starts, *moves, words.sum(1), *rare]).T, words[:, own]], 1)
+        ids = np.concatenate([-1 - np.arange(2 + STATES + OWN), chunk["numbers"].combine_chunks().flatten().to_numpy()])
+        return pa.table([ids, *np.rint(columns * UNIT).astype(np.int64)], names=["id", *names])
+
+    found = texts.drop("ids").groupBy("chunk").cogroup(parameters.groupBy("chunk")).applyInArrow(expectation, "id long, " + ", ".join(f"{n} long" for n in names))
     return found.groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
 
 
@@ -339,4 +369,4 @@ def _next_model(m: Model, counts: DataFrame, rare: dict[int, int]) -> Model:
     start = rows.get(-1, none) + FLOOR
     moves = np.array([rows.get(-2 - s, none) for s in range(STATES)]) + FLOOR
     shared = np.array([rows.get(-3 - STATES - c, none) / rare.get(c, 1) for c in range(OWN)])
-    return Model(start / start.sum(), moves / moves.sum(1)[:, None], m.tokens, m.words, np.maximum(rows.get(-2 - STATES, none), FLOOR), shared)
+    return Model(start / start.sum(), moves / moves.sum(1)[:, None], m.tokens, m.words, rows.get(-2 - STATES, none), shared)
