@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, numeric
 from ..functions import patterns as P
 from ..functions import text as X
+from . import order_stats
 from .score import type_or_unknown
 
 QUANTILES = (0, 25, 50, 75, 90, 95, 99, 100)
@@ -57,34 +58,38 @@ def risk_examples(records: DataFrame, most: int = 20, query: str = "query_vi", r
     return risky.select("row_idx", "type", *cols, F.substring(t, 1, 700).alias("raw_excerpt"), F.substring(X.legacy_latex_cleanup(body), 1, 700).alias("legacy_excerpt"), F.substring(X.clean_math_text(body), 1, 700).alias("fixed_excerpt"))
 
 
-def quantiles(x: Column, qs: tuple = QUANTILES, prefix: str = "p") -> list[Column]:
-    """Exact interpolated percentiles, a column each."""
-    return [F.percentile(x, F.lit(q / 100)).alias(f"{prefix}{str(q).replace('.', '_')}") for q in qs]
+def quantile_names(qs: tuple = QUANTILES, prefix: str = "p") -> list[str]:
+    return [f"{prefix}{str(q).replace('.', '_')}" for q in qs]
+
+
+def with_quantiles(head: DataFrame, rows: DataFrame, value: Column, qs: tuple, by: tuple[str, ...] = (), prefix: str = "p") -> DataFrame:
+    """head, a row per group, with the exact interpolated percentiles of its values; null where a group has none."""
+    names = quantile_names(qs, prefix)
+    at = order_stats.quantiles(order_stats.value_counts(rows, value, by), [q / 100 for q in qs], by, names)
+    g = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
+    found = at.select(g.alias("_g"), *names)
+    return head.withColumn("_h", g).join(found, F.col("_h") == F.col("_g"), "left").select(*head.columns, *names)
 
 
 def eda(records: DataFrame, by: list[str], text: str) -> DataFrame:
     """AGG6: rows, missing and repeated texts (by 128-bit digest, so no text is shuffled) and length percentiles by group."""
     length = F.when(F.coalesce(F.col(text), F.lit("")) != "", F.length(text))
-    return records.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(X.strip(F.coalesce(F.col(text), F.lit(""))) == "").alias("missing"), (F.count(text) - F.countDistinct(F.unhex(F.md5(text)))).alias("duplicates"), *quantiles(length))
+    head = records.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(X.strip(F.coalesce(F.col(text), F.lit(""))) == "").alias("missing"), (F.count(text) - F.countDistinct(F.unhex(F.md5(text)))).alias("duplicates"))
+    return with_quantiles(head, records, length, QUANTILES, tuple(by))
 
 
 def token_lengths(records: DataFrame, tokens: Column) -> DataFrame:
     """AGG7."""
-    return records.agg(F.count("*").alias("n"), F.avg(tokens).alias("mean"), F.max(tokens).alias("longest"), *quantiles(tokens, TOKEN_QUANTILES))
+    head = records.agg(F.count("*").alias("n"), F.avg(tokens).alias("mean"), F.max(tokens).alias("longest"))
+    return with_quantiles(head, records, tokens, TOKEN_QUANTILES)
 
 
 def summarize(records: DataFrame, length: Column, flags: dict[str, Column]) -> DataFrame:
     """AGG10: rates of flags; mean, median and the 95th percentile as the element at int(.95 (n - 1)), not interpolated."""
     shares = [F.avg(c.cast("double")).alias(f"{k}_rate") for k, c in flags.items()]
-    lengths = records.select(length.alias("x"))
-    at = lengths.groupBy("x").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    # One row per distinct length: the running count over them is short however many records there are.
-    run = at.withColumn("upto", F.sum("c").over(Window.orderBy("x"))).crossJoin(F.broadcast(lengths.agg(F.count("*").alias("n"))))
-    p95 = run.filter(F.col("upto") > F.floor(0.95 * (F.col("n") - 1))).agg(F.min("x").alias("p95"))
-    head = records.agg(F.count("*").alias("n"), *shares, F.avg(length).alias("mean"), F.percentile(length, F.lit(0.5)).alias("median"))
-    return head.crossJoin(F.broadcast(p95))
+    head = with_quantiles(records.agg(F.count("*").alias("n"), *shares, F.avg(length).alias("mean")), records, length, (50,)).withColumnRenamed("p50", "median")
+    p95 = order_stats.at_ranks(order_stats.value_counts(records, length), F.array(F.floor(0.95 * (F.col("n") - 1)).cast("long"))).select(F.col("value").alias("p95"))
+    return head.join(F.broadcast(p95), how="left")  # one row
 
 
 def inspect(records: DataFrame, target: str, most: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:

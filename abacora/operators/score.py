@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers, numeric
+from . import order_stats
 
 BUCKETS = (10, 5, 1, 0)
 
@@ -57,14 +58,18 @@ def score_by_type(rows: DataFrame) -> DataFrame:
 def diagnostics(rows: DataFrame, error: str = "rel_error") -> DataFrame:
     """AGG2: one row; quantiles are exact and interpolated. No rows if no error is known.
 
-    The cap needs the median first, so there are two passes over the errors; worst_5 is a bounded top list.
+    All of it reads the counts of distinct errors, which are shuffled once; worst_5 is a bounded top list.
     """
-    errors = rows.filter(F.col(error).isNotNull()).select(F.col(error).alias("e"))
-    first = errors.agg(F.count("*").alias("n_with_error"), F.avg("e").alias("mean_rel_error"), F.percentile("e", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)])).alias("q")).filter("n_with_error > 0")
-    capped = errors.crossJoin(F.broadcast(first.select((F.col("q")[0] * 10).alias("cap")))).agg(F.avg(F.least("e", "cap")).alias("capped_mean_rel_error"))
-    worst = errors.orderBy(F.desc("e")).limit(5).agg(F.sort_array(F.collect_list("e"), asc=False).alias("worst_5_errors"))
+    counts = order_stats.value_counts(rows, F.col(error))
     names = ("median_rel_error", "p90_rel_error", "p95_rel_error", "p99_rel_error")
-    return first.crossJoin(F.broadcast(capped)).crossJoin(F.broadcast(worst)).select("n_with_error", "mean_rel_error", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "capped_mean_rel_error", "worst_5_errors")
+    at = order_stats.quantiles(counts, (0.5, 0.9, 0.95, 0.99), names=names)
+    mean = lambda x: F.sum(x * F.col("c")) / F.sum("c")
+    first = counts.agg(F.sum("c").alias("n_with_error"), mean(F.col("x")).alias("mean_rel_error")).filter("n_with_error > 0")
+    capped = counts.crossJoin(F.broadcast(at.select((F.col("median_rel_error") * 10).alias("cap")))).agg(mean(F.least("x", "cap")).alias("capped_mean_rel_error"))
+    top = counts.orderBy(F.desc("x")).limit(5).select("x", F.explode(F.array_repeat("x", F.least("c", F.lit(5)).cast("int"))))
+    worst = top.orderBy(F.desc("x")).limit(5).agg(F.sort_array(F.collect_list("x"), asc=False).alias("worst_5_errors"))
+    # One row each.
+    return first.crossJoin(F.broadcast(at)).crossJoin(F.broadcast(capped)).crossJoin(F.broadcast(worst)).select("n_with_error", "mean_rel_error", *names, "capped_mean_rel_error", "worst_5_errors")
 
 
 def summary(rows: DataFrame) -> DataFrame:
