@@ -11,11 +11,11 @@ the V words and one unknown token it sums to 1, and an unknown token gets 1 / (N
 seen less than OWN times share their expected counts with all words seen as often.
 
 How it runs: texts are gathered to chunks of about CHUNK bytes with a dictionary each, so of a word that is
-everywhere a chunk sends one row. Words are counted over all chunks once; each chunk keeps the counts of its words. Chunks
-are written bucketed by chunk. In every round the current expected counts of a chunk's words come to it (join by word, shuffle
-by chunk; the coded texts stay where they are), the chunk runs forward and backward over its training texts, and its expected
-counts are summed by word. They are integers in units of 1 / UNIT, so sums do not depend on the order of tasks. The
-driver sees start, transitions and totals only.
+everywhere a chunk sends one row. Chunks are written once, bucketed by chunk, and never shuffled. Words are counted over all
+chunks, and each chunk gets the counts of its words once. In every round the current expected counts of a chunk's words come to it
+(join by word, shuffle by chunk), the chunk runs forward and backward over its training texts, and its expected counts are
+summed by word. They are integers in units of 1 / UNIT, so sums do not depend on the order of tasks. The driver sees
+start, transitions and totals only.
 
 Long texts are cut into segments of SEGMENT tokens: a segment's transfer matrix is computed for all start states at
 once, the matrices are chained, and with its true start (and end) vector each segment is worked on by itself. This is
@@ -38,7 +38,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import discard, materialize, remove, scratch_path, shuffle_cleanup
@@ -58,7 +58,7 @@ SEGMENT = 8192
 GROUP = 1 << 18
 END = b" "
 CODED = "chunk long, ids array<long>, train binary, sizes binary, codes binary, words array<binary>, counts array<long>"
-CHUNKS = "chunk long, ids array<long>, train binary, sizes binary, codes binary, counts binary, own binary, numbers array<long>"
+PACKED = "chunk long, counts binary, own binary, numbers array<long>, c array<long>, tokens long, firsts array<long>"
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -224,7 +224,7 @@ def _coded(docs: DataFrame) -> DataFrame:
     def row(chunk: int, ids: list, train: list, sizes: list, codes: array, words: _Numbers) -> pa.RecordBatch:
         size, own = np.array(sizes, np.int64), np.array(train, bool)
         counts = np.bincount(np.frombuffer(codes, np.int32)[np.repeat(own, size)], minlength=len(words))
-        values = [pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([own.tobytes()]), pa.array([size.tobytes()]), pa.array([codes.tobytes()], pa.binary()), pa.array([list(words)], pa.list_(pa.binary())), pa.ListArray.from_arrays([0, len(words)], counts)]
+        values = [pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([own.tobytes()]), pa.array([size.tobytes()]), pa.array([_squeeze(codes)], pa.binary()), pa.array([list(words)], pa.list_(pa.binary())), pa.ListArray.from_arrays([0, len(words)], counts)]
         return pa.RecordBatch.from_arrays(values, names=_names(CODED))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,21 +254,36 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _with_counts(chunk: pa.Table, of: pa.Table) -> pa.Table:
-    """CHUNKS: in place of a chunk's words their counts over all training texts, and the numbers of those with expected counts of their own."""
-    counts = np.zeros(len(chunk["counts"][0]), np.int64)
-    at, c, number = (of[name].to_numpy() for name in ("local", "c", "id"))
+def _squeeze(codes: array) -> bytes:
+    """Compressed numbers, all lowest bytes first: their number, then the bytes."""
+    planes = np.frombuffer(codes, np.uint8).reshape(-1, 4).T.tobytes()
+    return len(codes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
+def _pack(of: pa.Table) -> pa.Table:
+    """PACKED: the counts of a chunk's words over all training texts, numbers and counts of those with expected counts of their own, and what the chunk adds to the totals."""
+    at, c, number, here = (of[name].to_numpy() for name in ("local", "c", "id", "counts"))
+    chunk = of["chunk"][0].as_py()
+    counts = np.zeros(at.max() + 1, np.int64)
     counts[at] = c
     own = np.flatnonzero(c >= OWN)
     own = own[np.argsort(at[own])]
-    kept = [chunk[n] for n in ("chunk", "ids", "train", "sizes", "codes")]
-    return pa.table([*kept, pa.array([counts.tobytes()]), pa.array([at[own].astype(np.int32).tobytes()]), pa.array([number[own].tolist()], pa.list_(pa.int64()))], names=_names(CHUNKS))
+    first = (number == (chunk << 24) + at.astype(np.int64)) & (c > 0)
+    firsts = np.bincount(np.minimum(c[first], OWN), minlength=OWN + 1)
+    longs = lambda x: pa.array([x.tolist()], pa.list_(pa.int64()))
+    return pa.table([[chunk], pa.array([counts.tobytes()]), pa.array([at[own].astype(np.int32).tobytes()]), longs(number[own]), longs(c[own]), [int(here.sum())], longs(firsts)], names=_names(PACKED))
 
 
 def _unpack(row: pa.Table, of: pa.Table, round_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes and sizes of the texts (in a training round, of training texts), counts and expected counts of the words of one chunk, and which words have their own."""
     binary = lambda name, kind: np.frombuffer(row[name][0].as_py(), kind)
-    codes, sizes, count, own = binary("codes", np.int32), binary("sizes", np.int64), binary("counts", np.int64), binary("own", np.int32)
+    codes, sizes, count, own = _unsqueeze(row["codes"][0].as_py()), binary("sizes", np.int64), binary("counts", np.int64), binary("own", np.int32)
     expected = np.zeros((STATES, len(count)))
     at = own[of["place"].to_numpy()]
     for s in range(STATES):
@@ -289,30 +304,30 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
         tables.append((f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name)))
         with shuffle_cleanup(spark):
-            df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", tables[-1][1]).saveAsTable(tables[-1][0])
+            df.write.bucketBy(buckets, by).sortBy(by).option("path", tables[-1][1]).saveAsTable(tables[-1][0])
         return spark.table(tables[-1][0])
 
-    coded = vocabulary = counts = None
+    counts = None
     try:
-        coded = materialize(_coded(given), "hmm-coded")
+        # Every task writes its chunks to their buckets itself, so texts are never shuffled.
+        coded = bucketed(_coded(given), "hmm_texts", "chunk")
         local = coded.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "local", "w.words", "w.counts")
-        # The place of a word's first row is its number: exact, and shorter than the word.
-        number = F.shiftleft("chunk", 24).bitwiseOR(F.col("local").cast("long"))
-        vocabulary = materialize(local.filter("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.min(number).alias("id")), "hmm-words")
-        size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-        rare = {r["c"]: r["n"] for r in vocabulary.filter(F.col("c") < OWN).groupBy("c").agg(F.count("*").alias("n")).collect()}  # OWN - 1 rows
-        known = local.select("chunk", "local", "words").join(vocabulary, "words").select(F.col("chunk").alias("of"), "local", "c", "id")
-        texts = bucketed(coded.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(_with_counts, CHUNKS), "hmm_texts", "chunk")
-        discard(coded)
-        coded = None
-        own = bucketed(texts.select("chunk", F.posexplode("numbers").alias("place", "id")), "hmm_own", "id")
-        m = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), (1 - STAY) / max(1, STATES - 1)), size["n"], size["v"], np.full(STATES, max(1, size["n"]) / STATES))
+        # The place of a word's first row is its number: exact, and shorter than the word. A word has a row a chunk at most.
+        number, every = F.shiftleft("chunk", 24).bitwiseOR(F.col("local").cast("long")), Window.partitionBy("words")
+        known = local.select(F.col("chunk"), "local", "counts", F.sum("counts").over(every).alias("c"), F.min(F.when(F.col("counts") > 0, number)).over(every).alias("id"))
+        packed = bucketed(known.withColumn("id", F.coalesce("id", F.lit(-1).cast("long"))).groupBy("chunk").applyInArrow(_pack, PACKED), "hmm_counts", "chunk")
+        firsts = [F.coalesce(F.sum(F.col("firsts")[c]), F.lit(0)).alias(f"f{c}") for c in range(OWN + 1)]
+        total = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), *firsts).first()
+        n, words, rare = total["n"], sum(total[1:]), {c: total[f"f{c}"] for c in range(1, OWN)}
+        own = bucketed(packed.select("chunk", F.posexplode(F.arrays_zip("numbers", "c")).alias("place", "w")).select("chunk", "place", F.col("w.numbers").alias("id"), F.col("w.c").alias("c")).repartition(buckets, "id"), "hmm_own", "id")
+        texts = coded.select("chunk", "ids", "train", "sizes", "codes").join(packed.select("chunk", "counts", "own", "numbers"), "chunk")
+        m = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), (1 - STAY) / max(1, STATES - 1)), n, words, np.full(STATES, max(1, n) / STATES))
         np.fill_diagonal(m.moves, STAY)
         for c in rare:
             m.shared[c] = c / STATES
-        counts = _leaning(vocabulary)
-        for i in range(rounds if size["n"] else 0):
-            now = materialize(_round(texts, _parameters(own, counts), m), "hmm-counts")
+        counts = _leaning(own.groupBy("id").agg(F.max("c").alias("c")))
+        for i in range(rounds if n else 0):
+            now = materialize(_round(texts, _parameters(own, counts), m), "hmm-expected")
             if i:
                 discard(counts)
             counts, m = now, _next_model(m, now, rare)
@@ -326,25 +341,25 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             found = likelihood(codes, sizes, model.emissions(count, expected), model)
             return pa.table([chunk["ids"].combine_chunks().flatten(), sizes, *sums, found], names=_names(SCORED))
 
-        done = texts.drop("numbers").groupBy("chunk").cogroup(_parameters(own, counts).groupBy("chunk")).applyInArrow(score, SCORED)
-        return materialize(done.withColumn("train_tokens", F.lit(size["n"]).cast("long")), "hmm-scores")
+        done = texts.drop("numbers").groupBy("chunk").cogroup(_parameters(own, counts).groupBy("of")).applyInArrow(score, SCORED)
+        return materialize(done.withColumn("train_tokens", F.lit(n).cast("long")), "hmm-scores")
     finally:
-        discard(coded, vocabulary, counts if hasattr(counts, "scratch") else None)
+        discard(counts if hasattr(counts, "scratch") else None)
         for name, path in tables:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(spark, path)
 
 
-def _leaning(vocabulary: DataFrame) -> DataFrame:
+def _leaning(words: DataFrame) -> DataFrame:
     """The counts that training starts from: every word leans to some states by a hash of its number."""
     lean = [F.pow(F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1 << 20)) / (1 << 20), F.lit(6)) + 0.05 for s in range(STATES)]
     total = sum(lean[1:], lean[0])
-    return vocabulary.filter(F.col("c") >= OWN).select("id", *((F.col("c") * x / total * UNIT).cast("long").alias(f"n{s}") for s, x in enumerate(lean)))
+    return words.filter(F.col("c") >= OWN).select("id", *((F.col("c") * x / total * UNIT).cast("long").alias(f"n{s}") for s, x in enumerate(lean)))
 
 
 def _parameters(own: DataFrame, counts: DataFrame) -> DataFrame:
-    """chunk, place and expected counts of every word of the chunks that has its own."""
-    return own.join(counts, "id").select("chunk", "place", *((F.col(f"n{s}") / UNIT).cast("double").alias(f"n{s}") for s in range(STATES)))
+    """of (the chunk), place and expected counts of every word of the chunks that has its own."""
+    return own.join(counts, "id").select(F.col("chunk").alias("of"), "place", *((F.col(f"n{s}") / UNIT).cast("double").alias(f"n{s}") for s in range(STATES)))
 
 
 def _round(texts: DataFrame, parameters: DataFrame, m: Model) -> DataFrame:
@@ -359,7 +374,7 @@ def _round(texts: DataFrame, parameters: DataFrame, m: Model) -> DataFrame:
         ids = np.concatenate([-1 - np.arange(2 + STATES + OWN), chunk["numbers"].combine_chunks().flatten().to_numpy()])
         return pa.table([ids, *np.rint(columns * UNIT).astype(np.int64)], names=["id", *names])
 
-    found = texts.drop("ids").groupBy("chunk").cogroup(parameters.groupBy("chunk")).applyInArrow(expectation, "id long, " + ", ".join(f"{n} long" for n in names))
+    found = texts.drop("ids").groupBy("chunk").cogroup(parameters.groupBy("of")).applyInArrow(expectation, "id long, " + ", ".join(f"{n} long" for n in names))
     return found.groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
 
 
