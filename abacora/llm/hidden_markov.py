@@ -13,8 +13,9 @@ seen less than OWN times share their expected counts with all words seen as ofte
 How it runs: texts are gathered to chunks of about CHUNK bytes with a dictionary each, so of a word that is
 everywhere a chunk sends one row. Chunks are written once, bucketed by chunk, and never shuffled. Words are counted over all
 chunks, and each chunk gets the counts of its words once. In every round the current expected counts of a chunk's words come to it
-(join by word, shuffle by chunk), the chunk runs forward and backward over its training texts, and its expected counts are
-summed by word. They are integers in units of 1 / UNIT, so sums do not depend on the order of tasks. The driver sees
+(join by word, shuffle by chunk), the chunk runs forward and backward over training texts, and its expected counts are
+summed by word. The first PARTS rounds look at one part of every chunk's training texts each, all parts in turn (incremental
+expectation maximisation), the last round at all of them. Expected counts are integers in units of 1 / UNIT, so sums do not depend on the order of tasks. The driver sees
 start, transitions and totals only.
 
 Long texts are cut into segments of SEGMENT tokens: a segment's transfer matrix is computed for all start states at
@@ -44,7 +45,8 @@ from pyspark.sql import functions as F
 from ._shared import discard, materialize, remove, scratch_path, shuffle_cleanup
 
 STATES = 8
-ROUNDS = 4
+#: Rounds over a part of every chunk's training texts each, one part after the other, before the last round over all of them.
+PARTS = 4
 #: Words seen at least so often have expected counts of their own.
 OWN = 8
 MIX = 0.02
@@ -52,6 +54,8 @@ STAY = 0.98
 #: Least count of a transition or start, so that none is impossible.
 FLOOR = 1.0
 UNIT = 1 << 16
+#: A word's shares by state are handed to the chunks in units of 1 / SHARE (16 bits, four in a long).
+SHARE = (1 << 16) - 1
 #: Text bytes a chunk (a longer text is a chunk of its own), tokens a segment, tokens worked on at once.
 CHUNK = 16 << 20
 SEGMENT = 8192
@@ -280,21 +284,23 @@ def _pack(of: pa.Table) -> pa.Table:
     return pa.table([[chunk], pa.array([counts.tobytes()]), pa.array([at[own].astype(np.int32).tobytes()]), longs(number[own]), longs(c[own]), [int(here.sum())], longs(firsts)], names=_names(PACKED))
 
 
-def _unpack(row: pa.Table, of: pa.Table, round_: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and sizes of the texts (in a training round, of training texts), counts and expected counts of the words of one chunk, and which words have their own."""
+def _unpack(row: pa.Table, of: pa.Table, part: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and sizes of the texts (with a part (i, n), of each n-th training text), counts and expected counts of the words of one chunk, and which words have their own."""
     binary = lambda name, kind: np.frombuffer(row[name][0].as_py(), kind)
     codes, sizes, count, own = _unsqueeze(row["codes"][0].as_py()), binary("sizes", np.int64), binary("counts", np.int64), binary("own", np.int32)
     expected = np.zeros((STATES, len(count)))
-    at = own[of["place"].to_numpy()]
+    at, seen = own[of["place"].to_numpy()], of["seen"].to_numpy()
     for s in range(STATES):
-        expected[s, at] = of[f"n{s}"].to_numpy()
-    if round_:
-        train = binary("train", bool)
-        codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
+        expected[s, at] = (of[f"w{s // 4}"].to_numpy() >> 16 * (s % 4) & 0xFFFF) * (seen / SHARE)
+    if part:
+        taken = np.flatnonzero(binary("train", bool))[part[0] :: part[1]]
+        chosen = np.zeros(len(sizes), bool)
+        chosen[taken] = True
+        codes, sizes = codes[np.repeat(chosen, sizes)], sizes[chosen]
     return codes, sizes, count, expected, own
 
 
-def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
     """SCORED and train_tokens of every row, by a model trained on the rows where train holds."""
     spark = docs.sparkSession
     given = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"), train.alias("train"))
@@ -326,15 +332,19 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         for c in rare:
             m.shared[c] = c / STATES
         counts = _leaning(own.groupBy("id").agg(F.max("c").alias("c")))
-        for i in range(rounds if n else 0):
-            now = materialize(_round(texts, _parameters(own, counts), m), "hmm-expected")
-            if i:
+        for part in [(i, parts) for i in range(parts)] + [(0, 1)] if n else []:
+            now = materialize(_round(texts, _parameters(own, counts), m, part), "hmm-expected")
+            after = _next_model(m, now, rare)
+            if not after.by_state.any():  # a corpus of so few texts that this part has none
+                discard(now)
+                continue
+            if hasattr(counts, "scratch"):
                 discard(counts)
-            counts, m = now, _next_model(m, now, rare)
+            counts, m = now, after
         model = m
 
         def score(chunk: pa.Table, of: pa.Table) -> pa.Table:
-            codes, sizes, count, expected, _ = _unpack(chunk, of, False)
+            codes, sizes, count, expected, _ = _unpack(chunk, of)
             first = np.cumsum(sizes) - sizes
             base = np.log10((count + 1) / (model.tokens + model.words + 1))[codes]
             sums = [np.add.reduceat(x, first) for x in ((count > 0)[codes].astype(np.int64), base)]
@@ -358,21 +368,27 @@ def _leaning(words: DataFrame) -> DataFrame:
 
 
 def _parameters(own: DataFrame, counts: DataFrame) -> DataFrame:
-    """of (the chunk), place and expected counts of every word of the chunks that has its own."""
-    return own.join(counts, "id").select(F.col("chunk").alias("of"), "place", *((F.col(f"n{s}") / UNIT).cast("double").alias(f"n{s}") for s in range(STATES)))
+    """of (the chunk), place, seen (the expected count) and its shares by state, four a long in units of 1 / SHARE, of every word of the chunks that has its own."""
+    seen = sum([F.col(f"n{s}") for s in range(1, STATES)], F.col("n0"))
+    share = lambda s: F.when(F.col("t") > 0, F.round(F.col(f"n{s}") / F.col("t") * SHARE)).otherwise(0).cast("long")
+    packed = [sum([F.shiftleft(share(4 * w + i), 16 * i) for i in range(1, 4)], share(4 * w)).alias(f"w{w}") for w in range(STATES // 4)]
+    lean = counts.filter("id >= 0").withColumn("t", seen).select("id", (F.col("t") / UNIT).cast("float").alias("seen"), *packed)
+    return own.select("id", F.col("chunk").alias("of"), "place").join(lean, "id").select("of", "place", "seen", *(f"w{w}" for w in range(STATES // 4)))
 
 
-def _round(texts: DataFrame, parameters: DataFrame, m: Model) -> DataFrame:
+def _round(texts: DataFrame, parameters: DataFrame, m: Model, part: tuple[int, int]) -> DataFrame:
     """Expected counts by word number; below 0: -1 starts, -2 - s moves from s, -2 - STATES all tokens, -3 - STATES - c words seen c times."""
     names = [f"n{s}" for s in range(STATES)]
 
     def expectation(chunk: pa.Table, of: pa.Table) -> pa.Table:
-        codes, sizes, count, expected, own = _unpack(chunk, of, True)
+        codes, sizes, count, expected, own = _unpack(chunk, of, part)
         starts, moves, words = expect(codes, sizes, m.emissions(count, expected), m)
         rare = [words[:, count == c].sum(1) for c in range(OWN)]
         columns = np.concatenate([np.array([starts, *moves, words.sum(1), *rare]).T, words[:, own]], 1)
         ids = np.concatenate([-1 - np.arange(2 + STATES + OWN), chunk["numbers"].combine_chunks().flatten().to_numpy()])
-        return pa.table([ids, *np.rint(columns * UNIT).astype(np.int64)], names=["id", *names])
+        columns = np.rint(columns * UNIT).astype(np.int64)
+        met = columns.any(0)
+        return pa.table([ids[met], *columns[:, met]], names=["id", *names])
 
     found = texts.drop("ids").groupBy("chunk").cogroup(parameters.groupBy("of")).applyInArrow(expectation, "id long, " + ", ".join(f"{n} long" for n in names))
     return found.groupBy("id").agg(*(F.sum(n).alias(n) for n in names))

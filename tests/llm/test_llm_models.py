@@ -112,7 +112,7 @@ def test_recursions_equal_dense_ones_however_texts_are_cut(monkeypatch, segment,
     assert np.allclose(starts, want[1]) and np.allclose(moves, want[2]) and np.allclose(words.T, want[3])
 
 
-def plain_training(rows, rounds):
+def plain_training(rows):
     """The same training over plain dictionaries in one place; lean(id) of the first round is read from the words' order."""
     tokens = [[*(t or "").encode().lower().split(), b" "] for _, t, _ in rows]
     learn = [bool(mark) for _, _, mark in rows]
@@ -126,8 +126,9 @@ def plain_training(rows, rounds):
 def test_scores_equal_one_place_training(spark, monkeypatch):
     """All texts in one chunk, so that the number of a word is its place: Baum-Welch over dense recursions gives the same scores."""
     monkeypatch.setattr(hmm, "UNIT", 1 << 40)  # rounds grow differences on so few texts, so counts are kept finely here
+    order = [(0, 2), (1, 2), (0, 1)]
     rows = [(i, t, i % 7 != 2) for i, t in enumerate(t for t in texts(4, 24) if len(t or "") < 300)]
-    tokens, learn, count = plain_training(rows, 2)
+    tokens, learn, count = plain_training(rows)
     n, v, k = sum(count.values()), len(count), hmm.STATES
     first = {}
     for ws in tokens:
@@ -148,8 +149,8 @@ def test_scores_equal_one_place_training(spark, monkeypatch):
         c = np.array([count.get(w, 0) for w in vocabulary])
         return m.emissions(c, np.array([expected.get(w, np.zeros(k)) for w in vocabulary]).T).T
 
-    for _ in range(2):
-        own = [ws for ws, a in zip(tokens, learn) if a]
+    for i, of in order:
+        own = [ws for ws, a in zip(tokens, learn) if a][i::of]
         _, starts, moves, words = dense(np.array([codes[w] for ws in own for w in ws]), [len(ws) for ws in own], emissions(), m)
         expected = {w: words[codes[w]] for w in count}
         shared = np.zeros((hmm.OWN, k))
@@ -160,12 +161,12 @@ def test_scores_equal_one_place_training(spark, monkeypatch):
         m = hmm.Model(start / start.sum(), moves / moves.sum(1)[:, None], n, v, words.sum(0), shared)
     want = dense(np.array([codes[w] for ws in tokens for w in ws]), [len(ws) for ws in tokens], emissions(), m)[0]
     docs = spark.createDataFrame(rows, "doc_id long, text string, mark boolean").coalesce(1)
-    got = {r["doc_id"]: r for r in hmm.train_and_score(docs, F.col("mark"), rounds=2).collect()}
+    got = {r["doc_id"]: r for r in hmm.train_and_score(docs, F.col("mark"), parts=2).collect()}
     for (i, _, _), ws, score in zip(rows, tokens, want):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in count for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in ws))
-        assert r["score"] == pytest.approx(score, rel=1e-4)
+        assert r["score"] == pytest.approx(score, rel=1e-3)
 
 
 def test_emissions_are_a_distribution():
