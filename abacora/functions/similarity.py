@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -12,6 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import patterns as P
+from .text import let, strip
+
+#: Where lines end: all that Python's splitlines knows.
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -56,23 +60,26 @@ def ratio_at_least(threshold: float):
     return run
 
 
-@F.pandas_udf(T.IntegerType())
-def max_trigram_count(text: pd.Series) -> pd.Series:
-    """WIN8: how often the commonest three neighbouring lower-cased words stand in a text."""
+def _longest_run(items: Column) -> Column:
+    """How often the commonest of an array's strings stands in it: equal ones are neighbours once sorted."""
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
-    def one(t) -> int:
-        words = (t or "").lower().split()
-        return max(Counter(zip(words, words[1:], words[2:])).values(), default=0)
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"], s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-    return text.map(one).astype("int32")
+    return F.aggregate(F.array_sort(items), zero, step, lambda s: s["most"])
 
 
-@F.pandas_udf(T.IntegerType())
-def max_line_count(text: pd.Series) -> pd.Series:
-    """How often the commonest non-empty line stands in a text."""
+def max_trigram_count(text: Column) -> Column:
+    """WIN8: how often the commonest three neighbouring lower-cased words stand in a text."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[{P.SPACE}]+"), lambda w: w != "")
+    places = lambda w: F.when(F.size(w) > 2, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
+    grams = let(words, lambda w: F.transform(places(w), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    return _longest_run(grams)
 
-    def one(t) -> int:
-        lines = [x.strip() for x in (t or "").lower().splitlines() if x.strip()]
-        return max(Counter(lines).values(), default=0)
 
-    return text.map(one).astype("int32")
+def max_line_count(text: Column) -> Column:
+    """How often the commonest non-empty line stands in a text."""
+    lines = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), LINE_ENDS), strip)
+    return _longest_run(F.filter(lines, lambda x: x != ""))

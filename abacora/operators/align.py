@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 class MissingPredictions(ValueError):
     """Gold records without a prediction."""
@@ -45,10 +47,12 @@ def with_losses(epochs: DataFrame, losses: DataFrame, best_max: int | None = Non
 
 
 def with_row_idx(df: DataFrame, *order: str) -> DataFrame:
-    """row_idx by the order of columns without one global window: sorted ranges are numbered and shifted by the counts before them."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    """row_idx by the order of columns without one global window: sorted ranges are written once, numbered and shifted by the counts before them."""
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    spread = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", number), "ranges")
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    # One row per written range.
     return spread.join(F.broadcast(before), "_part").withColumn("row_idx", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 

@@ -202,24 +202,11 @@ def shorten_reasoning(text: Column, sentences: int = 4, longest: int = 450) -> C
     return F.when(F.length(body) <= longest, body).otherwise(cut)
 
 
-def equation_reasoning(text: Column, head_pieces: int = 3, tail_pieces: int = 3, longest: int = 700) -> Column:
-    """TGT4: the pieces with numbers, first and last ones, up to a length."""
-    pieces = F.filter(F.split(answers.without_answer_tail(text), r"(?U)(?<=[.!?。;])\s+|\n+"), lambda s: s.rlike("[0-9]"))
-    n = head_pieces + tail_pieces
-    kept = F.when(F.size(pieces) <= n, pieces).otherwise(F.concat(F.slice(pieces, 1, head_pieces), F.slice(pieces, -tail_pieces, tail_pieces)))
-    return F.substring(F.array_join(kept, "\n"), 1, longest)
-
-
 def split_clauses(text: Column) -> Column:
     """TGT6: clauses of a solution."""
     return F.filter(F.transform(F.split(text, r"(?U)\n+|(?<=[.!?。;])\s+|,\s+(?=(?:nên|vậy|do đó|suy ra))"), X.strip), lambda s: s != "")
 
 
-def equation_lines(text: Column, allow_x: bool = False) -> Column:
-    """TGT6: clauses that are clean equation lines."""
-    return F.filter(split_clauses(text), lambda s: s.rlike("=") & s.rlike("[0-9]") & clean_target_line(s, allow_x))
-
-
 def gold_parses(response: Column) -> Column:
     """FLT6: the gold answer can be read as a number."""
     return F.coalesce(numeric.parse_number(answers.extract_answer(response)).isNotNull(), F.lit(False))

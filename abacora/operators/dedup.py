@@ -57,14 +57,15 @@ def first_by_key(rows: DataFrame, key: Column, rank: Column, keep_empty: bool =
     return kept.drop("_key", "_rank")
 
 
-def similar_edges(nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """JOIN6: (kept, dropped) of ranks: pairs that share number signature and a band, are similar, and whose later one passes the gate."""
-    banded = nodes.withColumn("b", F.explode(S.bands(F.col("sig")))).select("rank", "numbers", "n_tokens", "canonical", "features", "b.band", "b.value")
+def _banded(nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """bucket, rank, gate: a row per node and band; nodes may share a witness only within a bucket, and only with the gate open are they dropped."""
     gate = (F.col("n_tokens") >= cfg.min_token_count) & ((F.size("numbers") > 0) | F.lit(not cfg.require_number_signature_match))
-    lean = banded.select("rank", "numbers", "band", "value", gate.alias("gate"))
-    a, b = lean.alias("a"), lean.filter("gate").alias("b")
-    on = (F.col("a.numbers") == F.col("b.numbers")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.rank") < F.col("b.rank"))
-    pairs = a.join(b, on).select(F.col("a.rank").alias("u"), F.col("b.rank").alias("v")).distinct()
+    each = nodes.select("rank", "numbers", gate.alias("gate"), F.explode(S.bands(F.col("sig"))).alias("b"))
+    return each.select(F.struct("numbers", "b.band", "b.value").alias("bucket"), "rank", "gate")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """The pairs (u, v) of ranks whose texts are similar."""
     body = nodes.select("rank", "canonical", "features")
     both = pairs.join(body.select(F.col("rank").alias("u"), F.col("canonical").alias("uc"), F.col("features").alias("uf")), "u").join(body.select(F.col("rank").alias("v"), F.col("canonical").alias("vc"), F.col("features").alias("vf")), "v")
     both = both.withColumn("jac", S.jaccard(F.col("vf"), F.col("uf")) >= cfg.jaccard_threshold)
@@ -72,6 +73,63 @@ def similar_edges(nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
     return both.filter(F.col("jac") | near).select("u", "v")
 
 
+def _pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+    """(u, v): ranks of both tables that share a bucket, the larger one with its gate open, each pair once."""
+    a, b = smaller.alias("a"), larger.filter("gate").alias("b")
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rank") < F.col("b.rank"))
+    return a.join(b, on).select(F.col("a.rank").alias("u"), F.col("b.rank").alias("v")).distinct()
+
+
+def similar_edges(nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """JOIN6: (kept, dropped) of ranks: pairs that share number signature and a band, are similar, and whose later one passes the gate."""
+    lean = _banded(nodes, cfg)
+    return _verified(_pairs(lean, lean), nodes, cfg)
+
+
+#: Buckets with so many pairs in all are compared pair by pair.
+FEW_PAIRS = 200_000
+
+
+def dropped_nodes(nodes: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(node, witness) of what a walk in rank order would drop, without squaring groups of copies.
+
+    A node that is the smallest open one of all its buckets has no smaller node left to be compared with, so it is kept: a hub. Every
+    round compares hubs with the open nodes of their buckets only and drops what is similar, so a group of copies costs as many pairs as it has
+    members. When few pairs are left, or a round takes less than a third of them, the open rest is compared pair by
+    pair (mutually unlike nodes of a bucket are compared in the walk as well) and settled by greedy(). A node dropped by a hub may have a smaller kept
+    witness that was decided later; kept nodes below the witness are looked at in the end.
+    """
+    lean = _banded(nodes, cfg)
+    busy = lean.groupBy("bucket").agg(F.count("*").alias("n"), F.max("gate").alias("g")).filter("n > 1 and g").select("bucket")
+    lean = stored(lean.join(busy, "bucket", "left_semi"), "bands")
+    open_, gone, before = lean, None, None
+    while True:
+        n = F.col("n").cast("double")
+        load = open_.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0
+        if load <= FEW_PAIRS or (before is not None and load > 0.67 * before):
+            break
+        before = load
+        first = open_.groupBy("bucket").agg(F.min("rank").alias("rank"))
+        later = open_.join(first.withColumnRenamed("rank", "first"), "bucket").filter(F.col("rank") > F.col("first")).select("rank").distinct()
+        hubs = stored(first.select("rank").distinct().join(later, "rank", "left_anti"), "hubs")
+        met = _pairs(open_.join(hubs, "rank", "left_semi"), open_)
+        now = stored(_verified(met, nodes, cfg).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("witness")), "gone")
+        gone = now if gone is None else gone.unionByName(now)
+        # Hubs are decided: what is open has been compared with them.
+        open_ = stored(open_.join(hubs, "rank", "left_anti").join(now.select(F.col("node").alias("rank")), "rank", "left_anti"), "open")
+    rest = greedy(_verified(_pairs(open_, open_), nodes, cfg))
+    if gone is None:
+        return rest
+    # Of the rest a node may be similar to a smaller hub only if the hub's round dropped it, so rest needs no second look; hubs' nodes do.
+    found = stored(gone.unionByName(rest), "dropped")
+    kept = lean.join(found.select(F.col("node").alias("rank")), "rank", "left_anti")
+    told = gone.withColumnRenamed("node", "rank")
+    a, b = kept.alias("a"), lean.join(told, "rank").alias("b")
+    below = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rank") < F.col("b.witness"))).select(F.col("a.rank").alias("u"), F.col("b.rank").alias("v")).distinct()
+    smaller = _verified(below, nodes, cfg).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("w"))
+    return found.join(smaller, "node", "left").select("node", F.coalesce("w", "witness").alias("witness"))
+
+
 #: So many open edges are settled in one task instead of in further rounds.
 SETTLE_EDGES = 200_000
 
@@ -136,7 +194,7 @@ def decide(records: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     tokens = X.query_tokens(F.col("canonical"))
     nodes = reps.select(F.col("rep").alias("rank"), "canonical", X.number_signature(F.col("canonical")).alias("numbers"), F.size(tokens).alias("n_tokens"), X.feature_set(tokens).alias("features"))
     nodes = nodes.withColumn("sig", S.simhash64(F.col("features")))
-    gone = greedy(similar_edges(stored(nodes, "nodes"), cfg))
+    gone = dropped_nodes(stored(nodes, "nodes"), cfg)
     return _decided(out.join(gone, F.col("rep") == F.col("node"), "left"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, numeric
 from ..functions.text import clean_model_output
+from .scratch import stored
 
 
 def candidate_bank(*tables: DataFrame) -> DataFrame:
@@ -88,6 +89,19 @@ def group_advantage(rewards: DataFrame, group: str, reward: str) -> DataFrame:
 
 
 def last_before(rows: DataFrame, key: str, order: list[str], value: str, alias: str) -> DataFrame:
-    """WIN5: the last known value before each row of its key."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(alias, F.last(value, ignorenulls=True).over(w))
+    """WIN5: the last known value before each row of its key; order must tell a key's rows apart.
+
+    A segmented scan: rows are written once as sorted ranges of key and order, so a key with many rows lies in many blocks. Each block
+    scans its own rows; the last known values of the blocks of a key, one row per block, are carried on, and fill what
+    a block's first rows cannot see. No task holds more of a key than a block.
+    """
+    blocks = stored(rows.repartitionByRange(key, *order).withColumn("_block", F.spark_partition_id()), "scan")
+    by = F.struct(*order)
+    inside = Window.partitionBy("_block", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col(value).isNotNull()
+    ends = blocks.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_of")).agg(F.max_by(F.when(known, F.col(value)), F.when(known, by)).alias("_end"))
+    carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)))
+    # A block's rows meet one row of its key, null keys one of theirs.
+    on = (F.col("_block") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key"))
+    local = blocks.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
+    return local.join(carried.select("_key", "_of", "_carry"), on, "left").select(*rows.columns, F.coalesce("_local", "_carry").alias(alias))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.align import resume
 from ..operators.score import score_rows
+from ..sources.append_log import AppendLog
 
 
 def scored_stream(pairs: DataFrame) -> DataFrame:
@@ -14,17 +14,10 @@ def scored_stream(pairs: DataFrame) -> DataFrame:
     return score_rows(pairs)
 
 
-def append_stream(rows: DataFrame, path: str, checkpoint: str, key: str = "source_hash") -> StreamingQuery:
-    """Writes the rows of a stream whose key the output lacks; each batch reads the keys that are there."""
+def append_stream(rows: DataFrame, path: str, checkpoint: str, key: str = "source_hash", name: str = "stream") -> StreamingQuery:
+    """Writes the rows of a stream whose key the output lacks, each micro-batch exactly once; rows without a key are all kept. `name` tells the streams of one output apart."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            fresh = resume(fresh, spark.read.schema(batch.schema).parquet(path), key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+    def put(batch: DataFrame, number: int) -> None:
+        AppendLog(batch.sparkSession, path, key).append(batch, f"{name}-{number}")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
