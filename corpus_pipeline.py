@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abacora.llm import bpe, decontaminate, jaccard_join, language_id, queries, substring_index
-from abacora.llm._shared import materialize
+from abacora.llm._shared import discard, materialize, scratch_scope
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept: list[DataFrame] = []
+        with scratch_scope(spark, kept):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        # What a stage read and what it wrote on its way is not needed any more.
+        discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
