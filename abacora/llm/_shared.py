@@ -38,8 +38,33 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's own folder below the shared one."""
+    path = f"{scratch_root(spark).rstrip('/')}/abacora-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: list[DataFrame]):
+    """Deletes at its end what was written to scratch paths inside, but for the tables put into keep."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        kept = {df.scratch for df in keep}
+        for path in _scopes.pop():
+            if path not in kept:
+                remove(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has left in the shared folder; for when its results have been read or written elsewhere."""
+    remove(spark, f"{scratch_root(spark).rstrip('/')}/abacora-{spark.sparkContext.applicationId}")
 
 
 @contextmanager
