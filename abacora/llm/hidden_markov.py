@@ -48,7 +48,7 @@ STATES = 8
 #: Rounds over a part of every chunk's training texts each, one part after the other, before the last round over all of them.
 PARTS = 4
 #: Words seen at least so often have expected counts of their own.
-OWN = 8
+OWN = 16
 MIX = 0.02
 STAY = 0.98
 #: Least count of a transition or start, so that none is impossible.
@@ -62,7 +62,9 @@ SEGMENT = 8192
 GROUP = 1 << 18
 END = b" "
 CODED = "chunk long, ids array<long>, train binary, sizes binary, codes binary, words array<binary>, counts array<long>"
-PACKED = "chunk long, counts binary, own binary, numbers array<long>, c array<long>, tokens long, firsts array<long>"
+PACKED = "chunk long, counts binary, own binary, numbers array<long>, c array<long>, firsts array<long>"
+#: Buckets at most; below it there is one per CHUNK of text.
+BUCKETS = 50_000
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -272,7 +274,7 @@ def _unsqueeze(data: bytes) -> np.ndarray:
 
 def _pack(of: pa.Table) -> pa.Table:
     """PACKED: the counts of a chunk's words over all training texts, numbers and counts of those with expected counts of their own, and what the chunk adds to the totals."""
-    at, c, number, here = (of[name].to_numpy() for name in ("local", "c", "id", "counts"))
+    at, c, number = (of[name].to_numpy() for name in ("local", "c", "id"))
     chunk = of["chunk"][0].as_py()
     counts = np.zeros(at.max() + 1, np.int64)
     counts[at] = c
@@ -281,7 +283,7 @@ def _pack(of: pa.Table) -> pa.Table:
     first = (number == (chunk << 24) + at.astype(np.int64)) & (c > 0)
     firsts = np.bincount(np.minimum(c[first], OWN), minlength=OWN + 1)
     longs = lambda x: pa.array([x.tolist()], pa.list_(pa.int64()))
-    return pa.table([[chunk], pa.array([counts.tobytes()]), pa.array([at[own].astype(np.int32).tobytes()]), longs(number[own]), longs(c[own]), [int(here.sum())], longs(firsts)], names=_names(PACKED))
+    return pa.table([[chunk], pa.array([counts.tobytes()]), pa.array([at[own].astype(np.int32).tobytes()]), longs(number[own]), longs(c[own]), longs(firsts)], names=_names(PACKED))
 
 
 def _unpack(row: pa.Table, of: pa.Table, part: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -304,7 +306,8 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     """SCORED and train_tokens of every row, by a model trained on the rows where train holds."""
     spark = docs.sparkSession
     given = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"), train.alias("train"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), given.rdd.getNumPartitions())
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = min(BUCKETS, max(spark.sparkContext.defaultParallelism, size // CHUNK))
     tables: list[tuple[str, str]] = []
 
     def bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
@@ -317,14 +320,19 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     try:
         # Every task writes its chunks to their buckets itself, so texts are never shuffled.
         coded = bucketed(_coded(given), "hmm_texts", "chunk")
-        local = coded.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "local", "w.words", "w.counts")
+        local = coded.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w"))
         # The place of a word's first row is its number: exact, and shorter than the word. A word has a row a chunk at most.
-        number, every = F.shiftleft("chunk", 24).bitwiseOR(F.col("local").cast("long")), Window.partitionBy("words")
-        known = local.select(F.col("chunk"), "local", "counts", F.sum("counts").over(every).alias("c"), F.min(F.when(F.col("counts") > 0, number)).over(every).alias("id"))
-        packed = bucketed(known.withColumn("id", F.coalesce("id", F.lit(-1).cast("long"))).groupBy("chunk").applyInArrow(_pack, PACKED), "hmm_counts", "chunk")
+        local = local.select(F.shiftleft("chunk", 24).bitwiseOR(F.col("local").cast("long")).alias("number"), "w.words", "w.counts")
+        every, met = Window.partitionBy("words"), F.col("counts") > 0
+        known = local.select("number", F.sum("counts").over(every).alias("c"), F.min(F.when(met, F.col("number"))).over(every).alias("id"))
+        place = [F.shiftright("number", 24).alias("chunk"), F.col("number").bitwiseAND((1 << 24) - 1).cast("int").alias("local")]
+        # Only words with counts of their own and first rows need a number.
+        known = known.select(*place, "c", F.when((F.col("c") >= OWN) | (F.col("id") == F.col("number")), F.col("id")).otherwise(-1).alias("id"))
+        packed = bucketed(known.groupBy("chunk").applyInArrow(_pack, PACKED), "hmm_counts", "chunk")
         firsts = [F.coalesce(F.sum(F.col("firsts")[c]), F.lit(0)).alias(f"f{c}") for c in range(OWN + 1)]
-        total = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), *firsts).first()
-        n, words, rare = total["n"], sum(total[1:]), {c: total[f"f{c}"] for c in range(1, OWN)}
+        total = packed.agg(*firsts).first()
+        n = coded.agg(F.coalesce(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+        words, rare = sum(total), {c: total[f"f{c}"] for c in range(1, OWN)}
         own = bucketed(packed.select("chunk", F.posexplode(F.arrays_zip("numbers", "c")).alias("place", "w")).select("chunk", "place", F.col("w.numbers").alias("id"), F.col("w.c").alias("c")).repartition(buckets, "id"), "hmm_own", "id")
         texts = coded.select("chunk", "ids", "train", "sizes", "codes").join(packed.select("chunk", "counts", "own", "numbers"), "chunk")
         m = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), (1 - STAY) / max(1, STATES - 1)), n, words, np.full(STATES, max(1, n) / STATES))
