@@ -24,6 +24,20 @@ def align_by_id(pred: DataFrame, gold: DataFrame, pred_cols: list[str], gold_col
     return left.join(one, left["id"] == F.col("_id")).select("id", *gold_cols, *[F.col(f"_p.{c}").alias(c) for c in pred_cols])
 
 
+def align(pred: DataFrame, gold: DataFrame, pred_cols: list[str], gold_cols: list[str]) -> DataFrame:
+    """JOIN1: by id if both tables have an id on every row, else by row_idx; missing ids, or different counts, raise. Columns id and row_idx of gold stay.
+
+    Whether ids are there is counted in one pass over each table.
+    """
+    told = [F.col("id").isNotNull() if "id" in t.columns else F.lit(False) for t in (pred, gold)]
+    whole = [not t.filter(~has).limit(1).count() for t, has in zip((pred, gold), told)]
+    if all(whole):
+        return align_by_id(pred, gold, pred_cols, ["row_idx", *gold_cols])
+    has_id = "id" in gold.columns
+    left = gold.select((F.col("id").cast("string") if has_id else F.lit(None).cast("string")).alias("id"), "row_idx", *gold_cols)
+    return align_by_position(pred.select("row_idx", *pred_cols), left, check=True).select("id", "row_idx", *gold_cols, *pred_cols)
+
+
 def align_by_position(pred: DataFrame, gold: DataFrame, check: bool = False, how: str = "inner") -> DataFrame:
     """JOIN2 and JOIN3: by row_idx; with check, different counts raise."""
     if check and (n := pred.count()) != (m := gold.count()):
