@@ -14,8 +14,8 @@ How it runs: texts are gathered to chunks of about CHUNK bytes with a dictionary
 everywhere a chunk sends one row. Chunks are written once, bucketed by chunk, and never shuffled. Words are counted over all
 chunks, and each chunk gets the counts of its words once. In every round the current expected counts of a chunk's words come to it
 (join by word, shuffle by chunk), the chunk runs forward and backward over training texts, and its expected counts are
-summed by word. The first PARTS rounds look at one part of every chunk's training texts each, all parts in turn (incremental
-expectation maximisation), the last round at all of them. Expected counts are integers in units of 1 / UNIT, so sums do not depend on the order of tasks. The driver sees
+summed by word. The first PARTS rounds look at every PARTS-th chunk each, all chunks in turn (incremental
+expectation maximisation), the last round at all of them. A corpus of fewer chunks than PARTS has fewer rounds. Expected counts are integers in units of 1 / UNIT, so sums do not depend on the order of tasks. The driver sees
 start, transitions and totals only.
 
 Long texts are cut into segments of SEGMENT tokens: a segment's transfer matrix is computed for all start states at
@@ -35,6 +35,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from ._shared import discard, materialize, remove, scratch_path, shuffle_cleanup
 
 STATES = 8
-#: Rounds over a part of every chunk's training texts each, one part after the other, before the last round over all of them.
+#: Rounds over a part of the chunks each (every PARTS-th one), one part after the other, before the last round over all of them.
 PARTS = 4
 #: Words seen at least so often have expected counts of their own.
 OWN = 16
@@ -286,19 +287,17 @@ def _pack(of: pa.Table) -> pa.Table:
     return pa.table([[chunk], pa.array([counts.tobytes()]), pa.array([at[own].astype(np.int32).tobytes()]), longs(number[own]), longs(c[own]), longs(firsts)], names=_names(PACKED))
 
 
-def _unpack(row: pa.Table, of: pa.Table, part: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and sizes of the texts (with a part (i, n), of each n-th training text), counts and expected counts of the words of one chunk, and which words have their own."""
+def _unpack(row: pa.Table, of: pa.Table, training: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and sizes of the texts (only training ones for training), counts and expected counts of the words of one chunk, and which words have their own."""
     binary = lambda name, kind: np.frombuffer(row[name][0].as_py(), kind)
     codes, sizes, count, own = _unsqueeze(row["codes"][0].as_py()), binary("sizes", np.int64), binary("counts", np.int64), binary("own", np.int32)
     expected = np.zeros((STATES, len(count)))
     at, seen = own[of["place"].to_numpy()], of["seen"].to_numpy()
     for s in range(STATES):
         expected[s, at] = (of[f"w{s // 4}"].to_numpy() >> 16 * (s % 4) & 0xFFFF) * (seen / SHARE)
-    if part:
-        taken = np.flatnonzero(binary("train", bool))[part[0] :: part[1]]
-        chosen = np.zeros(len(sizes), bool)
-        chosen[taken] = True
-        codes, sizes = codes[np.repeat(chosen, sizes)], sizes[chosen]
+    if training:
+        train = binary("train", bool)
+        codes, sizes = codes[np.repeat(train, sizes)], sizes[train]
     return codes, sizes, count, expected, own
 
 
@@ -335,15 +334,23 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
         words, rare = sum(total), {c: total[f"f{c}"] for c in range(1, OWN)}
         own = bucketed(packed.select("chunk", F.posexplode(F.arrays_zip("numbers", "c")).alias("place", "w")).select("chunk", "place", F.col("w.numbers").alias("id"), F.col("w.c").alias("c")).repartition(buckets, "id"), "hmm_own", "id")
         texts = coded.select("chunk", "ids", "train", "sizes", "codes").join(packed.select("chunk", "counts", "own", "numbers"), "chunk")
+        part = F.pmod(F.shiftright("chunk", 24) + F.col("chunk").bitwiseAND((1 << 24) - 1), F.lit(parts))
+
+        def within(i: int, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+            return texts.filter(part == i), _parameters(own.filter(part == i), of)
+
         m = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), (1 - STAY) / max(1, STATES - 1)), n, words, np.full(STATES, max(1, n) / STATES))
         np.fill_diagonal(m.moves, STAY)
         for c in rare:
             m.shared[c] = c / STATES
         counts = _leaning(own.groupBy("id").agg(F.max("c").alias("c")))
-        for part in [(i, parts) for i in range(parts)] + [(0, 1)] if n else []:
-            now = materialize(_round(texts, _parameters(own, counts), m, part), "hmm-expected")
+        for chosen in [[i] for i in range(parts)] + [list(range(parts))] if n else []:
+            # A part at a time also in the last round, so that only a part's shuffle lies on disk at once.
+            steps = [materialize(_round(*within(i, counts), m), "hmm-part") for i in chosen]
+            now = steps[0] if len(steps) == 1 else materialize(_summed(reduce(DataFrame.unionByName, steps)), "hmm-expected")
+            discard(*(t for t in steps if t is not now))
             after = _next_model(m, now, rare)
-            if not after.by_state.any():  # a corpus of so few texts that this part has none
+            if not after.by_state.any():  # a corpus of so few chunks that this part has none
                 discard(now)
                 continue
             if hasattr(counts, "scratch"):
@@ -359,8 +366,12 @@ def train_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             found = likelihood(codes, sizes, model.emissions(count, expected), model)
             return pa.table([chunk["ids"].combine_chunks().flatten(), sizes, *sums, found], names=_names(SCORED))
 
-        done = texts.drop("numbers").groupBy("chunk").cogroup(_parameters(own, counts).groupBy("of")).applyInArrow(score, SCORED)
-        return materialize(done.withColumn("train_tokens", F.lit(n).cast("long")), "hmm-scores")
+        def scored(i: int) -> DataFrame:
+            some, parameters = within(i, counts)
+            done = some.drop("numbers").groupBy("chunk").cogroup(parameters.groupBy("of")).applyInArrow(score, SCORED)
+            return materialize(done.withColumn("train_tokens", F.lit(n).cast("long")), "hmm-scores")
+
+        return reduce(DataFrame.unionByName, [scored(i) for i in range(parts)])
     finally:
         discard(counts if hasattr(counts, "scratch") else None)
         for name, path in tables:
@@ -384,12 +395,12 @@ def _parameters(own: DataFrame, counts: DataFrame) -> DataFrame:
     return own.select("id", F.col("chunk").alias("of"), "place").join(lean, "id").select("of", "place", "seen", *(f"w{w}" for w in range(STATES // 4)))
 
 
-def _round(texts: DataFrame, parameters: DataFrame, m: Model, part: tuple[int, int]) -> DataFrame:
+def _round(texts: DataFrame, parameters: DataFrame, m: Model) -> DataFrame:
     """Expected counts by word number; below 0: -1 starts, -2 - s moves from s, -2 - STATES all tokens, -3 - STATES - c words seen c times."""
     names = [f"n{s}" for s in range(STATES)]
 
     def expectation(chunk: pa.Table, of: pa.Table) -> pa.Table:
-        codes, sizes, count, expected, own = _unpack(chunk, of, part)
+        codes, sizes, count, expected, own = _unpack(chunk, of, True)
         starts, moves, words = expect(codes, sizes, m.emissions(count, expected), m)
         rare = [words[:, count == c].sum(1) for c in range(OWN)]
         columns = np.concatenate([np.array([starts, *moves, words.sum(1), *rare]).T, words[:, own]], 1)
@@ -399,7 +410,11 @@ def _round(texts: DataFrame, parameters: DataFrame, m: Model, part: tuple[int, i
         return pa.table([ids[met], *columns[:, met]], names=["id", *names])
 
     found = texts.drop("ids").groupBy("chunk").cogroup(parameters.groupBy("of")).applyInArrow(expectation, "id long, " + ", ".join(f"{n} long" for n in names))
-    return found.groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
+    return _summed(found)
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("id").agg(*(F.sum(f"n{s}").alias(f"n{s}") for s in range(STATES)))
 
 
 def _next_model(m: Model, counts: DataFrame, rare: dict[int, int]) -> Model:
