@@ -220,10 +220,12 @@ _NOTEBOOK = tuple((re.compile(p), n) for p, n in (
 def notebook_clean(text: str) -> str:
     """XF5: the clean-up that leaves <<expression=result>> notes untouched."""
     notes = _ANNOTATION.findall(text)
-    parts = _ANNOTATION.sub("\x00", text)
+    # A sign that the text doesn't have holds a note's place.
+    place = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in text)
+    parts = _ANNOTATION.sub(place, text)
     for pattern, new in _NOTEBOOK:
         parts = pattern.sub(new, parts)
-    pieces = parts.split("\x00")
+    pieces = parts.split(place)
     return " ".join("".join(a + b for a, b in zip(pieces, [*notes, ""])).split())
 
 

@@ -29,3 +29,13 @@ def test_columns(spark):
     df = spark.createDataFrame([("1 + 1 = 2. Đáp án là: 2", 2.0), (None, None)], "t string, g double")
     rows = df.select(G.clean_generated(F.col("t")).alias("a"), G.postprocess_generation(F.col("t")).alias("p"), G.checked_steps(F.col("t"), F.col("g")).alias("s")).collect()
     assert [tuple(r) for r in rows] == [("####đáp án là: 2", "1 + 1 = 2.\n####đáp án là: 2", ["1+1 = 2"]), (G.ANCHOR, G.ANCHOR, [])]
+
+
+def test_exact_starts_and_notes_with_any_sign():
+    from abacora.functions.generated import answer_value, exact_start
+    from abacora.functions.vietnamese import notebook_clean
+
+    starts = {"3\\frac{1}{2} kg": "3\\frac{1}{2}", "\\dfrac{1}{2}": "\\dfrac{1}{2}", "2,5\\sqrt{3} m": "2,5\\sqrt{3}", "-2\\sqrt 3 m": "-2\\sqrt 3", "\\sqrt{5} x": "\\sqrt{5}", "\\sqrt 5": None, "2.5\\frac{1}{2}": None, "-\\frac{1}{2}": None, "12 kg": None}
+    assert {k: exact_start(k) for k in starts} == starts
+    assert answer_value("12/5 kg") == "12/5" and answer_value("2.5\\frac{1}{2}") == "2.5"
+    assert notebook_clean("a\x00b c d") == "a\x00b c d" and notebook_clean("x <<1+1=2>> \x00 1,000") == "x <<1+1=2>> \x00 1000"
