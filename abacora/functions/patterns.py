@@ -7,8 +7,12 @@ UNI = "(?iuU)"
 
 #: White space and words by Unicode, as classes: much faster than \s under Java's Unicode flag.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = f"[^{SPACE}]+"
+#: The characters of SPACE.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: All but SPACE, said as ranges, ASCII first: Java tries every part of a negated class on each letter.
+WORD = "[!-\\x84\\x00-\\x08\\x0e-\\x1b\\x86-\\x9f\\xa1-\\u167f\\u1681-\\u1fff\\u200b-\\u2027\\u202a-\\u202e\\u2030-\\u205e\\u2060-\\u2fff\\u3001-\U0010ffff]+"
 
+QUERY_TOKEN = r"-?[0-9]+(?:\.[0-9]+)?|[a-z]+|[+\-*/=<>]"
 ANSWER_ANCHOR = r"####\s*đáp\s*án\s*là\s*[:：]?\s*"
 NUMBER = r"-?[0-9]+(?:[.,][0-9]+)?"
 LATEX_ANSWER = r"-?[0-9]+\\sqrt\{[^{}]+\}|\\sqrt\{[^{}]+\}|-?[0-9]+\\frac\{[^{}]+\}\{[^{}]+\}|\\frac\{[^{}]+\}\{[^{}]+\}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -16,22 +17,45 @@ from .text import let, strip
 
 #: Where lines end: all that Python's splitlines knows.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_BITS = np.arange(64, dtype=np.uint64)
+#: So many digests of features are kept at once.
+_KNOWN_MOST = 1 << 18
+
+
+def _signature(features: set[str], known: dict[str, bytes]) -> int:
+    """XF15: a bit is set when at least half of the features' BLAKE2b-64 digests have it; 0 without features. known holds digests met before."""
+    if not features:
+        return 0
+    raw = []
+    for f in features:
+        digest = known.get(f)
+        if digest is None:
+            if len(known) >= _KNOWN_MOST:
+                known.clear()
+            digest = known[f] = hashlib.blake2b(f.encode(), digest_size=8).digest()
+        raw.append(digest)
+    votes = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) * 2 >= len(raw)
+    return int.from_bytes(np.packbits(votes).tobytes(), "big", signed=True)
 
 
 @F.pandas_udf(T.LongType())
 def simhash64(features: pd.Series) -> pd.Series:
-    """XF15: a bit is set when at least half of the features' BLAKE2b-64 digests have it; 0 without features."""
+    """XF15 of arrays of features."""
+    known: dict[str, bytes] = {}
+    return features.map(lambda f: _signature(set() if f is None else set(f), known)).astype("int64")
 
-    def one(feats) -> int:
-        if feats is None or not len(feats):
-            return 0
-        raw = b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in set(feats))
-        values = np.frombuffer(raw, ">u8").astype(np.uint64)
-        votes = (values[:, None] >> _BITS & np.uint64(1)).sum(0) * 2 >= len(values)
-        return int((votes.astype(np.uint64) << _BITS).sum(dtype=np.uint64).astype(np.int64))
 
-    return features.map(one).astype("int64")
+@F.pandas_udf(T.LongType())
+def query_simhash64(canonical: pd.Series) -> pd.Series:
+    """XF15 of canonical queries: the features of text.feature_set are made here, so that texts reach Python and not their arrays."""
+    find, known = re.compile(P.QUERY_TOKEN).findall, {}
+
+    def one(text) -> int:
+        tokens = find(text or "")
+        features = {"u:" + t for t in tokens}
+        features.update(f"b:{a}_{b}" for a, b in zip(tokens, tokens[1:]))
+        return _signature(features, known)
+
+    return canonical.map(one).astype("int64")
 
 
 def bands(signature: Column) -> Column:

@@ -88,7 +88,7 @@ def _joined(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{P.SPACE}]+", " "))
+    return F.trim(F.regexp_replace(F.translate(text, P.SPACES, " " * len(P.SPACES)), " {2,}", " "))
 
 
 def clean_math_text(text: Column, legacy_prefix_bug: bool = False) -> Column:
@@ -161,11 +161,13 @@ def canonicalize_query(text: Column) -> Column:
     out = let(nfkc(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(_ANY_DIGIT_WORD), _digit_words(t)).otherwise(t))
     out = F.lower(strip_diacritics(clean_composed(out)))
     out = F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9])", ".")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^0-9a-z+\-*/=<>.% ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, _NOT_CANONICAL, " "), " {2,}", " "))
 
 
-#: A look for any digit word before the replacements of each.
-_ANY_DIGIT_WORD = f"(?iu)(?:{'|'.join(P.DIGIT_WORDS)})"
+#: All but 0-9 a-z + - * / = < > . % and blank, said as ranges: Java is slow on negated classes.
+_NOT_CANONICAL = "[\\x00-\\x1f!-$&-),:;?-`{-\U0010ffff]+"
+#: A look for any digit word, whole as the replacements take them, before these; the first letter is tried alone as it refuses most places.
+_ANY_DIGIT_WORD = rf"(?=[{''.join(sorted({c for w in P.DIGIT_WORDS for c in (w[0], w[0].upper())}))}])(?iu)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(P.DIGIT_WORDS)})(?![\p{{L}}\p{{N}}_])"
 
 
 def _digit_words(text: Column) -> Column:
@@ -175,7 +177,7 @@ def _digit_words(text: Column) -> Column:
 
 
 def query_tokens(canonical: Column) -> Column:
-    return F.regexp_extract_all(canonical, F.lit(r"-?[0-9]+(?:\.[0-9]+)?|[a-z]+|[+\-*/=<>]"), F.lit(0))
+    return F.regexp_extract_all(canonical, F.lit(P.QUERY_TOKEN), F.lit(0))
 
 
 def number_signature(canonical: Column) -> Column:

@@ -193,7 +193,7 @@ def decide(records: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
         return _decided(out.withColumn("witness", F.lit(None).cast(r.schema["rank"].dataType)))
     tokens = X.query_tokens(F.col("canonical"))
     nodes = reps.select(F.col("rep").alias("rank"), "canonical", X.number_signature(F.col("canonical")).alias("numbers"), F.size(tokens).alias("n_tokens"), X.feature_set(tokens).alias("features"))
-    nodes = nodes.withColumn("sig", S.simhash64(F.col("features")))
+    nodes = nodes.withColumn("sig", S.query_simhash64(F.col("canonical")))
     gone = dropped_nodes(stored(nodes, "nodes"), cfg)
     return _decided(out.join(gone, F.col("rep") == F.col("node"), "left"))
 

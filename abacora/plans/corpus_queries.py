@@ -63,7 +63,7 @@ def near_dup_pairs_jaccard(spark, sf_dir):
 
 def simhash_bands(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    t = d.select("doc_id", S.simhash64(X.feature_set(X.query_tokens(X.canonicalize_query(F.col("text"))))).alias("sig"))
+    t = d.select("doc_id", S.query_simhash64(X.canonicalize_query(F.col("text"))).alias("sig"))
     return t.select("doc_id", "sig", F.explode(S.bands(F.col("sig"))).alias("b")).select("doc_id", "sig", "b.band", "b.value")
 
 

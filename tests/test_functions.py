@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from abacora.functions import answers, numeric, similarity, text, vietnamese
+from abacora.functions import answers, numeric, patterns, similarity, text, vietnamese
 
 
 def column(spark, values, f, kind="string"):
@@ -76,6 +76,27 @@ def test_simhash_matches_a_plain_loop(spark):
     assert column(spark, [[], None], similarity.simhash64, "array<string>") == [0, 0]
 
 
+def test_query_simhash_equals_that_of_features(spark):
+    texts = ["two apples and 3 pears", "-1.5 + x = 2", "a a a", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(similarity.query_simhash64("t").alias("a"), similarity.simhash64(text.feature_set(text.query_tokens(F.col("t")))).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["a"] != rows[1]["a"]
+
+
+def test_classes_said_as_ranges_hold_the_same_characters(spark):
+    marks = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000, 7), 0xFEFF, 0x1D400, 0x10FFFF]]
+    df = spark.createDataFrame([(f" a{c}b{c}{c} c ",) for c in marks], "t string")
+    pairs = [(F.regexp_count("t", F.lit(patterns.WORD)), F.regexp_count("t", F.lit(f"[^{patterns.SPACE}]+"))), (F.regexp_replace("t", text._NOT_CANONICAL, "_"), F.regexp_replace("t", r"[^0-9a-z+\-*/=<>.% ]+", "_")), (text.collapse(F.col("t")), F.trim(F.regexp_replace("t", f"[{patterns.SPACE}]+", " ")))]
+    for new, old in pairs:
+        assert df.filter(new != old).count() == 0
+
+
+def test_only_whole_digit_words_run_the_replacements(spark):
+    df = spark.createDataFrame([("chair basket hair",), ("ba quả",), ("x Mười, y",), ("_hai",)], "t string")
+    assert [r[0] for r in df.select(F.col("t").rlike(text._ANY_DIGIT_WORD)).collect()] == [False, True, True, False]
+    assert [r[0] for r in df.select(text.canonicalize_query(F.col("t"))).collect()] == ["chair basket hair", "3 qua", "x 10 y", "hai"]
+
+
 @pytest.mark.parametrize(
     ("given", "wanted"),
     [("hai mươi ba quả", "23 quả"), ("một trăm hai mươi", "120"), ("thứ hai", "thứ hai"), ("5 năm", "5 năm"), ("bậc hai", "bậc hai"), ("ba nghìn năm trăm", "3500"), ("mười lăm", "10 lăm"), ("2 nửa", "2 0.5"), ("hai tỷ ba", "2000000000 3"), ("một triệu hai trăm nghìn", "1000200 1000")],
