@@ -21,12 +21,13 @@ def extract_answer(text: Column, anchors: tuple = P.VI_ANCHORS) -> Column:
     """ANS1: by the first anchor, in list order, that the text has; else the last boxed part; else null."""
     # Plain searches for what every match holds come before the patterns, which are slow on texts without any.
     low = lambda t: F.lower(t)
-    given = lambda t: F.struct(t.alias("t"), F.contains(t, F.lit("####")).alias("hash"), (F.contains(low(t), F.lit("đáp")) | F.contains(low(t), F.lit("câu trả lời"))).alias("says"), F.contains(low(t), F.lit("answer is")).alias("en"))
+    given = lambda t: F.struct(t.alias("t"), F.contains(t, F.lit("####")).alias("hash"), (F.contains(low(t), F.lit("đáp")) | F.contains(low(t), F.lit("câu trả lời"))).alias("says"), F.contains(low(t), F.lit("answer is")).alias("en"), F.contains(low(t), F.lit("frac")).alias("frac"), F.contains(low(t), F.lit("qrt")).alias("root"))
     return let(text, lambda t: let(given(t), lambda g: _extract(g["t"], anchors, g)))
 
 
 def _guard(pattern: str, g: Column) -> Column:
-    return g["en"] if "answer is" in pattern else g["hash"] if pattern.startswith("####") else g["says"]
+    said = g["en"] if "answer is" in pattern else g["hash"] if pattern.startswith("####") else g["says"]
+    return said & g["frac"] if "frac" in pattern else said & g["root"] if "sqrt" in pattern else said
 
 
 def _extract(text: Column, anchors: tuple, g: Column) -> Column:
@@ -70,7 +71,7 @@ def count_anchors(text: Column) -> Column:
 
 def last_marker_answer(text: Column) -> Column:
     """ANS7: what follows the marker that starts last; else the last boxed part; else null."""
-    any_marker = f"(?:{'|'.join(P.MARKERS)})"
+    any_marker = P.ANY_MARKER
     tail = F.regexp_extract(text, f"(?s){P.UNI}^.*{any_marker}(.*)\\z", 1)
     boxed = _last(F.regexp_extract_all(text, F.lit(P.BOXED), F.lit(1)))
     return F.when(text.isNull() | (text == ""), None).when(text.rlike(P.UNI + any_marker), cleanup_answer(strip(tail))).when(boxed.isNotNull(), cleanup_answer(boxed))
@@ -78,7 +79,7 @@ def last_marker_answer(text: Column) -> Column:
 
 def without_answer_tail(text: Column, near: int = 700) -> Column:
     """ANS8: cut at the first marker of the last `near` characters, else at the last marker."""
-    any_marker = f"(?:{'|'.join(P.MARKERS)})"
+    any_marker = P.ANY_MARKER
     cut = F.greatest(F.length(text) - near, F.lit(0))
     head, tail = F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.length(text))
     in_tail = F.regexp_replace(tail, f"(?s){P.UNI}{any_marker}.*", "")
@@ -104,5 +105,5 @@ def numeric_values(text: Column) -> Column:
 
 def final_answer_tail(text: Column) -> Column:
     """ANS9: the last marker and all that follows it; null if there is none."""
-    any_marker = f"(?:{'|'.join(P.MARKERS)})"
+    any_marker = P.ANY_MARKER
     return F.nullif(strip(F.regexp_extract(text, f"(?s){P.UNI}^.*({any_marker}.*)\\z", 1)), F.lit(""))

@@ -36,6 +36,8 @@ VI_ANCHORS = (
 EN_ANCHORS = ((rf"the answer is\s*[:：]?\s*({NUMBER})", True, True), (r"The answer is\s*[:：]?", False, False), (r"####", False, False))
 #: Markers of the last-marker strategy.
 MARKERS = (r"Đáp\s*án\s*là\s*[:：]?", r"Đáp\s*án\s*[:：]", r"Câu\s*trả\s*lời\s*là\s*[:：]?", r"Câu\s*trả\s*lời\s*[:：]", r"Đáp\s*số\s*là\s*[:：]?", r"Đáp\s*số\s*[:：]", r"The\s+answer\s+is\s*[:：]?", r"####\s*")
+#: Any of them; the look at the first letter refuses most places at once.
+ANY_MARKER = f"(?=[đĐcCtT#])(?:{'|'.join(MARKERS)})"
 VOTE_ANSWER = r"(?:####\s*|đáp án là\s*[:：]?\s*|câu trả lời là\s*[:：]?\s*|\\boxed\{)+" + f"({NUMBER})"
 
 ASY_BLOCK = r"(?is)\[asy\].*?(?:\[/asy\]|\z)"

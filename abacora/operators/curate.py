@@ -140,7 +140,7 @@ def has_variable_x(text: Column) -> Column:
 
 def clean_target_line(line: Column, allow_x: bool = False) -> Column:
     """FLT13."""
-    ok = (F.length(line) <= 180) & ~line.rlike(P.UNI + f"(?:{'|'.join(P.MARKERS)})") & ~line.rlike(r"(?i)<[^>]+>|```|print\s*\(")
+    ok = (F.length(line) <= 180) & ~line.rlike(P.UNI + P.ANY_MARKER) & ~line.rlike(r"(?i)<[^>]+>|```|print\s*\(")
     if not allow_x:
         ok = ok & ~has_variable_x(line)
     return ok & (~line.rlike("[0-9]") | has_operator(line))
@@ -161,7 +161,7 @@ def validation_error(final: Column, gold: Column, lines: Column, most_lines: int
     no_lines = lines.isNull() | (F.size(lines) == 0)
     return (
         F.when(F.coalesce(final, F.lit("")) == "", VALIDATION_ORDER[0]).when(no_lines, VALIDATION_ORDER[1]).when(F.size(lines) > most_lines, VALIDATION_ORDER[2])
-        .when(F.exists(lines, lambda x: F.length(x) > longest_line), VALIDATION_ORDER[3]).when(joined.rlike(P.UNI + f"(?:{'|'.join(P.MARKERS)})"), VALIDATION_ORDER[4])
+        .when(F.exists(lines, lambda x: F.length(x) > longest_line), VALIDATION_ORDER[3]).when(joined.rlike(P.UNI + P.ANY_MARKER), VALIDATION_ORDER[4])
         .when(joined.rlike(r"```|<[A-Za-z/]"), VALIDATION_ORDER[5]).when(~numeric.numbers_match(final, gold), VALIDATION_ORDER[6]).when(F.length(joined) > longest, VALIDATION_ORDER[7]).when(~joined.rlike("[0-9]"), VALIDATION_ORDER[8])
     )
 
@@ -204,7 +204,7 @@ def shorten_reasoning(text: Column, sentences: int = 4, longest: int = 450) -> C
 
 def split_clauses(text: Column) -> Column:
     """TGT6: clauses of a solution."""
-    return F.filter(F.transform(F.split(text, r"(?U)\n+|(?<=[.!?。;])\s+|,\s+(?=(?:nên|vậy|do đó|suy ra))"), X.strip), lambda s: s != "")
+    return F.filter(F.transform(X.split_at(text, r"(?U)\n+|(?<=[.!?。;])\s+|,\s+(?=(?:nên|vậy|do đó|suy ra))"), X.strip), lambda s: s != "")
 
 
 def gold_parses(response: Column) -> Column:

@@ -52,8 +52,8 @@ def plain_line(text: Column) -> Column:
 
 def clauses(text: Column) -> Column:
     """TGT6: clauses of a solution without its answer, as plain lines."""
-    pieces = F.split(answers.without_answer_tail(text), _PIECES)
-    return F.filter(F.transform(F.flatten(F.transform(pieces, lambda p: F.split(p, _CLAUSES))), plain_line), lambda s: s != "")
+    pieces = X.split_at(answers.without_answer_tail(text), _PIECES)
+    return F.filter(F.transform(F.flatten(F.transform(pieces, lambda p: X.split_at(p, _CLAUSES))), plain_line), lambda s: s != "")
 
 
 def _around(line: Column, pattern: str, longest: int, before: int, after: int, signs: str) -> Column:
@@ -77,7 +77,7 @@ def _within(lines: Column, longest: int) -> Column:
 
 def equation_lines(text: Column, most: int = 3, variable: bool = False, longest: int = 300) -> Column:
     """TGT6: the first clean clauses that compute something, shortened around their operator, each once, up to a length in all."""
-    markers = f"{P.UNI}(?:{'|'.join(P.MARKERS)})"
+    markers = P.UNI + P.ANY_MARKER
 
     def clean(s: Column) -> Column:
         ok = s.rlike(r"[0-9]|\\frac|\\sqrt|=") & (F.length(s) <= 180) & ~s.rlike(markers) & ~s.rlike(r"(?i)<[^>]+>|```|print\s*\(") & (~s.rlike("[0-9]") | s.rlike(_ARITHMETIC))
@@ -111,7 +111,7 @@ def variable_lines(lines: Column, assigned: Column) -> Column:
 def focused_reasoning(text: Column, longest: int = 700, parts: int = 6) -> Column:
     """TGT4: pieces with numbers or signs, the first and last of them, cut at a blank."""
     body = answers.without_answer_tail(text)
-    pieces = F.filter(F.transform(F.split(body, r"(?U)(?<=[.!?。])\s+|\n+"), X.strip), lambda s: s.rlike(_NUMERIC))
+    pieces = F.filter(F.transform(X.split_at(body, r"(?U)(?<=[.!?。])\s+|\n+"), X.strip), lambda s: s.rlike(_NUMERIC))
     some = X.let(F.struct(pieces.alias("p"), body.alias("b")), lambda s: F.when(F.size(s["p"]) > 0, s["p"]).otherwise(F.slice(X.split_sentences(X.normalize_space(s["b"])), 1, 3)))
     head = parts // 2
     kept = X.let(some, lambda p: F.when(F.size(p) > parts, F.concat(F.slice(p, 1, head), F.slice(p, -(parts - head), parts - head))).otherwise(p))
@@ -130,8 +130,8 @@ def minimal_reasoning(text: Column, longest: int = 300, parts: int = 3) -> Colum
     tidy = lambda s: _trim(X.normalize_space(s), _EDGE)
     computes = lambda s: s.rlike("[0-9]") & s.rlike(_OPERATOR)
     shortest = lambda cs: F.aggregate(cs, F.lit(None).cast("string"), lambda best, c: F.when(best.isNull() | (F.length(c) < F.length(best)), c).otherwise(best))
-    clause = lambda s: F.coalesce(shortest(F.filter(F.transform(F.split(s, _MINIMAL_CLAUSES), tidy), computes)), s)
-    pieces = F.filter(F.transform(F.split(source, _MINIMAL_PIECES), tidy), computes)
+    clause = lambda s: F.coalesce(shortest(F.filter(F.transform(X.split_at(s, _MINIMAL_CLAUSES), tidy), computes)), s)
+    pieces = F.filter(F.transform(X.split_at(source, _MINIMAL_PIECES), tidy), computes)
     last = X.let(F.transform(pieces, lambda s: _around(clause(s), _OPERATOR, 140, 55, 85, _EDGE)), lambda p: F.slice(p, F.greatest(F.size(p) - parts + 1, F.lit(1)), parts))
     joined = X.let(_distinct(last), lambda p: F.when(F.length(F.array_join(p, "\n")) > longest, F.array_join(_within(p, longest), "\n")).otherwise(F.array_join(p, "\n")))
     return X.strip(joined)

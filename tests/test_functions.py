@@ -132,3 +132,22 @@ def test_arithmetic_share():
     assert numeric.arithmetic_share("2 + 3 = 5; 2*2 = 5") == 0.5
     assert numeric.arithmetic_share("no numbers") == 1.0
     assert numeric.arithmetic_share("5 = 5") == 1.0
+
+
+def test_split_at_equals_split(spark):
+    texts = ["a. b\n\nc; d", ". x", "", None, "one, two, ", "￿ a. b", "a;￿;b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"(?U)(?<=[.!?。])\s+|\n+|;", r"(?iuU),|，|\s+\b(?:nên|vậy)\b\s+"):
+        rows = df.select(text.split_at(F.col("t"), pattern).alias("a"), F.split("t", pattern).alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows]
+
+
+def test_blanks_and_markers_by_their_first_letters(spark):
+    blanks = ["a b", "a  b", "a\tb", " \t a \t\t b  c\t", "a   \n\n\n\n b"]
+    df = spark.createDataFrame([(t,) for t in blanks], "t string")
+    old = text.strip(F.regexp_replace(F.regexp_replace("t", "[ \t]+", " "), "\n{3,}", "\n\n"))
+    assert df.filter(text.normalize_space(F.col("t")) != old).count() == 0
+    said = spark.createDataFrame([(t,) for t in ("ĐÁP ÁN: 1", "đáp số là 2", "câu trả lời: 3", "the Answer is 4", "x #### 5", "không có")], "t string")
+    assert [r[0] for r in said.select(F.col("t").rlike(patterns.UNI + patterns.ANY_MARKER)).collect()] == [True] * 5 + [False]
+    given = spark.createDataFrame([(r"Đáp án là: \FRAC{1}{2}",), (r"Đáp án là \sqrt{3}",), ("Đáp án là: 5 quả",)], "t string")
+    assert [r[0] for r in given.select(answers.extract_answer(F.col("t"))).collect()] == [r"\FRAC{1}{2}", r"\sqrt{3}", "5"]
