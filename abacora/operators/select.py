@@ -96,7 +96,7 @@ def promote(runs: DataFrame, threshold: float = 0.468, least_n: int = 500, stubs
 
 
 def retrieval_tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(X.normalize_space(text)), F.lit(r"(?U)\w+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
 #: Postings of a token looked at for a first threshold: of rare tokens, and of every token; and how many of the rows met are then scored.

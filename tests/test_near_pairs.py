@@ -35,3 +35,17 @@ def test_simhash_bands_read_documents(spark, tmp_path):
     got = {(r["doc_id"], r["band"]): (r["sig"], r["value"]) for r in corpus_queries.simhash_bands(spark, str(tmp_path)).collect()}
     assert len(got) == 4 * len(texts) and all(got[0, b] == got[1, b] for b in range(4)) and got[0, 0][0] != got[2, 0][0]
     assert all(value == sig >> 16 * band & 0xFFFF for (_, band), (sig, value) in got.items())
+
+
+def test_tokens_are_read_without_a_clean_up_of_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from abacora.functions import text as X
+    from abacora.operators import select
+
+    df = spark.createDataFrame([("  Hai\r\n\r\n\r\n\r\nBA \t  x_1  ",), ("ΟΔΟΣ 　",), ("",), (None,)], "t string")
+    old = F.array_distinct(F.regexp_extract_all(F.lower(X.normalize_space(F.col("t"))), F.lit(r"(?U)\w+"), F.lit(0)))
+    rows = df.select(select.retrieval_tokens(F.col("t")).alias("a"), old.alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    plan = df.select(select.retrieval_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
