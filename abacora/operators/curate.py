@@ -179,10 +179,11 @@ def malformed_tags(text: Column) -> Column:
     return repeated_tags(text) | ~text.rlike(r"(?s)<think>.*?</think>.*?<answer>.*?</answer>")
 
 
-def repetitive(text: Column) -> Column:
-    """FLT18: 40 words or more, with a trigram 4 times or a line 3 times."""
+def repetitive(text: Column, trigrams: Column | None = None) -> Column:
+    """FLT18: 40 words or more, with a trigram 4 times or a line 3 times. trigrams: their largest count, where it is known."""
+    trigrams = S.max_trigram_count(text) if trigrams is None else trigrams
     words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(P.WORD))
-    return (words >= 40) & ((S.max_trigram_count(text) >= 4) | (S.max_line_count(text) >= 3))
+    return (words >= 40) & ((trigrams >= 4) | (S.max_line_count(text) >= 3))
 
 
 def head(rows: DataFrame, most: int | None) -> DataFrame:

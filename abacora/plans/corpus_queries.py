@@ -69,7 +69,8 @@ def simhash_bands(spark, sf_dir):
 
 def repetition_docs(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", S.max_trigram_count(F.col("text")).alias("trigrams"), (dedup.word_count(F.col("text")) >= 40).alias("long_enough"), curate.repetitive(F.col("text")).alias("repetitive"))
+    d = d.select("doc_id", "text", S.max_trigram_count(F.col("text")).alias("trigrams"))  # once for both columns that need it
+    return d.select("doc_id", "trigrams", (dedup.word_count(F.col("text")) >= 40).alias("long_enough"), curate.repetitive(F.col("text"), F.col("trigrams")).alias("repetitive"))
 
 
 def audit_counters(spark, sf_dir):

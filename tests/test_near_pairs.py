@@ -49,3 +49,10 @@ def test_tokens_are_read_without_a_clean_up_of_white_space(spark):
     assert [r["a"] for r in rows] == [r["b"] for r in rows]
     plan = df.select(select.retrieval_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_trigrams_of_a_document_are_counted_once(spark, tmp_path):
+    spark.createDataFrame([(0, "a b c " * 20), (1, "x y"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = corpus_queries.repetition_docs(spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {(0, 20, True, True), (1, 0, False, False), (2, 0, False, False)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
