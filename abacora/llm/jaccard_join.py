@@ -15,10 +15,12 @@ A list gives a pair only if what either set has left from that key on can still
 (the pair's first common key always passes). A list of at most LIST nodes gives all such pairs. From longer
 lists, which may be spread over several tasks by a salt, every node is paired with one hub: that which most
 of its lists name. These pairs are verified and components built; lists whose nodes are by then in one
-component are done. A further round chooses other hubs for the rest; lists that stay open give all pairs
-of different components, in blocks of BLOCK nodes, but for those that the bitmaps of their sets rule out: a
-bucket that only one of the sets has holds a shingle that is not shared. So no link between components is
-lost, and a large group of mutual near copies costs about a pair per node. Pairs are verified on the whole
+component are done. A further round chooses other hubs for the rest. Lists that stay open are looked at in blocks
+of BLOCK nodes: pairs of different components can link, but for those that the bitmaps of their sets rule out (a
+bucket that only one of the sets has holds a shingle that is not shared). Each component gives its FIRST likeliest
+such pairs, these are verified, components are built anew, and it goes on with GROWTH times as many until no pair
+is left over. So no link between components is lost, and components that link a lot meet by a few pairs
+instead of by all: a large group of mutual near copies costs about a pair per node. Pairs are verified on the whole
 texts.
 
 Edge cases: null text or none but separators: empty set, linked with nothing, its own component;
@@ -59,6 +61,8 @@ ROUNDS = 2
 BITMAP = 16
 #: Nodes of one block of an open list.
 BLOCK = 1024
+#: Pairs that a component gives in a block at first, and how many times as many in every later wave; what is left beyond MOST comes whole.
+FIRST, GROWTH, MOST = 32, 32, 1024
 #: Tasks over which open lists of the same components are dealt.
 SPREAD = 32
 #: Hot classes of equal sets are broadcast up to this many.
@@ -324,11 +328,18 @@ def bitmaps(texts: DataFrame) -> DataFrame:
     return texts.select("node", "packed").mapInArrow(run, "node long, bits binary")
 
 
-def _may_link(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, threshold=THRESHOLD) -> np.ndarray:
-    """Whether sets of sizes n and m with bitmaps x and y can share enough."""
-    t, of = threshold
-    most = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-    return (of + t) * most >= t * (n + m)
+def _shared_most(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles sets of sizes n and m with bitmaps x and y can share at most."""
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+
+
+def _likeliest(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs (component, component, likelihood, ...) those among the `most` likeliest of either component."""
+    each = np.concatenate([pairs[:, 0], pairs[:, 1]])
+    order = np.lexsort((-np.tile(pairs[:, 2], 2), each))
+    starts = np.flatnonzero(np.append(True, each[order][1:] != each[order][:-1]))
+    place = np.arange(len(each)) - np.repeat(starts, np.diff(np.append(starts, len(each))))
+    return pairs[np.unique(order[place < most] % len(pairs))]
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -387,33 +398,54 @@ def candidates(sorted_postings: DataFrame) -> DataFrame:
     return sorted_postings.mapInArrow(run, "kind byte, a long, b long, n long")
 
 
-def across(blocks: DataFrame) -> DataFrame:
-    """a, b: pairs of open lists that can link and whose components differ.
+def across(blocks: DataFrame, most: int | None = None) -> DataFrame:
+    """a, b: pairs of open lists that can link and whose components differ; with most, those among the `most` likeliest of either component in a block.
 
-    Reads key, i, j, block, n, node, component, bits sorted by key, i, j: two blocks of a list, or one (i = j).
+    Reads key, i, j, block, n, node, component, bits sorted by key, i, j: two blocks of a list, or one (i = j). left: how many pairs a block
+    holds beyond (a row of its own, with null pairs).
     """
+    t, of = THRESHOLD
 
     def out(p: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64())], names=["a", "b", "left"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, late = _Pairs(), np.zeros((0, 7 + BITMAP), np.int64)
+        pairs, late, left = _Pairs(), np.zeros((0, 7 + BITMAP), np.int64), 0
 
         def pair_up(rows: np.ndarray):
+            nonlocal left
             label, which, many = np.unique(rows[:, 6], return_inverse=True, return_counts=True)
             if len(label) < 2:
                 return
-            rows = rows[np.argsort(which == many.argmax(), kind="stable")]  # the largest component's nodes last: they meet only others
+            rows = rows[np.lexsort((rows[:, 5], which == many.argmax()))]  # the largest component's nodes last: they meet only others; by node, so that lists of the same nodes choose alike
             own, two = len(rows) - int(many.max()), rows[0, 1] != rows[0, 2]
             n, maps = rows[:, 4] >> 32, rows[:, 7:].view(np.uint64)
+            parts, held = [], 0
             for a in range(0, own, 64):
                 x, y = rows[a : min(own, a + 64), None], rows[None, a:]
                 ok = (x[:, :, 6] != y[:, :, 6]) & _fits(x[:, :, 4], y[:, :, 4]) & (np.arange(x.shape[0])[:, None] < np.arange(y.shape[1])[None, :])
                 if two:
                     ok &= x[:, :, 3] != y[:, :, 3]
                 i, j = (a + k for k in np.nonzero(ok))
-                can = _may_link(n[i], maps[i], n[j], maps[j])
-                pairs.add(rows[i[can], 5], rows[j[can], 5])
+                shared = _shared_most(n[i], maps[i], n[j], maps[j])
+                can = (of + t) * shared >= t * (n[i] + n[j])
+                i, j = i[can], j[can]
+                if most is None:
+                    pairs.add(rows[i, 5], rows[j, 5])
+                elif len(i):
+                    likely = (shared[can] << 20) // (n[i] + n[j])
+                    parts.append(np.stack([rows[i, 6], rows[j, 6], likely, rows[i, 5], rows[j, 5]], 1))
+                    held += len(i)
+                    if held > 1 << 17:
+                        parts = [_likeliest(np.concatenate(parts), most)]
+                        left += held - len(parts[0])
+                        held = len(parts[0])
+                for p in pairs.full():
+                    yield out(p)
+            if parts:
+                kept = _likeliest(np.concatenate(parts), most)
+                left += held - len(kept)
+                pairs.add(kept[:, 3], kept[:, 4])
                 for p in pairs.full():
                     yield out(p)
 
@@ -429,8 +461,10 @@ def across(blocks: DataFrame) -> DataFrame:
         if len(late):
             yield from pair_up(late)
         yield out(pairs.take())
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([left])], names=["a", "b", "left"])
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(run, "a long, b long, left long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -530,7 +564,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = materialize(_packed(docs).join(needed.join(ids, "node"), F.col("doc_id") == F.col("rep")).select("node", "rep", "packed").dropDuplicates(["node"]), "jaccard-texts")
 
     verified = lambda more: materialize(verify(more, texts), "jaccard-links")
-    comp, tried, turn, open_, used = _components(verified(pairs)), pairs.select("a", "b"), 0, members, [found, members, pairs, texts]
+    comp, tried, turn, open_, used, most = _components(verified(pairs)), pairs.select("a", "b"), 0, members, [found, members, pairs, texts], 0
     while True:
         open_ = materialize(_open(open_.select("key", "node", "n", "rep"), comp), "jaccard-open")
         used.append(open_)
@@ -538,13 +572,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if not work:
             break
         turn += 1
-        last = turn == ROUNDS or work <= sums["sets"]
-        more = _blocks(open_, texts, parts) if last else hub_pairs(open_, turn)
+        if not most and turn < ROUNDS and work > sums["sets"]:
+            more, left = hub_pairs(open_, turn), 1
+        else:
+            most = most * GROWTH if most else FIRST
+            looked = materialize(_blocks(open_, texts, parts, most if most <= MOST else None), "jaccard-across")
+            used.append(looked)
+            more, left = looked.filter("a is not null").select("a", "b", F.lit(0).alias("s")), looked.agg(F.sum("left")).first()[0]
         more = materialize(more.join(_both_ways(tried), ["a", "b"], "left_anti"), "jaccard-pairs")
         used.append(more)
-        if not last or more.take(1):
+        if not most or more.take(1):
             comp = _components(verified(more), comp)
-        if last:
+        if not left:
             break
         tried = tried.unionByName(more.select("a", "b"))
     out = _placed(sets, classes, comp)
@@ -563,8 +602,8 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _blocks(open_: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """a, b, s: all pairs of different components of open lists that can link."""
+def _blocks(open_: DataFrame, texts: DataFrame, parts: int, most: int | None) -> DataFrame:
+    """a, b, left: across() of open lists, a pair once."""
     maps = bitmaps(texts.join(open_.select("node").distinct(), "node", "left_semi"))
     many = F.ceil(F.col("size") / BLOCK)
     rows = open_.join(maps, "node").select("key", "n", "node", "component", "bits", "lo", "hi", many.alias("many"), F.pmod(F.xxhash64("node"), many).alias("block"))
@@ -572,7 +611,7 @@ def _blocks(open_: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "node", "component", "bits", "lo", "hi")
     # Lists of the same components mostly give the same pairs: they meet in one task, or in SPREAD if there are very many of them.
     dealt = rows.repartition(parts, "lo", "hi", F.pmod(F.xxhash64("key", "i", "j"), F.lit(SPREAD)))
-    return across(dealt.select("key", "i", "j", "block", "n", "node", "component", "bits").sortWithinPartitions("key", "i", "j")).distinct().select("a", "b", F.lit(0).alias("s"))
+    return across(dealt.select("key", "i", "j", "block", "n", "node", "component", "bits").sortWithinPartitions("key", "i", "j"), most).distinct()
 
 
 def _placed(sets: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
