@@ -85,14 +85,14 @@ def ratio_at_least(threshold: float):
 
 
 def _longest_run(items: Column) -> Column:
-    """How often the commonest of an array's strings stands in it: equal ones are neighbours once sorted."""
+    """How often the commonest of an array's strings stands in it: equal ones are neighbours once sorted (sort_array has no comparator to interpret)."""
     zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
     def step(s: Column, x: Column) -> Column:
         run = F.when(x == s["last"], s["run"] + 1).otherwise(1)
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-    return F.aggregate(F.array_sort(items), zero, step, lambda s: s["most"])
+    return F.aggregate(F.sort_array(items), zero, step, lambda s: s["most"])
 
 
 def max_trigram_count(text: Column) -> Column:

@@ -11,6 +11,10 @@ from ..functions.text import let
 from .score import type_or_unknown
 
 
+#: Outputs of up to so many words are no repetition loops.
+LOOP_WORDS = 10
+
+
 def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(P.WORD))
 
@@ -18,7 +22,7 @@ def words(text: Column) -> Column:
 def failures(output: Column, extractable: Column, score: Column, pred: Column, gold: Column, trigrams: Column | None = None, extended: bool = False) -> Column:
     """TAX1: labels in their fixed order. extended adds truncation_failure and bilingual_leakage."""
     if trigrams is None:
-        trigrams = S.max_trigram_count(output)
+        trigrams = F.when(words(output) > LOOP_WORDS, S.max_trigram_count(output))  # looked at in longer outputs only
     given = F.struct(words(output).alias("n"), extractable.alias("ok"), score.alias("score"), pred.cast("double").alias("pred"), gold.cast("double").alias("gold"), trigrams.alias("tri"), output.alias("out"))
     return let(given, lambda g: _labels(g["out"], g["n"], g["ok"], g["score"], g["pred"], g["gold"], g["tri"], extended))
 
@@ -33,7 +37,7 @@ def _labels(output: Column, n: Column, extractable: Column, score: Column, pred:
     shifted = both & (gold != 0) & (pred != 0) & F.coalesce(F.abs(power - F.rint(power)) < 1e-4, F.lit(False))
     early = (n <= 4) & zero
     label = lambda c, name: F.when(c, F.lit(name))
-    loops = (n > 10) & (trigrams > 4)
+    loops = (n > LOOP_WORDS) & (trigrams > 4)
     found = [label(~F.coalesce(extractable, F.lit(False)), "extraction_failure"), label(early, "premature_eos")]
     if extended:
         found.append(label(~early & (n >= 195), "truncation_failure"))
@@ -57,7 +61,8 @@ def diagnostic_frame(rows: DataFrame, output: str = "model_output", extended: bo
 
 def failure_counts(framed: DataFrame) -> DataFrame:
     """AGG4: occurrences and mean score by label."""
-    return framed.select(F.explode("failures").alias("failure"), "score").groupBy("failure").agg(F.count("*").alias("occurrences"), F.avg("score").alias("mean_score"))
+    # explode would make Catalyst copy the labels' definition into filters on their size and nullness, so they would be worked out three times.
+    return framed.select(F.explode_outer("failures").alias("failure"), "score").filter("failure is not null").groupBy("failure").agg(F.count("*").alias("occurrences"), F.avg("score").alias("mean_score"))
 
 
 def type_performance(framed: DataFrame) -> DataFrame:
