@@ -87,7 +87,8 @@ def failures_by_type(classed: DataFrame, run: str = "name") -> DataFrame:
 
 def class_examples(classed: DataFrame, run: str = "name", most: int = 5) -> DataFrame:
     """AGG8: the first rows of every class of every run, with their texts cut short."""
-    each = classed.withColumn("class", F.explode("classes"))
+    # explode would make Catalyst copy the classes' definition into filters on their size and nullness, so they would be worked out three times.
+    each = classed.withColumn("class", F.explode_outer("classes")).filter("class is not null")
     kept = top_per_group(each, [run, "class"], [F.col("row_idx")], most)
     cut = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n).alias(c)
     texts = [cut(c, n) for c, n in (("query_vi", 500), ("model_output", 900)) if c in classed.columns]
