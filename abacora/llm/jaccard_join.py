@@ -16,12 +16,9 @@ A list gives a pair only if what either set has left from that key on can still
 lists, which may be spread over several tasks by a salt, every node is paired with one hub: that which most
 of its lists name. These pairs are verified and components built; lists whose nodes are by then in one
 component are done. A further round chooses other hubs for the rest. Lists that stay open are looked at in blocks
-of BLOCK nodes: pairs of different components can link, but for those that the bitmaps of their sets rule out (a
-bucket that only one of the sets has holds a shingle that is not shared). Each component gives its FIRST likeliest
-such pairs, these are verified, components are built anew, and it goes on with GROWTH times as many until no pair
-is left over. So no link between components is lost, and components that link a lot meet by a few pairs
-instead of by all: a large group of mutual near copies costs about a pair per node. Pairs are verified on the whole
-texts.
+of BLOCK nodes and WEIGHT shingles, which hold the nodes' whole sets: pairs of different components that can link are counted
+exactly, and only links that join components are handed on. So no link between components is lost, a block hands on
+fewer links than it has components, and sets that do not link are no rows.
 
 Edge cases: null text or none but separators: empty set, linked with nothing, its own component;
 fewer than SHINGLE words: the whole sequence is one shingle; rows without doc_id get the component
@@ -57,12 +54,14 @@ _SKETCH_BLOCK = 16
 HOT = 1024
 #: Rounds in which the nodes of lists are paired with a hub, before all pairs of those still open are made.
 ROUNDS = 2
-#: Words of 64 buckets in a set's bitmap.
-BITMAP = 16
-#: Nodes of one block of an open list.
+#: Nodes and shingles of one block of an open list.
 BLOCK = 1024
-#: Pairs that a component gives in a block at first, and how many times as many in every later wave; what is left beyond MOST comes whole.
-FIRST, GROWTH, MOST = 32, 32, 1024
+WEIGHT = 1 << 19
+#: Shingles of sets that a task keeps from one block to the next.
+KEPT = 1 << 20
+#: Bits that tell which texts are needed, whatever the corpus; a text beyond them is joined away.
+MARK_BITS = 26
+_MARK_BLOCK = 16
 #: Tasks over which open lists of the same components are dealt.
 SPREAD = 32
 #: Hot classes of equal sets are broadcast up to this many.
@@ -309,39 +308,6 @@ class _Pairs:
                 self.add(p[:, 0], p[:, 1])
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """node and its set's bitmap of 64 * BITMAP buckets, by (node, packed)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            maps = []
-            for packed in batch.column(1):
-                raw = np.frombuffer(unpack(packed.as_py()), np.uint8)
-                h, _, _ = shingle_sets(raw, np.array([0, len(raw)]))
-                at = mix(h + np.uint64(9)) % np.uint64(64 * BITMAP)
-                bits = np.zeros(64 * BITMAP, np.uint8)
-                bits[at.astype(np.int64)] = 1
-                maps.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["node", "bits"])
-
-    return texts.select("node", "packed").mapInArrow(run, "node long, bits binary")
-
-
-def _shared_most(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many shingles sets of sizes n and m with bitmaps x and y can share at most."""
-    return np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-
-
-def _likeliest(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Of pairs (component, component, likelihood, ...) those among the `most` likeliest of either component."""
-    each = np.concatenate([pairs[:, 0], pairs[:, 1]])
-    order = np.lexsort((-np.tile(pairs[:, 2], 2), each))
-    starts = np.flatnonzero(np.append(True, each[order][1:] != each[order][:-1]))
-    place = np.arange(len(each)) - np.repeat(starts, np.diff(np.append(starts, len(each))))
-    return pairs[np.unique(order[place < most] % len(pairs))]
-
-
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
 
@@ -398,86 +364,146 @@ def candidates(sorted_postings: DataFrame) -> DataFrame:
     return sorted_postings.mapInArrow(run, "kind byte, a long, b long, n long")
 
 
-def across(blocks: DataFrame, most: int | None = None) -> DataFrame:
-    """a, b: pairs of open lists that can link and whose components differ; with most, those among the `most` likeliest of either component in a block.
+class _Forest:
+    """Components that links have joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
 
-    Reads key, i, j, block, n, node, component, bits sorted by key, i, j: two blocks of a list, or one (i = j). left: how many pairs a block
-    holds beyond (a row of its own, with null pairs).
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        label, which = np.unique(x, return_inverse=True)
+        return np.array([self.find(c) for c in label.tolist()], np.int64)[which]
+
+
+def across(blocks: DataFrame) -> DataFrame:
+    """u, v: links between nodes (by rep) of open lists that join different components, those that a task's links have joined being one.
+
+    Reads key, i, j, block, n, node, component, rep, packed sorted by key, i, j: two blocks of a list, or one (i = j). Every pair that can link
+    is counted exactly, unless both are joined by then.
     """
     t, of = THRESHOLD
 
-    def out(p: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64())], names=["a", "b", "left"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, late, left = _Pairs(), np.zeros((0, 7 + BITMAP), np.int64), 0
-
-        def pair_up(rows: np.ndarray):
-            nonlocal left
-            label, which, many = np.unique(rows[:, 6], return_inverse=True, return_counts=True)
+        unpack, forest, kept, weight = zstandard.ZstdDecompressor().decompress, _Forest(), {}, 0
+
+        def sets_of(nodes: list[int], packed: list[bytes]) -> list[np.ndarray]:
+            nonlocal weight
+            found = {x: kept[x] for x in nodes if x in kept}
+            new = {x: p for x, p in zip(nodes, packed) if x not in found}
+            raw, names, held = [], [], 0
+
+            def parse():
+                nonlocal raw, names, held
+                h, _, per = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+                found.update(zip(names, (x.copy() for x in np.split(h, np.cumsum(per)[:-1]))))
+                raw, names, held = [], [], 0
+
+            for x, p in new.items():
+                raw.append(unpack(p))
+                names.append(x)
+                held += len(raw[-1])
+                if held > PIECE:
+                    parse()
+            if raw:
+                parse()
+            if weight > KEPT:
+                kept.clear()
+                weight = 0
+            for x in new:
+                kept[x] = found[x]
+                weight += len(found[x])
+            return [found[x] for x in nodes]
+
+        def pair_up(rows: np.ndarray, packed: list[bytes]) -> pa.RecordBatch | None:
+            root = forest.roots(rows[:, 6])
+            label, which, many = np.unique(root, return_inverse=True, return_counts=True)
             if len(label) < 2:
-                return
-            rows = rows[np.lexsort((rows[:, 5], which == many.argmax()))]  # the largest component's nodes last: they meet only others; by node, so that lists of the same nodes choose alike
-            own, two = len(rows) - int(many.max()), rows[0, 1] != rows[0, 2]
-            n, maps = rows[:, 4] >> 32, rows[:, 7:].view(np.uint64)
-            parts, held = [], 0
-            for a in range(0, own, 64):
-                x, y = rows[a : min(own, a + 64), None], rows[None, a:]
-                ok = (x[:, :, 6] != y[:, :, 6]) & _fits(x[:, :, 4], y[:, :, 4]) & (np.arange(x.shape[0])[:, None] < np.arange(y.shape[1])[None, :])
+                return None
+            order = np.argsort(which == many.argmax(), kind="stable")  # the largest component's nodes last: they meet only others
+            rows, root, own, two = rows[order], root[order], len(rows) - int(many.max()), rows[0, 1] != rows[0, 2]
+            sets = sets_of(rows[:, 5].tolist(), [packed[k] for k in order.tolist()])
+            size = np.array([len(x) for x in sets], np.int64)
+            start = np.cumsum(size) - size
+            _, word = np.unique(np.concatenate(sets), return_inverse=True)
+            has, links = np.zeros(word.max() + 1, bool), []
+            for a in range(own):
+                can = (root[a + 1 :] != root[a]) & _fits(rows[a, 4], rows[a + 1 :, 4])
                 if two:
-                    ok &= x[:, :, 3] != y[:, :, 3]
-                i, j = (a + k for k in np.nonzero(ok))
-                shared = _shared_most(n[i], maps[i], n[j], maps[j])
-                can = (of + t) * shared >= t * (n[i] + n[j])
-                i, j = i[can], j[can]
-                if most is None:
-                    pairs.add(rows[i, 5], rows[j, 5])
-                elif len(i):
-                    likely = (shared[can] << 20) // (n[i] + n[j])
-                    parts.append(np.stack([rows[i, 6], rows[j, 6], likely, rows[i, 5], rows[j, 5]], 1))
-                    held += len(i)
-                    if held > 1 << 17:
-                        parts = [_likeliest(np.concatenate(parts), most)]
-                        left += held - len(parts[0])
-                        held = len(parts[0])
-                for p in pairs.full():
-                    yield out(p)
-            if parts:
-                kept = _likeliest(np.concatenate(parts), most)
-                left += held - len(kept)
-                pairs.add(kept[:, 3], kept[:, 4])
-                for p in pairs.full():
-                    yield out(p)
-
+                    can &= rows[a + 1 :, 3] != rows[a, 3]
+                if not can.any():
+                    continue
+                mine = word[start[a] : start[a] + size[a]]
+                has[mine] = True
+                shared = np.add.reduceat(has[word[start[a + 1] :]], start[a + 1 :] - start[a + 1], dtype=np.int64)
+                has[mine] = False
+                linked = a + 1 + np.flatnonzero(can & (of * shared >= t * (size[a] + size[a + 1 :] - shared)))
+                for b in linked[np.unique(root[linked], return_index=True)[1]].tolist():  # one link to a component is enough
+                    links.append((rows[a, 7], rows[b, 7]))
+                    forest.up[max(root[a], root[b])] = low = min(root[a], root[b])
+                    root[(root == root[a]) | (root == root[b])] = low
+            if links:
+                return pa.RecordBatch.from_arrays([pa.array([int(x) for x in side], pa.int64()) for side in zip(*links)], names=["u", "v"])
+            return None
+
+        late, texts = np.zeros((0, 8), np.int64), []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.int64).reshape(-1, BITMAP)
-            rows = np.concatenate([late, np.concatenate([_matrix(batch.select(range(7))), bits], 1)])
-            edge = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
-            for part in np.split(rows, edge)[:-1]:
-                yield from pair_up(part)
-            late = rows[edge[-1] :] if len(edge) else rows
-        if len(late):
-            yield from pair_up(late)
-        yield out(pairs.take())
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([left])], names=["a", "b", "left"])
+            rows, texts = np.concatenate([late, _matrix(batch.select(range(8)))]), texts + batch.column(8).to_pylist()
+            edge = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1).tolist()]
+            for x, y in zip(edge, edge[1:]):
+                if (made := pair_up(rows[x:y], texts[x:y])) is not None:
+                    yield made
+            late, texts = rows[edge[-1] :], texts[edge[-1] :]
+        if len(late) and (made := pair_up(late, texts)) is not None:
+            yield made
+
+    return blocks.mapInArrow(run, "u long, v long")
+
 
-    return blocks.mapInArrow(run, "a long, b long, left long")
+def marks(ids: DataFrame) -> np.ndarray:
+    """2 ** MARK_BITS bits, set where an id (one column) falls by its hash; put together block by block in tasks, these reach the driver."""
+    low = 1 << _MARK_BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for block in np.unique(at >> _MARK_BLOCK).tolist():
+                made.setdefault(block, np.zeros(low, bool))[at[at >> _MARK_BLOCK == block] & (low - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([np.packbits(x).tobytes() for x in made.values()], pa.binary())], names=["block", "bits"])
+
+    at = ids.select(_mark(ids[ids.columns[0]]).alias("at"))
+    out = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    for row in at.repartition(F.shiftright("at", _MARK_BLOCK)).mapInArrow(run, "block long, bits binary").collect():  # a bit a mark
+        out[row["block"] * low // 8 : (row["block"] + 1) * low // 8] |= np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text."""
+def _mark(c: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(c), 64 - MARK_BITS)
+
+
+def _packed(docs: DataFrame, needed: np.ndarray) -> DataFrame:
+    """doc_id and the compressed text of rows whose doc_id is marked in needed; a few others may be among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(needed)  # a bit a mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0))
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "doc_id long, packed binary")
+    return docs.filter("doc_id is not null").select("doc_id", "text", _mark(F.col("doc_id")).alias("at")).mapInArrow(run, "doc_id long, packed binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -534,9 +560,9 @@ def hub_pairs(members: DataFrame, turn: int) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """key, node, n, rep, component, and the lowest and highest component and size of the list, of the lists whose nodes are in several components."""
+    """key, node, n, rep, component, and the lowest and highest component, size and sum of sizes of the list, of the lists whose nodes are in several components."""
     named = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "node", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    keys_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    keys_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum(F.shiftright("n", 32)).alias("weight")).filter("lo < hi")
     return named.join(keys_, "key")
 
 
@@ -561,10 +587,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = materialize(found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n").join(ids, "node").distinct(), "jaccard-lists")
     pairs = materialize(short.unionByName(hub_pairs(members.withColumn("component", F.col("rep")), 0)).filter("a <> b").dropDuplicates(["a", "b"]), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    texts = materialize(_packed(docs).join(needed.join(ids, "node"), F.col("doc_id") == F.col("rep")).select("node", "rep", "packed").dropDuplicates(["node"]), "jaccard-texts")
+    needed = materialize(needed.join(ids, "node"), "jaccard-needed")
+    # Texts that nobody needs are left out before the shuffle.
+    texts = materialize(_packed(docs, marks(needed.select("rep"))).join(needed, F.col("doc_id") == F.col("rep")).select("node", "rep", "packed").dropDuplicates(["node"]), "jaccard-texts")
 
     verified = lambda more: materialize(verify(more, texts), "jaccard-links")
-    comp, tried, turn, open_, used, most = _components(verified(pairs)), pairs.select("a", "b"), 0, members, [found, members, pairs, texts], 0
+    comp, tried, turn, open_, used = _components(verified(pairs)), pairs.select("a", "b"), 0, members, [found, members, pairs, needed, texts]
     while True:
         open_ = materialize(_open(open_.select("key", "node", "n", "rep"), comp), "jaccard-open")
         used.append(open_)
@@ -572,20 +600,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if not work:
             break
         turn += 1
-        if not most and turn < ROUNDS and work > sums["sets"]:
-            more, left = hub_pairs(open_, turn), 1
-        else:
-            most = most * GROWTH if most else FIRST
-            looked = materialize(_blocks(open_, texts, parts, most if most <= MOST else None), "jaccard-across")
-            used.append(looked)
-            more, left = looked.filter("a is not null").select("a", "b", F.lit(0).alias("s")), looked.agg(F.sum("left")).first()[0]
-        more = materialize(more.join(_both_ways(tried), ["a", "b"], "left_anti"), "jaccard-pairs")
-        used.append(more)
-        if not most or more.take(1):
-            comp = _components(verified(more), comp)
-        if not left:
+        if turn >= ROUNDS or work <= sums["sets"]:
+            comp = _components(materialize(across(_blocks(open_, texts, parts)), "jaccard-across"), comp)
             break
-        tried = tried.unionByName(more.select("a", "b"))
+        more = materialize(hub_pairs(open_, turn).join(_both_ways(tried), ["a", "b"], "left_anti"), "jaccard-pairs")
+        used.append(more)
+        comp, tried = _components(verified(more), comp), tried.unionByName(more.select("a", "b"))
     out = _placed(sets, classes, comp)
     discard(*used)
     return out
@@ -602,16 +622,15 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _blocks(open_: DataFrame, texts: DataFrame, parts: int, most: int | None) -> DataFrame:
-    """a, b, left: across() of open lists, a pair once."""
-    maps = bitmaps(texts.join(open_.select("node").distinct(), "node", "left_semi"))
-    many = F.ceil(F.col("size") / BLOCK)
-    rows = open_.join(maps, "node").select("key", "n", "node", "component", "bits", "lo", "hi", many.alias("many"), F.pmod(F.xxhash64("node"), many).alias("block"))
+def _blocks(open_: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """What across() reads: each block of an open list with every other, and with itself."""
+    many = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / WEIGHT))
+    rows = open_.join(texts.select("node", "packed"), "node").select("key", "n", "node", "component", "rep", "packed", "lo", "hi", many.alias("many"), F.pmod(F.xxhash64("node"), many).alias("block"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "node", "component", "bits", "lo", "hi")
-    # Lists of the same components mostly give the same pairs: they meet in one task, or in SPREAD if there are very many of them.
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "node", "component", "rep", "packed", "lo", "hi")
+    # Lists of the same components mostly give the same links: they meet in one task, or in SPREAD if there are very many of them.
     dealt = rows.repartition(parts, "lo", "hi", F.pmod(F.xxhash64("key", "i", "j"), F.lit(SPREAD)))
-    return across(dealt.select("key", "i", "j", "block", "n", "node", "component", "bits").sortWithinPartitions("key", "i", "j"), most).distinct()
+    return dealt.select("key", "i", "j", "block", "n", "node", "component", "rep", "packed").sortWithinPartitions("key", "i", "j")
 
 
 def _placed(sets: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:

@@ -53,3 +53,36 @@ def test_waves_go_on_until_no_pair_is_left(spark, monkeypatch):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs).collect()} == {i: find(i) for i in sets}
+
+
+def test_near_copies_that_do_not_link_are_no_rows(spark, monkeypatch):
+    """Long texts of one base just below the threshold: bitmaps of their sets told nothing, and all pairs were handed on."""
+    for name, value in (("LIST", 2), ("ROUNDS", 1), ("BLOCK", 16), ("WEIGHT", 8000)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    materialize, made = jaccard_join.materialize, []
+
+    def count(df, name):
+        out = materialize(df, name)
+        if name == "jaccard-across":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", count)
+    n, rng = 48, random.Random(3)
+    base, rows = [f"b{i}" for i in range(700)], []
+    for i in range(n):
+        t = list(base)
+        for k in rng.sample(range(6, 690, 6), 13):
+            t[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(t)))
+    rows.append((n, rows[7][1] + " one more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = [(j, i) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = {i: i for i in sets}
+    for _ in sets:
+        for j, i in linked:
+            want[i] = want[j] = min(want[i], want[j])
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs).collect()} == want
+    assert len(linked) < n
+    assert made and sum(made) <= 2 * n
