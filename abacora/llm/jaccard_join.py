@@ -624,8 +624,13 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 def _blocks(open_: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """What across() reads: each block of an open list with every other, and with itself."""
+    # Of lists of the same nodes one is enough, if what is left from its key on refuses nothing.
+    by = open_.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
+    once = open_.join(by.groupBy("size", "sum", "xor").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    size = F.shiftright("n", 32)
+    once = once.withColumn("n", F.shiftleft(size, 32).bitwiseOR(size))
     many = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / WEIGHT))
-    rows = open_.join(texts.select("node", "packed"), "node").select("key", "n", "node", "component", "rep", "packed", "lo", "hi", many.alias("many"), F.pmod(F.xxhash64("node"), many).alias("block"))
+    rows = once.join(texts.select("node", "packed"), "node").select("key", "n", "node", "component", "rep", "packed", "lo", "hi", many.alias("many"), F.pmod(F.xxhash64("node"), many).alias("block"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "node", "component", "rep", "packed", "lo", "hi")
     # Lists of the same components mostly give the same links: they meet in one task, or in SPREAD if there are very many of them.
