@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._shared import lean
+
 SHORT_BYTES = 256
 CACHE_WORDS = 300_000
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space by its Unicode property.
@@ -169,4 +171,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 decoded = [bpe.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], schema=_SCHEMA)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), ENCODED)

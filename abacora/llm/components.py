@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialize
+from ._shared import discard, lean, materialize
 
 
 def spanning(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def spanning(edges: DataFrame) -> DataFrame:
             kept = [(x, find(x)) for x in root if find(x) != x]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], names=["u", "v"])
 
-    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+    return edges.select("u", "v").mapInArrow(lean(run), "u long, v long")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

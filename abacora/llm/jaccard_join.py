@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, discard, hash_words, materialize, mix, scan_words, text_buffers, window_hashes
+from ._shared import chunks, discard, hash_words, lean, materialize, mix, scan_words, text_buffers, window_hashes
 from .components import connected_components, spanning
 
 SHINGLE = 5
@@ -214,7 +214,7 @@ def describe(docs: DataFrame) -> DataFrame:
         if parts:
             yield repeats(parts)
 
-    return docs.mapInArrow(run, "kind byte, a long, b long, c long, n long")
+    return docs.mapInArrow(lean(run), "kind byte, a long, b long, c long, n long")
 
 
 def _single(names: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def sketch(common: DataFrame) -> Order:
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["block", "levels"])
 
     summed = common.groupBy("a").agg(F.sum("n").alias("n"))
-    blocks = summed.repartition(F.shiftright("a", _SKETCH_BLOCK)).mapInArrow(run, "block long, levels binary").collect()  # a byte a bucket
+    blocks = summed.repartition(F.shiftright("a", _SKETCH_BLOCK)).mapInArrow(lean(run), "block long, levels binary").collect()  # a byte a bucket
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in blocks:
         levels[row["block"] * low : (row["block"] + 1) * low] = np.frombuffer(row["levels"], np.uint8)
@@ -262,7 +262,7 @@ def postings(docs: DataFrame, order: Order, boundary: int) -> DataFrame:
                 salt = np.where(spread > 0, 1 + mix(own + np.uint64(5)) % np.maximum(spread, np.uint64(1)), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([_long(k), pa.array(salt), _long(own), _long(per[rows] << 32 | left)], names=["key", "salt", "node", "n"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "key long, salt int, node long, n long")
+    return docs.filter("doc_id is not null").mapInArrow(lean(run), "key long, salt int, node long, n long")
 
 
 def _fits(a, b, threshold=THRESHOLD):
@@ -361,7 +361,7 @@ def candidates(sorted_postings: DataFrame) -> DataFrame:
             yield from lists(late, last=True)
         yield out(pairs.take(), 0)
 
-    return sorted_postings.mapInArrow(run, "kind byte, a long, b long, n long")
+    return sorted_postings.mapInArrow(lean(run), "kind byte, a long, b long, n long")
 
 
 class _Forest:
@@ -464,7 +464,7 @@ def across(blocks: DataFrame) -> DataFrame:
         if len(late) and (made := pair_up(late, texts)) is not None:
             yield made
 
-    return blocks.mapInArrow(run, "u long, v long")
+    return blocks.mapInArrow(lean(run), "u long, v long")
 
 
 def marks(ids: DataFrame) -> np.ndarray:
@@ -481,7 +481,7 @@ def marks(ids: DataFrame) -> np.ndarray:
 
     at = ids.select(_mark(ids[ids.columns[0]]).alias("at"))
     out = np.zeros(1 << MARK_BITS - 3, np.uint8)
-    for row in at.repartition(F.shiftright("at", _MARK_BLOCK)).mapInArrow(run, "block long, bits binary").collect():  # a bit a mark
+    for row in at.repartition(F.shiftright("at", _MARK_BLOCK)).mapInArrow(lean(run), "block long, bits binary").collect():  # a bit a mark
         out[row["block"] * low // 8 : (row["block"] + 1) * low // 8] |= np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -503,7 +503,7 @@ def _packed(docs: DataFrame, needed: np.ndarray) -> DataFrame:
                 part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text", _mark(F.col("doc_id")).alias("at")).mapInArrow(run, "doc_id long, packed binary")
+    return docs.filter("doc_id is not null").select("doc_id", "text", _mark(F.col("doc_id")).alias("at")).mapInArrow(lean(run), "doc_id long, packed binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -539,7 +539,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if u:
                 yield judge(u, v, sides)
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def hub_pairs(members: DataFrame, turn: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ._shared import chunks, mix, text_buffers
+from ._shared import chunks, lean, mix, text_buffers
 
 GRAM = 5
 SAMPLE_ROWS = 3000
@@ -142,7 +142,7 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", id_col: str =
                     found, n = np.unique(grams[(langs[i:j] == lang)[rows]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = sample(rows, "lang", "id").select("lang", "text").mapInArrow(count, _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample(rows, "lang", "id").select("lang", "text").mapInArrow(lean(count), _COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # A gram met once in a sample says nothing about the language.
     rated = counts.filter("n > 1").withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     fit = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= SHARE * F.col("top"))
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", t
             best, score, _ = decide(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, PREDICTED)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), PREDICTED)
 
 
 def identify(docs: DataFrame, usable: Column) -> DataFrame:
@@ -215,4 +215,4 @@ def keep_identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "
                 keep = [x != UNDETERMINED and (not f.languages or e >= evidence) for x, e in zip(found, share)]
                 yield batch.slice(i, j - i).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -45,7 +45,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, discard, hash_words, id_array, materialize, mix, remove, scan_words, scratch_path, text_buffers, window_hashes
+from ._shared import chunks, discard, hash_words, id_array, lean, materialize, mix, remove, scan_words, scratch_path, text_buffers, window_hashes
 
 WINDOW = 20
 GRAM = 5
@@ -199,11 +199,11 @@ class FingerprintIndex:
                         for k in range(0, whole.num_rows, 20_000):
                             yield whole.slice(k, 20_000)
 
-        rows = docs.filter("id is not null").select("id", "text").mapInArrow(spans, _SPANS)
+        rows = docs.filter("id is not null").select("id", "text").mapInArrow(lean(spans), _SPANS)
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "id", "start")
         made = f"run-{uuid.uuid4().hex}" if keep else None
-        out = materialize(ordered.mapInArrow(_resolver(self.folder, [name for name, _ in self.runs], made), _CLAIMS_SQL), "claims")
+        out = materialize(ordered.mapInArrow(lean(_resolver(self.folder, [name for name, _ in self.runs], made)), _CLAIMS_SQL), "claims")
         if made:
             self._commit([*self.runs, (made, 0)])
             while len(self.runs) > FANOUT and len({level for _, level in self.runs[-FANOUT - 1 :]}) == 1:
@@ -225,7 +225,7 @@ class FingerprintIndex:
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64())], names=["bucket"])
 
         tasks = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.spark.range(0, self.buckets, 1, tasks).mapInArrow(run, "bucket long").count()
+        self.spark.range(0, self.buckets, 1, tasks).mapInArrow(lean(run), "bucket long").count()
         self._commit([*self.runs[: -len(old)], (made, 1 + max(level for _, level in old))])
         self.compactions += 1
 
@@ -389,7 +389,7 @@ def longest(claims: DataFrame) -> DataFrame:
         yield out(late)
 
     cols = ["id", "start", "n", "oid", "ostart"]
-    return claims.select(cols).repartition(parts, "id").sortWithinPartitions("id", "start").mapInArrow(run, "id long, start int, n int, oid long, ostart int")
+    return claims.select(cols).repartition(parts, "id").sortWithinPartitions("id", "start").mapInArrow(lean(run), "id long, start int, n int, oid long, ostart int")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -402,7 +402,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 part = batch.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
 
-    return docs.mapInArrow(run, "id long, packed binary")
+    return docs.mapInArrow(lean(run), "id long, packed binary")
 
 
 _SETTLED = "kind byte, id long, start int, n int, digest binary, n_words long, n_removed long, kept binary"
@@ -465,7 +465,7 @@ def _cut(docs: DataFrame, spans: DataFrame, digest: bool) -> DataFrame:
                     rows.append((0, doc, None, None, None, n, n - len(words), finish(kept)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return both.mapInArrow(run, _SETTLED)
+    return both.mapInArrow(lean(run), _SETTLED)
 
 
 def find_repeats(docs: DataFrame, batches: int | None = None) -> DataFrame:
@@ -505,7 +505,7 @@ def unpacked(kept: DataFrame, column: str = "kept") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], names=[*names, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema.fields)
-    return kept.select(*names, column).mapInArrow(run, f"{schema}, `{column}` string")
+    return kept.select(*names, column).mapInArrow(lean(run), f"{schema}, `{column}` string")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
