@@ -50,6 +50,8 @@ LIGHT_MOST = 64
 #: The sketch of shingle counts has 2 ** SKETCH_BITS levels of a byte each, whatever the corpus.
 SKETCH_BITS = 22
 _SKETCH_BLOCK = 16
+#: Bits of a join key that are not sent: keys that fall together only give pairs that verification refuses.
+KEY_SPARE = 16
 #: A key that is met more often is spread over about count / HOT sublists; a hub over as many tasks.
 HOT = 1024
 #: Rounds in which the nodes of lists are paired with a hub, before all pairs of those still open are made.
@@ -260,7 +262,7 @@ def postings(docs: DataFrame, order: Order, boundary: int) -> DataFrame:
                 k, rows, left, level = k[keep], rows[keep], left[keep], level[keep]
                 spread, own = sublists(level), node[rows]
                 salt = np.where(spread > 0, 1 + mix(own + np.uint64(5)) % np.maximum(spread, np.uint64(1)), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_long(k), pa.array(salt), _long(own), _long(per[rows] << 32 | left)], names=["key", "salt", "node", "n"])
+                yield pa.RecordBatch.from_arrays([_long(k >> np.uint64(KEY_SPARE)), pa.array(salt), _long(own), _long(per[rows] << 32 | left)], names=["key", "salt", "node", "n"])
 
     return docs.filter("doc_id is not null").mapInArrow(lean(run), "key long, salt int, node long, n long")
 
@@ -313,7 +315,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def candidates(sorted_postings: DataFrame) -> DataFrame:
-    """kind 0: pairs (a, b) to verify. kind 1: a (key), b (node), n of lists that are longer than LIST or spread. Reads partitions sorted by key, salt, node."""
+    """kind 0: pairs (a, b) to verify. kind 1: a (key), b (node), n of lists that are longer than LIST or spread. Reads partitions sorted by key, salt, node and, downwards, n."""
 
     def out(rows: np.ndarray, kind: int) -> pa.RecordBatch:
         n = rows[:, 2] if kind else np.zeros(len(rows), np.int64)
@@ -350,7 +352,7 @@ def candidates(sorted_postings: DataFrame) -> DataFrame:
             rows = _matrix(batch)
             if not len(rows):
                 continue
-            fresh = np.ones(len(rows), bool)  # the same set may come from several tasks
+            fresh = np.ones(len(rows), bool)  # the same set may come from several tasks, or with two keys that fall together: what refuses less stays
             fresh[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
             fresh[0] = before is None or (rows[0, :3] != before).any()
             before = rows[-1, :3]
@@ -580,7 +582,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sizes = {r["n"]: r["sets"] for r in classes.filter(F.col("n") <= most).groupBy("n").agg(F.count("*").alias("sets")).collect()}  # at most `most` rows
     boundary = choose_boundary(sizes, 1 + float(weight) / max(1, sums["n"]))
 
-    listed = postings(docs, sketch(common), boundary).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node")
+    listed = postings(docs, sketch(common), boundary).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "node", F.desc("n"))
     found = materialize(candidates(listed), "jaccard-candidates")
     ids = classes.filter("rep is not null").select("node", "rep")
     short = found.filter("kind = 0 and a <> b").select("a", "b", F.lit(0).alias("s")).distinct()
@@ -588,8 +590,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = materialize(short.unionByName(hub_pairs(members.withColumn("component", F.col("rep")), 0)).filter("a <> b").dropDuplicates(["a", "b"]), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
     needed = materialize(needed.join(ids, "node"), "jaccard-needed")
-    # Texts that nobody needs are left out before the shuffle.
-    texts = materialize(_packed(docs, marks(needed.select("rep"))).join(needed, F.col("doc_id") == F.col("rep")).select("node", "rep", "packed").dropDuplicates(["node"]), "jaccard-texts")
+    # Texts that nobody needs are left out before the shuffle; rows that repeat are where the join has put them, so they need no other.
+    texts = materialize(_packed(docs, marks(needed.select("rep"))).join(needed, F.col("doc_id") == F.col("rep")).dropDuplicates(["doc_id", "node"]).select("node", "rep", "packed"), "jaccard-texts")
 
     verified = lambda more: materialize(verify(more, texts), "jaccard-links")
     comp, tried, turn, open_, used = _components(verified(pairs)), pairs.select("a", "b"), 0, members, [found, members, pairs, needed, texts]
