@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, audit, runs, targets
+from ..operators import align, audit, once, runs, targets
 from ..sources import records
 from .corpus_queries import _STRIP
 from .scoring_queries import spread, table
@@ -39,8 +39,9 @@ def target_programs(spark, sf_dir):
 
 def minimal_reasonings(spark, sf_dir):
     """TGT4, TGT6."""
-    t = _solutions(spark, sf_dir)
-    return t.select("l_orderkey", "l_linenumber", targets.minimal_reasoning(F.col("response_vi")).alias("reasoning"), F.array_join(targets.equation_lines(F.col("response_vi"), 3), "|").alias("lines"))
+    reasoning, lines = targets.minimal_reasoning(F.col("response_vi")), F.array_join(targets.equation_lines(F.col("response_vi"), 3), "|")
+    made = once.per_value(_solutions(spark, sf_dir), ["response_vi"], lambda t: t.select("*", reasoning.alias("reasoning"), lines.alias("lines")))
+    return made.select("l_orderkey", "l_linenumber", "reasoning", "lines")
 
 
 def _run_rows(spark, sf_dir):
