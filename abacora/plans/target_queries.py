@@ -27,7 +27,7 @@ def _solutions(spark, sf_dir):
 
 def target_styles(spark, sf_dir):
     """TGT7: type-specific targets, the rule that gave each, and rejects."""
-    made = targets.build(_solutions(spark, sf_dir), "type_specific_equation_targets")
+    made = once.per_value(_solutions(spark, sf_dir), ["response_vi", "type"], lambda t: targets.build(t, "type_specific_equation_targets"))
     return made.select("l_orderkey", "l_linenumber", "target", "target_kind", "reject")
 
 
