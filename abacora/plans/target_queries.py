@@ -33,7 +33,7 @@ def target_styles(spark, sf_dir):
 
 def target_programs(spark, sf_dir):
     """TGT5, TGT7: compact programs of the checked steps."""
-    made = targets.build(_solutions(spark, sf_dir), "fdd_pot_compact")
+    made = once.per_value(_solutions(spark, sf_dir), ["response_vi", "type"], lambda t: targets.build(t, "fdd_pot_compact"))
     return made.select("l_orderkey", "l_linenumber", "target", "target_kind", "reject")
 
 

@@ -25,7 +25,7 @@ def test_rows_equal_those_of_the_plain_way(spark, copies):
     assert asked == [len(values)]
 
 
-@pytest.mark.parametrize("query", ["target_styles", "minimal_reasonings"])
+@pytest.mark.parametrize("query", ["target_styles", "target_programs", "minimal_reasonings"])
 def test_targets_of_lines_are_worked_out_once_a_text(spark, tmp_path, monkeypatch, query):
     spark.range(3000).select((F.col("id") / 7).cast("long").alias("l_orderkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"), (F.col("id") % 3).cast("double").alias("l_quantity")).write.parquet(f"{tmp_path}/lineitem.parquet")
     asked = []
