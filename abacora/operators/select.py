@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numeric
 from ..functions import text as X
@@ -156,12 +162,68 @@ def retrieval_candidates(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
     return looked_up.join(blocks, ["token", "block"]).filter(bound(F.col("rn")) >= F.col("least")).select("query_id", "record_id").distinct()
 
 
+#: Up to so many tokens of all queries together every task holds their index and scores its own records.
+SCAN_TOKENS = 500_000
+#: Scores and meetings of a query with a token that are held at once while records are scored.
+SCAN_CELLS = 1_000_000
+
+
+def _scan(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
+    """query_id, record_id, score: of some records at a time the k best of each query, ties by record id. Nothing is shuffled; every pair with a common token is scored."""
+    held = q.select("query_id", "t").toArrow()  # at most SCAN_TOKENS tokens
+    ids, lists = held.column("query_id").combine_chunks(), held.column("t").combine_chunks()
+    coded, per = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    weights = np.where(pc.match_substring_regex(words, "[0-9]").to_numpy(zero_copy_only=False), 3.0, 1.0)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(words)))])
+    owners = np.repeat(np.arange(len(per)), per)[np.argsort(place, kind="stable")]
+    shared = q.sparkSession.sparkContext.broadcast((ids, per, words, weights, starts, owners))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, qn, words, weights, starts, owners = shared.value
+        least = np.zeros(len(ids))  # the k-th best score of each query so far
+        for batch in batches:
+            rn = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            met = pc.index_in(batch.column(1).flatten(), value_set=words)
+            row = np.repeat(np.arange(len(rn)), rn)[met.is_valid().to_numpy(zero_copy_only=False)]
+            word = met.drop_null().to_numpy(zero_copy_only=False)
+            often = starts[word + 1] - starts[word]
+            rank = np.empty(len(rn), np.int64)
+            rank[pc.sort_indices(batch.column(0), null_placement="at_start").to_numpy()] = np.arange(len(rn))
+            cells = np.cumsum(np.maximum(np.bincount(row, often, len(rn)), len(ids)))
+            edges = [0, *(np.flatnonzero(np.diff(cells // SCAN_CELLS)) + 1), len(rn)]
+            for low, high in zip(edges, edges[1:]):
+                here = slice(*np.searchsorted(row, [low, high]))
+                w, n = word[here], often[here]
+                at = np.repeat(starts[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                points = np.bincount(np.repeat(row[here] - low, n) * len(ids) + owners[at], np.repeat(weights[w], n), (high - low) * len(ids))
+                found = np.flatnonzero(points)
+                i, j = found // max(1, len(ids)) + low, found % max(1, len(ids))
+                score = points[found] / np.sqrt(qn[j].astype(float) * rn[i])
+                able = score >= least[j]
+                i, j, score = i[able], j[able], score[able]
+                order = np.lexsort((rank[i], -score, j))
+                i, j, score = i[order], j[order], score[order]
+                nth = np.arange(len(j)) - np.searchsorted(j, j)
+                last, kept = nth == k - 1, nth < k
+                least[j[last]] = score[last]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(j[kept])), batch.column(0).take(pa.array(i[kept])), pa.array(score[kept])], names=["query_id", "record_id", "score"])
+
+    return r.select("record_id", "t").mapInArrow(run, T.StructType([q.schema["query_id"], r.schema["record_id"], T.StructField("score", T.DoubleType())]))
+
+
 def retrieve(queries: DataFrame, records: DataFrame, k: int, query_id: str = "query_id", record_id: str = "record_id", text: str = "text", tokens=retrieval_tokens) -> DataFrame:
     """JOIN7: the k best records of each query by token overlap (numbers count three times) over the root of both sizes. Ties by record id.
 
-    An inverted index with bounds: only pairs that can be among the k best are made and scored (retrieval_candidates). A score over 0
-    needs a common token, so rows without one are nobody's. The token arrays are written once where a shared folder is named.
+    The queries' index goes to the records, which are read once, neither stored nor shuffled; what is handed on are the k best of each query
+    of some records at a time. With more than SCAN_TOKENS tokens of queries the records are indexed instead, with bounds: only pairs that can be among the k
+    best are made and scored (retrieval_candidates). A score over 0 needs a common token, so rows without one are nobody's.
     """
     q = stored(queries.select(F.col(query_id).alias("query_id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0), "retrieval-queries")
-    r = stored(records.select(F.col(record_id).alias("record_id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0), "retrieval-records")
-    return _best(_scored_pairs(retrieval_candidates(q, r, k), q, r), "score", k).select("query_id", "place", "record_id", "score")
+    r = records.select(F.col(record_id).alias("record_id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    if (q.agg(F.sum(F.size("t"))).first()[0] or 0) <= SCAN_TOKENS:
+        scored = _scan(q, r, k)
+    else:
+        r = stored(r, "retrieval-records")
+        scored = _scored_pairs(retrieval_candidates(q, r, k), q, r)
+    return _best(scored, "score", k).select("query_id", "place", "record_id", "score")

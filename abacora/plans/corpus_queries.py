@@ -126,7 +126,7 @@ def operation_signatures(spark, sf_dir):
 
 def retrieval_topk(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    r = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text"))
     return select.retrieve(q, r, 3, tokens=lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0)))).withColumn("score", F.round("score", 6))
 
 
