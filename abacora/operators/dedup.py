@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -230,25 +233,100 @@ PAIR_THRESHOLD = (90, 100)
 COMMON_MOST = 250_000
 
 
-def _postings(nodes: DataFrame, shingles: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """key, u, n, left: the first n - ceil(t n) + 1 tokens of every set, rare ones first, and how many tokens stand from the key on."""
-    shared, (t, of) = nodes.sparkSession.sparkContext.broadcast((shingles, counts)), PAIR_THRESHOLD
+def _pack(rare: np.ndarray, ranks: np.ndarray) -> bytes:
+    """A set as bytes: hashes of tokens without a rank, then the steps between the ranks, byte by byte of all so that they compress."""
+    steps = np.diff(ranks, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(rare).to_bytes(4, "little") + rare.astype("<i8").tobytes() + zlib.compress(steps.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and ranks of a set, both in order."""
+    end = 4 + 8 * int.from_bytes(packed[:4], "little")
+    steps = np.frombuffer(zlib.decompress(packed[end:]), np.uint8).reshape(4, -1).T
+    return np.frombuffer(packed[4:end], "<i8"), np.cumsum(np.ascontiguousarray(steps).view("<u4").ravel().astype(np.int64))
+
+
+def _packed(sets: DataFrame, ranked: np.ndarray) -> DataFrame:
+    """id, n, packed: the sets (id, t) in one global order of tokens: those not in ranked by hash, then ranked ones by place, rare ones first."""
+    by = np.argsort(ranked)
+    shared = sets.sparkSession.sparkContext.broadcast((ranked[by], by))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value
+        known, rank = shared.value
         for batch in batches:
             per = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             h, r = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(per)), per)
             at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            often = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
-            place = np.lexsort((h, often, r))
-            h, r = h[place], r[place]
-            pos = np.arange(len(h)) - np.concatenate([[0], np.cumsum(per)])[r]
-            own = pos <= per[r] - -(-t * per[r] // of)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(ids[r[own]]), pa.array(per[r[own]]), pa.array((per[r] - pos)[own])], names=["key", "u", "n", "left"])
+            code = np.where(known[at] == h, rank[at], -1) if len(known) else np.full(len(h), -1)
+            place = np.lexsort((h, code, r))
+            h, code, ends = h[place], code[place], np.cumsum(per)
+            rare = ends - per + np.bincount(r[code < 0], minlength=len(per))
+            packed = [_pack(h[low:mid], code[mid:high]) for low, mid, high in zip(ends - per, rare, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(per), pa.array(packed, pa.binary())], names=["id", "n", "packed"])
+
+    return sets.select("id", "t").mapInArrow(run, "id long, n long, packed binary")
+
+
+def _postings(nodes: DataFrame) -> DataFrame:
+    """key, u, n, left: the first n - ceil(t n) + 1 tokens of every set, rare ones first, and how many tokens stand from the key on."""
+    t, of = PAIR_THRESHOLD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            own = n - -(-t * n // of) + 1
+            keys = np.concatenate([np.concatenate(_unpack(p))[:k] for p, k in zip(batch.column(2).to_pylist(), own)] or [np.zeros(0, np.int64)])
+            u, size = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), own), np.repeat(n, own)
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(own) - own, own)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, u, size, size - pos)], names=["key", "u", "n", "left"])
+
+    return nodes.select("u", "n", "packed").mapInArrow(run, "key long, u long, n long, left long")
+
+
+#: Longs of a set's sketch: by 64 bits each whether the tokens of a bit are odd in number.
+SKETCH = 4
+
+
+def _sketches(nodes: DataFrame) -> DataFrame:
+    """u, n, sketch: sets that differ in d tokens differ in d bits of their sketches at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.concatenate(_unpack(p)) for p in batch.column(2).to_pylist()]
+            r = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            bit = (np.concatenate([*codes, np.zeros(0, np.int64)]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+            odd = (np.bincount(r * 64 * SKETCH + bit.astype(np.int64), minlength=len(codes) * 64 * SKETCH) & 1).astype(np.uint8)
+            longs = np.packbits(odd).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, len(longs) + 1, SKETCH, dtype=np.int32), longs)], names=["u", "n", "sketch"])
+
+    return nodes.select("u", "n", "packed").mapInArrow(run, "u long, n long, sketch array<long>")
+
+
+def _may_reach(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sketches leave the threshold in reach: a pair that reaches it differs in (of - t) / (of + t) of both sizes together at most."""
+    t, of = PAIR_THRESHOLD
+    flat = stored(_sketches(nodes).select("u", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "sketches")
+    named = lambda end: flat.select(F.col("u").alias(end), *[F.col(c).alias(end + c) for c in flat.columns[1:]])
+    differ = reduce(add, [F.bit_count(F.col(f"us{i}").bitwiseXOR(F.col(f"vs{i}"))) for i in range(SKETCH)])
+    return pairs.join(named("u"), "u").join(named("v"), "v").filter((of + t) * differ <= (of - t) * (F.col("un") + F.col("vn"))).select("u", "v")
+
+
+def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v, jaccard of the pairs that reach the threshold, by their whole sets."""
+    t, of = PAIR_THRESHOLD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lru_cache(1024)(_unpack)  # the pairs of a set come one after another
+        for batch in batches:
+            both = [(whole(a), whole(b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            i = np.array([sum(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)) for a, b in both], np.int64)
+            n = np.array([sum(map(len, a + b)) for a, b in both], np.int64) - i
+            link = pa.array(of * i >= t * n)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(i / n)], names=["u", "v", "jaccard"])
+            yield out.filter(link)
 
-    return nodes.select("u", "t").mapInArrow(run, "key long, u long, n long, left long")
+    whole = lambda end: nodes.select(F.col("u").alias(end), F.col("packed").alias(f"{end}s"))
+    return pairs.join(whole("u"), "u").join(whole("v"), "v").select("u", "v", "us", "vs").mapInArrow(run, "u long, v long, jaccard double")
 
 
 def near_pairs(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -256,24 +334,24 @@ def near_pairs(rows: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
     Exact, without a cap: two such sets share a token among the first n - ceil(t n) + 1 of each in one
     global order, commonest last; a key is refused only if what is left from it on cannot reach the
-    threshold, which never holds for a pair's first common key. Equal sets are one node for this
-    and given as pairs again at the end. Tokens are told apart by 64-bit hashes; sets without tokens pair with nothing.
+    threshold, which never holds for a pair's first common key. Pairs are compared by short sketches, which refuse none that reaches it, before
+    whole sets are brought together. Equal sets are one node for this and given as pairs again at the end. Tokens are told apart by
+    64-bit hashes, common ones by their place in the order, so that sets are small where they are stored and shuffled; sets without tokens pair with nothing.
     """
     t, of = PAIR_THRESHOLD
-    sets = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x)))).alias("t"))
-    sets = stored(sets.filter(F.size("t") > 0).withColumn("node", F.md5(F.to_json("t"))), "sets")
+    hashes = F.coalesce(F.array_distinct(F.transform(tokens, lambda x: F.xxhash64(x))), F.array().cast("array<long>"))
+    sets = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), hashes.alias("t"))
+    # Neither a filter nor a plain explode stands on t: the optimizer would copy its definition below and work the tokens out again.
+    counted = sets.select(F.explode_outer("t").alias("k")).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1 AND k IS NOT NULL")
+    common = counted.orderBy(F.desc("n"), "k").limit(COMMON_MOST).toPandas()  # at most COMMON_MOST rows
+    sets = stored(_packed(sets, common["k"].to_numpy(np.int64)[::-1]).filter("n > 0").withColumn("node", F.md5("packed")), "sets")
     members = sets.select("node", "id").distinct()
-    nodes = stored(sets.groupBy("node").agg(F.min("id").alias("u"), F.first("t").alias("t")), "nodes")
-    common = nodes.select(F.explode("t").alias("k")).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "k").limit(COMMON_MOST).toPandas()  # at most COMMON_MOST rows
-    known, counts = common["k"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
-    by = np.argsort(known)
-    listed = stored(_postings(nodes, known[by], counts[by]), "postings")
+    nodes = stored(sets.groupBy("node").agg(F.min("id").alias("u"), F.first("n").alias("n"), F.first("packed").alias("packed")), "nodes")
+    listed = stored(_postings(nodes), "postings")
     a, b = listed.alias("a"), listed.alias("b")
     fits = (of * F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n")) & ((of + t) * F.least("a.left", "b.left") >= t * (F.col("a.n") + F.col("b.n")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") < F.col("b.u")) & fits).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
-    both = pairs.join(nodes.select("u", F.col("t").alias("ut")), "u").join(nodes.select(F.col("u").alias("v"), F.col("t").alias("vt")), "v")
-    both = both.withColumn("i", F.size(F.array_intersect("ut", "vt"))).withColumn("n", F.size("ut") + F.size("vt") - F.col("i"))
-    links = both.filter(of * F.col("i") >= t * F.col("n")).select("u", "v", (F.col("i") / F.col("n")).alias("jaccard"))
+    links = _links(_may_reach(pairs, nodes), nodes)
     of_node = members.join(nodes.select("node", "u"), "node").select("u", "id")
     x, y = of_node.select("u", F.col("id").alias("x")), of_node.select(F.col("u").alias("v"), F.col("id").alias("y"))
     apart = links.join(x, "u").join(y, "v").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
