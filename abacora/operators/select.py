@@ -220,10 +220,11 @@ def retrieve(queries: DataFrame, records: DataFrame, k: int, query_id: str = "qu
     best are made and scored (retrieval_candidates). A score over 0 needs a common token, so rows without one are nobody's.
     """
     q = stored(queries.select(F.col(query_id).alias("query_id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0), "retrieval-queries")
-    r = records.select(F.col(record_id).alias("record_id"), tokens(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    # No filter on t here: the optimizer would copy its definition below and work the tokens out twice.
+    r = records.select(F.col(record_id).alias("record_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
     if (q.agg(F.sum(F.size("t"))).first()[0] or 0) <= SCAN_TOKENS:
         scored = _scan(q, r, k)
     else:
-        r = stored(r, "retrieval-records")
+        r = stored(r, "retrieval-records").filter(F.size("t") > 0)
         scored = _scored_pairs(retrieval_candidates(q, r, k), q, r)
     return _best(scored, "score", k).select("query_id", "place", "record_id", "score")
